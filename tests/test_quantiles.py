@@ -41,8 +41,8 @@ def test_grouped_quantiles_are_exact(spark, limit, bins):
             assert close(value, quantile(xs, q), 1e-12), (kind, q)
 
 
-def test_sizes_from_a_cheaper_frame(spark):
+def test_a_known_bound_skips_the_count(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(100)], "feature string, x double")
-    by_size = grouped_quantiles(df, ["feature"], "x", [0.5], limit=10, sized_by=(df.limit(0), ["feature"]))
-    narrowed = grouped_quantiles(df, ["feature"], "x", [0.5], limit=10, sized_by=(df, ["feature"]))
-    assert by_size.first().quantiles == narrowed.first().quantiles == [49.5]
+    bounded = grouped_quantiles(df, ["feature"], "x", [0.5], limit=100, at_most=100)
+    narrowed = grouped_quantiles(df, ["feature"], "x", [0.5], limit=10, at_most=100)
+    assert bounded.first().quantiles == narrowed.first().quantiles == [49.5]

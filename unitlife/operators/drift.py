@@ -46,7 +46,8 @@ def reference_edges(reference: DataFrame, features: Sequence[str], bins: int = D
     last bits.
     """
     quantiles = grouped_quantiles(
-        long_form(reference, features), ["feature"], "x", linspace_probabilities(bins), limit=limit)
+        long_form(reference, features), ["feature"], "x", linspace_probabilities(bins), limit=limit,
+        at_most=reference.count())
     q = F.col("quantiles")
     if digits is not None:
         q = F.transform(q, lambda v: F.round(v, digits))

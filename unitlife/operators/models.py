@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from itertools import takewhile
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -50,8 +49,9 @@ def variants(keys: Keys = Keys()) -> dict[str, list[str]]:
 
 def feature_medians(train: DataFrame, features: Sequence[str], limit: int = GROUP_ROWS) -> DataFrame:
     """``feature, n, median`` over the present values; exact at any size."""
-    return grouped_quantiles(long_form(train, features), ["feature"], "x", [0.5], limit=limit).select(
-        "feature", "n", F.col("quantiles")[0].alias("median"))
+    medians = grouped_quantiles(
+        long_form(train, features), ["feature"], "x", [0.5], limit=limit, at_most=train.count())
+    return medians.select("feature", "n", F.col("quantiles")[0].alias("median"))
 
 
 def scaling_statistics(train: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -93,13 +93,16 @@ def train_ridge(train: DataFrame, features: Sequence[str], target: str,
     MLlib scales features and label itself and divides the loss by the row count, hence the
     conversion of ``alpha``.
     """
-    rows = fit_rows(train, target)
-    stages = preparation(_median_map(rows, features), features, indicators=False)
-    size = rows.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("sd")).first()
-    ridge = LinearRegression(
-        featuresCol="_features", labelCol="_label", elasticNetParam=0.0, solver="normal",
-        standardization=True, regParam=alpha * (size["sd"] or 0.0) / size["n"])
-    return PipelineModel([*stages, ridge.fit(_prepared(rows, stages, target))])
+    rows = fit_rows(train, target).select(*features, target).persist()
+    try:
+        stages = preparation(_median_map(rows, features), features, indicators=False)
+        size = rows.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("sd")).first()
+        ridge = LinearRegression(
+            featuresCol="_features", labelCol="_label", elasticNetParam=0.0, solver="normal",
+            standardization=True, regParam=alpha * (size["sd"] or 0.0) / size["n"])
+        return PipelineModel([*stages, ridge.fit(_prepared(rows, stages, target))])
+    finally:
+        rows.unpersist()
 
 
 def best_iteration(losses: Sequence[float], patience: int) -> int:
@@ -141,10 +144,24 @@ def train_boosted(train: DataFrame, val: DataFrame, features: Sequence[str], tar
 
 
 def predict(df: DataFrame, models: Mapping[str, PipelineModel]) -> DataFrame:
-    """Add one prediction column per model, by chained transforms (no join)."""
+    """Add one prediction column per model, by chained transforms (no join).
+
+    Models that impute and assemble alike share those columns.
+    """
+    columns = list(df.columns)
+    shared: dict[tuple, list[str]] = {}
     for name, model in models.items():
-        df = model.transform(df).select(*df.columns, F.col("prediction").alias(name))
-    return df
+        impute, assemble = model.stages[:2]
+        shared.setdefault((impute.getStatement(), *assemble.getInputCols()), []).append(name)
+    for names in shared.values():
+        for stage in models[names[0]].stages[:-1]:
+            df = stage.transform(df)
+        for name in names:
+            regressor = models[name].stages[-1]
+            df = regressor.copy({regressor.predictionCol: name}).transform(df)
+        columns += names
+        df = df.select(*columns)
+    return df.select(*columns[:len(columns) - len(models)], *models)
 
 
 def train_variants(train: DataFrame, val: DataFrame, config: TrainConfig = TrainConfig(),
@@ -165,11 +182,22 @@ def train_variants(train: DataFrame, val: DataFrame, config: TrainConfig = Train
         return dict(zip(jobs, pool.map(fit, jobs)))
 
 
+def grid_label_counts(train: DataFrame, grid: Sequence[int] = HORIZON_GRID,
+                      minimum: int = MIN_GRID_ROWS) -> DataFrame:
+    """``horizon, n_labels, in_grid``; the grid ends at the first horizon under ``minimum`` labels."""
+    names = [horizon_target(k) for k in grid]
+    counts = train.agg(*[F.count(t).alias(t) for t in names])
+    fewest = [F.col(names[0])]
+    for t in names[1:]:
+        fewest.append(F.least(fewest[-1], F.col(t)))
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("horizon"), F.col(t).alias("n_labels"), (low >= minimum).alias("in_grid"))
+        for k, t, low in zip(grid, names, fewest)])))
+
+
 def grid_horizons(train: DataFrame, grid: Sequence[int] = HORIZON_GRID,
                   minimum: int = MIN_GRID_ROWS) -> list[int]:
-    """Leading horizons with at least ``minimum`` labelled rows; the grid ends at the first without."""
-    counts = train.agg(*[F.count(horizon_target(k)).alias(horizon_target(k)) for k in grid]).first()
-    return list(takewhile(lambda k: counts[horizon_target(k)] >= minimum, grid))
+    return sorted(r["horizon"] for r in grid_label_counts(train, grid, minimum).collect() if r["in_grid"])
 
 
 def train_grid(train: DataFrame, val: DataFrame, config: TrainConfig = TrainConfig(),

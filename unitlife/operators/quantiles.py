@@ -39,17 +39,15 @@ def large_groups(df: DataFrame, keys: Sequence[str], value: str | None = None,
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float],
                       *, limit: int = GROUP_ROWS, bins: int = NARROWING_BINS,
-                      sized_by: tuple[DataFrame, Sequence[str]] | None = None) -> DataFrame:
+                      at_most: int | None = None) -> DataFrame:
     """``keys..., n, quantiles`` with linear interpolation between order statistics.
 
-    NULL values are ignored. ``sized_by`` is an optional ``(frame, keys)`` that has at least as
-    many rows per group and is cheaper to count; if it has no large group, ``df`` has none.
+    NULL values are ignored. ``at_most`` is a known bound on the rows of any group; if it is within
+    ``limit``, the groups need not be counted first.
     """
     values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if sized_by is not None and not large_groups(*sized_by, limit=limit):
-        large = []
-    else:
-        large = large_groups(values, keys, "_v", limit)
+    within = at_most is not None and at_most <= limit
+    large = [] if within else large_groups(values, keys, "_v", limit)
     ordinary = values
     if large:
         hot = _frame(values, keys, [], [tuple(r[k] for k in keys) for r in large])

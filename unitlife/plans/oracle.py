@@ -173,9 +173,12 @@ ITEM_DRIFT = f"{ITEMS}, cur AS ({_long(DRIFT_COLUMNS, 'new_items')}), {_psi()}"
 STREAM_DRIFT = f"{ITEMS}, cur AS ({_long(DRIFT_COLUMNS, 'items')}), {_psi()}"
 
 
+SETTLED = ", ".join(f"round({c}, 10) AS {c}" for c in FEATURE_COLUMNS)
+
+
 def _fleet_drift(ids: str, by: str) -> str:
-    return (f"{FEATURES}, train AS (SELECT * FROM features WHERE split = 'train'), "
-            f"held AS (SELECT {ids}, {', '.join(FEATURE_COLUMNS)} FROM features WHERE split IN ('val', 'test')), "
+    return (f"{FEATURES}, settled AS (SELECT unit_id, split, {SETTLED} FROM features), train AS (SELECT * FROM settled WHERE split = 'train'), "
+            f"held AS (SELECT {ids}, {', '.join(FEATURE_COLUMNS)} FROM settled WHERE split IN ('val', 'test')), "
             f"ref AS ({_long(FEATURE_COLUMNS, 'train')}), cur AS ({_long(FEATURE_COLUMNS, 'held', by)}), {_psi(by)}")
 
 
@@ -187,10 +190,11 @@ standing_cycles AS (
 )"""
 
 PREFIX = f"""{FEATURES}, {STANDING_CYCLES},
-train AS (SELECT * FROM features WHERE split = 'train'),
+settled AS (SELECT unit_id, split, {SETTLED} FROM features),
+train AS (SELECT * FROM settled WHERE split = 'train'),
 asked AS (SELECT DISTINCT unit_id, standing_cycle FROM standing_cycles),
 seen AS (
-  SELECT a.standing_cycle, f.* FROM features f JOIN asked a ON f.unit_id = a.unit_id AND f.cycle_index <= a.standing_cycle
+  SELECT a.standing_cycle, f.* FROM settled f JOIN asked a ON f.unit_id = a.unit_id AND f.cycle_index <= a.standing_cycle
 ),
 ref AS ({_long(FEATURE_COLUMNS, 'train')}),
 cur AS ({_long(FEATURE_COLUMNS, 'seen', 'unit_id, standing_cycle')}),
@@ -322,13 +326,13 @@ def oracle_sql() -> dict[str, str]:
 
     sql["fade_slope"] = f"WITH {FEATURES}{SLOPE} SELECT round(slope, 9) AS slope FROM slope"
     sql["baseline_metrics"] = f"""WITH {ERRORS}
-      SELECT split, method, horizon, unit_id, n, round(mae, 9) AS mae, round(rmse, 9) AS rmse, round(r2, 6) AS r2
+      SELECT split, method, horizon, unit_id, n, round(mae, 12) AS mae, round(rmse, 12) AS rmse, round(r2, 6) AS r2
       FROM metrics"""
     sql["leakage_suspects"] = f"""WITH {ERRORS}
       SELECT split, method, horizon, unit_id, round(r2, 6) AS r2 FROM metrics
       WHERE r2 > 0.5::DOUBLE AND method NOT LIKE 'baseline_global%'"""
     sql["metrics_report"] = f"""WITH {ERRORS}
-      SELECT split, unit_id, horizon, method, round(mae, 9) AS mae, round(rmse, 9) AS rmse FROM metrics"""
+      SELECT split, unit_id, horizon, method, round(mae, 12) AS mae, round(rmse, 12) AS rmse FROM metrics"""
 
     sql["rul_points"] = f"""WITH {SLOPE_POINTS}
       SELECT unit_id, cycle_index, split, method, threshold, rul_true, round(rul_pred, 4) AS rul_pred FROM slope_points"""

@@ -18,8 +18,10 @@ from unitlife.session import shared_folder
 from unitlife.sources.landing import choose_files
 from unitlife.streaming.drift_monitor import monitor
 
-# Enough digits to tell results apart, few enough to ignore summation order.
+# Enough digits to tell results apart, few enough to ignore summation order. Averages of values with
+# six decimals over up to 127 rows have no rounding ties at twelve, hours from microseconds none at ten.
 FINE, COARSE = 9, 6
+TIE_FREE_MEAN, TIE_FREE_HOURS = 12, 10
 DRIFT_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_constant"]
 OBSERVED_GRID = tuple(range(1, 47, 5))
 AS_OF = 30
@@ -111,8 +113,7 @@ def feature_build(spark, d):
     built = _round(_features(spark, d).select("unit_id", "soh", *FEATURE_COLUMNS), FINE,
                    "soh_roll_mean", "soh_roll_std", "fade_rate", "voltage_min_prev", "temp_max_prev",
                    "charge_temp_max", "charge_current_end")
-    # Microseconds in hours fall on a tie at nine digits, never at ten.
-    return _round(built, 10, "time_since_prev_cycle_h")
+    return _round(built, TIE_FREE_HOURS, "time_since_prev_cycle_h")
 
 
 def feature_build_as_of(spark, d):
@@ -136,13 +137,7 @@ def horizon_targets(spark, d):
 
 
 def grid_labels(spark, d):
-    train = _train(_assigned(spark, d, HORIZON_GRID))
-    targets = [features.horizon_target(k) for k in HORIZON_GRID]
-    counts = train.agg(*[F.count(t).alias(t) for t in targets])
-    kept = models.grid_horizons(train)
-    return counts.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("horizon"), F.col(t).alias("n_labels"), F.lit(k in kept).alias("in_grid"))
-        for k, t in zip(HORIZON_GRID, targets)])))
+    return models.grid_label_counts(_train(_assigned(spark, d, HORIZON_GRID)))
 
 
 def seen_and_future(spark, d):
@@ -220,7 +215,8 @@ def _baseline_metrics(spark, d):
 
 
 def baseline_metrics(spark, d):
-    return _round(_baseline_metrics(spark, d), FINE, "mae", "rmse").withColumn("r2", F.round("r2", COARSE))
+    metrics = _round(_baseline_metrics(spark, d), TIE_FREE_MEAN, "mae", "rmse")
+    return _round(metrics, COARSE, "r2")
 
 
 def leakage_suspects(spark, d):
@@ -230,7 +226,7 @@ def leakage_suspects(spark, d):
 
 
 def metrics_report(spark, d):
-    return _round(evaluate.metrics_view(_baseline_metrics(spark, d), KEYS), FINE, "mae", "rmse")
+    return _round(evaluate.metrics_view(_baseline_metrics(spark, d), KEYS), TIE_FREE_MEAN, "mae", "rmse")
 
 
 # Remaining life.
@@ -321,14 +317,19 @@ def drift_histogram(spark, d):
         F.struct(F.lit(i).alias("bin"), F.col(f"c{i}").alias("n")) for i in range(10)])))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Features cut to ten digits: a value that equals an edge must not miss it by its last bit."""
+    return _round(df, TIE_FREE_HOURS, *FEATURE_COLUMNS)
+
+
 def drift_by_split(spark, d):
-    assigned = _assigned(spark, d)
+    assigned = _settled(_assigned(spark, d))
     report = drift.drift_by(_train(assigned), _held_out(assigned), FEATURE_COLUMNS, ["split"], digits=FINE)
     return _round(report, FINE, "psi")
 
 
 def drift_by_unit(spark, d):
-    assigned = _assigned(spark, d)
+    assigned = _settled(_assigned(spark, d))
     report = drift.drift_by(_train(assigned), _held_out(assigned), FEATURE_COLUMNS, ["split", "unit_id"], digits=FINE)
     return _round(report, FINE, "psi")
 
@@ -371,9 +372,9 @@ def point_in_time(spark, d):
 
 
 def _prefix_drift(spark, d):
-    df = _features(spark, d)
     return projection.prefix_drift(
-        df, _standing(spark, d), _train(_assigned(spark, d)), FEATURE_COLUMNS, keys=KEYS, digits=FINE)
+        _settled(_features(spark, d)), _standing(spark, d), _settled(_train(_assigned(spark, d))),
+        FEATURE_COLUMNS, keys=KEYS, digits=FINE)
 
 
 def prefix_drift(spark, d):

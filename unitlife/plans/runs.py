@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from unitlife.operators import evaluate
 from unitlife.operators.drift import drift_by
 from unitlife.operators.features import (
-    FEATURE_COLUMNS, add_horizon_targets, build_features,
+    FEATURE_COLUMNS, add_horizon_targets, build_features, horizon_target,
 )
 from unitlife.operators.ingest import cycles_from_entries
 from unitlife.operators.models import (
@@ -52,6 +52,11 @@ def features(spark: SparkSession, cycles_path: str, out: str) -> DataFrame:
     return tables.read_features(spark, out)
 
 
+def _training_columns(train: DataFrame, horizons: Sequence[int], keys: Keys) -> DataFrame:
+    """What the fits read, so that nothing else is kept in the cache."""
+    return train.select("soh", *feature_names(FEATURE_COLUMNS, keys), *[horizon_target(k) for k in horizons])
+
+
 def soh_metrics(assigned: DataFrame, models: Mapping[tuple[str, int], PipelineModel],
                 slope: float, horizons: Sequence[int], keys: Keys = Keys()) -> DataFrame:
     """Baselines and models on identical held-out rows, every split and unit on its own."""
@@ -70,7 +75,7 @@ def forecast_soh(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
     targets = add_horizon_targets(features_df, config.horizons, keys, dense=dense)
     assigned = assign_splits(targets, cohort, excluded, keys)
     frames = split_frames(assigned)
-    train = frames["train"].persist()
+    train = _training_columns(frames["train"], config.horizons, keys).persist()
     try:
         slope = evaluate.fade_slope(train).first()["slope"]
         models = train_variants(train, frames["val"], config, keys)
@@ -95,7 +100,7 @@ def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
     targets = add_horizon_targets(features_df, config.horizons, keys, dense=dense)
     assigned = assign_splits(targets, cohort, excluded, keys)
     frames = split_frames(assigned)
-    train = frames["train"].persist()
+    train = _training_columns(frames["train"], config.horizons, keys).persist()
     try:
         slope = evaluate.fade_slope(train).first()["slope"]
         grid = dict(models) if models is not None else train_grid(

@@ -21,16 +21,20 @@ def local_session(cores: str | int = "*", app: str = "unitlife", **conf: str) ->
     return builder.getOrCreate()
 
 
+_scratch: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a scratch one only on a local master without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="unitlife-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _scratch:
+        _scratch[application] = tempfile.mkdtemp(prefix="unitlife-")
+    return _scratch[application]
 
 
 def use_checkpoints(spark: SparkSession) -> None:
