@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR names the tables (default /root/testdata/sf0.1), BENCH_CPUS the local cores.
 Each query runs to completion into a no-op sink; the best of BENCH_REPEATS runs counts. Writing
-the fleet table is timed on its own, as every other fleet query reads it.
+the fleet and feature tables is timed on its own, as other queries read them.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ def main() -> None:
     run = registered.queries()
     seconds: dict[str, float] = {}
 
-    start = time.perf_counter()
-    views.fleet(spark, directory)
-    seconds["fleet_table"] = round(time.perf_counter() - start, 3)
+    for name, stored in (("write_fleet", views.fleet), ("write_features", views.fleet_features)):
+        start = time.perf_counter()
+        stored(spark, directory)
+        seconds[name] = round(time.perf_counter() - start, 3)
     for name in HEADLINES:
         best = None
         for _ in range(repeats):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitlife.operators.ordered import (
-    CHUNK, ensure_chunk, join_on_units, neighbours, place, running, unit_values, with_ordinal,
+    CHUNK, ensure_chunk, join_on_units, neighbours, running, unit_values, with_ordinal,
 )
 
 
@@ -45,7 +45,7 @@ def test_running_equals_a_walk(spark, rows, dense, chunk_rows):
     df = spark.createDataFrame(rows, "unit string, at int, value int, event string")
     event = F.col("event").isin("set", "clear")
     got = running(
-        place(df, ["unit"], "at", dense=dense, chunk_rows=chunk_rows), ["unit"], "at",
+        df, ["unit"], "at", dense=dense, chunk_rows=chunk_rows,
         sums={"total": F.col("value"), "seen": F.lit(1)},
         last_of=(event, {"held": F.when(F.col("event") == "set", F.col("value"))})).collect()
     assert {(r.unit, r.at): (r.total, r.seen, r.held) for r in got} == walk(rows)
@@ -87,6 +87,16 @@ def test_no_task_gets_more_than_a_chunk(spark):
     assert "Window" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_plain_window_only_if_every_unit_is_small(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 1)], "unit string, at int")
+    plan = lambda **o: running(
+        df, ["unit"], "at", sums={"n": F.lit(1)}, **o)._jdf.queryExecution().executedPlan().toString()
+    for dense in (True, False):
+        assert "Join" not in plan(dense=dense, chunk_rows=50)
+        assert "Join" in plan(dense=dense, chunk_rows=10)
+        assert "Join" not in plan(dense=dense, chunk_rows=10, small=True)
+
+
 def test_unit_values_and_dimension_join(spark):
     df = spark.createDataFrame([(u, i) for u, n in {"hot": 50, "a": 3}.items() for i in range(1, n + 1)],
                                "unit string, at int")

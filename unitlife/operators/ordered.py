@@ -7,8 +7,9 @@ integer order column that is unique inside the unit, so a chunk never holds more
 
 * ``neighbours`` serves bounded frames (lags, leads, rolling windows). Rows near a chunk border
   are copied into the adjacent chunk before one shuffle, and the copies are dropped afterwards.
-* ``running`` serves unbounded-preceding frames (counts, sums, carry-forward). Each chunk is
-  pre-aggregated to one row, the chunk rows are scanned per unit, and the result is handed back.
+* ``running`` serves unbounded-preceding frames (counts, sums, carry-forward). If some unit is
+  longer than a chunk, each chunk is pre-aggregated to one row, the chunk rows are scanned per
+  unit, and the result is handed back; otherwise a plain window does.
 * ``unit_values`` attaches a whole-unit aggregate to every chunk of the unit.
 """
 
@@ -27,6 +28,11 @@ def chunk_of(order: Column, chunk_rows: int = CHUNK_ROWS) -> Column:
     return F.floor(order / F.lit(chunk_rows))
 
 
+def fits_one_task(df: DataFrame, unit: Sequence[str], limit: int = CHUNK_ROWS) -> bool:
+    """Whether no unit has more than ``limit`` rows; one narrow, map-side combined count."""
+    return df.groupBy(*unit).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).isEmpty()
+
+
 def place(df: DataFrame, unit: Sequence[str], order: str, *, dense: bool,
           chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add the chunk column.
@@ -50,27 +56,48 @@ def place(df: DataFrame, unit: Sequence[str], order: str, *, dense: bool,
     )
 
 
-def running(placed: DataFrame, unit: Sequence[str], order: str, *,
+def running(df: DataFrame, unit: Sequence[str], order: str, *, dense: bool,
             sums: Mapping[str, Column] | None = None,
             last_of: tuple[Column, Mapping[str, Column]] | None = None,
-            keep_chunk: bool = False) -> DataFrame:
+            chunk_rows: int = CHUNK_ROWS, small: bool | None = None) -> DataFrame:
     """Add values accumulated over the unit's *preceding* rows (the current row is excluded).
 
     ``sums`` maps a name to the summed expression. ``last_of`` is ``(event, payload)``: the
     payload of the most recent preceding row where ``event`` holds, NULL if there is none.
-    ``placed`` comes from ``place``.
+    ``order`` is a unique integer inside a unit; ``dense`` as in ``place``. ``small`` says that
+    every unit fits one task; by default that is checked with one narrow job, which for a dense
+    order is a filter that file statistics can answer.
     """
     sums = dict(sums or {})
     event, payload = last_of or (F.lit(False), {})
-    originals = placed.columns
+    originals = df.columns
     parts = {f"_s_{n}": e for n, e in sums.items()}
     if payload:
         parts["_at"] = F.when(event, F.col(order))
         parts.update({f"_p_{n}": e for n, e in payload.items()})
-    rows = placed.withColumns(parts)
-    held = F.when(F.col("_at").isNotNull(), F.struct(*[F.col(f"_p_{n}").alias(n) for n in payload])
-                  ) if payload else None
-
+        held = F.when(F.col("_at").isNotNull(), F.struct(*[F.col(f"_p_{n}").alias(n) for n in payload]))
+    if small is None:
+        beyond = (F.col(order) >= chunk_rows) | (F.col(order) <= -chunk_rows)
+        small = df.filter(beyond).isEmpty() if dense else fits_one_task(df, unit, chunk_rows)
+
+    def accumulated(rows: DataFrame, within: Sequence[str], carried: bool) -> DataFrame:
+        inside = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        columns = []
+        for n in sums:
+            total = F.coalesce(F.sum(f"_s_{n}").over(inside), F.lit(0))
+            columns.append((total + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) if carried else total).alias(n))
+        if payload:
+            last = F.last(held, ignorenulls=True).over(inside)
+            columns.append((F.coalesce(last, F.col("_c_held")) if carried else last).alias("_held"))
+        result = rows.select(*originals, *columns)
+        if payload:
+            result = result.select("*", *[F.col(f"_held.{n}").alias(n) for n in payload]).drop("_held")
+        return result
+
+    if small:
+        return accumulated(df.withColumns(parts), unit, carried=False)
+
+    rows = place(df, unit, order, dense=dense, chunk_rows=chunk_rows).withColumns(parts)
     totals = rows.groupBy(*unit, CHUNK).agg(
         *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums],
         *([F.max("_at").alias("_at")] if payload else []),
@@ -84,29 +111,14 @@ def running(placed: DataFrame, unit: Sequence[str], order: str, *,
         *([F.last(held, ignorenulls=True).over(before).alias("_c_held")] if payload else []),
         F.lag(CHUNK).over(across).alias("_has_previous"),
     ).filter(F.col("_has_previous").isNotNull()).drop("_has_previous")
-
-    inside = Window.partitionBy(*unit, CHUNK).orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    result = rows.join(carried, [*unit, CHUNK], "left").select(
-        *originals,
-        *[(F.coalesce(F.sum(f"_s_{n}").over(inside), F.lit(0))
-           + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums],
-        *([F.coalesce(F.last(held, ignorenulls=True).over(inside), F.col("_c_held")).alias("_held")]
-          if payload else []),
-    )
-    if payload:
-        result = result.select("*", *[F.col(f"_held.{n}").alias(n) for n in payload]).drop("_held")
-    return result if keep_chunk else result.drop(CHUNK)
+    return accumulated(rows.join(carried, [*unit, CHUNK], "left"), [*unit, CHUNK], carried=True)
 
 
 def with_ordinal(df: DataFrame, unit: Sequence[str], order: str, name: str, *,
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Dense 1-based position of each row inside its unit; ``order`` is a unique integer."""
-    placed = place(df, unit, order, dense=False, chunk_rows=chunk_rows)
-    return (
-        running(placed, unit, order, sums={"_before": F.lit(1)})
-        .withColumn(name, F.col("_before") + 1).drop("_before")
-    )
+    counted = running(df, unit, order, dense=False, sums={"_before": F.lit(1)}, chunk_rows=chunk_rows)
+    return counted.withColumn(name, F.col("_before") + 1).drop("_before")
 
 
 def neighbours(df: DataFrame, unit: Sequence[str], position: str, *, before: int = 0,

@@ -11,7 +11,7 @@ from unitlife.functions.life import number, slope_rul, standing_cycle, trajector
 from unitlife.operators.drift import (
     DEFAULT_BINS, _cells, histogram, long_form, psi_from_histograms, reference_edges, worst_feature_by,
 )
-from unitlife.operators.ordered import CHUNK_ROWS, place, running
+from unitlife.operators.ordered import CHUNK_ROWS, fits_one_task, running
 from unitlife.operators.rul import with_eol
 from unitlife.schema import EOL_THRESHOLDS, PROJECTION_MARGIN, STANDING_FRACTIONS, Keys
 
@@ -99,8 +99,9 @@ def prefix_drift(features: DataFrame, points: DataFrame, reference: DataFrame, c
         keys.unit, F.col(keys.cycle).cast("bigint").alias("_mark"),
         (-2 * F.col(keys.cycle).cast("bigint") - 1).alias("_walk"))
     walked = rows.unionByName(marks, allowMissingColumns=True)
-    placed = place(walked, [keys.unit], "_walk", dense=True, chunk_rows=chunk_rows)
-    nearest = running(placed, [keys.unit], "_walk",
+    # A unit has no more standing points than cycles, so one check covers both scans.
+    small = fits_one_task(features, [keys.unit], chunk_rows)
+    nearest = running(walked, [keys.unit], "_walk", dense=True, chunk_rows=chunk_rows, small=small,
                       last_of=(F.col("_mark").isNotNull(), {"standing_cycle": F.col("_mark")}))
     counted_to = nearest.filter(F.col("_mark").isNull() & F.col("standing_cycle").isNotNull())
 
@@ -108,10 +109,9 @@ def prefix_drift(features: DataFrame, points: DataFrame, reference: DataFrame, c
     expected = histogram(long_form(reference, columns), edges, (), bins)
     by = [keys.unit, "standing_cycle"]
     counts = histogram(long_form(counted_to, columns, by), edges, by, bins)
-    steps = place(counts, [keys.unit, "feature"], "standing_cycle", dense=True, chunk_rows=chunk_rows)
     parts = ["n", *_cells(bins)]
-    summed = running(steps, [keys.unit, "feature"], "standing_cycle",
-                     sums={f"_b_{p}": F.col(p) for p in parts})
+    summed = running(counts, [keys.unit, "feature"], "standing_cycle", dense=True, chunk_rows=chunk_rows,
+                     small=small, sums={f"_b_{p}": F.col(p) for p in parts})
     seen = summed.select(*by, "feature", *[(F.col(p) + F.col(f"_b_{p}")).alias(p) for p in parts])
     return psi_from_histograms(seen, expected, by, bins)
 

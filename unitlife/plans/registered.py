@@ -35,6 +35,14 @@ def _features(spark, d, horizons=()) -> DataFrame:
     return features.build_features(views.fleet(spark, d), KEYS, horizons=horizons, dense=True, keep_chunk=True)
 
 
+def _from_table(spark, d, horizons=()) -> DataFrame:
+    """Assigned rows of the stored feature table, for queries that read them more than once."""
+    rows = views.fleet_features(spark, d)
+    if horizons:
+        rows = features.add_horizon_targets(rows, horizons, KEYS, dense=True)
+    return splits.assign_splits(rows, views.cohort(spark, d), views.excluded(spark, d), KEYS, check=False)
+
+
 def _assigned(spark, d, horizons=()) -> DataFrame:
     return splits.assign_splits(
         _features(spark, d, horizons), views.cohort(spark, d), views.excluded(spark, d), KEYS, check=False)
@@ -125,7 +133,7 @@ def feature_build_as_of(spark, d):
 def feature_coverage(spark, d):
     """The registry next to what the data holds for each feature."""
     names = [name for name, _, _ in features.REGISTRY]
-    present = drift.long_form(_features(spark, d), names).groupBy("feature").agg(
+    present = drift.long_form(views.fleet_features(spark, d), names).groupBy("feature").agg(
         F.count("x").alias("n_present"), F.count_if(F.col("x").isNull()).alias("n_missing"))
     return present.join(F.broadcast(features.feature_table(spark)), "feature").select(
         "feature", "included", "n_present", "n_missing")
@@ -137,7 +145,7 @@ def horizon_targets(spark, d):
 
 
 def grid_labels(spark, d):
-    return models.grid_label_counts(_train(_assigned(spark, d, HORIZON_GRID)))
+    return models.grid_label_counts(_train(_from_table(spark, d, HORIZON_GRID)))
 
 
 def seen_and_future(spark, d):
@@ -319,17 +327,17 @@ def drift_histogram(spark, d):
 
 def _settled(df: DataFrame) -> DataFrame:
     """Features cut to ten digits: a value that equals an edge must not miss it by its last bit."""
-    return _round(df, TIE_FREE_HOURS, *FEATURE_COLUMNS)
+    return _round(df, TIE_FREE_HOURS, *[c for c in FEATURE_COLUMNS if c != KEYS.cycle])
 
 
 def drift_by_split(spark, d):
-    assigned = _settled(_assigned(spark, d))
+    assigned = _settled(_from_table(spark, d))
     report = drift.drift_by(_train(assigned), _held_out(assigned), FEATURE_COLUMNS, ["split"], digits=FINE)
     return _round(report, FINE, "psi")
 
 
 def drift_by_unit(spark, d):
-    assigned = _settled(_assigned(spark, d))
+    assigned = _settled(_from_table(spark, d))
     report = drift.drift_by(_train(assigned), _held_out(assigned), FEATURE_COLUMNS, ["split", "unit_id"], digits=FINE)
     return _round(report, FINE, "psi")
 
@@ -353,7 +361,7 @@ def drift_stream(spark, d):
 # Projection and point in time.
 
 def projections(spark, d):
-    assigned = _assigned(spark, d)
+    assigned = _from_table(spark, d)
     held_out = _held_out(assigned).withColumn("train_slope", _slope(assigned))
     curves = projection.projections(held_out, F.col("train_slope"), HORIZON_GRID, keys=KEYS)
     return _round(curves, FINE, "soh")
@@ -364,16 +372,16 @@ def _standing(spark, d):
 
 
 def point_in_time(spark, d):
-    assigned = _assigned(spark, d)
+    assigned = _from_table(spark, d)
     answers = projection.point_in_time(
-        _features(spark, d), _standing(spark, d), _slope(assigned),
+        views.fleet_features(spark, d), _standing(spark, d), _slope(assigned),
         cycles=views.soh_of(views.fleet(spark, d)), keys=KEYS)
     return _round(answers, 4, "rul_baseline", "delta_baseline")
 
 
 def _prefix_drift(spark, d):
     return projection.prefix_drift(
-        _settled(_features(spark, d)), _standing(spark, d), _settled(_train(_assigned(spark, d))),
+        _settled(views.fleet_features(spark, d)), _standing(spark, d), _settled(_train(_from_table(spark, d))),
         FEATURE_COLUMNS, keys=KEYS, digits=FINE)
 
 
@@ -419,7 +427,7 @@ def fleet_size(spark, d):
 # Models.
 
 def feature_medians(spark, d):
-    train = _train(_assigned(spark, d))
+    train = _train(_from_table(spark, d))
     medians = models.feature_medians(train, FEATURE_COLUMNS)
     scales = models.scaling_statistics(train, FEATURE_COLUMNS)
     return _round(medians.join(F.broadcast(scales), "feature"), COARSE, "median", "mean", "std")
@@ -430,7 +438,7 @@ RIDGE_FEATURES = ["soh_prev", "charge_duration_s"]
 
 def ridge_forecast(spark, d):
     """A ridge over two features at horizon 10, applied to the held-out units."""
-    assigned = _assigned(spark, d, (10,))
+    assigned = _from_table(spark, d, (10,))
     model = models.train_ridge(_train(assigned), RIDGE_FEATURES, "soh_h10")
     scored = models.predict(features.evaluable(_held_out(assigned), 10), {"prediction_h10": model})
     return scored.select("unit_id", "cycle_index", F.round("prediction_h10", COARSE).alias("prediction_h10"))
@@ -438,7 +446,7 @@ def ridge_forecast(spark, d):
 
 def ridge_metrics(spark, d):
     """The ridge variant at every report horizon next to the baselines."""
-    assigned = _assigned(spark, d, HORIZONS)
+    assigned = _from_table(spark, d, HORIZONS)
     train = _train(assigned)
     fitted = {("ridge_autoregressive", k): models.train_ridge(
         train, FEATURE_COLUMNS, features.horizon_target(k)) for k in HORIZONS}
@@ -455,7 +463,7 @@ SHORT_BOOSTING = {
 def boosted_metrics(spark, d):
     """Boosted trees with early stopping at one horizon; few trees, all rows."""
     config = models.TrainConfig(horizons=(25,), boosting=SHORT_BOOSTING, early_stopping_rounds=2)
-    assigned = _assigned(spark, d, config.horizons)
+    assigned = _from_table(spark, d, config.horizons)
     frames = splits.split_frames(assigned)
     model = models.train_boosted(frames["train"], frames["val"], FEATURE_COLUMNS, "soh_h25", config)
     slope = evaluate.fade_slope(frames["train"]).first()["slope"]
@@ -465,7 +473,7 @@ def boosted_metrics(spark, d):
 def rul_model_error(spark, d):
     """Remaining life from a grid of fitted models, against the slope method."""
     grid = (1, 21, 41)
-    assigned = _assigned(spark, d, grid)
+    assigned = _from_table(spark, d, grid)
     frames = splits.split_frames(assigned)
     fitted = models.train_grid(
         frames["train"], frames["val"], grid=grid, keys=KEYS,

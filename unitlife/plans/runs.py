@@ -33,7 +33,9 @@ def ingest(spark: SparkSession, root: str, out: str | None = None, *, pattern: s
     validated and written, so the arrays are read once.
     """
     files = landing.discover_unit_files(spark, root, pattern)
-    cycles = cycles_from_entries(landing.read_unit_files(spark, files, kind)).persist()
+    entries = landing.read_unit_files(spark, files, kind)
+    # A unit arrives as one nested record, so its summaries fit one task.
+    cycles = cycles_from_entries(entries, small=True).persist()
     try:
         validate_cycles(cycles)
         if out is None:

@@ -10,14 +10,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from unitlife.operators.features import build_features
 from unitlife.operators.ingest import route
-from unitlife.operators.ordered import CHUNK_ROWS, place, running
+from unitlife.operators.ordered import CHUNK_ROWS, running
 from unitlife.schema import Keys
 from unitlife.session import shared_folder
 from unitlife.sources.tables import write_unit_table
 
-_staged: dict[tuple[str, str], str] = {}
+_staged: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 KEYS = Keys("unit_id", "cycle_index")
 
@@ -31,10 +33,6 @@ SCHEMAS = {
                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
                 "l_linestatus string, l_shipdate timestamp_ntz",
 }
-FLEET_SCHEMA = (
-    "unit_id bigint, cycle_index bigint, file_cycle_number bigint, cycle_start_time timestamp_ntz, "
-    "ambient_temperature double, capacity_ah double, discharge_duration_s double, voltage_min double, "
-    "temp_max double, charge_duration_s double, charge_current_end double, charge_temp_max double")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,24 +43,36 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumnRenamed("user_id", "unit_id")
 
 
-def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cycle table, written once per session to the shared folder and read from there.
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table written once per session to the shared folder and read from there.
 
-    Every later stage starts from the stored table, so column pruning and pushed filters apply and
-    a lost executor costs a re-read, not a re-run of the numbering.
+    Later stages start from the stored table, so column pruning and pushed filters apply and a
+    lost executor costs a re-read, not a re-run of what came before.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _staged:
-        path = f"{shared_folder(spark)}/fleet-{uuid.uuid4().hex}"
-        write_unit_table(fleet_from_events(spark, sf_dir), path, KEYS)
-        _staged[key] = path
-    return spark.read.schema(FLEET_SCHEMA).parquet(_staged[key])
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        table = build()
+        write_unit_table(table, path, KEYS)
+        _staged[key] = (path, table.schema)
+    path, schema = _staged[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cycle table."""
+    return _stored(spark, sf_dir, "fleet", lambda: fleet_from_events(spark, sf_dir))
+
+
+def fleet_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table, for the stages that start from one."""
+    return _stored(spark, sf_dir, "features",
+                   lambda: build_features(fleet(spark, sf_dir), KEYS, dense=True))
 
 
 def fleet_from_events(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Cycle table over ``events`` in event order; cycle numbers are dense."""
-    placed = place(events(spark, sf_dir), ["unit_id"], "event_id", dense=False, chunk_rows=chunk_rows)
-    counted = running(placed, ["unit_id"], "event_id",
+    counted = running(events(spark, sf_dir), ["unit_id"], "event_id", dense=False, chunk_rows=chunk_rows,
                       sums={"_earlier": F.lit(1), "_used": F.col("value")})
     value, charged = F.col("value"), F.col("event_type") != "error"
     soh = F.round(1 - F.lit(1e-4) * (F.col("_used") + value), 6)
