@@ -26,13 +26,11 @@ def linspace_probabilities(bins: int) -> list[float]:
     return [i * step for i in range(bins)] + [1.0]
 
 
-def large_groups(df: DataFrame, keys: Sequence[str], value: str | None = None,
-                 limit: int = GROUP_ROWS) -> list[Row]:
-    """Groups of more than ``limit`` rows: at most N / limit of them, with count, min and max."""
-    counted = F.col(value) if value else F.lit(1)
+def large_groups(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_ROWS) -> list[Row]:
+    """Groups of more than ``limit`` values: at most N / limit of them, with count, min and max."""
     return (
         df.groupBy(*keys)
-        .agg(F.count(counted).alias("_n"), F.min(counted).alias("_lo"), F.max(counted).alias("_hi"))
+        .agg(F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
         .filter(F.col("_n") > limit).collect()
     )
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlife.functions.life import number, slope_rul, trajectory_rul, true_rul
-from unitlife.operators.ordered import CHUNK, CHUNK_ROWS, ensure_chunk, unit_values
-from unitlife.operators.quantiles import GROUP_ROWS, grouped_quantiles, large_groups
+from unitlife.operators.ordered import CHUNK, CHUNK_ROWS, ensure_chunk, fits_one_task, unit_values
+from unitlife.operators.quantiles import GROUP_ROWS, grouped_quantiles
 from unitlife.schema import EOL_THRESHOLDS, MIN_HISTORY_CYCLES, Keys
 
 
@@ -93,7 +93,7 @@ def rul_summary(points: DataFrame, keys: Keys = Keys(), *, sized_by: DataFrame |
     worst = F.max("_ae").alias("rul_max_ae_cycles")
     sizes = points.select(*by) if sized_by is None else sized_by
     size_keys = by if sized_by is None else [keys.unit]
-    if not large_groups(sizes, size_keys, limit=limit):
+    if fits_one_task(sizes, size_keys, limit):
         return scored.groupBy(*by).agg(*counts, F.median("_ae").alias("rul_median_ae_cycles"), worst)
     medians = grouped_quantiles(scored, by, "_ae", [0.5], limit=limit).select(
         *by, F.col("quantiles")[0].alias("rul_median_ae_cycles"))

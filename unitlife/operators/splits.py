@@ -46,6 +46,8 @@ SPLIT_OF: dict[str, str] = {
 
 UnitTable = DataFrame | Mapping[str, str]
 LISTED = 20
+# A mapping of at most this many units is broadcast; a few megabytes.
+BROADCAST_UNITS = 100_000
 
 
 def unit_table(df: DataFrame, table: UnitTable, keys: Keys, value: str) -> DataFrame:
@@ -102,10 +104,10 @@ def assign_splits(df: DataFrame, cohort: UnitTable = SPLIT_OF, excluded: UnitTab
     """Add ``split`` and drop excluded units.
 
     ``check`` runs the unknown-unit and the leakage assertion first, each one narrow aggregate.
-    A cohort given as a mapping is small by construction and broadcast; a cohort table is joined
-    at (unit, chunk) grain, where a unit with very many rows is spread out.
+    A mapping of up to ``BROADCAST_UNITS`` units is broadcast; anything else is joined at
+    (unit, chunk) grain, where a unit with very many rows is spread out.
     """
-    small = not isinstance(cohort, DataFrame)
+    small = not isinstance(cohort, DataFrame) and len(cohort) <= BROADCAST_UNITS
     cohort = unit_table(df, cohort, keys, "split").select(keys.unit, "split")
     if check:
         assert_known_units(df, cohort, unit_table(df, excluded, keys, "reason"), keys)

@@ -72,8 +72,12 @@ def soh_metrics(assigned: DataFrame, models: Mapping[tuple[str, int], PipelineMo
 
 def forecast_soh(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, excluded: UnitTable = EXCLUDED_UNITS,
                  config: TrainConfig = TrainConfig(), artifact_root: str | None = None,
-                 keys: Keys = Keys(), dense: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Train all variants at all horizons; returns (metrics, leakage suspects)."""
+                 keys: Keys = Keys(), dense: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Train all variants at all horizons; returns (metrics, leakage suspects).
+
+    ``dense`` promises cycle numbers without gaps, as the ingest writes them; targets then need
+    no counting of positions.
+    """
     targets = add_horizon_targets(features_df, config.horizons, keys, dense=dense)
     assigned = assign_splits(targets, cohort, excluded, keys)
     frames = split_frames(assigned)
@@ -94,7 +98,7 @@ def forecast_soh(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
 def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, excluded: UnitTable = EXCLUDED_UNITS,
                  config: TrainConfig = TrainConfig(horizons=HORIZON_GRID), out: str | None = None,
                  models: Mapping[int, PipelineModel] | None = None, keys: Keys = Keys(),
-                 dense: bool = True) -> tuple[DataFrame, DataFrame, dict[int, PipelineModel]]:
+                 dense: bool = False) -> tuple[DataFrame, DataFrame, dict[int, PipelineModel]]:
     """Fit the horizon grid and predict remaining life of the held-out units.
 
     Returns (points, summary, models). Pass ``models`` to reuse a fitted grid.
