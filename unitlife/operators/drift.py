@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlife.functions.life import psi_term, rate_psi
-from unitlife.operators.quantiles import GROUP_ROWS, grouped_quantiles, linspace_probabilities
+from unitlife.operators.quantiles import FEW_GROUPS_ROWS, grouped_quantiles, linspace_probabilities
 from unitlife.schema import null_if_nan
 
 # Fixed values.
@@ -39,10 +39,10 @@ def inner_edges(quantiles: Column) -> Column:
 
 
 def reference_edges(reference: DataFrame, features: Sequence[str], bins: int = DEFAULT_BINS, *,
-                    digits: int | None = None, limit: int = GROUP_ROWS) -> DataFrame:
+                    digits: int | None = None, limit: int = FEW_GROUPS_ROWS) -> DataFrame:
     """``feature, n, edges``: one row per feature, fixed by the reference sample's quantiles.
 
-    ``digits`` rounds the quantiles, for comparing engines whose interpolation differs in the
+    Fitted at once and kept as local rows, so that no later plan computes them again. ``digits`` rounds the quantiles, for comparing engines whose interpolation differs in the
     last bits.
     """
     quantiles = grouped_quantiles(
@@ -51,7 +51,8 @@ def reference_edges(reference: DataFrame, features: Sequence[str], bins: int = D
     q = F.col("quantiles")
     if digits is not None:
         q = F.transform(q, lambda v: F.round(v, digits))
-    return quantiles.select("feature", "n", inner_edges(q).alias("edges"))
+    fitted = quantiles.select("feature", "n", inner_edges(q).alias("edges"))
+    return reference.sparkSession.createDataFrame(fitted.collect(), fitted.schema)
 
 
 def bin_of(x: Column, edges: Column, bins: int) -> Column:
@@ -102,11 +103,11 @@ def psi_from_histograms(current: DataFrame, reference: DataFrame, by: Sequence[s
 
 
 def drift_by(reference: DataFrame, current: DataFrame, features: Sequence[str], by: Sequence[str] = (),
-             bins: int = DEFAULT_BINS, *, digits: int | None = None, limit: int = GROUP_ROWS) -> DataFrame:
+             bins: int = DEFAULT_BINS, *, digits: int | None = None, limit: int = FEW_GROUPS_ROWS) -> DataFrame:
     """PSI of every feature of ``current`` against ``reference``, per group of ``by``.
 
-    Two narrow passes over the reference (quantiles, counts), one over the current rows; all
-    aggregates are map-side combined and only feature-sized tables are broadcast.
+    The edges are fitted first; the rest is one pass over the reference and one over the current
+    rows, map-side combined. Only feature-sized tables are broadcast.
     """
     edges = reference_edges(reference, features, bins, digits=digits, limit=limit)
     expected = histogram(long_form(reference, features), edges, (), bins)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from unitlife.operators.drift import long_form
 from unitlife.operators.features import FEATURE_COLUMNS, TELEMETRY_FEATURES, fit_rows, horizon_target
-from unitlife.operators.quantiles import GROUP_ROWS, grouped_quantiles
+from unitlife.operators.quantiles import FEW_GROUPS_ROWS, grouped_quantiles
 from unitlife.schema import HORIZON_GRID, HORIZONS, MIN_GRID_ROWS, Keys
 from unitlife.session import use_checkpoints
 
@@ -47,7 +47,7 @@ def variants(keys: Keys = Keys()) -> dict[str, list[str]]:
     }
 
 
-def feature_medians(train: DataFrame, features: Sequence[str], limit: int = GROUP_ROWS) -> DataFrame:
+def feature_medians(train: DataFrame, features: Sequence[str], limit: int = FEW_GROUPS_ROWS) -> DataFrame:
     """``feature, n, median`` over the present values; exact at any size."""
     medians = grouped_quantiles(
         long_form(train, features), ["feature"], "x", [0.5], limit=limit, at_most=train.count())

@@ -29,8 +29,7 @@ def monitor(stream: DataFrame, reference: DataFrame, features: Sequence[str],
     values for a feature reports nothing for it. ``sink`` must tolerate a repeated ``batch_id``.
     """
     spark = reference.sparkSession
-    fitted = reference_edges(reference, features, bins, digits=digits)
-    edges = spark.createDataFrame(fitted.collect(), fitted.schema)
+    edges = reference_edges(reference, features, bins, digits=digits)
     counted = histogram(long_form(reference, features), edges, (), bins)
     expected = spark.createDataFrame(counted.collect(), counted.schema)
 
