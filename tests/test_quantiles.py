@@ -27,7 +27,7 @@ def test_linspace_keeps_the_exact_doubles():
     assert linspace_probabilities(10)[-1] == 1.0
 
 
-@pytest.mark.parametrize("limit,bins", [(1 << 20, 4096), (50, 16), (1, 3)])
+@pytest.mark.parametrize("limit,bins", [(1 << 20, 4096), (50, 64), (1, 64)])
 def test_grouped_quantiles_are_exact(spark, limit, bins):
     data = {k: samples(k, 3000 if limit > 1 else 120) for k in KINDS} | {"small": [2.0, 1.0], "single": [9.0]}
     rows = [(k, x) for k, xs in data.items() for x in xs] + [("normal", None), ("empty", None)]
