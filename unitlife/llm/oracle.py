@@ -15,6 +15,67 @@ SELECT p.page_id, payload_bytes, p.payload_digest,
 FROM p LEFT JOIN kept ON p.payload_digest = kept.payload_digest AND p.payload_bytes >= 1000
 """
 
+OP6 = r"""
+WITH said AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) + 8 AS cost
+    FROM said
+), placed AS (
+    SELECT *, row_number() OVER w - 1 AS place, sum(cost) OVER w - cost AS start
+    FROM turns
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+), windowed AS (
+    SELECT *, start // 1536 AS win, place = 0 AND role = 'system' AS is_system,
+           length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g'))
+             + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')) + 9 AS chars
+    FROM placed
+), spans AS (
+    SELECT conv_id, win, lead(win) OVER l AS next_win, lead(opens) OVER l AS next_opens, row_number() OVER l AS nth
+    FROM (SELECT conv_id, win, min(start) AS opens FROM windowed GROUP BY conv_id, win)
+    WINDOW l AS (PARTITION BY conv_id ORDER BY win)
+), lengths AS (
+    SELECT conv_id, chars + CASE WHEN role = 'assistant' THEN 4 ELSE 7 END AS chars FROM windowed
+    UNION ALL
+    SELECT t.conv_id, t.chars + 7 FROM windowed t
+    JOIN spans s ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.win = s.win
+    WHERE NOT t.is_system AND s.next_opens - t.start <= 512
+    UNION ALL
+    SELECT t.conv_id, t.chars + 7 FROM windowed t
+    JOIN spans s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+    WHERE t.is_system AND s.nth > 1
+), digests AS (
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256
+    FROM windowed GROUP BY conv_id
+)
+SELECT d.conv_id, d.n_turns, d.turns_sha256, CAST(d.loss_chars AS BIGINT) AS loss_chars, d.loss_sha256,
+       CAST(l.chars AS BIGINT) AS formatted_chars, s.n AS n_windows
+FROM digests d
+JOIN (SELECT conv_id, sum(chars) AS chars FROM lengths GROUP BY conv_id) l ON d.conv_id IS NOT DISTINCT FROM l.conv_id
+JOIN (SELECT conv_id, count(*) AS n FROM spans GROUP BY conv_id) s ON d.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+OP10 = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": OP1}
+    return {"op1_warc_revisits": OP1, "op6_chat_windows": OP6, "op10_maxscore_topk": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitlife.llm import sharding, warc
+from unitlife.llm import chat, sharding, topk, warc
 from unitlife.llm.shared import new_path, stored, table
 
 
@@ -29,5 +29,34 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that speaks in control strings, formatted, stored and read back."""
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    read = chat.read_back(stored(chat.windows(rows), "chat"))
+    line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    joined = lambda part: F.array_join(F.transform("parts", lambda p: p[part]), "")
+    return (
+        read.select("conv_id", F.size("turns").cast("bigint").alias("n"), F.length("formatted").cast("bigint").alias("chars"),
+                    F.struct("window", line.alias("said"), F.array_join("targets", "").alias("target")).alias("part"))
+        .groupBy("conv_id")
+        .agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
+             F.count(F.lit(1)).alias("n_windows"), F.sort_array(F.collect_list("part")).alias("parts"))
+        .select("conv_id", "n_turns", F.sha2(joined("said"), 256).alias("turns_sha256"),
+                F.length(joined("target")).cast("bigint").alias("loss_chars"),
+                F.sha2(joined("target"), 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+    )
+
+
+def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best neighbours of every fiftieth vector among all others."""
+    vectors = topk.integers(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors.filter(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op5_feistel_shards)}
+    return {f.__name__: f for f in (
+        op1_warc_revisits, op5_feistel_shards, op6_chat_windows, op10_maxscore_topk)}
