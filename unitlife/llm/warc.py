@@ -25,6 +25,7 @@ MIN_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 BATCH_BYTES = 1 << 23
+ARCHIVE_RECORDS = 10_000
 
 RECORD = ("record_type string, page_id bigint, url string, record_id string, refers_to_id string, "
           "date string, payload_digest string, payload_bytes bigint")
@@ -94,11 +95,12 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
                    min_bytes: int = MIN_BYTES) -> None:
     """Write deduplicated archives below ``path``.
 
-    The rebalanced exchange gives archives of about the session's advisory partition size, however
-    large the table and its groups of copies are.
+    Payloads are shuffled once, to meet the decision about their page; each task then writes archives of at
+    most ``ARCHIVE_RECORDS`` records, which bounds what a reader holds at once.
     """
-    (records(pages, date, min_bytes).hint("rebalance")
-     .write.option("lineSep", END).option("compression", "gzip").text(path))
+    (records(pages, date, min_bytes)
+     .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS)
+     .text(path))
 
 
 def _parsed(stream: io.BufferedIOBase) -> Iterator[dict]:
