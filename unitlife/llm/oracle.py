@@ -76,6 +76,107 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP9 = """
+WITH docs AS (
+    SELECT *, ceil(strlen(coalesce(text, '')) / 4.0)::BIGINT AS tokens,
+           'd' || (TRY_CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 4) AS domain
+    FROM documents
+), leaves AS (
+    SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, 2 * sum(tokens)::BIGINT AS capacity
+    FROM docs WHERE tokens > 0 GROUP BY ALL
+), rooted AS (
+    SELECT *, least(sum(tokens) OVER () * 3 // 5, sum(capacity) OVER ())::BIGINT AS given FROM leaves
+), a_nodes AS (
+    SELECT domain, sum(capacity)::HUGEINT AS capacity, max(given)::HUGEINT AS given, CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END::HUGEINT AS weight,
+           coalesce(domain, '') AS name
+    FROM rooted GROUP BY domain
+), a_ranked AS (
+    SELECT *, given - coalesce(sum(capacity) OVER b, 0) AS room,
+           sum(weight) OVER f - coalesce(sum(weight) OVER b, 0) AS weight_left
+    FROM a_nodes
+    WINDOW f AS (PARTITION BY 1),
+           b AS (PARTITION BY 1 ORDER BY capacity::DOUBLE / weight::DOUBLE, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), a_open AS (
+    SELECT *, given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER f AS rest,
+           sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER f AS weight_open,
+           sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER l AS nth
+    FROM (SELECT *, capacity * weight_left <= room * weight AS is_full FROM a_ranked)
+    WINDOW f AS (PARTITION BY 1),
+           l AS (PARTITION BY 1 ORDER BY capacity::DOUBLE / weight::DOUBLE, name ROWS UNBOUNDED PRECEDING)
+), a_parts AS (
+    SELECT *, given - sum(part) OVER (PARTITION BY 1) AS over_
+    FROM (SELECT *, CASE WHEN is_full THEN capacity ELSE (rest * weight)::HUGEINT // weight_open::HUGEINT END AS part
+          FROM a_open)
+), a_given AS (
+    SELECT t.domain, t.lang, t.source, t.tokens, t.capacity,
+           (p.part + CASE WHEN NOT p.is_full AND p.nth <= p.over_ THEN 1 ELSE 0 END)::BIGINT AS given
+    FROM rooted t JOIN a_parts p ON t.domain IS NOT DISTINCT FROM p.domain
+), b_nodes AS (
+    SELECT domain, lang, sum(capacity)::HUGEINT AS capacity, max(given)::HUGEINT AS given, CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END::HUGEINT AS weight,
+           coalesce(lang, '') AS name
+    FROM a_given GROUP BY domain, lang
+), b_ranked AS (
+    SELECT *, given - coalesce(sum(capacity) OVER b, 0) AS room,
+           sum(weight) OVER f - coalesce(sum(weight) OVER b, 0) AS weight_left
+    FROM b_nodes
+    WINDOW f AS (PARTITION BY domain),
+           b AS (PARTITION BY domain ORDER BY capacity::DOUBLE / weight::DOUBLE, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), b_open AS (
+    SELECT *, given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER f AS rest,
+           sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER f AS weight_open,
+           sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER l AS nth
+    FROM (SELECT *, capacity * weight_left <= room * weight AS is_full FROM b_ranked)
+    WINDOW f AS (PARTITION BY domain),
+           l AS (PARTITION BY domain ORDER BY capacity::DOUBLE / weight::DOUBLE, name ROWS UNBOUNDED PRECEDING)
+), b_parts AS (
+    SELECT *, given - sum(part) OVER (PARTITION BY domain) AS over_
+    FROM (SELECT *, CASE WHEN is_full THEN capacity ELSE (rest * weight)::HUGEINT // weight_open::HUGEINT END AS part
+          FROM b_open)
+), b_given AS (
+    SELECT t.domain, t.lang, t.source, t.tokens, t.capacity,
+           (p.part + CASE WHEN NOT p.is_full AND p.nth <= p.over_ THEN 1 ELSE 0 END)::BIGINT AS given
+    FROM a_given t JOIN b_parts p ON t.domain IS NOT DISTINCT FROM p.domain AND t.lang IS NOT DISTINCT FROM p.lang
+), c_nodes AS (
+    SELECT domain, lang, source, sum(capacity)::HUGEINT AS capacity, max(given)::HUGEINT AS given, 1::HUGEINT AS weight,
+           coalesce(source, '') AS name
+    FROM b_given GROUP BY domain, lang, source
+), c_ranked AS (
+    SELECT *, given - coalesce(sum(capacity) OVER b, 0) AS room,
+           sum(weight) OVER f - coalesce(sum(weight) OVER b, 0) AS weight_left
+    FROM c_nodes
+    WINDOW f AS (PARTITION BY domain, lang),
+           b AS (PARTITION BY domain, lang ORDER BY capacity::DOUBLE / weight::DOUBLE, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), c_open AS (
+    SELECT *, given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER f AS rest,
+           sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER f AS weight_open,
+           sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER l AS nth
+    FROM (SELECT *, capacity * weight_left <= room * weight AS is_full FROM c_ranked)
+    WINDOW f AS (PARTITION BY domain, lang),
+           l AS (PARTITION BY domain, lang ORDER BY capacity::DOUBLE / weight::DOUBLE, name ROWS UNBOUNDED PRECEDING)
+), c_parts AS (
+    SELECT *, given - sum(part) OVER (PARTITION BY domain, lang) AS over_
+    FROM (SELECT *, CASE WHEN is_full THEN capacity ELSE (rest * weight)::HUGEINT // weight_open::HUGEINT END AS part
+          FROM c_open)
+), c_given AS (
+    SELECT t.domain, t.lang, t.source, t.tokens, t.capacity,
+           (p.part + CASE WHEN NOT p.is_full AND p.nth <= p.over_ THEN 1 ELSE 0 END)::BIGINT AS given
+    FROM b_given t JOIN c_parts p ON t.domain IS NOT DISTINCT FROM p.domain AND t.lang IS NOT DISTINCT FROM p.lang AND t.source IS NOT DISTINCT FROM p.source
+), read AS (
+    SELECT d.*, e.epoch, l.given, l.tokens AS leaf_tokens,
+           md5(concat_ws('|', '7', e.epoch, coalesce(d.doc_id::VARCHAR, ''), d.tokens)) AS place
+    FROM docs d
+    JOIN c_given l ON d.domain IS NOT DISTINCT FROM l.domain AND d.lang IS NOT DISTINCT FROM l.lang
+                  AND d.source IS NOT DISTINCT FROM l.source
+    JOIN (SELECT unnest([0, 1, 2]) AS epoch) e ON e.epoch * l.tokens < l.given
+    WHERE d.tokens > 0
+)
+SELECT doc_id, domain, lang, source, epoch::BIGINT AS epoch, tokens
+FROM (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY place, md5(text)
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM read)
+WHERE epoch * leaf_tokens + before < given
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": OP1, "op6_chat_windows": OP6, "op10_maxscore_topk": OP10}
+    return {"op1_warc_revisits": OP1, "op6_chat_windows": OP6, "op9_hierarchical_mix": OP9,
+            "op10_maxscore_topk": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitlife.llm import chat, sharding, topk, warc
+from unitlife.llm import chat, mixing, pii, sharding, topk, warc
 from unitlife.llm.shared import new_path, stored, table
 
 
@@ -19,6 +19,18 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    joined = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id", *(count(kind) for kind in pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"),
+        joined("spans").alias("spans"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt into eight shards."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -51,6 +63,18 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A source's number stands for its domain, as the table has no such column.
+DOMAIN = "'d' || pmod(try_cast(regexp_extract(source, '[0-9]+', 0) as int), 4)"
+MIX = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "lang": {"en": 4, "de": 2, "fr": 2}}
+
+
+def op9_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fifths of all tokens, mixed by domain, language and source."""
+    docs = table(spark, sf_dir, "documents").withColumn("domain", F.expr(DOMAIN))
+    return mixing.mix(docs, ("domain", "lang", "source"), (3, 5), MIX, max_epochs=2, seed=7).select(
+        "doc_id", "domain", "lang", "source", "epoch", "tokens")
+
+
 def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best neighbours of every fiftieth vector among all others."""
     vectors = topk.integers(table(spark, sf_dir, "embeddings"))
@@ -59,4 +83,5 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_warc_revisits, op5_feistel_shards, op6_chat_windows, op10_maxscore_topk)}
+        op1_warc_revisits, op3_pii_spans, op5_feistel_shards, op6_chat_windows, op9_hierarchical_mix,
+        op10_maxscore_topk)}
