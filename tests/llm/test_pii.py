@@ -1,6 +1,7 @@
 """Anchor expansion against plain regular expressions."""
 
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,9 +56,10 @@ def test_added_kinds():
 
 
 def test_long_runs_take_linear_time():
+    began = time.perf_counter()
     for text in ("1" * 300_000, "a@" * 150_000, "1.2" * 100_000, "a" * 300_000 + "@", "+1" * 150_000, "x://" * 70_000):
-        assert base(text) == brute(text) if "a" * 99 not in text and "1" * 99 not in text else True
         pii.spans_of(text, AUTOMATON)
+    assert time.perf_counter() - began < 20
 
 
 def test_table(spark):
