@@ -14,7 +14,7 @@ rows are handled alike, an empty table stays empty.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -182,11 +182,12 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(df: DataFrame, text: str = "text", mask: str | None = None) -> DataFrame:
-    """``df`` with ``spans``, an array of kind, start and end (code points, end exclusive), and, if ``mask`` names a
-    column, the text with all spans replaced there."""
+def find(df: DataFrame, text: str = "text", mask: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """``df`` (its columns ``keep``, or all) with ``spans``, an array of kind, start and end (code points, end
+    exclusive), and, if ``mask`` names a column, the text with all spans replaced there."""
     added = ["spans", *([mask] if mask else [])]
-    source = df.select(df[text].cast("string").alias("_text"), *(df[c] for c in df.columns if c not in added))
+    source = df.select(df[text].cast("string").alias("_text"),
+                       *(df[c] for c in (df.columns if keep is None else keep) if c not in added))
     span = StructType([StructField("kind", StringType()), StructField("start", IntegerType()),
                        StructField("end", IntegerType())])
     schema = StructType([*source.schema.fields[1:], StructField("spans", ArrayType(span)),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitlife.llm import chat, mixing, pii, sharding, topk, warc
+from unitlife.llm import chat, langid, mixing, pii, sharding, topk, warc
 from unitlife.llm.shared import new_path, stored, table
 
 
@@ -21,7 +21,7 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
-    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
     joined = lambda spans: F.array_join(F.transform(
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -63,6 +63,18 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(key: str = "doc_id") -> Column:
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold() != 0))
+    found = langid.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 # A source's number stands for its domain, as the table has no such column.
 DOMAIN = "'d' || pmod(try_cast(regexp_extract(source, '[0-9]+', 0) as int), 4)"
 MIX = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "lang": {"en": 4, "de": 2, "fr": 2}}
@@ -83,5 +95,5 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_warc_revisits, op3_pii_spans, op5_feistel_shards, op6_chat_windows, op9_hierarchical_mix,
+        op1_warc_revisits, op3_pii_spans, op5_feistel_shards, op6_chat_windows, op7_language_id, op9_hierarchical_mix,
         op10_maxscore_topk)}
