@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitlife.llm import chat, langid, mixing, pii, sharding, topk, warc
+from unitlife.llm import chat, decontaminate, langid, mixing, pii, sharding, topk, warc
 from unitlife.llm.shared import new_path, stored, table
 
 
@@ -19,6 +19,12 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that aligns with a test item."""
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -95,5 +101,5 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_warc_revisits, op3_pii_spans, op5_feistel_shards, op6_chat_windows, op7_language_id, op9_hierarchical_mix,
+        op1_warc_revisits, op2_benchmark_leaks, op3_pii_spans, op5_feistel_shards, op6_chat_windows, op7_language_id, op9_hierarchical_mix,
         op10_maxscore_topk)}
