@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitlife.llm import chat, decontaminate, langid, mixing, pii, sharding, topk, warc
+from unitlife.llm import chat, decontaminate, jaccard, langid, mixing, pii, sharding, topk, warc
 from unitlife.llm.shared import new_path, stored, table
 
 
@@ -37,6 +37,16 @@ def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined("spans").alias("spans"))
 
 
+def op4_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates and its number of links."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    alone = docs.filter(F.col("text").isNull()).select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"),
+        F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"))
+    return jaccard.classes(docs).select(
+        F.col("key").alias("doc_id"), "class_id", "copy_of", "n_copies", "n_links").union(alone)
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt into eight shards."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -101,5 +111,5 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_warc_revisits, op2_benchmark_leaks, op3_pii_spans, op5_feistel_shards, op6_chat_windows, op7_language_id, op9_hierarchical_mix,
+        op1_warc_revisits, op2_benchmark_leaks, op3_pii_spans, op4_jaccard_classes, op5_feistel_shards, op6_chat_windows, op7_language_id, op9_hierarchical_mix,
         op10_maxscore_topk)}
