@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitlife.llm import chat, decontaminate, jaccard, langid, mixing, pii, sharding, topk, warc
+from unitlife.llm import chat, decontaminate, jaccard, langid, mixing, pii, sharding, suffixes, topk, warc
 from unitlife.llm.shared import new_path, stored, table
 
 
@@ -91,6 +91,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 50 bytes that an earlier one has."""
+    return suffixes.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # A source's number stands for its domain, as the table has no such column.
 DOMAIN = "'d' || pmod(try_cast(regexp_extract(source, '[0-9]+', 0) as int), 4)"
 MIX = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "lang": {"en": 4, "de": 2, "fr": 2}}
@@ -111,5 +116,5 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_warc_revisits, op2_benchmark_leaks, op3_pii_spans, op4_jaccard_classes, op5_feistel_shards, op6_chat_windows, op7_language_id, op9_hierarchical_mix,
+        op1_warc_revisits, op2_benchmark_leaks, op3_pii_spans, op4_jaccard_classes, op5_feistel_shards, op6_chat_windows, op7_language_id, op8_repeated_bytes, op9_hierarchical_mix,
         op10_maxscore_topk)}
