@@ -154,6 +154,8 @@ class Block:
         keys = keys_of(numbers)
         at = np.minimum(np.searchsorted(self.seeds, keys), len(self.seeds) - 1)
         where = np.flatnonzero(self.seeds[at] == keys)
+        if not len(where):
+            return []
         seed = at[where]
         times = self.firsts[seed + 1] - self.firsts[seed]
         flat = np.repeat(self.firsts[seed], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
