@@ -99,7 +99,7 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> Anchors:
 
 def part_anchors(data: np.ndarray, starts: np.ndarray) -> Anchors:
     """The same, some documents at a time."""
-    ends = np.append(starts[1:], len(data))
+    ends = np.append(starts[1:], len(data))[:len(starts)]
     found, shift = [], 0
     for some in batched(zip(starts.tolist(), ends.tolist(), strict=True), lambda d: d[1] - d[0], BATCH_BYTES):
         low, high = some[0][0], some[-1][1]
@@ -123,12 +123,12 @@ class Part:
         self.first = self.table["first"].to_numpy(zero_copy_only=False).astype(bool)
         chosen = np.flatnonzero(self.first)
         bodies = self.table["body"].take(pa.array(chosen))
-        sizes = np.array([len(b.as_buffer()) for chunk in bodies.chunks for b in chunk], np.int64)
+        sizes = np.array([b.as_buffer().size for chunk in bodies.chunks for b in chunk], np.int64)
         self.data = np.frombuffer(b"".join(b.as_buffer() for chunk in bodies.chunks for b in chunk), np.uint8)
         self.starts = np.cumsum(sizes) - sizes
         self.ends = self.starts + sizes
         self.ids = self.table["doc_id"].fill_null(0).to_numpy()[chosen]
-        self.anchors = part_anchors(self.data, self.starts) if len(chosen) else part_anchors(self.data, np.empty(0, np.int64))
+        self.anchors = part_anchors(self.data, self.starts)
         self.hashes, self.number = np.unique(self.anchors.hash, return_inverse=True)
 
     def slices(self, buckets: int) -> np.ndarray:
