@@ -216,7 +216,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     grouped = stored(banded.join(leaders, "bucket").select("leader", "node").distinct(), "grouped")
 
-    own = grouped.groupBy("node").agg(F.collect_list("leader").alias("leaders"))  # one per band at most
+    own = (  # a leader per band at most; with the key that stands for the text, so copies do not meet in one task
+        grouped.groupBy("node").agg(F.collect_list("leader").alias("leaders"))
+        .join(nodes.select("node", "copy_of"), "node").withColumnRenamed("node", "of")
+    )
     sizes = nodes.select("node", "size")
     blocks = (
         grouped.join(sizes, "node").groupBy("leader")
@@ -232,8 +235,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     )
     texts = (
         docs.filter(F.col(text).isNotNull())
-        .select(F.unhex(F.md5(F.col(text).cast("string"))).alias("node"), F.col(text).cast("string").alias("t"))
-        .join(own, "node").groupBy("node").agg(F.first("t").alias("t"), F.first("leaders").alias("leaders"))
+        .select(F.unhex(F.md5(F.col(text).cast("string"))).alias("node"), F.col(text).cast("string").alias("t"),
+                F.col(key).cast("bigint").alias("key"))
+        .join(own, (F.col("node") == F.col("of")) & F.col("key").eqNullSafe(F.col("copy_of")))
+        .groupBy("node").agg(F.first("t").alias("t"), F.first("leaders").alias("leaders"))
     )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
