@@ -38,8 +38,8 @@ from unitlife.llm.shared import batched
 LENGTH, ANCHOR = 50, 32
 REACH = LENGTH - ANCHOR  # the furthest that an anchor lies from its window's start
 AROUND = ANCHOR + 2 * REACH
-PART_BYTES = 1 << 24
-BUCKET_BYTES = 1 << 27
+PART_BYTES = 1 << 22
+BUCKET_BYTES = 1 << 25
 BATCH_BYTES = 1 << 18
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
@@ -171,7 +171,7 @@ class Part:
             gone = (begin >= a.first[use]) & (begin <= a.last[use]) & (mask >> np.uint32(distance) & np.uint32(1) > 0)
             np.add.at(cover, begin[gone], 1)
             np.add.at(cover, begin[gone] + LENGTH, -1)
-        covered = np.cumsum(cover[:-1]) > 0
+        covered = np.cumsum(cover[:-1], dtype=np.int32) > 0
         out, k = [], 0
         for i, body in enumerate(b for chunk in self.table["body"].chunks for b in chunk):
             whole = np.frombuffer(body.as_buffer(), np.uint8)
