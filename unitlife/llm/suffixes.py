@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +40,15 @@ LENGTH, ANCHOR = 50, 32
 REACH = LENGTH - ANCHOR  # the furthest that an anchor lies from its window's start
 AROUND = ANCHOR + 2 * REACH
 PART_BYTES = 1 << 22
-BUCKET_BYTES = 1 << 25
+BUCKET_BYTES = 1 << 23
 BATCH_BYTES = 1 << 18
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
                      0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)  # fixed values: odd mixing constants
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
+HASHES, MASKS, LATER = 0, 1, 2  # kinds of answers to a part
+
 RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -114,13 +117,18 @@ def part_anchors(data: np.ndarray, starts: np.ndarray) -> Anchors:
 
 
 class Part:
-    """The documents of one part that are sorted: those with an id that are the first with their text."""
+    """The documents of one part, in a fixed order. Those with an id that are the first with their text are sorted;
+    ``told`` names the others with an id, the later copies."""
 
-    def __init__(self, table: pa.Table):
-        rows = table.select(["doc_id", "row", "first"])
-        order = np.lexsort((rows["row"].to_numpy(), rows["doc_id"].fill_null(0).to_numpy()))
+    def __init__(self, table: pa.Table, told: pa.Table):
+        ids, row = table["doc_id"].fill_null(0).to_numpy(), table["row"].to_numpy()
+        order = np.lexsort((row, ids))
         self.table = table.take(pa.array(order))
-        self.first = self.table["first"].to_numpy(zero_copy_only=False).astype(bool)
+        later = {(int(i), int(r)) for i, r in np.frombuffer(
+            b"".join(told.filter(pc.equal(told["kind"], LATER))["bits"].to_pylist()), ">i8").reshape(-1, 2)}
+        known = self.table["doc_id"].is_valid().to_numpy()
+        self.copy = np.array([(i, r) in later for i, r in zip(ids[order].tolist(), row[order].tolist(), strict=True)], bool) & known
+        self.first = known & ~self.copy
         chosen = np.flatnonzero(self.first)
         bodies = self.table["body"].take(pa.array(chosen))
         sizes = np.array([b.as_buffer().size for chunk in bodies.chunks for b in chunk], np.int64)
@@ -179,7 +187,7 @@ class Part:
                 gone = covered[self.starts[k]:self.ends[k]]
                 k += 1
             else:
-                gone = np.full(len(whole), bool(self.table["copy"][i].as_py()) and len(whole) >= LENGTH)
+                gone = np.full(len(whole), bool(self.copy[i]) and len(whole) >= LENGTH)
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
             out.append((len(whole), int(gone.sum()), spans, hashlib.sha256(whole[~gone].tobytes()).hexdigest()))
         columns = list(zip(*out, strict=True)) or [[]] * 4
@@ -258,7 +266,8 @@ def _ordered(table: pa.Table, by: str) -> pa.Table:
     return table.take(pa.array(np.argsort(table[by].to_numpy(), kind="stable")))
 
 
-_HASHES, _BITS = _schema(bytes_=("hashes", "flags")), _schema(bytes_=("bits",))
+_HASHES = _schema(bytes_=("hashes", "flags"))
+_BITS = _schema(bytes_=("bits",), ints=("part", "bucket", "kind"))
 _RECORDS = _schema(bytes_=("rows", "least"))
 
 
@@ -273,18 +282,15 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes:
     least = (rows.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1").select(F.col("node").alias("of"), "least"))
     later = (rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "node").join(least, F.col("node") == F.col("of"))
-             .filter(F.col("doc_id") > F.col("least")).select(F.col("doc_id").alias("later_id"), F.col("node").alias("later_of"))
-             .distinct())
-    dealt = (
-        rows.join(later, (F.col("doc_id") == F.col("later_id")) & (F.col("node") == F.col("later_of")), "left")
-        .select(
-            F.pmod(F.xxhash64("doc_id", "node"), F.lit(parts)).cast("int").alias("part"), "doc_id",
-            F.xxhash64("node").alias("row"), F.col("later_id").isNotNull().alias("copy"),
-            (F.col("doc_id").isNotNull() & F.col("later_id").isNull()).alias("first"), F.col("t").cast("binary").alias("body"))
-    )
-
-    def send_hashes(table: pa.Table) -> pa.Table:
-        part = Part(table)
+             .filter(F.col("doc_id") > F.col("least")).select("doc_id", "node").distinct())
+    part_of = F.pmod(F.xxhash64("doc_id", "node"), F.lit(parts)).cast("int").alias("part")
+    dealt = rows.select(part_of, "doc_id", F.xxhash64("node").alias("row"), F.col("t").cast("binary").alias("body"))
+    number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    known = later.select(part_of, F.lit(0).alias("bucket"), F.lit(LATER).alias("kind"),
+                         F.concat(number("doc_id"), number(F.xxhash64("node"))).alias("bits"))
+
+    def send_hashes(table: pa.Table, told: pa.Table) -> pa.Table:
+        part = Part(table, told)
         number, flags = table["part"][0].as_py(), part.shared_here()
         cut = np.append(part.slices(buckets), len(part.hashes))
         sent = [b for b in range(buckets) if cut[b + 1] > cut[b]]
@@ -298,11 +304,12 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes:
         flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(v)).astype(bool)
                  for f, v in zip(table["flags"].to_pylist(), values, strict=True)]
         found = repeated_anchors(values, flags)
-        return _rows(_BITS, table["bucket"].to_pylist(), table["part"].to_pylist(),
+        return _rows(_BITS, table["part"].to_pylist(), table["bucket"].to_pylist(), [HASHES] * len(found),
                      [np.packbits(f).tobytes() for f in found])
 
-    def recall(part: Part, bits: pa.Table) -> np.ndarray:
+    def recall(part: Part, told: pa.Table) -> np.ndarray:
         """The answers about a part's hashes, in their order."""
+        bits = told.filter(pc.equal(told["kind"], HASHES))
         repeated = np.zeros(len(part.hashes), bool)
         cut = np.append(part.slices(buckets), len(part.hashes))
         for b, packed in zip(bits["bucket"].to_pylist(), bits["bits"].to_pylist(), strict=True):
@@ -310,9 +317,9 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes:
             repeated[low:high] = np.unpackbits(np.frombuffer(packed, np.uint8), count=high - low)
         return repeated
 
-    def send_records(table: pa.Table, bits: pa.Table) -> pa.Table:
-        part = Part(table)
-        records = part.records(recall(part, bits))
+    def send_records(table: pa.Table, told: pa.Table) -> pa.Table:
+        part = Part(table, told)
+        records = part.records(recall(part, told))
         bucket = records.of_bucket(buckets)
         sent = np.unique(bucket).tolist()
         return _rows(_RECORDS, sent, [table["part"][0].as_py()] * len(sent),
@@ -324,26 +331,24 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes:
         rows = np.frombuffer(b"".join(table["rows"].to_pylist()), np.uint8).reshape(-1, AROUND + 2)
         found = smaller_elsewhere(rows, np.concatenate(least))
         bits = np.split(found, np.cumsum([len(v) for v in least])[:-1])
-        return _rows(_BITS, table["bucket"].to_pylist(), table["part"].to_pylist(), [b.tobytes() for b in bits])
+        return _rows(_BITS, table["part"].to_pylist(), table["bucket"].to_pylist(), [MASKS] * len(bits),
+                     [b.tobytes() for b in bits])
 
-    def answer(table: pa.Table, bits: pa.Table) -> pa.Table:
-        part = Part(table)
-        hashes = bits.filter(pa.compute.equal(bits["kind"], 0))
-        masks = bits.filter(pa.compute.equal(bits["kind"], 1))
-        records = part.records(recall(part, hashes))
+    def answer(table: pa.Table, told: pa.Table) -> pa.Table:
+        part = Part(table, told)
+        masks = told.filter(pc.equal(told["kind"], MASKS))
+        records = part.records(recall(part, told))
         smaller, bucket = np.zeros(len(records.rows), np.uint32), records.of_bucket(buckets)
         for b, found in zip(masks["bucket"].to_pylist(), masks["bits"].to_pylist(), strict=True):
             smaller[bucket == b] = np.frombuffer(found, np.uint32)
         return part.answers(records, smaller)
 
-    def send_or_nothing(table: pa.Table, bits: pa.Table) -> pa.Table:
-        return send_records(table, bits) if table.num_rows else _RECORDS.empty_table()
-
-    hashes = dealt.groupBy("part").applyInArrow(send_hashes, "bucket int, part int, hashes binary, flags binary")
-    ranks = hashes.groupBy("bucket").applyInArrow(match_hashes, "bucket int, part int, bits binary")
-    records = dealt.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(
-        send_or_nothing, "bucket int, part int, rows binary, least binary")
-    masks = records.groupBy("bucket").applyInArrow(match_records, "bucket int, part int, bits binary")
-    told = (ranks.withColumn("kind", F.lit(0)).unionByName(masks.withColumn("kind", F.lit(1)))
-            .select("part", "bucket", "kind", "bits"))
-    return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer, f"doc_id bigint, {RESULT}")
+    def with_answers(told: DataFrame, work, schema: str) -> DataFrame:
+        return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(work, schema)
+
+    hashes = with_answers(known, send_hashes, "bucket int, part int, hashes binary, flags binary")
+    ranks = hashes.groupBy("bucket").applyInArrow(match_hashes, "part int, bucket int, kind int, bits binary")
+    told = known.unionByName(ranks)
+    records = with_answers(told, send_records, "bucket int, part int, rows binary, least binary")
+    masks = records.groupBy("bucket").applyInArrow(match_records, "part int, bucket int, kind int, bits binary")
+    return with_answers(told.unionByName(masks), answer, f"doc_id bigint, {RESULT}")
