@@ -84,9 +84,10 @@ def test_drift_per_cohort(spark):
         assert close(got[name], psi(gauss(500), xs, linspace_probabilities(10)))
     worst = drift.worst_feature_by(drift.drift_by(reference, current, ["x"], ["cohort"]), ["cohort"])
     assert worst.count() == 2
-    with pytest.raises(Exception, match="non-empty"):
-        drift.drift_by(reference, current.unionByName(
-            spark.createDataFrame([("none", None)], "cohort string, x double")), ["x"], ["cohort"]).collect()
+    silent = current.unionByName(spark.createDataFrame([("none", None)], "cohort string, x double"))
+    report = drift.drift_by(reference, silent, ["x"], ["cohort"])
+    assert {r.cohort: (r.psi, r.rating) for r in report.collect()}["none"] == (None, "no data")
+    assert report.filter("cohort <> 'none'").filter("psi IS NULL").isEmpty()
 
 
 def test_stream_reports_each_batch(spark, tmp_path):
@@ -129,17 +130,17 @@ def test_audit_flags(spark):
         "all": "SoH > 1 (impossible); below EOL at first cycle; near-zero capacity runs; "
                "ambient changes mid-experiment; very short run"}
     assert got["just"].soh_max == 1.005
-    assert got["all"].ambient_temps == [4.0, 24.0, 43.0] and got["all"].n_ambients == 3
+    assert got["all"].n_ambients == 3
     assert (got["all"].soh_first, got["all"].soh_last, got["all"].n) == (0.6, 0.1, 3)
     assert got["gap"].soh_first == 0.95 and got["gap"].n == 31
 
 
-def test_long_ambient_lists_stay_in_their_own_table(spark):
+def test_any_number_of_ambient_settings(spark):
     df = spark.range(1, 1502).select(
         F.lit("U").alias("battery_id"), F.col("id").alias("cycle_index"), F.lit(0.9).alias("soh"),
         F.col("id").cast("double").alias("ambient_temperature"))
     row = audit.fleet_audit(df).first()
-    assert row.ambient_temps is None and row.n_ambients == 1501
+    assert row.n_ambients == 1501 and row.flags == "ambient changes mid-experiment"
     assert audit.ambient_settings(df).count() == 1501
 
 

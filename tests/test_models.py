@@ -40,9 +40,9 @@ def test_ridge_equals_the_closed_form(spark):
 def test_imputation_statistics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (10.0, 2.0), (20.0, 2.0), (None, 2.0)], "a double, b double")
     for limit in (1 << 20, 2):
-        assert {r.feature: r.median for r in models.feature_medians(df, ["a", "b"], limit).collect()} == {
+        assert {r.feature: r.median for r in models.feature_statistics(df, ["a", "b"], limit).collect()} == {
             "a": 6.0, "b": 2.0}
-    scale = {r.feature: (r["mean"], r["std"]) for r in models.scaling_statistics(df, ["a", "b"]).collect()}
+    scale = {r.feature: (r["mean"], r["std"]) for r in models.feature_statistics(df, ["a", "b"]).collect()}
     assert scale["b"] == (2.0, 1.0) and close(scale["a"][1], float(np.std([1, 2, 10, 20])))
 
 

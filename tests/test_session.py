@@ -1,5 +1,3 @@
-import pytest
-
 from unitlife import session
 
 
@@ -17,11 +15,9 @@ def test_the_named_folder_is_used():
     assert session.shared_folder(Session("spark://x", **{"spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
 
 
-def test_scratch_only_on_a_local_master():
-    local = Session("local[2]")
-    assert session.shared_folder(local) == session.shared_folder(local)
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.shared_folder(Session("spark://x"))
+def test_else_a_folder_of_the_warehouse():
+    plain = Session("spark://x", **{"spark.sql.warehouse.dir": "hdfs://a/warehouse"})
+    assert session.shared_folder(plain) == "hdfs://a/warehouse/_stages"
 
 
 def test_folder_from_a_real_session(spark):

@@ -21,8 +21,6 @@ FLAG_AMBIENT = "ambient changes mid-experiment"
 FLAG_SHORT = "very short run"
 HOT_AMBIENT = 30.0
 
-LISTED_AMBIENTS = 1000
-
 
 def ambient_settings(df: DataFrame, keys: Keys = Keys()) -> DataFrame:
     """Every distinct ambient temperature of every unit, with its cycle count."""
@@ -30,11 +28,11 @@ def ambient_settings(df: DataFrame, keys: Keys = Keys()) -> DataFrame:
 
 
 def fleet_audit(df: DataFrame, keys: Keys = Keys(), digits: int = 3) -> DataFrame:
-    """One row per unit: size, first/last/lowest/highest health, ambient settings, flags.
+    """One row per unit: size, first/last/lowest/highest health, number of ambient settings, flags.
 
     Aggregated to (unit, ambient) first, then to the unit, so a large unit is combined map-side
-    twice. ``ambient_temps`` lists up to 1,000 settings in order; a unit with more has NULL there
-    and its full list in ``ambient_settings``. Flags are judged on the rounded values.
+    twice. The settings themselves, any number of them, are the rows of ``ambient_settings``. Flags are
+    judged on the rounded values.
     """
     cycle, seen = F.col(keys.cycle), F.col("soh").isNotNull()
     parts = df.groupBy(keys.unit, "ambient_temperature").agg(
@@ -50,11 +48,6 @@ def fleet_audit(df: DataFrame, keys: Keys = Keys(), digits: int = 3) -> DataFram
         rounded(F.max_by("_soh_last", "_last"), "soh_last"),
         rounded(F.min("soh_min"), "soh_min"), rounded(F.max("soh_max"), "soh_max"),
         F.count("*").alias("n_ambients"))
-    listed = (
-        parts.join(units.filter(F.col("n_ambients") <= LISTED_AMBIENTS).select(keys.unit), keys.unit)
-        .groupBy(keys.unit)
-        .agg(F.array_sort(F.collect_list("ambient_temperature")).alias("ambient_temps"))
-    )
     flags = F.concat_ws(
         "; ",
         F.when(F.col("soh_max") > MAX_PLAUSIBLE_SOH, FLAG_IMPOSSIBLE),
@@ -62,7 +55,7 @@ def fleet_audit(df: DataFrame, keys: Keys = Keys(), digits: int = 3) -> DataFram
         F.when(F.col("soh_min") < NEAR_ZERO_SOH, FLAG_NEAR_ZERO),
         F.when(F.col("n_ambients") > 1, FLAG_AMBIENT),
         F.when(F.col("n") < SHORT_RUN_CYCLES, FLAG_SHORT))
-    return units.join(listed, keys.unit, "left").withColumn("flags", flags)
+    return units.withColumn("flags", flags)
 
 
 def classify_runs(df: DataFrame, keys: Keys = Keys(), units: Sequence | None = None,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from unitlife.functions.life import psi_term, rate_psi
@@ -16,6 +17,7 @@ from unitlife.schema import null_if_nan
 DEFAULT_BINS = 10
 CONSTANT_BAND_REL = 1e-6
 
+NO_DATA = "no data"
 EMPTY_SIDE = "PSI requires non-empty samples on both sides"
 
 
@@ -25,68 +27,126 @@ def long_form(df: DataFrame, features: Sequence[str], ids: Sequence[str] = ()) -
     return values.unpivot(list(ids), list(features), "feature", "x")
 
 
-def inner_edges(quantiles: Column) -> Column:
+def column_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float],
+                     limit: int = FEW_GROUPS_ROWS, also: Sequence[Callable[[str], Column]] = ()) -> list[Row]:
+    """``feature, n, quantiles`` and what ``also`` computes from each column, as local rows; exact at any size.
+
+    One wide pass counts (and computes ``also``). Columns of up to ``limit`` values share a second one; larger ones are
+    narrowed by ``grouped_quantiles``. Nothing is unpivoted for the first two.
+    """
+    wide = df.select([null_if_nan(F.col(f).cast("double")).alias(f"x{i}") for i, f in enumerate(features)])
+    counted = wide.agg(*[
+        F.struct(F.count(f"x{i}").alias("n"), *[make(f"x{i}").alias(f"v{k}") for k, make in enumerate(also)]).alias(f"x{i}")
+        for i in range(len(features))]).first()
+    share = F.array(*[F.lit(float(p)) for p in probabilities])
+    small = [i for i in range(len(features)) if counted[i]["n"] <= limit]
+    found = wide.agg(*[F.percentile(f"x{i}", share).alias(f"x{i}") for i in small]).first().asDict() if small else {}
+    if large := [f for i, f in enumerate(features) if i not in small]:
+        rows = grouped_quantiles(long_form(df, large), ["feature"], "x", probabilities, limit=limit).collect()
+        found |= {f"x{list(features).index(r['feature'])}": r["quantiles"] for r in rows}
+    return [Row(feature=f, n=counted[i]["n"], quantiles=found[f"x{i}"], also=tuple(counted[i])[1:])
+            for i, f in enumerate(features)]
+
+
+def inner_edges(quantiles: Sequence[float]) -> list[float]:
     """Distinct quantiles without the outer two; a tight band where fewer than three remain.
 
     The outer bins are open-ended. A constant (or two-valued) reference gets three bins: below,
     inside and above a band around its first edge.
     """
-    edges = F.array_sort(F.array_distinct(quantiles))
-    centre = F.get(edges, 0)
-    band = F.greatest(F.abs(centre), F.lit(1.0)) * F.lit(CONSTANT_BAND_REL)
-    return F.when(F.size(edges) >= 3, F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
-                  ).otherwise(F.array(centre - band, centre + band))
+    edges = sorted(set(quantiles))
+    if len(edges) >= 3:
+        return edges[1:-1]
+    band = max(abs(edges[0]), 1.0) * CONSTANT_BAND_REL
+    return [edges[0] - band, edges[0] + band]
 
 
-def reference_edges(reference: DataFrame, features: Sequence[str], bins: int = DEFAULT_BINS, *,
-                    digits: int | None = None, limit: int = FEW_GROUPS_ROWS) -> DataFrame:
-    """``feature, n, edges``: one row per feature, fixed by the reference sample's quantiles.
+def _rounded(spark: SparkSession, rows: list[Row], digits: int) -> list[list[float] | None]:
+    """Quantiles rounded by Spark's own rule."""
+    frame = spark.createDataFrame([(i, r.quantiles) for i, r in enumerate(rows)], "i int, q array<double>")
+    cut = frame.select("i", F.transform("q", lambda v: F.round(v, digits)).alias("q")).collect()
+    return [q for _, q in sorted((r["i"], r["q"]) for r in cut)]
 
-    Fitted at once and kept as local rows, so that no later plan computes them again. ``digits`` rounds the quantiles, for comparing engines whose interpolation differs in the
-    last bits.
-    """
-    quantiles = grouped_quantiles(
-        long_form(reference, features), ["feature"], "x", linspace_probabilities(bins), limit=limit,
-        at_most=reference.count())
-    q = F.col("quantiles")
-    if digits is not None:
-        q = F.transform(q, lambda v: F.round(v, digits))
-    fitted = quantiles.select("feature", "n", inner_edges(q).alias("edges"))
-    return reference.sparkSession.createDataFrame(fitted.collect(), fitted.schema)
 
+@dataclass(frozen=True)
+class Fitted:
+    """A feature's edges, fixed by the reference, and the reference counts."""
 
-def bin_of(x: Column, edges: Column, bins: int) -> Column:
-    """Half-open bins: a value on an edge belongs to the right one. Plain comparisons per edge."""
-    most = max(bins - 1, 2)
-    return reduce(lambda a, b: a + b, [
-        F.when(x >= F.get(edges, i), 1).otherwise(0) for i in range(most)])
+    feature: str
+    edges: list[float]
+    n: int = 0
+    cells: tuple[int, ...] = ()
 
 
-def _cells(bins: int) -> list[str]:
-    return [f"c{i}" for i in range(max(bins, 3))]
+def fit_edges(reference: DataFrame, features: Sequence[str], bins: int = DEFAULT_BINS, *, digits: int | None = None,
+              limit: int = FEW_GROUPS_ROWS) -> list[Fitted]:
+    """Edges per feature as local values, so that later passes compare with literals. A feature that the reference
+    never reports has none. ``digits`` rounds the quantiles, for comparing engines whose interpolation differs in
+    the last bits."""
+    rows = column_quantiles(reference, features, linspace_probabilities(bins), limit)
+    quantiles = [r.quantiles for r in rows]
+    if digits is not None:
+        quantiles = _rounded(reference.sparkSession, rows, digits)
+    return [Fitted(r.feature, inner_edges(q) if r.n else [], r.n) for r, q in zip(rows, quantiles, strict=True)]
 
 
-def _counts(bins: int) -> list[Column]:
-    return [F.count_if(F.col("bin") == i).alias(c) for i, c in enumerate(_cells(bins))]
+def fit_reference(reference: DataFrame, features: Sequence[str], bins: int = DEFAULT_BINS, *,
+                  digits: int | None = None, limit: int = FEW_GROUPS_ROWS) -> list[Fitted]:
+    """Edges and reference counts. The reference's columns are kept while they are read: counts, quantiles and bins."""
+    kept = reference.select(*features).persist()
+    try:
+        fitted = fit_edges(kept, features, bins, digits=digits, limit=limit)
+        rows = {r["feature"]: r for r in histogram(kept, fitted, (), bins).collect()}
+    finally:
+        kept.unpersist()
+    return [Fitted(f.feature, f.edges, f.n, tuple(rows[f.feature][c] for c in _cells(bins))) for f in fitted]
 
 
-def binned(samples: DataFrame, edges: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
-    """Add ``bin`` to long-form samples (NULL for a missing value); ``edges`` has a row per feature."""
-    placed = samples.join(F.broadcast(edges.select("feature", "edges")), "feature", "left")
-    return placed.withColumn("bin", F.when(
-        F.col("x").isNotNull(), bin_of(F.col("x"), F.col("edges"), bins))).drop("edges")
+def reference_edges(reference: DataFrame, features: Sequence[str], bins: int = DEFAULT_BINS, **options) -> DataFrame:
+    """``feature, n, edges``: one row per feature."""
+    fitted = fit_edges(reference, features, bins, **options)
+    return reference.sparkSession.createDataFrame(
+        [(f.feature, f.n, f.edges) for f in fitted], "feature string, n bigint, edges array<double>")
 
 
-def histogram(samples: DataFrame, edges: DataFrame, by: Sequence[str] = (), bins: int = DEFAULT_BINS) -> DataFrame:
-    """``by..., feature, n, c0, c1, ...``; empty bins are zero columns, so none can go missing."""
-    return binned(samples, edges, bins).groupBy(*by, "feature").agg(F.count("x").alias("n"), *_counts(bins))
+def _cells(bins: int) -> list[str]:
+    return [f"c{i}" for i in range(max(bins, 3))]
+
+
+def histogram(df: DataFrame, fitted: Sequence[Fitted], by: Sequence[str] = (), bins: int = DEFAULT_BINS) -> DataFrame:
+    """``by..., feature, n, c0, c1, ...`` of the wide rows ``df``.
+
+    Bins are half-open: a value on an edge belongs to the right one. One map-side combined pass counts the values
+    from each edge on; only the counts are unpivoted. Empty bins are zeros, so none can go missing.
+    """
+    wide = df.select(*by, *[null_if_nan(F.col(f.feature).cast("double")).alias(f"_x{i}") for i, f in enumerate(fitted)])
+    counts = []
+    for i, f in enumerate(fitted):
+        counts.append(F.count(f"_x{i}").alias(f"_n{i}"))
+        counts += [F.count_if(F.col(f"_x{i}") >= F.lit(e)).alias(f"_n{i}_{j}") for j, e in enumerate(f.edges)]
+    entries = []
+    for i, f in enumerate(fitted):
+        above = [F.col(f"_n{i}"), *[F.col(f"_n{i}_{j}") for j in range(len(f.edges))], F.lit(0).cast("bigint")]
+        cells = [above[j] - above[j + 1] for j in range(len(above) - 1)]
+        cells += [F.lit(0).cast("bigint")] * (len(_cells(bins)) - len(cells))
+        entries.append(F.struct(F.lit(f.feature).alias("feature"), F.col(f"_n{i}").alias("n"),
+                                *[c.alias(name) for c, name in zip(cells, _cells(bins), strict=True)]))
+    return wide.groupBy(*by).agg(*counts).select(*by, F.inline(F.array(*entries)))
+
+
+def expected_counts(spark: SparkSession, fitted: Sequence[Fitted], bins: int = DEFAULT_BINS) -> DataFrame:
+    """The reference's histogram as a table, one row per feature."""
+    cells = ", ".join(f"{c} bigint" for c in _cells(bins))
+    return spark.createDataFrame([(f.feature, f.n, *f.cells) for f in fitted], f"feature string, n bigint, {cells}")
 
 
 def psi_from_histograms(current: DataFrame, reference: DataFrame, by: Sequence[str] = (),
                         bins: int = DEFAULT_BINS) -> DataFrame:
     """``by..., feature, psi, rating``; ``reference`` has one row per feature.
 
-    Bins beyond a feature's last edge are empty on both sides and contribute nothing.
+    Bins beyond a feature's last edge are empty on both sides and contribute nothing. An empty side is an
+    error between two samples; a group without values (or whose feature the reference lacks) has a NULL psi
+    and the rating ``no data``.
     """
     expected = reference.select(
         "feature", F.col("n").alias("_m"), *[F.col(c).alias(f"_{c}") for c in _cells(bins)])
@@ -97,25 +157,22 @@ def psi_from_histograms(current: DataFrame, reference: DataFrame, by: Sequence[s
     empty = (F.coalesce(F.col("n"), F.lit(0)) == 0) | (F.coalesce(F.col("_m"), F.lit(0)) == 0)
     total = reduce(lambda a, b: a + b, [
         psi_term(F.col(f"_{c}") / F.col("_m"), F.col(c) / F.col("n")) for c in _cells(bins)])
-    psi = F.when(empty, F.raise_error(F.concat(F.lit(EMPTY_SIDE + ": "), F.col("feature"))).cast("double")
-                 ).otherwise(total)
-    return joined.select(*by, "feature", psi.alias("psi")).withColumn("rating", rate_psi(F.col("psi")))
+    without = F.lit(None) if by else F.raise_error(F.concat(F.lit(EMPTY_SIDE + ": "), F.col("feature")))
+    psi = F.when(empty, without.cast("double")).otherwise(total)
+    rating = F.when(F.col("psi").isNull(), NO_DATA).otherwise(rate_psi(F.col("psi")))
+    return joined.select(*by, "feature", psi.alias("psi")).withColumn("rating", rating)
 
 
 def drift_by(reference: DataFrame, current: DataFrame, features: Sequence[str], by: Sequence[str] = (),
              bins: int = DEFAULT_BINS, *, digits: int | None = None, limit: int = FEW_GROUPS_ROWS) -> DataFrame:
     """PSI of every feature of ``current`` against ``reference``, per group of ``by``.
 
-    The edges are fitted first; the rest is one pass over the reference and one over the current
-    rows, map-side combined. Only feature-sized tables are broadcast.
+    The reference is fitted first and kept as local rows, one per feature; the rest is one map-side combined
+    pass over the current rows.
     """
-    edges = reference_edges(reference, features, bins, digits=digits, limit=limit)
-    expected = histogram(long_form(reference, features), edges, (), bins)
-    if not by:
-        wanted = reference.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-        expected = wanted.join(F.broadcast(expected), "feature", "left")
-    actual = histogram(long_form(current, features, by), edges, by, bins)
-    return psi_from_histograms(actual, expected, by, bins)
+    fitted = fit_reference(reference, features, bins, digits=digits, limit=limit)
+    expected = expected_counts(reference.sparkSession, fitted, bins)
+    return psi_from_histograms(histogram(current, fitted, by, bins), expected, by, bins)
 
 
 def drift_report(reference: DataFrame, current: DataFrame, features: Sequence[str],
@@ -134,6 +191,7 @@ def worst_feature(report: DataFrame) -> DataFrame:
 
 
 def worst_feature_by(report: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Highest PSI per group, ties by feature name."""
-    best = F.min_by(F.struct("feature", "psi", "rating"), F.struct(-F.col("psi"), F.col("feature")))
+    """Highest PSI per group, ties by feature name; a feature without data only if all are."""
+    best = F.min_by(F.struct("feature", "psi", "rating"),
+                    F.struct(F.col("psi").isNull(), -F.col("psi"), F.col("feature")))
     return report.groupBy(*by).agg(best.alias("_w")).select(*by, "_w.*")

@@ -12,9 +12,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitlife.operators.drift import long_form
+from unitlife.operators.drift import column_quantiles
 from unitlife.operators.features import FEATURE_COLUMNS, TELEMETRY_FEATURES, fit_rows, horizon_target
-from unitlife.operators.quantiles import FEW_GROUPS_ROWS, grouped_quantiles
+from unitlife.operators.quantiles import FEW_GROUPS_ROWS
 from unitlife.schema import HORIZON_GRID, HORIZONS, MIN_GRID_ROWS, Keys
 from unitlife.session import use_checkpoints
 
@@ -47,18 +47,13 @@ def variants(keys: Keys = Keys()) -> dict[str, list[str]]:
     }
 
 
-def feature_medians(train: DataFrame, features: Sequence[str], limit: int = FEW_GROUPS_ROWS) -> DataFrame:
-    """``feature, n, median`` over the present values; exact at any size."""
-    medians = grouped_quantiles(
-        long_form(train, features), ["feature"], "x", [0.5], limit=limit, at_most=train.count())
-    return medians.select("feature", "n", F.col("quantiles")[0].alias("median"))
-
-
-def scaling_statistics(train: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``feature, mean, std`` with the population deviation, 1 where it is zero."""
-    std = F.stddev_pop("x")
-    return long_form(train, features).groupBy("feature").agg(
-        F.avg("x").alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("std"))
+def feature_statistics(train: DataFrame, features: Sequence[str], limit: int = FEW_GROUPS_ROWS) -> DataFrame:
+    """``feature, n, median, mean, std`` over the present values, exact at any size: local rows, one per feature. The
+    deviation is the population's, 1 where it is zero."""
+    rows = column_quantiles(train, features, [0.5], limit, also=(F.avg, F.stddev_pop))
+    return train.sparkSession.createDataFrame(
+        [(r.feature, r.n, r.quantiles[0] if r.n else None, r.also[0], 1.0 if r.also[1] == 0 else r.also[1]) for r in rows],
+        "feature string, n bigint, median double, mean double, std double")
 
 
 def preparation(medians: Mapping[str, float], features: Sequence[str], *, indicators: bool) -> list[Transformer]:
@@ -83,7 +78,7 @@ def _prepared(df: DataFrame, stages: Sequence[Transformer], target: str) -> Data
 
 
 def _median_map(rows: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    return {r["feature"]: r["median"] for r in feature_medians(rows, features).collect()}
+    return {r["feature"]: r["median"] for r in feature_statistics(rows, features).collect()}
 
 
 def train_ridge(train: DataFrame, features: Sequence[str], target: str,

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitlife.operators.ordered import CHUNK, CHUNK_ROWS, ensure_chunk, join_on_units
-from unitlife.schema import Keys, SplitLeakageError
+from unitlife.schema import Keys, SplitLeakageError, UnitsError, UnknownUnitsError
 
 SPLITS = ("train", "val", "test")
 
@@ -16,36 +16,15 @@ SPLITS = ("train", "val", "test")
 TRAIN_UNITS = ("B0005", "B0006", "B0025", "B0026", "B0027", "B0028", "B0029", "B0030", "B0031", "B0032")
 VAL_UNITS = ("B0007",)
 TEST_UNITS = ("B0018",)
-EXCLUDED_UNITS: dict[str, str] = {
-    "B0033": "4 A load, first cycles near zero",
-    "B0034": "4 A load",
-    "B0036": "capacity far above rated",
-    "B0038": "load and ambient temperature vary",
-    "B0039": "load and ambient temperature vary",
-    "B0040": "load and ambient temperature vary",
-    "B0041": "4 C, mixed loads, unexplained low runs",
-    "B0042": "4 C, mixed loads, unexplained low runs",
-    "B0043": "4 C, mixed loads, unexplained low runs",
-    "B0044": "4 C, mixed loads, unexplained low runs",
-    "B0045": "4 C, under the end-of-life level from the start",
-    "B0046": "4 C, under the end-of-life level from the start",
-    "B0047": "4 C, under the end-of-life level from the start",
-    "B0048": "4 C, under the end-of-life level from the start",
-    "B0049": "control software crash, impossible health values",
-    "B0050": "control software crash, impossible health values, missing capacities",
-    "B0051": "control software crash, impossible health values",
-    "B0052": "control software crash, four usable cycles",
-    "B0053": "4 C, under the end-of-life level from the start",
-    "B0054": "4 C, under the end-of-life level from the start",
-    "B0055": "4 C, under the end-of-life level from the start",
-    "B0056": "4 C, under the end-of-life level from the start",
-}
+EXCLUDED_UNITS = (
+    "B0033", "B0034", "B0036", "B0038", "B0039", "B0040", "B0041", "B0042", "B0043", "B0044", "B0045", "B0046", "B0047",
+    "B0048", "B0049", "B0050", "B0051", "B0052", "B0053", "B0054", "B0055", "B0056")
 SPLIT_OF: dict[str, str] = {
     **{u: "train" for u in TRAIN_UNITS}, **{u: "val" for u in VAL_UNITS}, **{u: "test" for u in TEST_UNITS},
 }
 
 UnitTable = DataFrame | Mapping[str, str]
-LISTED = 20
+UnitList = DataFrame | Iterable[str]
 # A mapping of at most this many units is broadcast; a few megabytes.
 BROADCAST_UNITS = 100_000
 
@@ -57,6 +36,14 @@ def unit_table(df: DataFrame, table: UnitTable, keys: Keys, value: str) -> DataF
     return df.sparkSession.createDataFrame(list(table.items()), f"`{keys.unit}` {kind}, {value} string")
 
 
+def unit_list(df: DataFrame, units: UnitList, keys: Keys) -> DataFrame:
+    """Units as a table; of a mapping, its keys."""
+    if isinstance(units, DataFrame):
+        return units.select(keys.unit)
+    kind = df.schema[keys.unit].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(u,) for u in units], f"`{keys.unit}` {kind}")
+
+
 def units_of(df: DataFrame, keys: Keys = Keys()) -> DataFrame:
     return df.select(keys.unit).distinct()
 
@@ -80,26 +67,23 @@ def leaked_units(assigned: DataFrame, keys: Keys = Keys()) -> DataFrame:
     )
 
 
-def _listing(df: DataFrame, keys: Keys) -> tuple[int, str]:
-    """Count and the first few ids in order, for a message."""
-    shown = [r[0] for r in df.select(keys.unit).orderBy(keys.unit).limit(LISTED).collect()]
-    total = len(shown) if len(shown) < LISTED else df.count()
-    return total, ", ".join(str(u) for u in shown) + (" ..." if total > len(shown) else "")
+def _offending(found: DataFrame, keys: Keys, error: type[UnitsError], what: str) -> None:
+    """Raise ``error`` with the complete table of units, if there are any; the message has their number and range."""
+    total, first, last = found.agg(F.count("*"), F.min(keys.unit), F.max(keys.unit)).first()
+    if total:
+        named = f"{first}" if total == 1 else f"{first} to {last}"
+        raise error(f"{total} unit(s) {what}: {named}", found)
 
 
 def assert_no_unit_overlap(assigned: DataFrame, keys: Keys = Keys()) -> None:
-    total, ids = _listing(leaked_units(assigned, keys), keys)
-    if total:
-        raise SplitLeakageError(f"{total} unit(s) in more than one split: {ids}")
+    _offending(leaked_units(assigned, keys), keys, SplitLeakageError, "in more than one split")
 
 
 def assert_known_units(df: DataFrame, cohort: DataFrame, excluded: DataFrame, keys: Keys = Keys()) -> None:
-    total, ids = _listing(unknown_units(df, cohort, excluded, keys), keys)
-    if total:
-        raise KeyError(f"{total} unit(s) without split or documented exclusion: {ids}")
+    _offending(unknown_units(df, cohort, excluded, keys), keys, UnknownUnitsError, "without split or documented exclusion")
 
 
-def assign_splits(df: DataFrame, cohort: UnitTable = SPLIT_OF, excluded: UnitTable = EXCLUDED_UNITS,
+def assign_splits(df: DataFrame, cohort: UnitTable = SPLIT_OF, excluded: UnitList = EXCLUDED_UNITS,
                   keys: Keys = Keys(), *, check: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``split`` and drop excluded units.
 
@@ -110,7 +94,7 @@ def assign_splits(df: DataFrame, cohort: UnitTable = SPLIT_OF, excluded: UnitTab
     small = not isinstance(cohort, DataFrame) and len(cohort) <= BROADCAST_UNITS
     cohort = unit_table(df, cohort, keys, "split").select(keys.unit, "split")
     if check:
-        assert_known_units(df, cohort, unit_table(df, excluded, keys, "reason"), keys)
+        assert_known_units(df, cohort, unit_list(df, excluded, keys), keys)
         assert_no_unit_overlap(cohort.join(units_of(df, keys), keys.unit, "left_semi"), keys)
     if small:
         return df.join(F.broadcast(cohort), keys.unit)
@@ -145,9 +129,13 @@ def cohort_mismatch(df: DataFrame, cohort: DataFrame, excluded: DataFrame, keys:
 
 
 def cohort_problems(cohort: DataFrame, excluded: DataFrame, keys: Keys = Keys()) -> DataFrame:
-    """Units both admitted and excluded, and split labels other than the three."""
+    """Units both admitted and excluded, split labels other than the three, and splits without a unit (NULL)."""
     both = cohort.join(excluded.select(keys.unit).distinct(), keys.unit, "left_semi").select(
         keys.unit, F.lit("admitted and excluded").alias("problem"))
     odd = cohort.filter(~F.col("split").isin(*SPLITS)).select(
         keys.unit, F.lit("unknown split label").alias("problem"))
-    return both.unionByName(odd)
+    kind = cohort.schema[keys.unit].dataType
+    labels = cohort.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
+    missing = labels.join(cohort, "split", "left_anti").select(
+        F.lit(None).cast(kind).alias(keys.unit), F.concat(F.lit("no unit in split "), "split").alias("problem"))
+    return both.unionByName(odd).unionByName(missing)

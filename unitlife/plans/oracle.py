@@ -322,7 +322,10 @@ def oracle_sql() -> dict[str, str]:
     sql["cohort_problems"] = f"""WITH {COHORT}{DOUBLED}
       SELECT unit_id, 'admitted and excluded' AS problem FROM doubled WHERE unit_id IN (SELECT unit_id FROM excluded)
       UNION ALL
-      SELECT unit_id, 'unknown split label' FROM doubled WHERE unit_id % 10 = 7"""
+      SELECT unit_id, 'unknown split label' FROM doubled WHERE unit_id % 10 = 7
+      UNION ALL
+      SELECT NULL, 'no unit in split ' || split FROM (SELECT unnest(['train', 'val', 'test']) AS split)
+      WHERE split NOT IN (SELECT split FROM doubled WHERE unit_id % 10 <> 7)"""
 
     sql["fade_slope"] = f"WITH {FEATURES}{SLOPE} SELECT round(slope, 9) AS slope FROM slope"
     sql["baseline_metrics"] = f"""WITH {ERRORS}
@@ -400,8 +403,7 @@ def oracle_sql() -> dict[str, str]:
       audit AS (
         SELECT unit_id, count(*) AS n, round_even(min_by(soh, cycle_index), 3) AS soh_first,
                round_even(max_by(soh, cycle_index), 3) AS soh_last, round_even(min(soh), 3) AS soh_min,
-               round_even(max(soh), 3) AS soh_max, count(DISTINCT ambient_temperature) AS n_ambients,
-               array_to_string(list_sort(list_distinct(list(ambient_temperature)))::VARCHAR[], ',') AS ambient_temps
+               round_even(max(soh), 3) AS soh_max, count(DISTINCT ambient_temperature) AS n_ambients
         FROM fleet GROUP BY unit_id)
       SELECT *, concat_ws('; ', CASE WHEN soh_max > 1.005::DOUBLE THEN 'SoH > 1 (impossible)' END,
           CASE WHEN soh_first < 0.7::DOUBLE THEN 'below EOL at first cycle' END,

@@ -319,8 +319,8 @@ def drift_edges(spark, d):
 
 def drift_histogram(spark, d):
     reference = _reference_items(spark, d)
-    edges = drift.reference_edges(reference, DRIFT_COLUMNS, digits=FINE)
-    wide = drift.histogram(drift.long_form(_current_items(spark, d), DRIFT_COLUMNS), edges)
+    edges = drift.fit_edges(reference, DRIFT_COLUMNS, digits=FINE)
+    wide = drift.histogram(_current_items(spark, d), edges)
     return wide.select("feature", F.inline(F.array(*[
         F.struct(F.lit(i).alias("bin"), F.col(f"c{i}").alias("n")) for i in range(10)])))
 
@@ -396,8 +396,7 @@ def worst_prefix_drift(spark, d):
 # Audit.
 
 def fleet_audit(spark, d):
-    table = audit.fleet_audit(views.soh_of(views.fleet(spark, d)), KEYS)
-    return table.withColumn("ambient_temps", F.array_join(F.col("ambient_temps").cast("array<string>"), ","))
+    return audit.fleet_audit(views.soh_of(views.fleet(spark, d)), KEYS)
 
 
 def ambient_settings(spark, d):
@@ -428,9 +427,7 @@ def fleet_size(spark, d):
 
 def feature_medians(spark, d):
     train = _train(_from_table(spark, d))
-    medians = models.feature_medians(train, FEATURE_COLUMNS)
-    scales = models.scaling_statistics(train, FEATURE_COLUMNS)
-    return _round(medians.join(F.broadcast(scales), "feature"), COARSE, "median", "mean", "std")
+    return _round(models.feature_statistics(train, FEATURE_COLUMNS), COARSE, "median", "mean", "std")
 
 
 RIDGE_FEATURES = ["soh_prev", "charge_duration_s"]

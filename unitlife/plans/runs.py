@@ -19,7 +19,7 @@ from unitlife.operators.models import (
 )
 from unitlife.operators.projection import projections
 from unitlife.operators.rul import rul_points, rul_summary
-from unitlife.operators.splits import EXCLUDED_UNITS, SPLIT_OF, UnitTable, assign_splits, split_frames
+from unitlife.operators.splits import EXCLUDED_UNITS, SPLIT_OF, UnitList, UnitTable, assign_splits, split_frames
 from unitlife.operators.validate import validate_cycles
 from unitlife.schema import HORIZON_GRID, Keys
 from unitlife.sources import landing, tables
@@ -70,7 +70,7 @@ def soh_metrics(assigned: DataFrame, models: Mapping[tuple[str, int], PipelineMo
     return evaluate.unit_metrics(evaluate.forecast_errors(scored, predictions, keys), keys)
 
 
-def forecast_soh(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, excluded: UnitTable = EXCLUDED_UNITS,
+def forecast_soh(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, excluded: UnitList = EXCLUDED_UNITS,
                  config: TrainConfig = TrainConfig(), artifact_root: str | None = None,
                  keys: Keys = Keys(), dense: bool = False) -> tuple[DataFrame, DataFrame]:
     """Train all variants at all horizons; returns (metrics, leakage suspects).
@@ -95,7 +95,7 @@ def forecast_soh(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
     return metrics, evaluate.leakage_suspects(metrics)
 
 
-def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, excluded: UnitTable = EXCLUDED_UNITS,
+def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, excluded: UnitList = EXCLUDED_UNITS,
                  config: TrainConfig = TrainConfig(horizons=HORIZON_GRID), out: str | None = None,
                  models: Mapping[int, PipelineModel] | None = None, keys: Keys = Keys(),
                  dense: bool = False) -> tuple[DataFrame, DataFrame, dict[int, PipelineModel]]:
@@ -126,7 +126,7 @@ def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
 
 def report_tables(features_df: DataFrame, metrics: DataFrame, summary: DataFrame,
                   models: Mapping[int, PipelineModel], *, cohort: UnitTable = SPLIT_OF,
-                  excluded: UnitTable = EXCLUDED_UNITS, keys: Keys = Keys()) -> dict[str, DataFrame]:
+                  excluded: UnitList = EXCLUDED_UNITS, keys: Keys = Keys()) -> dict[str, DataFrame]:
     """The four report tables, ordered: ``soh``, ``rul``, ``drift`` and ``projection``."""
     assigned = assign_splits(features_df, cohort, excluded, keys)
     train = assigned.filter(F.col("split") == "train")

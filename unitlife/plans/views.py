@@ -19,7 +19,7 @@ from unitlife.schema import Keys
 from unitlife.session import shared_folder
 from unitlife.sources.tables import write_unit_table
 
-_staged: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_staged: dict[tuple, tuple[str, StructType]] = {}
 
 KEYS = Keys("unit_id", "cycle_index")
 
@@ -43,13 +43,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumnRenamed("user_id", "unit_id")
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Number, total size and last change of the files of a table, from their listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return path, *files.agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first()
+
+
 def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A table written once per session to the shared folder and read from there.
+    """A table written once per session and state of its input to the shared folder, and read from there.
 
     Later stages start from the stored table, so column pruning and pushed filters apply and a
-    lost executor costs a re-read, not a re-run of what came before.
+    lost executor costs a re-read, not a re-run of what came before. Files that change, come or go make a new one.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/events.parquet"), name)
     if key not in _staged:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         table = build()

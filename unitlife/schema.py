@@ -21,10 +21,24 @@ class DataValidationError(Exception):
     """A table breaks an invariant."""
 
 
-class SplitLeakageError(AssertionError):
+class UnitsError(Exception):
+    """Some units break a rule; ``units`` is the complete table of them."""
+
+    def __init__(self, message: str, units=None):
+        super().__init__(message)
+        self.units = units
+
+
+class SplitLeakageError(UnitsError, AssertionError):
     """A unit is in more than one split."""
 
 
+class UnknownUnitsError(UnitsError, KeyError):
+    """A unit has neither a split nor a documented exclusion."""
+
+    __str__ = Exception.__str__
+
+
 # Fixed values.
 CAPACITY_RANGE_AH = (0.0, 3.2)
 RATED_CAPACITY_AH = 2.0

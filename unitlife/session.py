@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -21,20 +19,11 @@ def local_session(cores: str | int = "*", app: str = "unitlife", **conf: str) ->
     return builder.getOrCreate()
 
 
-_scratch: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a scratch one only on a local master without it."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a folder in the warehouse, which a cluster
+    shares as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _scratch:
-        _scratch[application] = tempfile.mkdtemp(prefix="unitlife-")
-    return _scratch[application]
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages").rstrip("/")
 
 
 def use_checkpoints(spark: SparkSession) -> None:

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from unitlife.operators.drift import DEFAULT_BINS, histogram, long_form, psi_from_histograms, reference_edges
+from unitlife.operators.drift import DEFAULT_BINS, Fitted, expected_counts, fit_reference, histogram, psi_from_histograms
 
 
-def batch_drift(batch: DataFrame, batch_id: int, features: Sequence[str], edges: DataFrame,
-                expected: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
-    counts = histogram(long_form(batch, features), edges, (), bins)
-    report = psi_from_histograms(counts, expected.join(
-        F.broadcast(counts.filter("n > 0").select("feature")), "feature", "left_semi"), (), bins)
-    return report.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "feature", "psi", "rating")
+def batch_drift(batch: DataFrame, batch_id: int, fitted: Sequence[Fitted], expected: DataFrame,
+                bins: int = DEFAULT_BINS) -> DataFrame:
+    """The batch is aggregated once; features without a value in it are left out."""
+    marked = F.lit(batch_id).cast("bigint").alias("batch_id")
+    counts = histogram(batch, fitted, (), bins).filter("n > 0").select(marked, "*")
+    report = psi_from_histograms(counts, expected, ["batch_id"], bins)
+    return report.select("batch_id", "feature", "psi", "rating")
 
 
 def monitor(stream: DataFrame, reference: DataFrame, features: Sequence[str],
@@ -29,12 +30,11 @@ def monitor(stream: DataFrame, reference: DataFrame, features: Sequence[str],
     values for a feature reports nothing for it. ``sink`` must tolerate a repeated ``batch_id``.
     """
     spark = reference.sparkSession
-    edges = reference_edges(reference, features, bins, digits=digits)
-    counted = histogram(long_form(reference, features), edges, (), bins)
-    expected = spark.createDataFrame(counted.collect(), counted.schema)
+    fitted = fit_reference(reference, features, bins, digits=digits)
+    expected = expected_counts(spark, fitted, bins)
 
     def report(batch: DataFrame, batch_id: int) -> None:
-        sink(batch_drift(batch, batch_id, features, edges, expected, bins), batch_id)
+        sink(batch_drift(batch, batch_id, fitted, expected, bins), batch_id)
 
     return (
         stream.writeStream.foreachBatch(report).option("checkpointLocation", checkpoint)
