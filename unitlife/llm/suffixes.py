@@ -39,7 +39,7 @@ from unitlife.llm.shared import batched
 LENGTH, ANCHOR = 50, 32
 REACH = LENGTH - ANCHOR  # the furthest that an anchor lies from its window's start
 AROUND = ANCHOR + 2 * REACH
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
 BATCH_BYTES = 1 << 18
 
@@ -108,7 +108,7 @@ def part_anchors(data: np.ndarray, starts: np.ndarray) -> Anchors:
         low, high = some[0][0], some[-1][1]
         if high - low >= LENGTH:
             a = anchors(data[low:high], np.array([s for s, _ in some]) - low)
-            found.append((a.at + low, a.first + low, a.last + low, a.hash, a.doc + shift))
+            found.append((a.at + low, a.first + low, a.last + low, a.hash, (a.doc + shift).astype(np.int32)))
         shift += len(some)
     if not found:
         none = np.empty(0, np.int64)
@@ -173,13 +173,13 @@ class Part:
         """The result of every row, given each record's bits: distances at which a smaller document has the window."""
         a, use = self.anchors, records.use
         mask = np.where(self.ids[a.doc[use]] > records.least[records.number], np.uint32(0xFFFFFFFF), smaller[records.number])
-        cover = np.zeros(len(self.data) + 1, np.int32)
+        cover = np.zeros(len(self.data) + 1, np.int8)  # at most LENGTH windows cover a byte
         for distance in range(REACH + 1):
             begin = a.at[use] - distance
             gone = (begin >= a.first[use]) & (begin <= a.last[use]) & (mask >> np.uint32(distance) & np.uint32(1) > 0)
-            np.add.at(cover, begin[gone], 1)
-            np.add.at(cover, begin[gone] + LENGTH, -1)
-        covered = np.cumsum(cover[:-1], dtype=np.int32) > 0
+            cover[begin[gone]] += 1  # every window has one anchor, so no start comes twice
+            cover[begin[gone] + LENGTH] -= 1
+        covered = np.cumsum(cover[:-1], dtype=np.int8) > 0
         out, k = [], 0
         for i, body in enumerate(b for chunk in self.table["body"].chunks for b in chunk):
             whole = np.frombuffer(body.as_buffer(), np.uint8)
