@@ -177,8 +177,11 @@ def test_ingest_run_and_table_round_trip(spark, tmp_path):
     land(spark, root, "U1", FILE, folder="raw/one")
     land(spark, root, "U1", FILE[:2], folder="raw/two")
     land(spark, root, "U2", FILE, folder="raw/two")
-    cycles = runs.ingest(spark, f"{root}/raw", f"{root}/out/cycles")
+    cycles, skipped, files = runs.ingest(spark, f"{root}/raw", f"{root}/out/cycles")
     assert cycles.schema == CYCLES
+    counts = {r.battery_id: r for r in skipped.collect()}
+    assert set(counts) == {"U1", "U2"} and counts["U1"].n_cycles == 2 and counts["U1"].n_entries == 6
+    assert {r.stem: r.n_skipped for r in files.collect()} == {"U1": 1, "U2": 0}
     assert sorted((r.battery_id, r.cycle_index) for r in cycles.collect()) == [
         ("U1", 1), ("U1", 2), ("U2", 1), ("U2", 2)]
     features = runs.features(spark, f"{root}/out/cycles", f"{root}/out/features")

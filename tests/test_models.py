@@ -100,7 +100,7 @@ def test_health_run_writes_a_version_once(spark, fleet, tmp_path):
 def test_life_run_and_report(spark, fleet, tmp_path):
     grid = (1, 6, 11)
     config = models.TrainConfig(horizons=grid, boosting=BOOSTING, early_stopping_rounds=1)
-    points, summary, fitted = runs.forecast_rul(fleet, config=config, out=str(tmp_path / "rul"))
+    points, summary, fitted, censored = runs.forecast_rul(fleet, config=config, out=str(tmp_path / "rul"))
     assert sorted(fitted) == list(grid)
     assert {r.method for r in points.select("method").distinct().collect()} == {"global_slope", "gbt_trajectory"}
     stored_points, stored_summary = tables.read_rul(spark, str(tmp_path / "rul"))
@@ -109,7 +109,7 @@ def test_life_run_and_report(spark, fleet, tmp_path):
         own = points.filter((F.col("battery_id") == row.battery_id) & (F.col("threshold") == row.threshold)
                             & (F.col("method") == row.method)).collect()
         assert row.n_points == len(own) and row.n_censored_preds == sum(r.rul_pred is None for r in own)
-    again, _, _ = runs.forecast_rul(fleet, config=config, models=fitted)
+    again = runs.forecast_rul(fleet, config=config, models=fitted).points
     assert again.count() == points.count()
 
     metrics = spark.createDataFrame([("val", "m", 1, "B0007", 3, 0.1, 0.2, 0.3)], tables.METRICS)

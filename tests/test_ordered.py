@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitlife.operators.ordered import (
-    CHUNK, ensure_chunk, join_on_units, neighbours, running, unit_values, with_ordinal,
+    CHUNK, ensure_chunk, join_on_units, neighbours, place, running, unit_values, with_ordinal,
 )
 
 
@@ -108,3 +108,13 @@ def test_unit_values_and_dimension_join(spark):
     dimension = spark.createDataFrame([("hot", "x")], "unit string, label string")
     assert join_on_units(chunked, dimension, ["unit"]).filter("label = 'x'").count() == 50
     assert join_on_units(chunked, dimension, ["unit"], "left").filter("label is null").count() == 3
+
+
+def test_sparse_order_makes_chunks_by_rows(spark):
+    rows = [("long", i * (1 << 21) + 5) for i in range(200)] + [("short", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "unit string, at long")
+    placed = place(df, ["unit"], "at", dense=False, chunk_rows=100)
+    sizes = {(r.unit, r[CHUNK]): r["count"] for r in placed.groupBy("unit", CHUNK).count().collect()}
+    assert max(sizes.values()) <= 100 and len(sizes) == 5 and sizes["short", 0] == 50
+    got = with_ordinal(df, ["unit"], "at", "n", chunk_rows=100).collect()
+    assert all(r.n == (r["at"] - 5 >> 21) + 1 for r in got if r.unit == "long")

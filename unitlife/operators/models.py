@@ -161,7 +161,7 @@ def predict(df: DataFrame, models: Mapping[str, PipelineModel]) -> DataFrame:
 
 def train_variants(train: DataFrame, val: DataFrame, config: TrainConfig = TrainConfig(),
                    keys: Keys = Keys()) -> dict[tuple[str, int], PipelineModel]:
-    """One directly trained model per variant and horizon; the fits share the cluster."""
+    """One directly trained model per variant and horizon that has a label; the fits share the cluster."""
     chosen = variants(keys)
     boosted = _median_map(train, feature_names(FEATURE_COLUMNS, keys))
 
@@ -172,7 +172,8 @@ def train_variants(train: DataFrame, val: DataFrame, config: TrainConfig = Train
             return train_ridge(train, chosen[name], target)
         return train_boosted(train, val, chosen[name], target, config, boosted)
 
-    jobs = [(name, k) for k in config.horizons for name in chosen]
+    counts = {r["horizon"]: r["n_labels"] for r in grid_label_counts(train, config.horizons).collect()}
+    jobs = [(name, k) for k in config.horizons if counts[k] for name in chosen]
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         return dict(zip(jobs, pool.map(fit, jobs)))
 

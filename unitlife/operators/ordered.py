@@ -38,21 +38,23 @@ def place(df: DataFrame, unit: Sequence[str], order: str, *, dense: bool,
     """Add the chunk column.
 
     ``dense``: ``order`` counts the unit's own rows, so ordinary units fall into one chunk by
-    themselves. Otherwise (say, an event number shared by all units) only units with more than
-    ``chunk_rows`` rows are cut; there are at most N / chunk_rows of those, which bounds the
-    broadcast.
+    themselves. Otherwise (an event number shared by all units, a time, any number with gaps) units with more
+    than ``chunk_rows`` rows are cut into twice as many equal ranges of the order as they have chunks' worth of
+    rows, so the number of chunks follows the rows and not the gaps.
     """
     if dense:
         return df.withColumn(CHUNK, chunk_of(F.col(order), chunk_rows))
     large = (
-        df.groupBy(*unit).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk_rows)
-        .select(*unit, F.lit(True).alias("_large"))
+        df.groupBy(*unit).agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+        .filter(F.col("_n") > chunk_rows)
+        .select(*unit, "_lo", (F.col("_hi").cast("double") - F.col("_lo") + 1).alias("_span"),
+                F.ceil(2 * F.col("_n") / chunk_rows).alias("_pieces"))
     )
+    share = (F.col(order).cast("double") - F.col("_lo")) / F.col("_span")
     return (
-        df.join(F.broadcast(large), list(unit), "left")
-        .withColumn(CHUNK, F.when(F.col("_large"), chunk_of(F.col(order), chunk_rows))
-                    .otherwise(F.lit(0).cast("bigint")))
-        .drop("_large")
+        df.join(large, list(unit), "left")
+        .withColumn(CHUNK, F.coalesce(F.floor(share * F.col("_pieces")), F.lit(0)).cast("bigint"))
+        .drop("_lo", "_span", "_pieces")
     )
 
 

@@ -31,9 +31,9 @@ def projections(features: DataFrame, slope: float | Column, horizons: Sequence[i
                 margin: int = PROJECTION_MARGIN) -> DataFrame:
     """``unit, fraction, series, x, soh`` with the series ``actual``, ``baseline`` and ``model``.
 
-    ``actual`` is the standing row itself; the curves run over ``x = standing cycle - 1 + horizon``
-    and stop ``margin`` cycles after the unit's last one. Standing points without a row or
-    without a last observed health are left out.
+    ``actual`` is the unit's whole observed curve, once (``fraction`` is NULL); the other curves run over
+    ``x = standing cycle - 1 + horizon`` and stop ``margin`` cycles after the unit's last one. Standing points
+    without a row or without a last observed health are left out.
     """
     points = standing_points(features, fractions, keys)
     rows = features.filter(F.col("soh_prev").isNotNull())
@@ -43,14 +43,16 @@ def projections(features: DataFrame, slope: float | Column, horizons: Sequence[i
     def entry(series: str, x: Column, soh: Column) -> Column:
         return F.struct(F.lit(series).alias("series"), x.cast("double").alias("x"), soh.alias("soh"))
 
-    entries = [entry("actual", at, F.col("soh"))]
+    entries = []
     for k in horizons:
         entries.append(entry("baseline", at - 1 + k, F.col("soh_prev") + F.col("_slope") * F.lit(float(k))))
         if trajectory:
             entries.append(entry("model", at - 1 + k, trajectory[k]))
-    return standing.select(
+    projected = standing.select(
         keys.unit, "fraction", "max_cycle", F.inline(F.array(*entries))
-    ).filter((F.col("series") == "actual") | (F.col("x") <= F.col("max_cycle") + margin)).drop("max_cycle")
+    ).filter(F.col("x") <= F.col("max_cycle") + margin).drop("max_cycle")
+    observed = features.select(keys.unit, F.lit(None).cast("double").alias("fraction"), entry("actual", at, F.col("soh")).alias("e"))
+    return observed.select(keys.unit, "fraction", "e.*").unionByName(projected)
 
 
 def point_in_time(features: DataFrame, points: DataFrame, slope: float | Column, *,

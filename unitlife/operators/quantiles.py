@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from unitlife.session import use_checkpoints
+
 GROUP_ROWS = 1 << 20
 # For a handful of groups (features) narrowing is also faster, from about here on.
 FEW_GROUPS_ROWS = 1 << 19
@@ -57,7 +59,11 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilit
         F.percentile("_v", F.array(*[F.lit(float(p)) for p in probabilities])).alias("quantiles"))
     if not large:
         return result
-    return result.unionByName(_narrowed(values, keys, large, probabilities, limit, bins))
+    # Narrowing reads the values several times. Sums behind them may differ in their last bits from run to run, so
+    # they are written once.
+    use_checkpoints(values.sparkSession)
+    fixed = values.join(F.broadcast(hot), list(keys), "left_semi").checkpoint()
+    return result.unionByName(_narrowed(fixed, keys, large_groups(fixed, keys, "_v", 0), probabilities, limit, bins))
 
 
 def _frame(df: DataFrame, keys: Sequence[str], extra: list[T.StructField], rows: list[tuple]) -> DataFrame:

@@ -35,10 +35,15 @@ def with_eol(df: DataFrame, cycles: DataFrame | None = None,
              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Attach ``_eol0, _eol1, ...`` (one per threshold) to every row.
 
-    ``cycles`` is the frame that holds each unit's whole life with ``soh``; default ``df``.
+    ``cycles`` is the frame that holds each unit's whole life with ``soh``; default ``df``. A row of ``df`` outside
+    of it (another chunk, another unit) keeps its place.
     """
     rows = ensure_chunk(df, keys.cycle, chunk_rows)
-    whole = ensure_chunk(cycles if cycles is not None else df, keys.cycle, chunk_rows)
+    whole = rows
+    if cycles is not None:
+        asked = rows.select(keys.unit, CHUNK).distinct()
+        whole = ensure_chunk(cycles, keys.cycle, chunk_rows).select(keys.unit, keys.cycle, CHUNK, "soh").unionByName(
+            asked, allowMissingColumns=True)
     eol = unit_values(whole, [keys.unit], {
         f"_eol{i}": (_first_below(t, keys), F.min) for i, t in enumerate(thresholds)})
     return rows.join(eol, [keys.unit, CHUNK])

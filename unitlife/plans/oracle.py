@@ -176,30 +176,57 @@ STREAM_DRIFT = f"{ITEMS}, cur AS ({_long(DRIFT_COLUMNS, 'items')}), {_psi()}"
 SETTLED = ", ".join(f"round({c}, 10) AS {c}" for c in FEATURE_COLUMNS)
 
 
-def _fleet_drift(ids: str, by: str) -> str:
+LIVED = "(unit_id % 5 <> 0 OR cycle_index <= 12)"
+SILENCED = ", ".join("CASE WHEN unit_id % 3 <> 1 THEN charge_current_end END AS charge_current_end"
+                     if c == "charge_current_end" else c for c in FEATURE_COLUMNS)
+
+
+def _fleet_drift(by: str, *, silenced: bool = False) -> str:
+    columns, rows = (SILENCED, f" AND {LIVED}") if silenced else (", ".join(FEATURE_COLUMNS), "")
     return (f"{FEATURES}, settled AS (SELECT unit_id, split, {SETTLED} FROM features), train AS (SELECT * FROM settled WHERE split = 'train'), "
-            f"held AS (SELECT {ids}, {', '.join(FEATURE_COLUMNS)} FROM settled WHERE split IN ('val', 'test')), "
+            f"held AS (SELECT {by}, {columns} FROM settled WHERE split IN ('val', 'test'){rows}), "
             f"ref AS ({_long(FEATURE_COLUMNS, 'train')}), cur AS ({_long(FEATURE_COLUMNS, 'held', by)}), {_psi(by)}")
 
 
-STANDING_CYCLES = f"""
-lengths AS (SELECT unit_id, max(cycle_index) AS max_cycle FROM fleet GROUP BY unit_id),
+def _with_no_data(by: str, groups: str) -> str:
+    """The drift rows, and one without a number for every group and feature that has no value."""
+    names = ", ".join(f"'{c}'" for c in FEATURE_COLUMNS)
+    return f"""SELECT {by}, feature, psi, rating FROM drift
+      UNION ALL
+      SELECT {by}, feature, NULL, 'no data'
+      FROM (SELECT DISTINCT {by} FROM {groups}), (SELECT unnest([{names}]) AS feature)
+      WHERE ({by}, feature) NOT IN (SELECT ({by}, feature) FROM drift)"""
+
+
+def _standing_cycles(rows: str = "true") -> str:
+    return f"""
+lengths AS (SELECT unit_id, max(cycle_index) AS max_cycle FROM fleet WHERE {rows} GROUP BY unit_id),
 standing_cycles AS (
   SELECT unit_id, max_cycle, fraction, round_even(max_cycle * fraction, 0)::BIGINT AS standing_cycle
   FROM lengths, (SELECT unnest([{', '.join(f'{f}::DOUBLE' for f in STANDING_FRACTIONS)}]) AS fraction)
 )"""
 
-PREFIX = f"""{FEATURES}, {STANDING_CYCLES},
+
+STANDING_CYCLES = _standing_cycles()
+
+
+def _prefix(*, silenced: bool = False) -> str:
+    columns, rows = (SILENCED, LIVED) if silenced else (", ".join(FEATURE_COLUMNS), "true")
+    return f"""{FEATURES}, {_standing_cycles(rows)},
 settled AS (SELECT unit_id, split, {SETTLED} FROM features),
 train AS (SELECT * FROM settled WHERE split = 'train'),
 asked AS (SELECT DISTINCT unit_id, standing_cycle FROM standing_cycles),
+lived AS (SELECT unit_id, {columns} FROM settled WHERE {rows}),
 seen AS (
-  SELECT a.standing_cycle, f.* FROM settled f JOIN asked a ON f.unit_id = a.unit_id AND f.cycle_index <= a.standing_cycle
+  SELECT a.standing_cycle, f.* FROM lived f JOIN asked a ON f.unit_id = a.unit_id AND f.cycle_index <= a.standing_cycle
 ),
 ref AS ({_long(FEATURE_COLUMNS, 'train')}),
 cur AS ({_long(FEATURE_COLUMNS, 'seen', 'unit_id, standing_cycle')}),
 {_psi('unit_id, standing_cycle')}"""
 
+
+PREFIX = _prefix()
+
 ROUTES = """
 routed AS (
   SELECT user_id AS unit_id, event_id AS file_cycle_number, value,
@@ -253,6 +280,9 @@ def oracle_sql() -> dict[str, str]:
              charge / 1000 AS charge_current_end, (s.seg + 1)::INTEGER AS cycle_index
       FROM segmented s LEFT JOIN charges c ON s.unit_id = c.unit_id AND s.seg = c.seg
       WHERE s.route = 'discharge'"""
+    sql["charge_carry_chunked"] = sql["charge_carry"]
+    sql["fleet_chunked"] = (f"WITH {FLEET} SELECT unit_id, cycle_index, file_cycle_number, 2 * soh AS capacity_ah, "
+                            "ambient_temperature FROM fleet")
     sql["waveform_summaries"] = """WITH w AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
       SELECT vec_id, round(v[-1], 9) AS discharge_duration_s, round(list_min(v), 9) AS voltage_min,
              round(list_avg(v), 9) AS voltage_mean, round(list_avg(v), 9) AS current_mean,
@@ -340,6 +370,7 @@ def oracle_sql() -> dict[str, str]:
     sql["rul_points"] = f"""WITH {SLOPE_POINTS}
       SELECT unit_id, cycle_index, split, method, threshold, rul_true, round(rul_pred, 4) AS rul_pred FROM slope_points"""
     sql["rul_slope_error"] = f"WITH {SLOPE_POINTS} {SUMMARY.format(points='slope_points')}"
+    sql["rul_slope_error_chunked"] = sql["rul_slope_error"]
     observed = "[" + ", ".join(f"soh_h{k}" for k in OBSERVED_GRID) + "]"
     sql["rul_trajectory_points"] = f"""WITH {FEATURES}{EOL}{STANDING},
       labelled AS (SELECT unit_id, cycle_index, {_targets(OBSERVED_GRID)} FROM fleet),
@@ -369,8 +400,11 @@ def oracle_sql() -> dict[str, str]:
       grid AS (SELECT feature, unnest(range(0, 10)) AS bin FROM edges)
       SELECT grid.feature AS feature, grid.bin::INTEGER AS bin, coalesce(n, 0) AS n
       FROM grid LEFT JOIN cur_counts USING (feature, bin)"""
-    sql["drift_by_split"] = f"WITH {_fleet_drift('split', 'split')} SELECT * FROM drift"
-    sql["drift_by_unit"] = f"WITH {_fleet_drift('split, unit_id', 'split, unit_id')} SELECT * FROM drift"
+    sql["drift_by_split"] = f"WITH {_fleet_drift('split')} {_with_no_data('split', 'held')}"
+    sql["drift_by_unit"] = f"WITH {_fleet_drift('split, unit_id')} {_with_no_data('split, unit_id', 'held')}"
+    sql["drift_by_unit_silenced"] = (
+        f"WITH {_fleet_drift('split, unit_id', silenced=True)} {_with_no_data('split, unit_id', 'held')}")
+    sql["drift_edges_narrowed"] = sql["drift_edges"]
     sql["drift_stream"] = f"WITH {STREAM_DRIFT} SELECT 0::BIGINT AS batch_id, feature, psi, rating FROM drift"
 
     curve = "[" + ", ".join(str(k) for k in HORIZON_GRID) + "]"
@@ -379,7 +413,8 @@ def oracle_sql() -> dict[str, str]:
         SELECT f.unit_id, fraction, max_cycle, cycle_index, soh, soh_prev
         FROM features f JOIN standing_cycles s ON f.unit_id = s.unit_id AND f.cycle_index = s.standing_cycle
         WHERE soh_prev IS NOT NULL AND split IN ('val', 'test'))
-      SELECT unit_id, fraction, 'actual' AS series, cycle_index::DOUBLE AS x, round(soh, 9) AS soh FROM stood
+      SELECT unit_id, NULL::DOUBLE AS fraction, 'actual' AS series, cycle_index::DOUBLE AS x, round(soh, 9) AS soh
+      FROM features WHERE split IN ('val', 'test')
       UNION ALL
       SELECT unit_id, fraction, 'baseline', (cycle_index - 1 + k)::DOUBLE, round(soh_prev + slope * k, 9)
       FROM stood, slope, (SELECT unnest({curve}) AS k) WHERE cycle_index - 1 + k <= max_cycle + 25"""
@@ -394,7 +429,9 @@ def oracle_sql() -> dict[str, str]:
         FROM stood JOIN eol USING (unit_id), slope)
       SELECT unit_id, cycle_index, soh, soh_prev, threshold, rul_true, round(rul_baseline, 4) AS rul_baseline,
              round(rul_baseline - rul_true, 4) AS delta_baseline FROM answered"""
-    sql["prefix_drift"] = f"WITH {PREFIX} SELECT * FROM drift"
+    standing = "unit_id, standing_cycle"
+    sql["prefix_drift"] = f"WITH {PREFIX} {_with_no_data(standing, 'seen')}"
+    sql["prefix_drift_silenced"] = f"WITH {_prefix(silenced=True)} {_with_no_data(standing, 'seen')}"
     sql["worst_prefix_drift"] = f"""WITH {PREFIX},
       ranked AS (SELECT *, row_number() OVER (PARTITION BY unit_id, standing_cycle ORDER BY psi DESC, feature) AS place FROM drift)
       SELECT unit_id, standing_cycle, feature, psi, rating FROM ranked WHERE place = 1"""
@@ -426,6 +463,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT feature, count(*) AS n, round(median(x), 6) AS median, round(avg(x), 6) AS mean,
              round(CASE WHEN stddev_pop(x) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(x) END, 6) AS std
       FROM ref GROUP BY feature"""
+    sql["feature_medians_narrowed"] = sql["feature_medians"]
     # Ridge with two features in closed form: scaled features, centred label, alpha = 1.
     sql["ridge_forecast"] = f"""WITH {FEATURES},
       labelled AS (SELECT *, {_targets((10,))} FROM features),

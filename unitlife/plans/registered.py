@@ -78,6 +78,21 @@ def charge_carry(spark, d):
         charge_columns=("charge_duration_s", "charge_current_end"))
 
 
+SMALL_CHUNK, SMALL_LIMIT = 16, 1000  # so that the given tables take the ways for large units and columns
+
+
+def fleet_chunked(spark, d):
+    """The fleet, numbered and summed over chunks."""
+    return views.fleet_from_events(spark, d, SMALL_CHUNK).select(
+        "unit_id", "cycle_index", "file_cycle_number", "capacity_ah", "ambient_temperature")
+
+
+def charge_carry_chunked(spark, d):
+    return ingest.attach_charges(
+        views.routed_entries(spark, d), KEYS, dense=False, chunk_rows=SMALL_CHUNK,
+        charge_columns=("charge_duration_s", "charge_current_end"))
+
+
 def waveform_summaries(spark, d):
     samples = F.col("embedding").cast("array<double>")
     entries = views.table(spark, d, "embeddings").select("vec_id", F.struct(
@@ -253,6 +268,16 @@ def rul_slope_error(spark, d):
     return _summary(rul.rul_points(held_out, _slope(assigned), held_out, keys=KEYS), spark, d)
 
 
+def rul_slope_error_chunked(spark, d):
+    """The same over chunks of a few cycles, medians by counted histograms."""
+    df = features.build_features(views.fleet(spark, d), KEYS, dense=True, keep_chunk=True, chunk_rows=SMALL_CHUNK)
+    assigned = splits.assign_splits(df, views.cohort(spark, d), views.excluded(spark, d), KEYS, check=False)
+    held_out = _held_out(assigned)
+    points = rul.rul_points(held_out, _slope(assigned), held_out, keys=KEYS, chunk_rows=SMALL_CHUNK)
+    table = rul.rul_summary(points, KEYS, limit=SMALL_CHUNK)
+    return _round(table, COARSE, "rul_mae_cycles", "rul_median_ae_cycles", "rul_max_ae_cycles")
+
+
 def rul_trajectory_points(spark, d):
     """The crossing rule on the observed future as trajectory, over the whole fleet."""
     df = _features(spark, d, OBSERVED_GRID)
@@ -317,6 +342,13 @@ def drift_edges(spark, d):
         "edge", F.round("edge", FINE))
 
 
+def drift_edges_narrowed(spark, d):
+    """The edges by counted histograms, as for columns beyond the limit of a task."""
+    edges = drift.reference_edges(_reference_items(spark, d), DRIFT_COLUMNS, digits=FINE, limit=SMALL_LIMIT)
+    return edges.select("feature", "n", F.posexplode("edges").alias("position", "edge")).withColumn(
+        "edge", F.round("edge", FINE))
+
+
 def drift_histogram(spark, d):
     reference = _reference_items(spark, d)
     edges = drift.fit_edges(reference, DRIFT_COLUMNS, digits=FINE)
@@ -342,6 +374,20 @@ def drift_by_unit(spark, d):
     return _round(report, FINE, "psi")
 
 
+def _silenced(df: DataFrame) -> DataFrame:
+    """Some units cut to twelve cycles, some without one of the features."""
+    short = F.col("unit_id") % 5 == 0
+    return df.filter(~short | (F.col("cycle_index") <= 12)).withColumn(
+        "charge_current_end", F.when(F.col("unit_id") % 3 != 1, F.col("charge_current_end")))
+
+
+def drift_by_unit_silenced(spark, d):
+    assigned = _settled(_from_table(spark, d))
+    report = drift.drift_by(
+        _train(assigned), _silenced(_held_out(assigned)), FEATURE_COLUMNS, ["split", "unit_id"], digits=FINE)
+    return _round(report, FINE, "psi")
+
+
 def drift_stream(spark, d):
     """Line items as a stream, each micro-batch compared with the reference."""
     stream = (
@@ -389,6 +435,14 @@ def prefix_drift(spark, d):
     return _round(_prefix_drift(spark, d), FINE, "psi")
 
 
+def prefix_drift_silenced(spark, d):
+    lived = _silenced(views.fleet_features(spark, d))
+    standing = projection.standing_points(lived, keys=KEYS).select("unit_id", "cycle_index")
+    report = projection.prefix_drift(
+        _settled(lived), standing, _settled(_train(_from_table(spark, d))), FEATURE_COLUMNS, keys=KEYS, digits=FINE)
+    return _round(report, FINE, "psi")
+
+
 def worst_prefix_drift(spark, d):
     return _round(projection.worst_prefix_drift(_round(_prefix_drift(spark, d), FINE, "psi"), KEYS), FINE, "psi")
 
@@ -430,6 +484,11 @@ def feature_medians(spark, d):
     return _round(models.feature_statistics(train, FEATURE_COLUMNS), COARSE, "median", "mean", "std")
 
 
+def feature_medians_narrowed(spark, d):
+    train = _train(_from_table(spark, d))
+    return _round(models.feature_statistics(train, FEATURE_COLUMNS, SMALL_LIMIT), COARSE, "median", "mean", "std")
+
+
 RIDGE_FEATURES = ["soh_prev", "charge_duration_s"]
 
 
@@ -483,7 +542,8 @@ def rul_model_error(spark, d):
 
 
 _QUERIES = (
-    skip_counts, charge_carry, waveform_summaries, datevec_times, largest_copy, validation_counts,
+    skip_counts, charge_carry, charge_carry_chunked, fleet_chunked, drift_edges_narrowed, drift_by_unit_silenced,
+    prefix_drift_silenced, rul_slope_error_chunked, feature_medians_narrowed, waveform_summaries, datevec_times, largest_copy, validation_counts,
     capacity_examples, feature_build, feature_build_as_of, feature_coverage, horizon_targets, grid_labels,
     seen_and_future, split_assignment, split_sizes, split_units, unknown_units, excluded_present,
     leaked_units, cohort_mismatch, cohort_problems, fade_slope, baseline_metrics, leakage_suspects,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,39 +14,57 @@ from unitlife.operators.drift import drift_by
 from unitlife.operators.features import (
     FEATURE_COLUMNS, add_horizon_targets, build_features, horizon_target,
 )
-from unitlife.operators.ingest import cycles_from_entries
+from unitlife.operators.ingest import cycles_from_entries, route_entries, skip_counts
 from unitlife.operators.models import (
     TrainConfig, feature_names, predict, train_grid, train_variants, trajectory_columns, with_trajectory,
 )
 from unitlife.operators.projection import projections
-from unitlife.operators.rul import rul_points, rul_summary
+from unitlife.operators.rul import censored_units, eol_cycles, rul_points, rul_summary
 from unitlife.operators.splits import EXCLUDED_UNITS, SPLIT_OF, UnitList, UnitTable, assign_splits, split_frames
 from unitlife.operators.validate import validate_cycles
 from unitlife.schema import HORIZON_GRID, Keys
 from unitlife.sources import landing, tables
 
 
+class Ingested(NamedTuple):
+    """``skipped`` counts each unit's entries by what became of them; ``files`` has the chosen file per unit and the
+    number of its other copies."""
+
+    cycles: DataFrame
+    skipped: DataFrame
+    files: DataFrame
+
+
+class Lives(NamedTuple):
+    """Remaining life: points, error summary, the fitted grid, and the held-out units that never reach a threshold."""
+
+    points: DataFrame
+    summary: DataFrame
+    models: dict[int, PipelineModel]
+    censored: DataFrame
+
+
 def ingest(spark: SparkSession, root: str, out: str | None = None, *, pattern: str = "*.parquet",
-           kind: str = "parquet") -> DataFrame:
-    """Raw unit files to the validated cycle table.
+           kind: str = "parquet") -> Ingested:
+    """Raw unit files to the validated cycle table, with the counts of what was left out.
 
     The cycle table is a small fraction of the sample arrays it summarises; it is kept while it is
     validated and written, so the arrays are read once.
     """
     files = landing.discover_unit_files(spark, root, pattern)
     entries = landing.read_unit_files(spark, files, kind)
-    # A unit arrives as one nested record, so its summaries fit one task.
-    cycles = cycles_from_entries(entries, small=True).persist()
+    skipped = skip_counts(route_entries(entries))
+    cycles = cycles_from_entries(entries).persist()
     try:
         validate_cycles(cycles)
         if out is None:
-            return cycles
+            return Ingested(cycles, skipped, files)
         tables.write_unit_table(cycles, out)
     except BaseException:
         cycles.unpersist()
         raise
     cycles.unpersist()
-    return tables.read_cycles(spark, out)
+    return Ingested(tables.read_cycles(spark, out), skipped, files)
 
 
 def features(spark: SparkSession, cycles_path: str, out: str) -> DataFrame:
@@ -98,10 +117,10 @@ def forecast_soh(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
 def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, excluded: UnitList = EXCLUDED_UNITS,
                  config: TrainConfig = TrainConfig(horizons=HORIZON_GRID), out: str | None = None,
                  models: Mapping[int, PipelineModel] | None = None, keys: Keys = Keys(),
-                 dense: bool = False) -> tuple[DataFrame, DataFrame, dict[int, PipelineModel]]:
+                 dense: bool = False) -> Lives:
     """Fit the horizon grid and predict remaining life of the held-out units.
 
-    Returns (points, summary, models). Pass ``models`` to reuse a fitted grid.
+    Pass ``models`` to reuse a fitted grid.
     """
     targets = add_horizon_targets(features_df, config.horizons, keys, dense=dense)
     assigned = assign_splits(targets, cohort, excluded, keys)
@@ -118,10 +137,11 @@ def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
         with_trajectory(held_out, grid), slope, held_out, trajectory=trajectory_columns(grid), keys=keys
     ).drop("split")
     sizes = held_out.select(keys.unit)
+    censored = censored_units(eol_cycles(held_out, keys=keys))
     if out is None:
-        return points, rul_summary(points, keys, sized_by=sizes), grid
+        return Lives(points, rul_summary(points, keys, sized_by=sizes), grid, censored)
     written, summary = tables.write_rul(points, out, lambda p: rul_summary(p, keys, sized_by=sizes))
-    return written, summary, grid
+    return Lives(written, summary, grid, censored)
 
 
 def report_tables(features_df: DataFrame, metrics: DataFrame, summary: DataFrame,
