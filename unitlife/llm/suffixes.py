@@ -97,7 +97,9 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> Anchors:
     new[1:] = at[1:] != at[:-1]
     lead = np.flatnonzero(new)
     tail = np.append(lead[1:], len(at)) - 1 if len(lead) else lead
-    return Anchors(at[lead], begin[lead], begin[tail], h[at[lead]], owner[lead])
+    ranks = h[at[lead]] * _FACTORS[5]  # least hashes are small; spread them over all ranges again
+    ranks ^= ranks >> np.uint64(32)
+    return Anchors(at[lead], begin[lead], begin[tail], ranks * _FACTORS[6], owner[lead])
 
 
 def part_anchors(data: np.ndarray, starts: np.ndarray) -> Anchors:
