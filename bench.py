@@ -21,7 +21,7 @@ HEADLINES = (
     "charge_carry", "validation_counts", "waveform_summaries", "feature_build", "horizon_targets",
     "split_assignment", "baseline_metrics", "eol_cycles", "rul_slope_error", "rul_trajectory_points",
     "drift_report", "drift_by_unit", "projections", "point_in_time", "prefix_drift", "fleet_audit",
-    "feature_medians", "ridge_forecast",
+    "feature_medians", "ridge_forecast", "ridge_metrics", "boosted_metrics", "rul_model_error",
 )
 
 

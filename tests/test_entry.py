@@ -5,13 +5,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from unitlife.plans import oracle
 from tools.check_oracle import TABLES, normal
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 
-NAMES = ["charge_carry", "feature_build", "rul_slope_error", "rul_trajectory_points", "baseline_metrics",
-         "drift_report", "point_in_time", "fleet_audit", "validation_counts", "largest_copy"]
+NAMES = sorted(oracle.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +39,18 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(columns) == sorted(df.columns)
     theirs = sorted(tuple(normal(v) for v in row) for row in cursor.fetchall())
     assert sorted(tuple(normal(r[c]) for c in columns) for r in df.collect()) == theirs
+
+
+def test_sorted_results_are_in_order(spark):
+    """The rows of the ordered reports as they come."""
+    run = entry.queries()
+    report = run["drift_report"](spark, SMALL).collect()
+    assert report == sorted(report, key=lambda r: (-r.psi, r.feature))
+    metrics = run["metrics_report"](spark, SMALL).collect()
+    assert [r.split for r in metrics] == sorted((r.split for r in metrics), reverse=True)
+    for split in {r.split for r in metrics}:
+        own = [(r.horizon, r.mae, r.unit_id, r.method) for r in metrics if r.split == split]
+        assert [x[0] for x in own] == sorted(x[0] for x in own)
+        assert all(a[0] != b[0] or a[1] <= b[1] + 1e-12 for a, b in zip(own, own[1:], strict=False))
+    examples = [(r.unit_id, r.cycle_index, r.capacity_ah) for r in run["capacity_examples"](spark, SMALL).collect()]
+    assert examples == sorted(examples)

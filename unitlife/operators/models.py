@@ -159,10 +159,10 @@ def predict(df: DataFrame, models: Mapping[str, PipelineModel]) -> DataFrame:
     return df.select(*columns[:len(columns) - len(models)], *models)
 
 
-def train_variants(train: DataFrame, val: DataFrame, config: TrainConfig = TrainConfig(),
-                   keys: Keys = Keys()) -> dict[tuple[str, int], PipelineModel]:
+def train_variants(train: DataFrame, val: DataFrame, config: TrainConfig = TrainConfig(), keys: Keys = Keys(),
+                   only: Sequence[str] | None = None) -> dict[tuple[str, int], PipelineModel]:
     """One directly trained model per variant and horizon that has a label; the fits share the cluster."""
-    chosen = variants(keys)
+    chosen = {name: names for name, names in variants(keys).items() if only is None or name in only}
     boosted = _median_map(train, feature_names(FEATURE_COLUMNS, keys))
 
     def fit(job):

@@ -19,7 +19,7 @@ fleet AS (
          CASE WHEN event_type <> 'error' THEN value / 10000 END AS charge_current_end,
          CASE WHEN event_type <> 'error' THEN 25 + value / 20 END AS charge_temp_max
   FROM events
-  WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
 )"""
 
 FEATURES = FLEET + """,
@@ -76,18 +76,63 @@ SELECT unit_id, threshold, method, count(*) AS n_points,
 FROM {points} GROUP BY unit_id, threshold, method"""
 
 
-def _crossing(horizons, values: str) -> str:
-    """The crossing rule over a list column ``y`` built by ``values``; adds ``rul_pred``."""
-    h = "[" + ", ".join(f"{k}::DOUBLE" for k in horizons) + "]"
-    n = len(horizons)
-    return f"""
+# Over the lists h and y of ``curves``.
+CROSSING = """
   SELECT *, CASE
     WHEN j = 1 THEN h[1]
     WHEN j > 1 THEN h[j - 1] + (y[j - 1] - threshold) * (h[j] - h[j - 1]) / (y[j - 1] - y[j])
-    WHEN (y[{n}] - y[{n - 1}]) / (h[{n}] - h[{n - 1}]) < 0
-      THEN h[{n}] + (y[{n}] - threshold) / -((y[{n}] - y[{n - 1}]) / (h[{n}] - h[{n - 1}])) END AS rul_pred
+    WHEN (y[-1] - y[-2]) / (h[-1] - h[-2]) < 0
+      THEN h[-1] + (y[-1] - threshold) / -((y[-1] - y[-2]) / (h[-1] - h[-2])) END AS rul_pred
   FROM (SELECT *, coalesce(list_position(list_transform(y, lambda v: coalesce(v < threshold, false)), true), 0) AS j
-        FROM (SELECT *, {h} AS h, {values} AS y FROM standing_rows))"""
+        FROM {curves})"""
+
+
+def _crossing(horizons, values: str) -> str:
+    """The crossing rule over a list column ``y`` built by ``values``; adds ``rul_pred``."""
+    h = "[" + ", ".join(f"{k}::DOUBLE" for k in horizons) + "]"
+    return CROSSING.format(curves=f"(SELECT *, {h} AS h, {values} AS y FROM standing_rows)")
+
+
+def _ridge(horizons) -> str:
+    """``ridge(unit_id, cycle_index, split, soh, soh_prev, horizon, y, p)``: the closed form with scaled features, a
+    centred label and alpha 1, solved by elimination per horizon."""
+    n = len(FEATURE_COLUMNS)
+    at = range(1, n + 1)
+    each = lambda make: "[" + ", ".join(make(i) for i in at) + "]"
+    gram = each(lambda i: "[" + ", ".join(
+        [f"sum(z[{i}] * z[{j}]) + {int(i == j)}" for j in at] + [f"sum(z[{i}] * c)"]) + "]")
+    return f"""
+labelled AS (SELECT *, {_targets(horizons)} FROM features),
+asked AS (
+  SELECT unit_id, cycle_index, split, soh, soh_prev, unnest([{', '.join(f'{k}::INTEGER' for k in horizons)}]) AS horizon,
+         unnest([{', '.join(f'soh_h{k}' for k in horizons)}]) AS y, [{', '.join(f'{c}::DOUBLE' for c in FEATURE_COLUMNS)}] AS x
+  FROM labelled
+),
+fit AS (SELECT * FROM asked WHERE split = 'train' AND y IS NOT NULL),
+med AS (SELECT horizon, {each(lambda i: f'median(x[{i}])')} AS m FROM fit GROUP BY horizon),
+raw AS (SELECT horizon, y, {each(lambda i: f'coalesce(x[{i}], m[{i}])')} AS x FROM fit JOIN med USING (horizon)),
+scale AS (
+  SELECT horizon, avg(y) AS ay, {each(lambda i: f'avg(x[{i}])')} AS a,
+         {each(lambda i: f'CASE WHEN stddev_pop(x[{i}]) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(x[{i}]) END')} AS s
+  FROM raw GROUP BY horizon
+),
+z AS (
+  SELECT horizon, y - ay AS c, {each(lambda i: f'(x[{i}] - a[{i}]) / s[{i}]')} AS z FROM raw JOIN scale USING (horizon)
+),
+solved AS (
+  SELECT horizon, 1 AS k, {gram} AS g FROM z GROUP BY horizon
+  UNION ALL
+  SELECT horizon, k + 1, list_transform(g, lambda line, r: CASE
+    WHEN r = k THEN list_transform(line, lambda v: v / line[k])
+    ELSE list_transform(line, lambda v, j: v - line[k] * g[k][j] / g[k][k]) END)
+  FROM solved WHERE k <= {n}
+),
+ridge AS (
+  SELECT unit_id, cycle_index, split, soh, soh_prev, horizon, y,
+         ay + {' + '.join(f'g[{i}][{n + 1}] * (coalesce(x[{i}], m[{i}]) - a[{i}]) / s[{i}]' for i in at)} AS p
+  FROM asked JOIN med USING (horizon) JOIN scale USING (horizon) JOIN solved USING (horizon)
+  WHERE k = {n + 1} AND split IN ('val', 'test')
+)"""
 
 
 def _targets(horizons) -> str:
@@ -95,15 +140,7 @@ def _targets(horizons) -> str:
         f"lead(soh, {k - 1}) OVER (PARTITION BY unit_id ORDER BY cycle_index) AS soh_h{k}" for k in horizons)
 
 
-ERRORS = FEATURES + SLOPE + f""",
-labelled AS (SELECT *, {_targets(HORIZONS)} FROM features),
-forecasts AS (
-  {" UNION ALL ".join(
-      f"SELECT split, unit_id, {k}::INTEGER AS horizon, soh_h{k} AS y, soh_prev, "
-      f"'baseline_last_value' AS method, soh_prev AS p FROM labelled UNION ALL "
-      f"SELECT split, unit_id, {k}::INTEGER, soh_h{k}, soh_prev, 'baseline_global_slope', "
-      f"soh_prev + slope * {k} FROM labelled, slope" for k in HORIZONS)}
-),
+METRICS = """,
 metrics AS (
   SELECT split, method, horizon, unit_id, count(*) AS n, avg(abs(y - p)) AS mae,
          sqrt(avg((y - p) * (y - p))) AS rmse,
@@ -114,6 +151,18 @@ metrics AS (
   GROUP BY split, method, horizon, unit_id
 )"""
 
+LABELLED = f""",
+labelled AS (SELECT *, {_targets(HORIZONS)} FROM features)"""
+BASELINES = f""",
+baseline_forecasts AS (
+  {" UNION ALL ".join(
+      f"SELECT split, unit_id, {k}::INTEGER AS horizon, soh_h{k} AS y, soh_prev, "
+      f"'baseline_last_value' AS method, soh_prev AS p FROM labelled UNION ALL "
+      f"SELECT split, unit_id, {k}::INTEGER, soh_h{k}, soh_prev, 'baseline_global_slope', "
+      f"soh_prev + slope * {k} FROM labelled, slope" for k in HORIZONS)}
+)"""
+ERRORS = (FEATURES + SLOPE + LABELLED + BASELINES + ",\nforecasts AS (SELECT * FROM baseline_forecasts)" + METRICS)
+
 PROBABILITIES = ", ".join(f"{p!r}::DOUBLE" for p in [i * 0.1 for i in range(10)] + [1.0])
 
 
@@ -464,23 +513,40 @@ def oracle_sql() -> dict[str, str]:
              round(CASE WHEN stddev_pop(x) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(x) END, 6) AS std
       FROM ref GROUP BY feature"""
     sql["feature_medians_narrowed"] = sql["feature_medians"]
-    # Ridge with two features in closed form: scaled features, centred label, alpha = 1.
-    sql["ridge_forecast"] = f"""WITH {FEATURES},
-      labelled AS (SELECT *, {_targets((10,))} FROM features),
-      fit AS (SELECT * FROM labelled WHERE split = 'train' AND soh_h10 IS NOT NULL),
-      med AS (SELECT median(soh_prev) AS m1, median(charge_duration_s) AS m2 FROM fit),
-      raw AS (SELECT coalesce(soh_prev, m1) AS x1, coalesce(charge_duration_s, m2) AS x2, soh_h10 AS y FROM fit, med),
-      scale AS (
-        SELECT avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM raw),
-      sums AS (
-        SELECT sum(((x1 - a1) / s1) ^ 2) + 1 AS k11, sum(((x2 - a2) / s2) ^ 2) + 1 AS k22,
-               sum((x1 - a1) / s1 * (x2 - a2) / s2) AS k12,
-               sum((x1 - a1) / s1 * (y - ay)) AS b1, sum((x2 - a2) / s2 * (y - ay)) AS b2 FROM raw, scale),
-      weights AS (
-        SELECT (b1 * k22 - b2 * k12) / (k11 * k22 - k12 * k12) AS w1,
-               (b2 * k11 - b1 * k12) / (k11 * k22 - k12 * k12) AS w2 FROM sums)
-      SELECT unit_id, cycle_index,
-             round(ay + w1 * (soh_prev - a1) / s1 + w2 * (coalesce(charge_duration_s, m2) - a2) / s2, 6) AS prediction_h10
-      FROM labelled, med, scale, weights
-      WHERE split IN ('val', 'test') AND soh_prev IS NOT NULL AND soh_h10 IS NOT NULL"""
+    sql["ridge_forecast"] = f"""WITH RECURSIVE {FEATURES}, {_ridge(HORIZONS)}
+      SELECT unit_id, cycle_index, horizon, round(p, 6) AS prediction FROM ridge
+      WHERE soh_prev IS NOT NULL AND y IS NOT NULL"""
+    rounded = ", ".join(
+        f"CASE WHEN method LIKE 'baseline%' THEN round({c}, 12) ELSE round({c}, 6) END AS {c}" for c in ("mae", "rmse"))
+    sql["ridge_metrics"] = f"""WITH RECURSIVE {FEATURES}{SLOPE}, {_ridge(HORIZONS)}{BASELINES},
+      forecasts AS (
+        SELECT * FROM baseline_forecasts
+        UNION ALL SELECT split, unit_id, horizon, y, soh_prev, 'ridge_autoregressive', p FROM ridge){METRICS}
+      SELECT split, method, horizon, unit_id, n, {rounded}, round(r2, 6) AS r2 FROM metrics"""
+    unknown = ", ".join(f"CASE WHEN method LIKE 'baseline%' THEN round({c}, {n}) END AS {c}"
+                        for c, n in (("mae", 12), ("rmse", 12), ("r2", 6)))
+    sql["boosted_metrics"] = f"""WITH {FEATURES}{SLOPE}{LABELLED}{BASELINES},
+      forecasts AS (
+        SELECT * FROM baseline_forecasts
+        UNION ALL SELECT split, unit_id, horizon, y, soh_prev, unnest(['gbt_autoregressive', 'gbt_telemetry']), p
+        FROM baseline_forecasts WHERE method = 'baseline_last_value'){METRICS}
+      SELECT split, method, horizon, unit_id, n, {unknown} FROM metrics"""
+    sql["rul_model_error"] = f"""WITH RECURSIVE {FEATURES}{SLOPE}{EOL}{STANDING},
+      slope_points AS (
+        SELECT unit_id, threshold, 'global_slope' AS method, rul_true, {SLOPE_RUL} AS rul_pred
+        FROM standing, slope WHERE split IN ('val', 'test')), {_ridge(HORIZON_GRID)},
+      grid AS (
+        SELECT horizon FROM (
+          SELECT horizon, min(count(y)) OVER (ORDER BY horizon) AS fewest FROM asked WHERE split = 'train' GROUP BY horizon)
+        WHERE fewest >= 50),
+      curves AS (
+        SELECT unit_id, cycle_index, list(horizon::DOUBLE ORDER BY horizon) AS h, list(p ORDER BY horizon) AS y
+        FROM ridge JOIN grid USING (horizon) GROUP BY unit_id, cycle_index),
+      standing_curves AS (
+        SELECT s.*, h, y FROM standing s JOIN curves USING (unit_id, cycle_index) WHERE split IN ('val', 'test')),
+      crossed AS ({CROSSING.format(curves='standing_curves')}),
+      both_methods AS (
+        SELECT unit_id, threshold, method, rul_true, rul_pred FROM slope_points
+        UNION ALL SELECT unit_id, threshold, 'ridge_trajectory', rul_true, rul_pred FROM crossed)
+      {SUMMARY.replace(', 6)', ', 3)').format(points='both_methods')}"""
     return sql

@@ -73,7 +73,7 @@ def features(spark: SparkSession, cycles_path: str, out: str) -> DataFrame:
     return tables.read_features(spark, out)
 
 
-def _training_columns(train: DataFrame, horizons: Sequence[int], keys: Keys) -> DataFrame:
+def training_columns(train: DataFrame, horizons: Sequence[int], keys: Keys) -> DataFrame:
     """What the fits read, so that nothing else is kept in the cache."""
     return train.select("soh", *feature_names(FEATURE_COLUMNS, keys), *[horizon_target(k) for k in horizons])
 
@@ -100,7 +100,7 @@ def forecast_soh(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
     targets = add_horizon_targets(features_df, config.horizons, keys, dense=dense)
     assigned = assign_splits(targets, cohort, excluded, keys)
     frames = split_frames(assigned)
-    train = _training_columns(frames["train"], config.horizons, keys).persist()
+    train = training_columns(frames["train"], config.horizons, keys).persist()
     try:
         slope = evaluate.fade_slope(train).first()["slope"]
         models = train_variants(train, frames["val"], config, keys)
@@ -125,7 +125,7 @@ def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
     targets = add_horizon_targets(features_df, config.horizons, keys, dense=dense)
     assigned = assign_splits(targets, cohort, excluded, keys)
     frames = split_frames(assigned)
-    train = _training_columns(frames["train"], config.horizons, keys).persist()
+    train = training_columns(frames["train"], config.horizons, keys).persist()
     try:
         slope = evaluate.fade_slope(train).first()["slope"]
         grid = dict(models) if models is not None else train_grid(
