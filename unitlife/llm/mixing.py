@@ -120,12 +120,13 @@ def mix(df: DataFrame, levels: Sequence[str], share: tuple[int, int] = (1, 1),
     upto = Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     line = stored(
         partial(started).groupBy(*names, "slice")
-        .agg(F.sum("tokens").alias("total"), F.max(rest).alias("rest"))
+        .agg(F.sum("tokens").alias("total"), F.max(rest).alias("rest"),
+             F.max("budget").alias("budget"), F.max("leaf_tokens").alias("leaf_tokens"))
         .withColumn("upto", F.sum("total").over(upto))
         .filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("total") < F.col("rest")))
-        .select(*names, F.col("slice").alias("line"), (F.col("rest") - F.col("upto") + F.col("total")).alias("room")),
+        .select(*names, "budget", "leaf_tokens", F.col("slice").alias("line"), (F.col("rest") - F.col("upto") + F.col("total")).alias("room")),
         "mix-line")
-    near = partial(_join(started, line, names)).filter(F.col("slice") <= F.col("line"))
+    near = partial(line).filter(F.col("slice") <= F.col("line"))
     in_slice = Window.partitionBy(*names).orderBy("place", F.md5(text)).rowsBetween(Window.unboundedPreceding, -1)
     crossing = (
         near.filter(F.col("slice") == F.col("line"))
