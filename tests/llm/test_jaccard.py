@@ -70,7 +70,8 @@ def test_against_all_pairs(spark, options):
 
 def test_keep_one_leaves_one_row_per_class(spark):
     rows = corpus(5)
-    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, other string")
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, other string").selectExpr(
+        "*", "1 AS node", "2 AS own", "3 AS copy_of", "4 AS c0")
     kept = jaccard.keep_one(df).collect()
     expected = {(r[2], ) for r in brute(rows)}
     with_text = [r for r in kept if r.text is not None]

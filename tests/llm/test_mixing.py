@@ -52,8 +52,10 @@ def test_against_a_walk(spark, seed, share, epochs):
     data = rows(seed)
     weights = {"domain": {"a": 5, "b": 2}, "lang": {"en": 3}}
     df = spark.createDataFrame(data, "doc_id long, text string, domain string, lang string, source string, tokens int")
+    df = df.selectExpr("*", "1 AS budget", "2 AS slice", "3 AS level0", "4 AS c0", "5 AS place")
     out = mixing.mix(df, LEVELS, share, weights, epochs, seed=3)
-    assert out.columns == ["doc_id", "text", *LEVELS, "epoch", "tokens"]
+    assert out.columns == ["doc_id", "text", *LEVELS, "budget", "slice", "level0", "c0", "place", "epoch", "tokens"]
+    assert {tuple(r) for r in out.select("budget", "slice", "level0", "c0", "place").collect()} <= {(1, 2, 3, 4, 5)}
     got = sorted(((str(r.doc_id), r.epoch, r.tokens) for r in out.collect()))
 
     sized = [(r[0], -(-len(r[1] or "") // 4), r[2:5]) for r in data]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitlife.llm.components import components
-from unitlife.llm.shared import batched, stored
+from unitlife.llm.shared import batched, positional, stored
 
 WORDS = 5
 THRESHOLD = (4, 5)
@@ -289,10 +289,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     """``docs`` with one row of each class, the one of the least key; rows without a text stay."""
     found = classes(docs, key, text, **options)
     kept = (found.filter(F.col("node") == F.col("class_node"))
-            .select(F.col("node").alias("_node"), F.col("copy_of").alias("_key")).distinct())
-    rows = docs.withColumn("_own", F.unhex(F.md5(F.col(text).cast("string"))))
+            .select("node", "copy_of").distinct())
+    flat = positional(docs)
+    place_of = dict(zip(docs.columns, flat.columns, strict=True))
+    body, number = F.col(place_of[text]), F.col(place_of[key]).cast("bigint")
     one = (
-        rows.join(kept, (F.col("_own") == F.col("_node")) & F.col(key).cast("bigint").eqNullSafe(F.col("_key")))
-        .dropDuplicates(["_own"]).drop("_own", "_node", "_key")
+        flat.withColumn("own", F.unhex(F.md5(body.cast("string"))))
+        .join(kept, (F.col("own") == F.col("node")) & number.eqNullSafe(F.col("copy_of")))
+        .dropDuplicates(["own"]).select(*flat.columns)
     )
-    return one.unionByName(docs.filter(F.col(text).isNull()))
+    return one.union(flat.filter(body.isNull())).toDF(*docs.columns)

@@ -24,7 +24,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitlife.llm.shared import stored
+from unitlife.llm.shared import positional, stored
 
 SLICE_DIGITS = 3  # hexadecimal
 
@@ -95,10 +95,13 @@ def mix(df: DataFrame, levels: Sequence[str], share: tuple[int, int] = (1, 1),
     ``levels`` names the tree's columns from the root down, ``share`` is the budget as a fraction of all tokens,
     ``weights`` maps a level to whole-number weights of its values (others weigh 1).
     """
-    kept = [c for c in df.columns if c not in ("epoch", "tokens")]
-    names = [f"_level{i}" for i in range(len(levels))]
-    rows = df.select(*kept, byte_tokens(F.col(text)).alias("tokens"),
-                     *(F.col(c).cast("string").alias(n) for c, n in zip(levels, names, strict=True)))
+    own = [c for c in df.columns if c not in ("epoch", "tokens")]
+    flat = positional(df.select(*own))
+    kept, place_of = flat.columns, dict(zip(own, flat.columns, strict=True))
+    key, text = place_of[key], place_of[text]
+    names = [f"level{i}" for i in range(len(levels))]
+    rows = flat.select(*kept, byte_tokens(F.col(text)).alias("tokens"),
+                       *(F.col(place_of[c]).cast("string").alias(n) for c, n in zip(levels, names, strict=True)))
     leaves = stored(budgets(
         rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), names, share,
         {n: (weights or {}).get(c, {}) for c, n in zip(levels, names, strict=True)}, max_epochs,
@@ -140,4 +143,4 @@ def mix(df: DataFrame, levels: Sequence[str], share: tuple[int, int] = (1, 1),
     columns = [*kept, "epoch", "tokens"]
     return (epochs.select(*columns)
             .unionByName(near.filter(F.col("slice") < F.col("line")).select(*columns))
-            .unionByName(crossing.select(*columns)))
+            .unionByName(crossing.select(*columns))).toDF(*own, "epoch", "tokens")
