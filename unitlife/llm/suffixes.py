@@ -10,8 +10,9 @@ for every suffix by its first ``LENGTH`` bytes, its window.
 * Ranks. Anchor hashes meet in hash ranges. An anchor that one document alone has cannot lie in a repeated window;
   its windows end here.
 * Suffix buckets. What is left is shuffled by anchor: a record holds the anchor with the bytes around it that its
-  windows can reach. A bucket is sorted one distance at a time, which puts equal windows side by side, and each
-  window learns whether a smaller document has it too. Bytes are compared, not only hashes.
+  windows can reach. A bucket ranks its anchors once and sorts its suffixes one distance at a time: by the bytes before the
+  anchor, by the anchor's rank, by the bytes after it. Equal windows come to lie side by side, and each learns whether a
+  smaller document has it too. Hashes only deal the work out; what decides are the bytes and the ranks.
 
 Documents are dealt into parts of about ``part_bytes``; a part is read whole, in the same order, in each of the three
 steps, and answers come back to it as bits in the order of its sorted anchors or records. A part sends each anchor
@@ -43,8 +44,8 @@ PART_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
 BATCH_BYTES = 1 << 18
 
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
-                     0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)  # fixed values: odd mixing constants
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
+                     0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)  # fixed values: odd mixing constants
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 HASHES, MASKS, LATER = 0, 1, 2  # kinds of answers to a part
@@ -97,9 +98,9 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> Anchors:
     new[1:] = at[1:] != at[:-1]
     lead = np.flatnonzero(new)
     tail = np.append(lead[1:], len(at)) - 1 if len(lead) else lead
-    ranks = h[at[lead]] * _FACTORS[5]  # least hashes are small; spread them over all ranges again
-    ranks ^= ranks >> np.uint64(32)
-    return Anchors(at[lead], begin[lead], begin[tail], ranks * _FACTORS[6], owner[lead])
+    spread = h[at[lead]] * _FACTORS[4]  # least hashes are small; spread them over all ranges again
+    spread ^= spread >> np.uint64(32)
+    return Anchors(at[lead], begin[lead], begin[tail], spread * _FACTORS[5], owner[lead])
 
 
 def part_anchors(data: np.ndarray, starts: np.ndarray) -> Anchors:
@@ -230,25 +231,36 @@ def repeated_anchors(values: Sequence[np.ndarray], flags: Sequence[np.ndarray])
     return np.split(out, np.cumsum([len(v) for v in values])[:-1])
 
 
+def _numbers(cells: np.ndarray) -> list[np.ndarray]:
+    """Columns of bytes as big-endian numbers of eight bytes each, so that numbers sort as the bytes do."""
+    wide = np.zeros((len(cells), -(-cells.shape[1] // 8) * 8), np.uint8)
+    wide[:, :cells.shape[1]] = cells
+    return [column.astype(np.uint64) for column in wide.view(">u8").T]
+
+
 def smaller_elsewhere(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """A bit per distance for each record: whether a record with a smaller id has the same window there."""
+    """A bit per distance for each record: whether a record with a smaller id has the same window there.
+
+    At one distance the windows are sorted by their bytes before the anchor, then by the anchor's rank, which
+    stands for its bytes, then by the bytes after it.
+    """
     out = np.zeros(len(rows), np.uint32)
-    near, far = rows[:, 0], rows[:, 1]
+    near, far, cells = rows[:, 0], rows[:, 1], rows[:, 2:]
+    anchor = np.ascontiguousarray(cells[:, REACH:REACH + ANCHOR]).view(f"V{ANCHOR}").ravel()
+    rank = np.unique(anchor, return_inverse=True)[1]
     for distance in range(REACH + 1):
         use = np.flatnonzero((near <= distance) & (distance <= far))
         if len(use) < 2:
             continue
-        window = np.ascontiguousarray(rows[use, 2 + REACH - distance:2 + REACH - distance + LENGTH])
-        words = np.zeros((len(use), 56), np.uint8)
-        words[:, :LENGTH] = window
-        h = np.zeros(len(use), np.uint64)
-        for k, column in enumerate(words.view("<u8").T):
-            h = (h ^ column) * _FACTORS[k]
-            h ^= h >> np.uint64(29)
-        order = np.argsort(h, kind="stable")
-        sorted_words = words[order].view("<u8")
-        new = np.ones(len(use), bool)
-        new[1:] = (sorted_words[1:] != sorted_words[:-1]).any(1)
+        left = cells[use, REACH - distance:REACH]
+        right = cells[use, REACH + ANCHOR:AROUND - distance]
+        keys = [*_numbers(left), rank[use], *_numbers(right)]
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(use), bool)
+        new[0] = True
+        for key in keys:
+            key = key[order]
+            new[1:] |= key[1:] != key[:-1]
         first = np.flatnonzero(new)
         ids = least[use][order]
         lowest = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(use))))
