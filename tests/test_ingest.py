@@ -193,7 +193,7 @@ def test_ingest_run_and_table_round_trip(spark, tmp_path):
 def test_json_landing(spark, tmp_path):
     land(spark, str(tmp_path), "U7", FILE, kind="json")
     files = landing.discover_unit_files(spark, f"{tmp_path}/raw", "*.json")
-    entries = landing.read_unit_files(spark, files, "json")
+    entries = landing.read_unit_files(spark, f"{tmp_path}/raw", files, "json", "*.json")
     assert [r.file_cycle_number for r in entries.orderBy("file_cycle_number").collect()] == list(range(6))
     assert cycles_from_entries(entries).count() == 2
 
@@ -202,13 +202,15 @@ def test_flat_landing(spark, tmp_path):
     df = spark.createDataFrame([("U1", i, *e) for i, e in enumerate(FILE)], RAW_ENTRIES)
     df.write.parquet(str(tmp_path / "entries"))
     assert cycles_from_entries(landing.read_entries(spark, str(tmp_path / "entries"))).count() == 2
+    cycles, skipped, files = runs.ingest_entries(spark, str(tmp_path / "entries"), str(tmp_path / "cycles"))
+    assert cycles.count() == 2 and skipped.first().n_unknown == 1 and files is None
 
 
 def test_file_must_hold_its_own_unit(spark, tmp_path):
     land(spark, str(tmp_path), "U1", FILE, stem="U9")
     files = landing.discover_unit_files(spark, f"{tmp_path}/raw")
     with pytest.raises(Exception, match="own unit: U9"):
-        landing.read_unit_files(spark, files).collect()
+        landing.read_unit_files(spark, f"{tmp_path}/raw", files).collect()
 
 
 def test_no_files(spark, tmp_path):

@@ -329,6 +329,26 @@ def oracle_sql() -> dict[str, str]:
              charge / 1000 AS charge_current_end, (s.seg + 1)::INTEGER AS cycle_index
       FROM segmented s LEFT JOIN charges c ON s.unit_id = c.unit_id AND s.seg = c.seg
       WHERE s.route = 'discharge'"""
+    three = "(value + value / 2 + 3.0::DOUBLE) / 3"
+    sql["ingest_run"] = f"""WITH {ROUTES.replace('event_id AS file', 'ts, event_id AS file')},
+      segmented AS (
+        SELECT *, coalesce(sum(CASE WHEN route = 'discharge' THEN 1 ELSE 0 END) OVER (
+            PARTITION BY unit_id ORDER BY file_cycle_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seg
+        FROM routed),
+      charges AS (
+        SELECT unit_id, seg, max_by(value, file_cycle_number) AS value FROM segmented
+        WHERE route = 'charge' GROUP BY unit_id, seg),
+      charged AS (
+        SELECT unit_id, seg, round(value * 10, 9) AS charge_duration_s, 3.0::DOUBLE AS charge_current_end,
+               round(greatest(value, 3.0::DOUBLE), 9) AS charge_temp_max, round({three}, 9) AS charge_temp_mean FROM charges)
+      SELECT 'U' || s.unit_id AS battery_id, s.file_cycle_number::INTEGER AS file_cycle_number, ts AS cycle_start_time,
+             24.0::DOUBLE AS ambient_temperature, round(capacity_ah, 9) AS capacity_ah,
+             round(value * 10, 9) AS discharge_duration_s, round(least(value / 2, 3.0::DOUBLE), 9) AS voltage_min,
+             round({three}, 9) AS voltage_mean, round({three}, 9) AS current_mean,
+             round(greatest(value, 3.0::DOUBLE), 9) AS temp_max, round({three}, 9) AS temp_mean,
+             charge_duration_s, charge_current_end, charge_temp_max, charge_temp_mean, (s.seg + 1)::INTEGER AS cycle_index
+      FROM segmented s LEFT JOIN charged c ON s.unit_id = c.unit_id AND s.seg = c.seg
+      WHERE s.route = 'discharge'"""
     sql["charge_carry_chunked"] = sql["charge_carry"]
     sql["fleet_chunked"] = (f"WITH {FLEET} SELECT unit_id, cycle_index, file_cycle_number, 2 * soh AS capacity_ah, "
                             "ambient_temperature FROM fleet")

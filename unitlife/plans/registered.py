@@ -13,7 +13,7 @@ from unitlife.operators import audit, drift, evaluate, features, ingest, models,
 from unitlife.operators.features import FEATURE_COLUMNS
 from unitlife.plans import runs, views
 from unitlife.plans.views import KEYS
-from unitlife.schema import HORIZON_GRID, HORIZONS
+from unitlife.schema import CHARGE_COLUMNS, DISCHARGE_COLUMNS, HORIZON_GRID, HORIZONS
 from unitlife.session import shared_folder
 from unitlife.sources.landing import choose_files
 from unitlife.streaming.drift_monitor import monitor
@@ -93,6 +93,14 @@ def charge_carry_chunked(spark, d):
         charge_columns=("charge_duration_s", "charge_current_end"))
 
 
+def ingest_run(spark, d):
+    """Entries landed in the shared folder, ingested, validated, written and read back."""
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    views.raw_entries(spark, d).write.parquet(f"{folder}/entries")
+    cycles = runs.ingest_entries(spark, f"{folder}/entries", f"{folder}/cycles").cycles
+    return _round(cycles, FINE, "capacity_ah", *DISCHARGE_COLUMNS, *CHARGE_COLUMNS)
+
+
 def waveform_summaries(spark, d):
     samples = F.col("embedding").cast("array<double>")
     entries = views.table(spark, d, "embeddings").select("vec_id", F.struct(
@@ -531,10 +539,14 @@ def boosted_metrics(spark, d):
     """
     config = models.TrainConfig(boosting=SHORT_BOOSTING, early_stopping_rounds=2)
     assigned = _from_table(spark, d, config.horizons)
-    frames = splits.split_frames(assigned)
-    train, val = runs.training_columns(frames["train"], config.horizons, KEYS), frames["val"]
-    fitted = models.train_variants(train, val, config, KEYS, only=("gbt_autoregressive", "gbt_telemetry"))
-    slope = evaluate.fade_slope(frames["train"]).first()["slope"]
+    kept = runs.training_columns(assigned, config.horizons, KEYS).persist()
+    frames = splits.split_frames(kept)
+    try:
+        fitted = models.train_variants(
+            frames["train"], frames["val"], config, KEYS, only=("gbt_autoregressive", "gbt_telemetry"))
+        slope = evaluate.fade_slope(frames["train"]).first()["slope"]
+    finally:
+        kept.unpersist()
     metrics = runs.soh_metrics(assigned, fitted, slope, config.horizons, KEYS)
     settled = F.col("method").startswith("baseline")
     digits = {"mae": TIE_FREE_MEAN, "rmse": TIE_FREE_MEAN, "r2": COARSE}
@@ -544,10 +556,14 @@ def boosted_metrics(spark, d):
 def rul_model_error(spark, d):
     """Remaining life from a ridge at every grid horizon that has enough labels, against the slope method."""
     assigned = _from_table(spark, d, HORIZON_GRID)
-    frames = splits.split_frames(assigned)
-    fitted = models.train_grid(
-        frames["train"], frames["val"], grid=HORIZON_GRID, keys=KEYS,
-        fit=lambda train, val, names, target: models.train_ridge(train, names, target))
+    kept = runs.training_columns(assigned, HORIZON_GRID, KEYS).persist()
+    frames = splits.split_frames(kept)
+    try:
+        fitted = models.train_grid(
+            frames["train"], frames["val"], grid=HORIZON_GRID, keys=KEYS,
+            fit=lambda train, val, names, target: models.train_ridge(train, names, target))
+    finally:
+        kept.unpersist()
     held_out = _held_out(assigned)
     points = rul.rul_points(
         models.with_trajectory(held_out, fitted), _slope(assigned), held_out,
@@ -557,7 +573,7 @@ def rul_model_error(spark, d):
 
 
 _QUERIES = (
-    skip_counts, charge_carry, charge_carry_chunked, fleet_chunked, drift_edges_narrowed, drift_by_unit_silenced,
+    ingest_run, skip_counts, charge_carry, charge_carry_chunked, fleet_chunked, drift_edges_narrowed, drift_by_unit_silenced,
     prefix_drift_silenced, rul_slope_error_chunked, feature_medians_narrowed, waveform_summaries, datevec_times, largest_copy, validation_counts,
     capacity_examples, feature_build, feature_build_as_of, feature_coverage, horizon_targets, grid_labels,
     seen_and_future, split_assignment, split_sizes, split_units, unknown_units, excluded_present,

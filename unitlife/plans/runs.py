@@ -32,7 +32,7 @@ class Ingested(NamedTuple):
 
     cycles: DataFrame
     skipped: DataFrame
-    files: DataFrame
+    files: DataFrame | None
 
 
 class Lives(NamedTuple):
@@ -52,19 +52,29 @@ def ingest(spark: SparkSession, root: str, out: str | None = None, *, pattern: s
     validated and written, so the arrays are read once.
     """
     files = landing.discover_unit_files(spark, root, pattern)
-    entries = landing.read_unit_files(spark, files, kind)
+    cycles, skipped = _cycle_table(spark, landing.read_unit_files(spark, root, files, kind, pattern), out)
+    return Ingested(cycles, skipped, files)
+
+
+def ingest_entries(spark: SparkSession, path: str, out: str | None = None, *, kind: str = "parquet") -> Ingested:
+    """The same from entries that landed one per row, for units of any length; there are no files to choose from."""
+    cycles, skipped = _cycle_table(spark, landing.read_entries(spark, path, kind), out)
+    return Ingested(cycles, skipped, None)
+
+
+def _cycle_table(spark: SparkSession, entries: DataFrame, out: str | None) -> tuple[DataFrame, DataFrame]:
     skipped = skip_counts(route_entries(entries))
     cycles = cycles_from_entries(entries).persist()
     try:
         validate_cycles(cycles)
         if out is None:
-            return Ingested(cycles, skipped, files)
+            return cycles, skipped
         tables.write_unit_table(cycles, out)
     except BaseException:
         cycles.unpersist()
         raise
     cycles.unpersist()
-    return Ingested(tables.read_cycles(spark, out), skipped, files)
+    return tables.read_cycles(spark, out), skipped
 
 
 def features(spark: SparkSession, cycles_path: str, out: str) -> DataFrame:
@@ -73,9 +83,10 @@ def features(spark: SparkSession, cycles_path: str, out: str) -> DataFrame:
     return tables.read_features(spark, out)
 
 
-def training_columns(train: DataFrame, horizons: Sequence[int], keys: Keys) -> DataFrame:
-    """What the fits read, so that nothing else is kept in the cache."""
-    return train.select("soh", *feature_names(FEATURE_COLUMNS, keys), *[horizon_target(k) for k in horizons])
+def training_columns(assigned: DataFrame, horizons: Sequence[int], keys: Keys) -> DataFrame:
+    """What the fits read of the rows they train and stop on, so that nothing else is kept in the cache."""
+    return assigned.filter(F.col("split").isin("train", "val")).select(
+        "split", "soh", *feature_names(FEATURE_COLUMNS, keys), *[horizon_target(k) for k in horizons])
 
 
 def soh_metrics(assigned: DataFrame, models: Mapping[tuple[str, int], PipelineModel],
@@ -99,13 +110,13 @@ def forecast_soh(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
     """
     targets = add_horizon_targets(features_df, config.horizons, keys, dense=dense)
     assigned = assign_splits(targets, cohort, excluded, keys)
-    frames = split_frames(assigned)
-    train = training_columns(frames["train"], config.horizons, keys).persist()
+    kept = training_columns(assigned, config.horizons, keys).persist()
+    frames = split_frames(kept)
     try:
-        slope = evaluate.fade_slope(train).first()["slope"]
-        models = train_variants(train, frames["val"], config, keys)
+        slope = evaluate.fade_slope(frames["train"]).first()["slope"]
+        models = train_variants(frames["train"], frames["val"], config, keys)
     finally:
-        train.unpersist()
+        kept.unpersist()
     metrics = soh_metrics(assigned, models, slope, config.horizons, keys)
     if artifact_root is not None:
         folder = tables.save_artifacts(
@@ -124,14 +135,14 @@ def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
     """
     targets = add_horizon_targets(features_df, config.horizons, keys, dense=dense)
     assigned = assign_splits(targets, cohort, excluded, keys)
-    frames = split_frames(assigned)
-    train = training_columns(frames["train"], config.horizons, keys).persist()
+    kept = training_columns(assigned, config.horizons, keys).persist()
+    frames = split_frames(kept)
     try:
-        slope = evaluate.fade_slope(train).first()["slope"]
+        slope = evaluate.fade_slope(frames["train"]).first()["slope"]
         grid = dict(models) if models is not None else train_grid(
-            train, frames["val"], config, config.horizons, keys)
+            frames["train"], frames["val"], config, config.horizons, keys)
     finally:
-        train.unpersist()
+        kept.unpersist()
     held_out = assigned.filter(F.col("split").isin("val", "test"))
     points = rul_points(
         with_trajectory(held_out, grid), slope, held_out, trajectory=trajectory_columns(grid), keys=keys

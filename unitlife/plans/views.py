@@ -116,6 +116,24 @@ def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unit_id", F.lit("last digit 8 or 9").alias("reason"))
 
 
+def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw entries with sample arrays (``schema.RAW_ENTRIES``), routed as in ``routed_entries``."""
+    value, ts = F.col("value"), F.col("ts")
+    kind = (
+        F.when(F.col("event_type") == "click", "charge").when(F.col("event_type") == "purchase", "discharge")
+        .when(F.col("event_type") == "error", "impedance").otherwise(F.col("event_type")))
+    moment = F.array(*[f(ts).cast("double") for f in (F.year, F.month, F.day, F.hour, F.minute)],
+                     F.extract(F.lit("SECOND"), ts).cast("double"))
+    three = F.array(value, value / 2, F.lit(3.0))
+    capacity = F.when(value > 2, F.array(F.when(value > 5, value / 1000 + 1).otherwise(0.0)))
+    return events(spark, sf_dir).select(
+        F.concat(F.lit("U"), F.col("unit_id").cast("string")).alias("battery_id"),
+        F.col("event_id").cast("int").alias("file_cycle_number"), kind.alias("type"),
+        F.lit(24.0).alias("ambient_temperature"), moment.alias("time"),
+        F.struct(three.alias("voltage_measured"), three.alias("current_measured"), three.alias("temperature_measured"),
+                 F.array(F.lit(0.0), value * 10).alias("time"), capacity.alias("capacity")).alias("data"))
+
+
 def routed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as raw entries: clicks charge, purchases discharge, errors are impedance runs.
 
