@@ -48,15 +48,15 @@ ARRAYS = "data struct<voltage_measured: array<double>, current_measured: array<d
 
 
 def test_waveforms(spark):
-    df = spark.createDataFrame([
-        (([4.2, 3.5, 2.7], [-2.0] * 3, [24.0, 30.0, 28.0], [0.0, 1800.0, 3600.0], [1.9]),)], ARRAYS)
-    row = df.select(*[c.alias(n) for n, c in discharge_summary().items()]).first()
-    assert (row.discharge_duration_s, row.voltage_min, row.temp_max, row.current_mean) == (3600.0, 2.7, 30.0, -2.0)
-    assert row.voltage_mean == pytest.approx(10.4 / 3) and row.temp_mean == pytest.approx(82 / 3)
-    df = spark.createDataFrame([(([1.0], [1.5, 1.5, 0.02], [24.0, 26.0, 25.0], [0.0, 5000.0, 10000.0], None),)], ARRAYS)
-    row = df.select(*[c.alias(n) for n, c in charge_summary().items()]).first()
-    assert (row.charge_duration_s, row.charge_current_end, row.charge_temp_max, row.charge_temp_mean) == (
-        10000.0, 0.02, 26.0, 25.0)
+    samples = ([3.9, 3.1, 2.9, 3.3], [-1.0, -3.0, -0.5, 0.5], [11.0, 19.0, 40.0, 6.0], [5.0, 60.0, 90.0, 725.0], [1.2])
+    df = spark.createDataFrame([(samples,)], ARRAYS)
+    discharged = df.select(*[c.alias(n) for n, c in discharge_summary().items()]).first().asDict()
+    assert discharged == pytest.approx({
+        "discharge_duration_s": 725.0, "voltage_min": 2.9, "voltage_mean": 3.3, "current_mean": -1.0, "temp_max": 40.0,
+        "temp_mean": 19.0})
+    charged = df.select(*[c.alias(n) for n, c in charge_summary().items()]).first().asDict()
+    assert charged == pytest.approx({
+        "charge_duration_s": 725.0, "charge_current_end": 0.5, "charge_temp_max": 40.0, "charge_temp_mean": 19.0})
 
 
 def test_waveform_edge_cases(spark):
@@ -70,22 +70,26 @@ def test_waveform_edge_cases(spark):
         empty.select(discharge_summary()["voltage_min"]).collect()
 
 
-BASE = [("B0005", 1, 1.85, 3600.0), ("B0005", 2, 1.84, 3590.0)]
+def measured(cycle=1, capacity=2.5, duration=42.0, unit="m"):
+    return unit, cycle, capacity, duration
 
 
 @pytest.mark.parametrize("rows,message", [
-    (BASE, None),
+    ([measured(), measured(2), measured(unit="n")], None),
     ([], "empty"),
-    ([("B0005", 1, 9.9, 3600.0), BASE[1]], "capacity outside"),
-    ([BASE[0], ("B0005", 1, 1.84, 3590.0)], "duplicate"),
-    ([("B0005", 1, None, 3600.0), BASE[1]], "null"),
-    ([("B0005", 1, float("nan"), 3600.0), BASE[1]], "null"),
-    ([("B0005", 1, 0.0, 3600.0), BASE[1]], "capacity outside"),
-    ([("B0005", 1, 3.2, 3600.0), BASE[1]], "capacity outside"),
-    ([("B0005", 1, 1.85, 0.0), BASE[1]], "duration"),
-    ([("B0005", 1, 1.85, None), BASE[1]], None),
-    ([(None, 1, 1.85, 3600.0)], "null"),
-    ([("B0005", 1, None, 0.0), ("B0005", 1, 9.9, 0.0)], "null"),
+    ([measured(), measured(2, capacity=4.0)], "capacity outside"),
+    ([measured(capacity=-0.1)], "capacity outside"),
+    ([measured(capacity=0.0)], "capacity outside"),
+    ([measured(capacity=3.2)], "capacity outside"),
+    ([measured(capacity=3.1999)], None),
+    ([measured(3), measured(4), measured(3)], "duplicate"),
+    ([measured(capacity=None)], "null"),
+    ([measured(capacity=float("nan")), measured(2)], "null"),
+    ([measured(unit=None)], "null"),
+    ([measured(duration=-1.0)], "duration"),
+    ([measured(duration=0.0), measured(2)], "duration"),
+    ([measured(duration=None)], None),
+    ([measured(capacity=None, duration=0.0), measured(capacity=8.0)], "null"),
 ])
 def test_validation(spark, rows, message):
     df = spark.createDataFrame(rows, "battery_id string, cycle_index int, capacity_ah double, discharge_duration_s double")
