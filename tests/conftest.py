@@ -9,8 +9,9 @@ from unitlife.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "unitlife-tests", spark__sql__shuffle__partitions="4")
+def spark(tmp_path_factory):
+    session = local_session(4, "unitlife-tests", spark__sql__shuffle__partitions="4",
+                            spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
