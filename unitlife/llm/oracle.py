@@ -15,6 +15,35 @@ SELECT p.page_id, payload_bytes, p.payload_digest,
 FROM p LEFT JOIN kept ON p.payload_digest = kept.payload_digest AND p.payload_bytes >= 1000
 """
 
+OP4 = r"""
+WITH RECURSIVE nodes AS (
+    SELECT row_number() OVER () AS id, text, least, copies, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS words
+    FROM (SELECT text, min(doc_id) AS least, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text)
+), grams AS (
+    SELECT DISTINCT id, array_to_string(words[i:i + 4], ' ') AS gram
+    FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM nodes WHERE len(words) > 0)
+), sizes AS (
+    SELECT id, count(*) AS size FROM grams GROUP BY id
+), pairs AS (
+    SELECT a.id AS a, b.id AS b, count(*) AS common FROM grams a JOIN grams b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL
+), half AS (
+    SELECT a, b FROM pairs JOIN sizes x ON a = x.id JOIN sizes y ON b = y.id WHERE 9 * common >= 4 * (x.size + y.size)
+), links AS (
+    SELECT a, b FROM half UNION ALL SELECT b, a FROM half
+), reach AS (
+    SELECT id AS root, id FROM nodes
+    UNION
+    SELECT root, b FROM reach JOIN links ON reach.id = links.a
+), classes AS (
+    SELECT reach.id, min(least) AS class_id FROM reach JOIN nodes ON nodes.id = reach.root GROUP BY reach.id
+)
+SELECT doc_id, class_id, least AS copy_of, copies AS n_copies, coalesce(n, 0) AS n_links
+FROM documents JOIN nodes USING (text) JOIN classes USING (id)
+LEFT JOIN (SELECT a AS id, count(*) AS n FROM links GROUP BY a) USING (id)
+UNION ALL
+SELECT doc_id, doc_id, doc_id, 1, 0 FROM documents WHERE text IS NULL
+"""
+
 OP6 = r"""
 WITH said AS (
     SELECT conv_id, turn, role, text FROM conversations
@@ -61,6 +90,29 @@ JOIN (SELECT conv_id, sum(chars) AS chars FROM lengths GROUP BY conv_id) l ON d.
 JOIN (SELECT conv_id, count(*) AS n FROM spans GROUP BY conv_id) s ON d.conv_id IS NOT DISTINCT FROM s.conv_id
 """
 
+OP8 = """
+WITH docs AS (
+    SELECT row_number() OVER () AS nr, doc_id, hex(encode(coalesce(text, ''))) AS hexed FROM documents
+), strings AS (
+    SELECT nr, doc_id, i, substr(hexed, 2 * i + 1, 100) AS s
+    FROM (SELECT nr, doc_id, hexed, unnest(range(0, length(hexed) // 2 - 49)) AS i FROM docs WHERE doc_id IS NOT NULL)
+), gone AS (
+    SELECT nr, i FROM strings JOIN (SELECT s, min(doc_id) AS least FROM strings GROUP BY s) USING (s) WHERE least < doc_id
+), spans AS (
+    SELECT nr, min(i) AS a, max(i) + 50 AS b
+    FROM (SELECT nr, i, sum(opens) OVER (PARTITION BY nr ORDER BY i) AS span
+          FROM (SELECT nr, i, CASE WHEN i <= lag(i) OVER (PARTITION BY nr ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM gone))
+    GROUP BY nr, span
+), pieces AS (
+    SELECT nr, a, b, substr(hexed, 2 * past + 1, 2 * (a - past)) AS piece
+    FROM (SELECT nr, a, b, coalesce(lag(b) OVER (PARTITION BY nr ORDER BY a), 0) AS past FROM spans) JOIN docs USING (nr)
+)
+SELECT doc_id, length(hexed) // 2 AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a) AS n_spans,
+       sha256(unhex(coalesce(string_agg(piece, '' ORDER BY a), '') || substr(hexed, 2 * coalesce(max(b), 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN pieces USING (nr)
+GROUP BY nr, doc_id, hexed
+"""
+
 OP10 = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
@@ -178,5 +230,6 @@ WHERE epoch * leaf_tokens + before < given
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": OP1, "op6_chat_windows": OP6, "op9_hierarchical_mix": OP9,
+    return {"op1_warc_revisits": OP1, "op4_jaccard_classes": OP4, "op6_chat_windows": OP6,
+            "op8_repeated_bytes": OP8, "op9_hierarchical_mix": OP9,
             "op10_maxscore_topk": OP10}
