@@ -56,8 +56,8 @@ def test_planted_passages_and_nothing_else(spark):
     benchmark = spark.createDataFrame([*items, (90, None), (91, ""), (92, "too short"), (None, items[0][1])], "item_id long, text string")
     rows = [(d, t, "k") for d, t in docs] + [(900, None, "k"), (901, "", "k"), (1, docs[1][1], "k")]
     documents = spark.createDataFrame(rows, "doc_id long, text string, leaks string")
-    for block_words in (dec.BLOCK_WORDS, 300):
-        out = dec.find(documents, benchmark, block_words=block_words)
+    for block_words, at_once in ((dec.BLOCK_WORDS, 4), (300, 10), (300, 2)):
+        out = dec.find(documents, benchmark, block_words=block_words, blocks_at_once=at_once)
         assert out.columns == ["doc_id", "text", "leaks"]
         found = out.collect()
         assert len(found) == len(rows)

@@ -1,7 +1,7 @@
 """Operator 2: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-Documents are read twice for each block of test items (a block holds about ``BLOCK_WORDS`` words, which bounds what is
-broadcast; more items mean more blocks, never fewer items).
+Test items come in blocks of about ``BLOCK_WORDS`` words, ``BLOCKS_AT_ONCE`` of which bound what a task holds; more items
+mean more readings of the documents, never fewer items.
 
 1. The occurrences of the items' word n-grams are counted in all documents. Of every ``SEED_WINDOW`` consecutive
    n-grams of an item the rarest becomes a seed, so a copied run of ``SEED_WORDS + SEED_WINDOW - 1`` words always holds
@@ -21,6 +21,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from unitlife.llm.shared import batched
+from unitlife.llm.shared import batched, stored
 
 SEED_WORDS, SEED_WINDOW = 3, 3
 MIN_SCORE, MIN_WORDS = 0.5, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS, BLOCKS_AT_ONCE = 1 << 18, 4
 BATCH_CHARS = 1 << 20
 CELLS = 1 << 21  # of one batch of alignments
 
@@ -41,6 +43,10 @@ _WORD = re.compile(r"\w+")
 _BITS = 21  # a word number
 
 Leak = tuple[int, float, int, int, int]  # item, score, first word, past the last word, equal words
+LEAK = StructType([StructField("item_id", LongType()), StructField("score", DoubleType()), StructField("start", IntegerType()),
+                   StructField("end", IntegerType()), StructField("equal", IntegerType())])
+_ARROW_LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()),
+                                   ("end", pa.int32()), ("equal", pa.int32())]))
 
 
 def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +125,7 @@ class Block:
         grams = [keys_of(x) for x in items]
         return Block(ids, items, numbers, np.unique(np.concatenate(grams)) if grams else np.empty(0, np.int64))
 
-    def choose(self, counts: np.ndarray) -> None:
+    def choose(self, counts: np.ndarray) -> Block:
         """Keep the rarest n-gram of every window as a seed."""
         found: dict[int, set[tuple[int, int]]] = {}
         for i, item in enumerate(self.items):
@@ -133,6 +139,7 @@ class Block:
         lists = [sorted(found[k]) for k in self.seeds.tolist()]
         self.firsts = np.cumsum([0, *map(len, lists)])
         self.places = np.array([p for one in lists for p in one], np.int64).reshape(-1, 2)
+        return self
 
     def read(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of some texts, a 0 after each, and where each text begins."""
@@ -238,30 +245,47 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
             yield block
 
 
-def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequence[str] | None = None,
-         block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``documents`` (its columns ``keep``, or all) with ``leaks``: item, score, the passage as word numbers (end
-    exclusive) and its number of equal words."""
-    names = [c for c in (documents.columns if keep is None else keep) if c != "leaks"]
-    leak = StructType([StructField("item_id", LongType()), StructField("score", DoubleType()),
-                       StructField("start", IntegerType()), StructField("end", IntegerType()),
-                       StructField("equal", IntegerType())])
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()),
-                               ("end", pa.int32()), ("equal", pa.int32())]))
-    parts = []
-    for block in blocks(benchmark, text="text", block_words=block_words):
-        block.choose(_counts(documents, text, block))
-        parts.append(documents.sparkSession.sparkContext.broadcast(block))
+def _searched(documents: DataFrame, text: str, names: Sequence[str], some: Sequence[Block]) -> DataFrame:
+    """``names`` and the ``leaks`` of a few blocks, found where the documents are read."""
+    shared = [documents.sparkSession.sparkContext.broadcast(block) for block in some]
     source = documents.select(F.col(text).cast("string").alias("_text"), *names)
-    schema = StructType([*source.schema.fields[1:], StructField("leaks", ArrayType(leak))])
+    schema = StructType([*source.schema.fields[1:], StructField("leaks", ArrayType(LEAK))])
+    fields = LEAK.fieldNames()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for some in batched((t or "" for t in batch.column(0).to_pylist()), len, BATCH_CHARS):
-                by_block = [part.value.leaks(some) for part in parts]
-                found += [[dict(zip(("item_id", "score", "start", "end", "equal"), leak, strict=True))
-                           for rows in one for leak in rows] for one in zip(*by_block, strict=True)] or [[] for _ in some]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, kind)], names=schema.names)
+            found: list[list[dict]] = []
+            for texts in batched((t or "" for t in batch.column(0).to_pylist()), len, BATCH_CHARS):
+                rows: list[list[dict]] = [[] for _ in texts]
+                for block in shared:
+                    for row, leaks in zip(rows, block.value.leaks(texts), strict=True):
+                        row += [dict(zip(fields, leak, strict=True)) for leak in leaks]
+                found += rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, _ARROW_LEAKS)], names=schema.names)
 
     return source.mapInArrow(scan, schema)
+
+
+def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequence[str] | None = None,
+         block_words: int = BLOCK_WORDS, blocks_at_once: int = BLOCKS_AT_ONCE) -> DataFrame:
+    """``documents`` (its columns ``keep``, or all) with ``leaks``: item, score, the passage as word numbers (end
+    exclusive) and its number of equal words.
+
+    If the benchmark has more blocks than a task should hold, each few of them are a search of their own, whose finds
+    are stored by text digest and joined at the end.
+    """
+    names = [c for c in (documents.columns if keep is None else keep) if c != "leaks"]
+    ready = (block.choose(_counts(documents, text, block)) for block in blocks(benchmark, block_words=block_words))
+    few, more = list(islice(ready, blocks_at_once)), list(islice(ready, 1))
+    if not more:
+        return _searched(documents, text, names, few)
+    node = F.md5(F.col(text).cast("string"))
+    texts = documents.select(F.col(text).alias("t"), node.alias("node"))
+    finds = []
+    while few:
+        finds.append(stored(_searched(texts, "t", ["node"], few).filter(F.size("leaks") > 0), "leaks"))
+        few, more = [*more, *islice(ready, blocks_at_once - len(more))], []
+    every = reduce(DataFrame.unionByName, finds).select("node", F.explode("leaks").alias("leak")).distinct()
+    by_text = every.groupBy("node").agg(F.array_sort(F.collect_list("leak")).alias("_leaks")).withColumnRenamed("node", "_node")
+    joined = documents.select(*names, node.alias("_of")).join(by_text, F.col("_of") == F.col("_node"), "left")
+    return joined.select(*names, F.coalesce("_leaks", F.array().cast(ArrayType(LEAK))).alias("leaks"))
