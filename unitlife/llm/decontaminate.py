@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from unitlife.llm.shared import batched, stored
+from unitlife.llm.shared import batched, stored, values
 
 SEED_WORDS, SEED_WINDOW = 3, 3
 MIN_SCORE, MIN_WORDS = 0.5, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS, BLOCKS_AT_ONCE = 1 << 18, 4
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 CELLS = 1 << 21  # of one batch of alignments
 
 _WORD = re.compile(r"\w+")
@@ -220,7 +220,7 @@ def _counts(documents: DataFrame, text: str, block: Block) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(shared.value.grams), np.int64)
         for batch in batches:
-            for some in batched((t for t in batch.column(0).to_pylist() if t), len, BATCH_CHARS):
+            for some in batched((t for t in values(batch.column(0)) if t), len, BATCH_CHARS):
                 total += shared.value.count(some)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
@@ -255,7 +255,7 @@ def _searched(documents: DataFrame, text: str, names: Sequence[str], some: Seque
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list[dict]] = []
-            for texts in batched((t or "" for t in batch.column(0).to_pylist()), len, BATCH_CHARS):
+            for texts in batched((t or "" for t in values(batch.column(0))), len, BATCH_CHARS):
                 rows: list[list[dict]] = [[] for _ in texts]
                 for block in shared:
                     for row, leaks in zip(rows, block.value.leaks(texts), strict=True):

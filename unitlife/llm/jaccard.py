@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitlife.llm.components import components
-from unitlife.llm.shared import batched, positional, stored
+from unitlife.llm.shared import batched, positional, stored, values
 
 WORDS = 5
 THRESHOLD = (4, 5)
 RECALL = 0.9995
 MAX_HASHES = 128
 BLOCK_NODES, BLOCK_GRAMS = 512, 1 << 21
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 COLUMNS = 1 << 13  # n-grams of one multiplication
 
 _WORD = re.compile(r"\w+")
@@ -54,7 +54,7 @@ class _Words(dict):
     """Hashes of words, without regard to case; forgets all when it has grown large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "replace"))
         return value
@@ -107,7 +107,7 @@ def _signed(docs: DataFrame, key: str, text: str, signer: Signer, words: int) ->
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, bands = [], []
-            for some in batched(batch.column(0).to_pylist(), len, BATCH_CHARS):
+            for some in batched(values(batch.column(0)), len, BATCH_CHARS):
                 sets = [ngrams(t, words) for t in some]
                 full = [s for s in sets if len(s)]
                 rows = iter(signer.bands_of(full).view(np.int64)) if full else iter(())
@@ -245,7 +245,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                grams = [ngrams(t, words).tobytes() for t in part.column(0).to_pylist()]
+                grams = [ngrams(t, words).tobytes() for t in values(part.column(0))]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(grams, pa.binary())],
                                                  names=["node", "leaders", "grams"])
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from unitlife.llm.shared import values
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
 # Words that announce an identifier.
@@ -197,12 +199,12 @@ def find(df: DataFrame, text: str = "text", mask: str | None = None, keep: Seque
     def scan(batches):
         automaton = anchors()
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            found = [spans_of(t, automaton) for t in texts]
+            found = [spans_of(t or "", automaton) for t in values(batch.column(0))]
             columns = [*batch.columns[1:], pa.array(
                 [[{"kind": k, "start": s, "end": e} for s, e, k in row] for row in found], arrow_span)]
             if mask:
-                columns.append(pa.array([masked(t, s) for t, s in zip(texts, found, strict=True)], pa.string()))
+                texts = zip(values(batch.column(0)), found, strict=True)
+                columns.append(pa.array([masked(t or "", s) for t, s in texts], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(scan, schema)

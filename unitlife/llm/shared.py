@@ -32,6 +32,11 @@ def positional(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
+def values(column) -> Iterator:
+    """The values of an Arrow column, one at a time: a batch of long texts need not be held twice."""
+    return (x.as_py() for x in column)
+
+
 def batched(rows: Iterator, weight, limit: int) -> Iterator[Sequence]:
     """Consecutive rows whose weights sum to at most ``limit`` (a heavier row comes alone)."""
     held, total = [], 0
