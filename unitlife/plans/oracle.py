@@ -486,7 +486,11 @@ def oracle_sql() -> dict[str, str]:
       FROM features WHERE split IN ('val', 'test')
       UNION ALL
       SELECT unit_id, fraction, 'baseline', (cycle_index - 1 + k)::DOUBLE, round(soh_prev + slope * k, 9)
+      FROM stood, slope, (SELECT unnest({curve}) AS k) WHERE cycle_index - 1 + k <= max_cycle + 25
+      UNION ALL
+      SELECT unit_id, fraction, 'model', (cycle_index - 1 + k)::DOUBLE, round(soh_prev + 2 * slope * k, 9)
       FROM stood, slope, (SELECT unnest({curve}) AS k) WHERE cycle_index - 1 + k <= max_cycle + 25"""
+    steep = "[" + ", ".join(f"soh_prev + 2 * slope * {k}" for k in HORIZON_GRID) + "]"
     sql["point_in_time"] = f"""WITH {FEATURES}{SLOPE}{EOL}, {STANDING_CYCLES},
       stood AS (
         SELECT DISTINCT f.unit_id, cycle_index, soh, soh_prev
@@ -495,9 +499,12 @@ def oracle_sql() -> dict[str, str]:
       answered AS (
         SELECT stood.*, threshold, CASE WHEN eol_cycle > cycle_index - 1 THEN (eol_cycle - (cycle_index - 1))::DOUBLE END AS rul_true,
                {SLOPE_RUL} AS rul_baseline
-        FROM stood JOIN eol USING (unit_id), slope)
+        FROM stood JOIN eol USING (unit_id), slope),
+      standing_rows AS (SELECT answered.*, slope FROM answered, slope),
+      crossed AS ({_crossing(HORIZON_GRID, steep)})
       SELECT unit_id, cycle_index, soh, soh_prev, threshold, rul_true, round(rul_baseline, 4) AS rul_baseline,
-             round(rul_baseline - rul_true, 4) AS delta_baseline FROM answered"""
+             round(rul_baseline - rul_true, 4) AS delta_baseline, round(rul_pred, 4) AS rul_model,
+             round(rul_pred - rul_true, 4) AS delta_model FROM crossed"""
     standing = "unit_id, standing_cycle"
     sql["prefix_drift"] = f"WITH {PREFIX} {_with_no_data(standing, 'seen')}"
     sql["prefix_drift_silenced"] = f"WITH {_prefix(silenced=True)} {_with_no_data(standing, 'seen')}"

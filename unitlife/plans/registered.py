@@ -414,10 +414,16 @@ def drift_stream(spark, d):
 
 # Projection and point in time.
 
+def _steep(slope) -> dict:
+    """A line twice as steep as the fleet's, in the place of a fitted model's trajectory."""
+    return {k: evaluate.global_slope_baseline(2 * slope, k) for k in HORIZON_GRID}
+
+
 def projections(spark, d):
     assigned = _from_table(spark, d)
+    slope = F.col("train_slope")
     held_out = _held_out(assigned).withColumn("train_slope", _slope(assigned))
-    curves = projection.projections(held_out, F.col("train_slope"), HORIZON_GRID, keys=KEYS)
+    curves = projection.projections(held_out, slope, HORIZON_GRID, trajectory=_steep(slope), keys=KEYS)
     return _round(curves, FINE, "soh")
 
 
@@ -427,10 +433,11 @@ def _standing(spark, d):
 
 def point_in_time(spark, d):
     assigned = _from_table(spark, d)
+    lived = views.fleet_features(spark, d).withColumn("train_slope", _slope(assigned))
     answers = projection.point_in_time(
-        views.fleet_features(spark, d), _standing(spark, d), _slope(assigned),
+        lived, _standing(spark, d), F.col("train_slope"), trajectory=_steep(F.col("train_slope")),
         cycles=views.soh_of(views.fleet(spark, d)), keys=KEYS)
-    return _round(answers, 4, "rul_baseline", "delta_baseline")
+    return _round(answers, 4, "rul_baseline", "delta_baseline", "rul_model", "delta_model")
 
 
 def _prefix_drift(spark, d):
