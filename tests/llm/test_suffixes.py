@@ -52,6 +52,17 @@ def test_against_all_strings(spark, monkeypatch, seed, part_bytes, bucket_bytes)
     assert sorted((str(r.doc_id), *r[1:]) for r in got) == brute(rows)
 
 
+def test_long_documents_are_cut_without_a_trace(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 100, 3000).astype(np.uint8)
+    starts = np.array([0, 20, 80, 2100])
+    windows = lambda a: {(s, at, d) for at, f, t, d in zip(a.at, a.first, a.last, a.doc, strict=True) for s in range(f, t + 1)}
+    whole = windows(suffixes.anchors(data, starts))
+    for size in (50, 64, 333):
+        monkeypatch.setattr(suffixes, "BATCH_BYTES", size)
+        assert windows(suffixes.part_anchors(data, starts)) == whole
+
+
 def test_no_rows(spark):
     assert suffixes.dedupe(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -19,6 +19,7 @@ by one. Texts are searched whole. Input columns called ``leaks`` are replaced; e
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from unitlife.llm.shared import batched, stored, values
+from unitlife.llm.shared import LONG_TEXT, batched, stored, values, words_of
 
 SEED_WORDS, SEED_WINDOW = 3, 3
 MIN_SCORE, MIN_WORDS = 0.5, 8
@@ -143,10 +144,14 @@ class Block:
 
     def read(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of some texts, a 0 after each, and where each text begins."""
-        get, words, starts = self.numbers.get, [], []
+        get, starts = self.numbers.get, []
+        words = array("q") if any(len(t) >= LONG_TEXT for t in texts) else []  # a long text's words as plain numbers
         for text in texts:
             starts.append(len(words))
-            words += [get(w) or get(w.lower(), 0) for w in _WORD.findall(text)]
+            if len(text) >= LONG_TEXT:
+                words.extend(get(w) or get(w.lower(), 0) for w in words_of(_WORD, text))
+            else:
+                words.extend([get(w) or get(w.lower(), 0) for w in words_of(_WORD, text)])
             words.append(0)
         return np.array(words, np.int64), np.array(starts, np.int64)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitlife.llm.components import components
-from unitlife.llm.shared import batched, positional, stored, values
+from unitlife.llm.shared import batched, positional, stored, values, words_of
 
 WORDS = 5
 THRESHOLD = (4, 5)
@@ -65,10 +65,10 @@ _words = _Words()
 
 def ngrams(text: str, words: int = WORDS) -> np.ndarray:
     """The text's distinct n-grams as sorted 64-bit hashes."""
-    found = _WORD.findall(text)
-    if not found:
-        return np.empty(0, np.uint64)
-    code = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    found = words_of(_WORD, text)
+    code = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found) if isinstance(found, list) else -1)
+    if not len(code):
+        return code
     n = max(len(code) - words + 1, 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(words, len(code))):

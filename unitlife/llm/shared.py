@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from unitlife.session import shared_folder
 
 
+LONG_TEXT = 1 << 22
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,6 +41,11 @@ def values(column) -> Iterator:
     return (x.as_py() for x in column)
 
 
+def words_of(pattern: re.Pattern, text: str) -> Iterable[str]:
+    """The words of a text; of a long one, one at a time."""
+    return pattern.findall(text) if len(text) < LONG_TEXT else (m[0] for m in pattern.finditer(text))
+
+
 def batched(rows: Iterator, weight, limit: int) -> Iterator[Sequence]:
     """Consecutive rows whose weights sum to at most ``limit`` (a heavier row comes alone)."""
     held, total = [], 0

@@ -104,15 +104,21 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> Anchors:
 
 
 def part_anchors(data: np.ndarray, starts: np.ndarray) -> Anchors:
-    """The same, some documents at a time."""
+    """The same, some documents at a time; a long document in stretches whose window starts do not overlap."""
     ends = np.append(starts[1:], len(data))[:len(starts)]
-    found, shift = [], 0
-    for some in batched(zip(starts.tolist(), ends.tolist(), strict=True), lambda d: d[1] - d[0], BATCH_BYTES):
-        low, high = some[0][0], some[-1][1]
-        if high - low >= LENGTH:
-            a = anchors(data[low:high], np.array([s for s, _ in some]) - low)
-            found.append((a.at + low, a.first + low, a.last + low, a.hash, (a.doc + shift).astype(np.int32)))
-        shift += len(some)
+    stretches = (
+        (doc, at, min(end, at + BATCH_BYTES + LENGTH - 1))
+        for doc, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))
+        for at in range(start, max(end - LENGTH + 1, start), BATCH_BYTES))
+    found = []
+    for some in batched(stretches, lambda s: s[2] - s[1], BATCH_BYTES):
+        bytes_ = np.concatenate([data[low:high] for _, low, high in some])
+        sizes = np.array([high - low for _, low, high in some])
+        begins = np.cumsum(sizes) - sizes
+        a = anchors(bytes_, begins)
+        shift = (np.array([low for _, low, _ in some]) - begins)[a.doc]
+        docs = np.array([doc for doc, _, _ in some], np.int32)[a.doc]
+        found.append((a.at + shift, a.first + shift, a.last + shift, a.hash, docs))
     if not found:
         none = np.empty(0, np.int64)
         return Anchors(none, none, none, none.view(np.uint64), none)
