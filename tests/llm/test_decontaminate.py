@@ -70,6 +70,27 @@ def test_planted_passages_and_nothing_else(spark):
         assert all(same)  # an equal item under another id is reported too
 
 
+def test_copies_with_every_fourth_or_fifth_word_replaced(spark):
+    sizes = [9, 12, 16, 20, 39, 59]
+    items = [(n, [f"item{n}x{i}" for i in range(n)]) for n in sizes]
+    copies = {}
+    for n, item in items:
+        for step in (4, 5):
+            copy = [f"new{i}" if i % step == step - 1 else w for i, w in enumerate(item)]
+            if sum(a == b for a, b in zip(item, copy, strict=True)) >= dec.MIN_WORDS:
+                assert local_score(item, copy) >= dec.MIN_SCORE * dec.MATCH * n
+                copies[n * 10 + step] = (n, " ".join(copy))
+    assert len(copies) == 11
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    edited = [(d, t) for d, (_, t) in copies.items()]
+    whole = [(-n, " ".join(w)) for n, w in items]  # another copy must not hide an edited one
+    shreds = [(-1000 - n, " . ".join(" ".join(w[i:i + 3]) for i in range(0, n, 7))) for n, w in items]
+    for rows in (edited, edited + whole, edited + shreds):
+        documents = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {r.doc_id: [x.item_id for x in r.leaks] for r in dec.find(documents, benchmark).collect()}
+        assert all(found[d] == [n] for d, (n, _) in copies.items())
+
+
 def test_empty_sides(spark):
     documents = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -1,11 +1,12 @@
-"""Operator 2: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 2: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 Test items come in blocks of about ``BLOCK_WORDS`` words, ``BLOCKS_AT_ONCE`` of which bound what a task holds; more items
 mean more readings of the documents, never fewer items.
 
-1. The occurrences of the items' word n-grams are counted in all documents. Of every ``SEED_WINDOW`` consecutive
-   n-grams of an item the rarest becomes a seed, so a copied run of ``SEED_WORDS + SEED_WINDOW - 1`` words always holds
-   one, however frequent the passage is.
+1. The occurrences of the items' word n-grams are counted in all documents. Every n-gram that occurs is a seed, so a copied
+   run of ``SEED_WORDS`` words always holds one, however frequent the passage is and whatever other copies there are. (To
+   take only the rarest of a few neighbours would let n-grams that an edit destroyed, which are rare or nowhere, displace
+   those that were copied.)
 2. A seed in a document places the item there. Item and surrounding words are aligned locally (match 2, mismatch and
    gap -1), many at a time. The score is the alignment's share of the item's best possible score; from
    ``MIN_SCORE`` on, and with at least ``MIN_WORDS`` equal words, the passage counts as leaked.
@@ -33,7 +34,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 from unitlife.llm.shared import LONG_TEXT, batched, stored, values, words_of
 
-SEED_WORDS, SEED_WINDOW = 3, 3
+SEED_WORDS = 3
 MIN_SCORE, MIN_WORDS = 0.5, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS, BLOCKS_AT_ONCE = 1 << 18, 4
@@ -127,19 +128,15 @@ class Block:
         return Block(ids, items, numbers, np.unique(np.concatenate(grams)) if grams else np.empty(0, np.int64))
 
     def choose(self, counts: np.ndarray) -> Block:
-        """Keep the rarest n-gram of every window as a seed."""
-        found: dict[int, set[tuple[int, int]]] = {}
-        for i, item in enumerate(self.items):
-            keys = keys_of(item)
-            rank = counts[np.searchsorted(self.grams, keys)]
-            for start in range(max(len(keys) - SEED_WINDOW + 1, 1)):
-                span = range(start, min(start + SEED_WINDOW, len(keys)))
-                at = min(span, key=lambda k: (rank[k], keys[k]))
-                found.setdefault(int(keys[at]), set()).add((i, at))
-        self.seeds = np.array(sorted(found), np.int64)
-        lists = [sorted(found[k]) for k in self.seeds.tolist()]
-        self.firsts = np.cumsum([0, *map(len, lists)])
-        self.places = np.array([p for one in lists for p in one], np.int64).reshape(-1, 2)
+        """Keep every n-gram that occurs as a seed."""
+        grams = [keys_of(item) for item in self.items]
+        keys = np.concatenate(grams)
+        places = np.array([(i, at) for i, one in enumerate(grams) for at in range(len(one))], np.int64).reshape(-1, 2)
+        use = np.flatnonzero(counts[np.searchsorted(self.grams, keys)])
+        use = use[np.argsort(keys[use], kind="stable")]
+        self.seeds, times = np.unique(keys[use], return_counts=True)
+        self.firsts = np.concatenate([[0], np.cumsum(times)])
+        self.places = places[use]
         return self
 
     def read(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +160,8 @@ class Block:
     def candidates(self, numbers: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Regions to align: text, item, first and past the last word. Seeds of an item that place it less than its
         slack apart share a region."""
+        if not len(self.seeds):
+            return []
         keys = keys_of(numbers)
         at = np.minimum(np.searchsorted(self.seeds, keys), len(self.seeds) - 1)
         where = np.flatnonzero(self.seeds[at] == keys)
