@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from fleets import close, cycles
 from unitlife.operators import models, splits
 from unitlife.operators.features import FEATURE_COLUMNS, add_horizon_targets, build_features, horizon_target
-from unitlife.plans import runs
+from unitlife.plans import registered, runs
 from unitlife.sources import tables
 
 BOOSTING = {"maxIter": 3, "stepSize": 0.3, "maxDepth": 2, "minInstancesPerNode": 2, "subsamplingRate": 0.9,
@@ -123,3 +124,24 @@ def test_life_run_and_report(spark, fleet, tmp_path):
     curves = spark.read.parquet(str(tmp_path / "report/projection"))
     assert {r.series for r in curves.select("series").distinct().collect()} == {"actual", "baseline", "model"}
     assert spark.read.parquet(str(tmp_path / "report/soh")).count() == 1
+
+
+def test_boosted_queries_train_by_the_defaults_and_return_errors(spark, monkeypatch):
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("no test tables")
+    asked, train = [], models.train_variants
+
+    def short(rows, val, config, keys, only):
+        asked.append(config)
+        return train(rows, val, models.TrainConfig(horizons=config.horizons, boosting=BOOSTING | {"maxIter": 1}), keys, only)
+
+    monkeypatch.setattr(models, "train_variants", short)
+    errors, counts = (registered.queries()[name](spark, small).collect() for name in ("boosted_errors", "boosted_metrics"))
+    assert asked == [models.TrainConfig()] * 2
+    key = lambda r: (r.split, r.method, r.horizon, r.unit_id or "", r.n)
+    assert sorted(map(key, errors)) == sorted(map(key, counts))
+    boosted = [r for r in errors if r.method.startswith("gbt_")]
+    assert {(r.method, r.horizon) for r in boosted} == {
+        (m, k) for m in ("gbt_autoregressive", "gbt_telemetry") for k in models.HORIZONS}
+    assert all(r.mae is not None and r.rmse is not None for r in boosted)
