@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from unitlife.llm import suffixes
@@ -79,3 +80,29 @@ def test_equal_windows_have_their_anchor_at_the_same_distance():
             by_window.setdefault(data[start:start + suffixes.LENGTH].tobytes(), set()).add(at - start)
     assert all(len(v) == 1 for v in by_window.values())
     assert len(found.at) and sum(found.last - found.first + 1) == (123 - 49) + (70 - 49)
+
+
+@pytest.mark.parametrize("hot_records", [0, 3])
+def test_hot_anchors_change_no_result(spark, hot_records):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.dedupe(df, part_bytes=700, bucket_bytes=500, hot_records=hot_records).collect()
+    assert sorted((str(r.doc_id), *r[1:]) for r in got) == brute(rows)
+
+
+def test_one_anchor_spreads_over_the_buckets():
+    rng = random.Random(6)
+    noise = lambda: "".join(rng.choice("abcdefgh") for _ in range(40))
+    line = "a short line that every document has"
+    bodies = [(noise() + line + noise()).encode() for _ in range(500)]
+    n = len(bodies)
+    table = pa.table({"part": [0] * n, "doc_id": list(range(n)), "row": list(range(n)), "body": pa.array(bodies, pa.binary())})
+    part = suffixes.Part(table, suffixes._BITS.empty_table())
+    repeated, numbers = part.shared_here(), part.numbers()
+    (hot,) = suffixes.hot_anchors([part.hashes], [numbers], 100)
+    assert hot.any() and not hot[numbers <= 100].any()
+    records = part.records(repeated, hot)
+    sizes = np.bincount(records.of_bucket(64), minlength=64)
+    assert sizes.max() < 4 * sizes.mean()
+    together = np.bincount(part.records(repeated, np.zeros_like(hot)).of_bucket(64), minlength=64)
+    assert together.max() >= numbers[repeated].max() > 100  # all in one bucket if dealt by anchor

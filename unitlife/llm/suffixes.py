@@ -13,11 +13,14 @@ for every suffix by its first ``LENGTH`` bytes, its window.
   windows can reach. A bucket ranks its anchors once and sorts its suffixes one distance at a time: by the bytes before the
   anchor, by the anchor's rank, by the bytes after it. Equal windows come to lie side by side, and each learns whether a
   smaller document has it too. Hashes only deal the work out; what decides are the bytes and the ranks.
+* Hot anchors. Parts count their records of each anchor with its hash. An anchor of more than ``hot_records`` in all (a short
+  line between ever different neighbours) is dealt by window instead: a record per distance, dealt by a hash of its window's
+  bytes, so that equal windows still meet and the others spread over all buckets.
 
 Documents are dealt into parts of about ``part_bytes``; a part is read whole, in the same order, in each of the three
 steps, and answers come back to it as bits in the order of its sorted anchors or records. A part sends each anchor
 and each distinct record once, so a passage shared by any number of documents weighs no more than the number of
-parts. Later copies of a whole text need no sorting: they go entirely, unless shorter than a window.
+parts, and one with ever different neighbours spreads as a hot anchor. Later copies of a whole text need no sorting: they go entirely, unless shorter than a window.
 
 A null text is empty. Rows without an id neither lose bytes nor make others lose some; rows with equal ids do not
 affect each other. Repeated rows get equal answers. An empty table gives an empty result. Other columns play no part.
@@ -42,6 +45,7 @@ REACH = LENGTH - ANCHOR  # the furthest that an anchor lies from its window's st
 AROUND = ANCHOR + 2 * REACH
 PART_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
+HOT_RECORDS = 1 << 14
 BATCH_BYTES = 1 << 18
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -160,10 +164,17 @@ class Part:
         np.maximum.at(high, self.number, ids)
         return low != high
 
-    def records(self, repeated: np.ndarray) -> Records:
-        """Distinct neighbourhoods of the anchors whose hash is repeated."""
+    def numbers(self) -> np.ndarray:
+        """How many records each hash would send."""
+        times = np.bincount(self.number, minlength=len(self.hashes))
+        use = np.flatnonzero(times[self.number] > 1)
+        _, first, _ = _distinct(self._neighbourhoods(use))
+        distinct = np.bincount(self.number[use[first]], minlength=len(self.hashes))
+        return np.where(times > 1, distinct, times)
+
+    def _neighbourhoods(self, use: np.ndarray) -> np.ndarray:
+        """Nearest and furthest distance, and the bytes around, of some anchors."""
         a = self.anchors
-        use = np.flatnonzero(repeated[self.number])
         at, doc = a.at[use], a.doc[use]
         padded = np.zeros(len(self.data) + 2 * AROUND, np.uint8)
         padded[AROUND:AROUND + len(self.data)] = self.data
@@ -172,20 +183,43 @@ class Part:
         column = np.arange(AROUND)
         cells = np.where((column >= REACH - left[:, None]) & (column < REACH + ANCHOR + right[:, None]), cells, 0)
         near, far = (at - a.last[use]).astype(np.uint8), (at - a.first[use]).astype(np.uint8)
-        rows = np.ascontiguousarray(np.column_stack([near, far, cells]).astype(np.uint8))
-        keys, first, number = np.unique(rows.view(f"V{AROUND + 2}").ravel(), return_index=True, return_inverse=True)
+        return np.ascontiguousarray(np.column_stack([near, far, cells]).astype(np.uint8))
+
+    def records(self, repeated: np.ndarray, hot: np.ndarray) -> Records:
+        """Distinct neighbourhoods of the anchors whose hash is repeated; of the hot ones, distinct windows."""
+        use = np.flatnonzero(repeated[self.number])
+        warm = hot[self.number[use]]
+        cold, use = use[~warm], use[warm]
+        found = [self._records(cold, self._neighbourhoods(cold))]
+        around = self._neighbourhoods(use)
+        column = np.arange(AROUND)
+        for distance in range(REACH + 1) if len(use) else ():
+            own = np.flatnonzero((around[:, 0] <= distance) & (distance <= around[:, 1]))
+            rows = around[own]
+            rows[:, :2] = distance
+            rows[:, 2:][:, (column < REACH - distance) | (column >= REACH - distance + LENGTH)] = 0
+            one = self._records(use[own], rows)
+            one.hash = _row_hash(one.rows)
+            found.append(one)
+        shift = np.cumsum([0, *(len(r.rows) for r in found)])
+        return Records(*(np.concatenate([getattr(r, name) for r in found]) for name in ("rows", "least", "hash", "use")),
+                       np.concatenate([r.number + k for r, k in zip(found, shift)]))
+
+    def _records(self, use: np.ndarray, rows: np.ndarray) -> Records:
+        keys, first, number = _distinct(rows)
         least = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(least, number, self.ids[doc])
-        return Records(keys.view(np.uint8).reshape(-1, AROUND + 2), least, a.hash[use][first], use, number)
+        np.minimum.at(least, number, self.ids[self.anchors.doc[use]])
+        return Records(keys, least, self.anchors.hash[use][first], use, number)
 
     def answers(self, records: Records, smaller: np.ndarray) -> pa.Table:
         """The result of every row, given each record's bits: distances at which a smaller document has the window."""
         a, use = self.anchors, records.use
         mask = np.where(self.ids[a.doc[use]] > records.least[records.number], np.uint32(0xFFFFFFFF), smaller[records.number])
         cover = np.zeros(len(self.data) + 1, np.int8)  # at most LENGTH windows cover a byte
+        near, far = records.rows[records.number, 0], records.rows[records.number, 1]
         for distance in range(REACH + 1):
             begin = a.at[use] - distance
-            gone = (begin >= a.first[use]) & (begin <= a.last[use]) & (mask >> np.uint32(distance) & np.uint32(1) > 0)
+            gone = (near <= distance) & (distance <= far) & (mask >> np.uint32(distance) & np.uint32(1) > 0)
             cover[begin[gone]] += 1  # every window has one anchor, so no start comes twice
             cover[begin[gone] + LENGTH] -= 1
         covered = np.cumsum(cover[:-1], dtype=np.int8) > 0
@@ -207,8 +241,8 @@ class Part:
 
 @dataclass
 class Records:
-    """Distinct neighbourhoods (nearest and furthest distance, then the bytes), their least id and anchor hash, in a
-    fixed order; ``use`` and ``number`` lead from the anchors to them."""
+    """Distinct neighbourhoods (nearest and furthest distance, then the bytes), their least id and the hash that deals them
+    (the anchor's, or a hot one's window's), in a fixed order; ``use`` and ``number`` lead from the anchors to them."""
 
     rows: np.ndarray
     least: np.ndarray
@@ -225,6 +259,27 @@ def _borders(buckets: int) -> np.ndarray:
     return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of bytes, where each comes first, and each row's number among them."""
+    keys, first, number = np.unique(rows.view(f"V{AROUND + 2}").ravel(), return_index=True, return_inverse=True)
+    return keys.view(np.uint8).reshape(-1, AROUND + 2), first, number
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows), np.uint64)
+    for k, word in enumerate(_numbers(rows)):
+        out = (out + word) * _FACTORS[k % len(_FACTORS)]
+        out ^= out >> np.uint64(31)
+    return out * _FACTORS[5]
+
+
+def hot_anchors(values: Sequence[np.ndarray], numbers: Sequence[np.ndarray], limit: int) -> list[np.ndarray]:
+    """For each part's distinct hashes of a range: which have more than ``limit`` records in all parts."""
+    _, number = np.unique(np.concatenate(values), return_inverse=True)
+    total = np.bincount(number, np.concatenate(numbers))
+    return np.split(total[number] > limit, np.cumsum([len(v) for v in values])[:-1])
+
+
 def repeated_anchors(values: Sequence[np.ndarray], flags: Sequence[np.ndarray]) -> list[np.ndarray]:
     """For each part's distinct hashes of a range: which occur in another part too or are flagged."""
     every, flag = np.concatenate(values), np.concatenate(flags)
@@ -286,13 +341,13 @@ def _ordered(table: pa.Table, by: str) -> pa.Table:
     return table.take(pa.array(np.argsort(table[by].to_numpy(), kind="stable")))
 
 
-_HASHES = _schema(bytes_=("hashes", "flags"))
+_HASHES = _schema(bytes_=("hashes", "flags", "several"))
 _BITS = _schema(bytes_=("bits",), ints=("part", "bucket", "kind"))
 _RECORDS = _schema(bytes_=("rows", "least"))
 
 
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES,
-           bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+           bucket_bytes: int = BUCKET_BYTES, hot_records: int = HOT_RECORDS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), body.alias("t")).withColumn("node", F.unhex(F.md5("t")))
@@ -311,12 +366,15 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes:
 
     def send_hashes(table: pa.Table, told: pa.Table) -> pa.Table:
         part = Part(table, told)
-        number, flags = table["part"][0].as_py(), part.shared_here()
+        number, flags, records = table["part"][0].as_py(), part.shared_here(), part.numbers()
         cut = np.append(part.slices(buckets), len(part.hashes))
         sent = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+        several = np.flatnonzero(records > 1)  # most hashes have one record; only the others' numbers are sent
+        pairs = [several[slice(*np.searchsorted(several, cut[b:b + 2]))] for b in sent]
         return _rows(_HASHES, sent, [number] * len(sent),
                      [part.hashes[cut[b]:cut[b + 1]].astype(np.uint32).tobytes() for b in sent],
-                     [np.packbits(flags[cut[b]:cut[b + 1]]).tobytes() for b in sent])
+                     [np.packbits(flags[cut[b]:cut[b + 1]]).tobytes() for b in sent],
+                     [np.stack([at - cut[b], records[at]]).astype(np.uint32).tobytes() for b, at in zip(sent, pairs, strict=True)])
 
     def match_hashes(table: pa.Table) -> pa.Table:
         table = _ordered(table, "part")
@@ -324,22 +382,31 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes:
         flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(v)).astype(bool)
                  for f, v in zip(table["flags"].to_pylist(), values, strict=True)]
         found = repeated_anchors(values, flags)
+        records = [np.ones(len(v), np.int64) for v in values]
+        for own, several in zip(records, table["several"].to_pylist(), strict=True):
+            at, times = np.frombuffer(several, np.uint32).reshape(2, -1)
+            own[at] = times
+        hot = hot_anchors(values, records, hot_records)
         return _rows(_BITS, table["part"].to_pylist(), table["bucket"].to_pylist(), [HASHES] * len(found),
-                     [np.packbits(f).tobytes() for f in found])
+                     [np.packbits(f).tobytes() + (np.packbits(h).tobytes() if h.any() else b"")
+                      for f, h in zip(found, hot, strict=True)])
 
-    def recall(part: Part, told: pa.Table) -> np.ndarray:
-        """The answers about a part's hashes, in their order."""
+    def recall(part: Part, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The answers about a part's hashes, in their order: which are repeated, which are hot."""
         bits = told.filter(pc.equal(told["kind"], HASHES))
-        repeated = np.zeros(len(part.hashes), bool)
+        repeated, hot = np.zeros(len(part.hashes), bool), np.zeros(len(part.hashes), bool)
         cut = np.append(part.slices(buckets), len(part.hashes))
         for b, packed in zip(bits["bucket"].to_pylist(), bits["bits"].to_pylist(), strict=True):
             low, high = cut[b], cut[b + 1]
-            repeated[low:high] = np.unpackbits(np.frombuffer(packed, np.uint8), count=high - low)
-        return repeated
+            packed, size = np.frombuffer(packed, np.uint8), -(-(high - low) // 8)
+            repeated[low:high] = np.unpackbits(packed[:size], count=high - low)
+            if len(packed) > size:
+                hot[low:high] = np.unpackbits(packed[size:], count=high - low)
+        return repeated, hot
 
     def send_records(table: pa.Table, told: pa.Table) -> pa.Table:
         part = Part(table, told)
-        records = part.records(recall(part, told))
+        records = part.records(*recall(part, told))
         bucket = records.of_bucket(buckets)
         sent = np.unique(bucket).tolist()
         return _rows(_RECORDS, sent, [table["part"][0].as_py()] * len(sent),
@@ -357,7 +424,7 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes:
     def answer(table: pa.Table, told: pa.Table) -> pa.Table:
         part = Part(table, told)
         masks = told.filter(pc.equal(told["kind"], MASKS))
-        records = part.records(recall(part, told))
+        records = part.records(*recall(part, told))
         smaller, bucket = np.zeros(len(records.rows), np.uint32), records.of_bucket(buckets)
         for b, found in zip(masks["bucket"].to_pylist(), masks["bits"].to_pylist(), strict=True):
             smaller[bucket == b] = np.frombuffer(found, np.uint32)
@@ -366,7 +433,7 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes:
     def with_answers(told: DataFrame, work, schema: str) -> DataFrame:
         return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(work, schema)
 
-    hashes = with_answers(known, send_hashes, "bucket int, part int, hashes binary, flags binary")
+    hashes = with_answers(known, send_hashes, "bucket int, part int, hashes binary, flags binary, several binary")
     ranks = hashes.groupBy("bucket").applyInArrow(match_hashes, "part int, bucket int, kind int, bits binary")
     told = known.unionByName(ranks)
     records = with_answers(told, send_records, "bucket int, part int, rows binary, least binary")
