@@ -228,8 +228,49 @@ FROM (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source, ep
 WHERE epoch * leaf_tokens + before < given
 """
 
+OP13 = r"""
+WITH read AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), occurring AS (
+    SELECT id, lang, source, unnest(terms) AS term FROM read
+), kept AS (
+    SELECT lang, term FROM (SELECT DISTINCT id, lang, term FROM occurring) GROUP BY lang, term HAVING count(*) >= 10
+), groups AS (
+    SELECT DISTINCT lang, source FROM read
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM occurring GROUP BY ALL
+), grid AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+    FROM groups g JOIN kept k ON g.lang = k.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+    SELECT lang, source, term, n,
+           (1 + (1000000000 * (n + 2))::HUGEINT // (sum(n) OVER w + 2 * count(*) OVER w))::BIGINT AS p
+    FROM grid WINDOW w AS (PARTITION BY lang, source)
+), of_lang AS (
+    SELECT lang, term, (1 + (1000000000 * (n + 2))::HUGEINT // (sum(n) OVER w + 2 * count(*) OVER w))::BIGINT AS q
+    FROM (SELECT lang, term, sum(n) AS n FROM grid GROUP BY ALL) WINDOW w AS (PARTITION BY lang)
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q)
+    FROM shares JOIN of_lang USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_warc_revisits": OP1, "op4_jaccard_classes": OP4, "op6_chat_windows": OP6,
             "op8_repeated_bytes": OP8, "op9_hierarchical_mix": OP9,
-            "op10_maxscore_topk": OP10}
+            "op10_maxscore_topk": OP10, "op13_source_divergence": OP13}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitlife.llm import chat, decontaminate, jaccard, langid, mixing, pii, sharding, suffixes, topk, warc
+from unitlife.llm import (
+    chat, decontaminate, divergence, jaccard, langid, mixing, packing, pii, sharding, suffixes, topk, warc, whitening,
+)
 from unitlife.llm.shared import new_path, stored, table
 
 
@@ -114,7 +116,28 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors.filter(F.col("vec_id") % 50 == 0), vectors, 5)
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's first eight whitened components."""
+    return whitening.whiten(whitening.integers(table(spark, sf_dir, "embeddings")), 8)
+
+
+def op12_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4,096 tokens."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        packed = packing.pack(table(spark, sf_dir, "documents"), file.read())
+    return packing.pieces(packed).select(
+        F.col("document").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+        F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of every language against the others, and its most over-used terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_warc_revisits, op2_benchmark_leaks, op3_pii_spans, op4_jaccard_classes, op5_feistel_shards, op6_chat_windows, op7_language_id, op8_repeated_bytes, op9_hierarchical_mix,
-        op10_maxscore_topk)}
+        op10_maxscore_topk, op11_feast_whitening, op12_sum_of_squares_packing, op13_source_divergence)}
