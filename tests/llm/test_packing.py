@@ -48,8 +48,8 @@ def test_other_tokenizers_read_whole_texts():
 
 
 def test_long_text_is_read_in_stretches():
-    text = "Some words, 42 of them. " * 60_000
-    assert packing.Encoder(VOCABULARY).ids(text) == packing.Encoder(VOCABULARY).ids("Some words, 42 of them. ") * 60_000
+    text = "Some words, 42 of them. " * 200_000
+    assert packing.Encoder(VOCABULARY).ids(text) == packing.Encoder(VOCABULARY).ids("Some words, 42 of them. ") * 200_000
 
 
 def squares(counts, window):

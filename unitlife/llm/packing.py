@@ -44,7 +44,7 @@ BATCH_SEQUENCES = 256
 
 STRETCH = 1 << 14  # pieces
 CACHED_CHARS = 64  # longer pieces are not kept
-CACHED_PIECES = 1 << 18  # of each of two generations
+CACHED_PIECES = 1 << 19  # of each of two generations; some 200 bytes a piece
 WHOLE = re.compile(r"[^ \t\n\r]+")
 # Latin letters (whose lower case is one letter) not followed by another character beyond ASCII; then signs and digits up to a
 # letter or blank, without an apostrophe, which joins letters; then whatever else stands between blanks.
@@ -69,6 +69,42 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARK = "<|"
 
 
+class Pieces(dict):
+    """Ids by piece; one that is not held is looked up or tokenized when it is asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.before: dict[str, bytes] = {}  # of the generation before
+        self.long: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            if LETTERS.fullmatch(piece):
+                numbers = [t.id for t in self.model.tokenize(piece.lower().encode().decode("latin-1").translate(BYTE_LETTERS))]
+                ids = struct.pack(f"<{len(numbers)}I", *numbers)
+            else:
+                ids = coded(self.tokenizer, piece)
+            if len(piece) > CACHED_CHARS:
+                self.long.append(piece)
+        self[piece] = ids
+        return ids
+
+    def trim(self) -> None:
+        for piece in self.long:
+            self.pop(piece, None)
+        self.long.clear()
+        if len(self) > CACHED_PIECES:
+            self.before = dict(self)
+            self.clear()
+
+
+def coded(tokenizer, text: str) -> bytes:
+    ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of texts, as little-endian 32-bit numbers."""
 
@@ -81,42 +117,20 @@ class Encoder:
         first = ((file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_pieces = (steps == NORMAL and first.get("pattern") == {"Regex": SPLIT}
                           and all(t["content"].startswith(MARK) and not t["lstrip"] and not t["rstrip"] for t in file["added_tokens"]))
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _coded(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        others, model = [], self.tokenizer.model
-        for p in pieces:
-            if (ids := self.before.get(p)) is not None:
-                self.known[p] = ids
-            elif LETTERS.fullmatch(p):
-                ids = [t.id for t in model.tokenize(p.lower().encode().decode("latin-1").translate(BYTE_LETTERS))]
-                self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                others.append(p)
-        self.known.update(zip(others, self._coded(others), strict=True))
-
-    def _stretch(self, pieces: list[str]) -> bytes:
-        if new := set(pieces).difference(self.known):
-            self._learn(new)
-        out = b"".join(map(self.known.__getitem__, pieces))
-        for p in new:
-            if len(p) > CACHED_CHARS:
-                del self.known[p]
-        if len(self.known) > CACHED_PIECES:
-            self.known, self.before = {}, self.known
-        return out
+        self.pieces = Pieces(self.tokenizer)
 
     def ids(self, text: str) -> bytes:
         if not self.by_pieces:
-            return self._coded([text])[0]
-        pieces = iter(words_of(WHOLE if MARK in text else FINE, text))
-        parts = []
+            return coded(self.tokenizer, text)
+        pieces, known = words_of(WHOLE if MARK in text else FINE, text), self.pieces
+        if isinstance(pieces, list):
+            out = b"".join(map(known.__getitem__, pieces))
+            known.trim()
+            return out
+        parts = []  # of a long text
         while stretch := list(islice(pieces, STRETCH)):
-            parts.append(self._stretch(stretch))
+            parts.append(b"".join(map(known.__getitem__, stretch)))
+            known.trim()
         return b"".join(parts)
 
 
