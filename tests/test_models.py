@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from fleets import close, cycles
 from unitlife.operators import models, splits
 from unitlife.operators.features import FEATURE_COLUMNS, add_horizon_targets, build_features, horizon_target
-from unitlife.plans import registered, runs
+from unitlife.plans import registered, runs, views
 from unitlife.sources import tables
 
-BOOSTING = {"maxIter": 3, "stepSize": 0.3, "maxDepth": 2, "minInstancesPerNode": 2, "subsamplingRate": 0.9,
-            "featureSubsetStrategy": "0.9", "lossType": "squared"}
+BOOSTING = {"trees": 3, "rate": 0.3, "depth": 2, "least": 2, "rows_share": 0.9, "features_share": 0.9}
 
 
 def table(spark, n=300, seed=2):
@@ -70,14 +69,14 @@ def test_grid_stops_at_the_first_thin_horizon(spark, fleet):
 def test_early_stopping_and_missing_values(spark, fleet):
     df = splits.assign_splits(add_horizon_targets(fleet, (10,), dense=True))
     frames = splits.split_frames(df)
-    config = models.TrainConfig(horizons=(10,), boosting=BOOSTING | {"maxIter": 6}, early_stopping_rounds=1)
+    config = models.TrainConfig(horizons=(10,), boosting=BOOSTING | {"trees": 6}, early_stopping_rounds=1)
     model = models.train_boosted(frames["train"], frames["val"], FEATURE_COLUMNS, "soh_h10", config)
-    assert 1 <= model.stages[-1].getNumTrees <= 6
+    assert 1 <= model.trees <= 6
     scored = models.predict(frames["test"], {"p": model})
     assert scored.columns == [*frames["test"].columns, "p"]
     assert scored.filter("p is null or isnan(p)").isEmpty() and not scored.filter("soh_prev is null").isEmpty()
     without_val = models.train_boosted(frames["train"], frames["val"].limit(0), FEATURE_COLUMNS, "soh_h10", config)
-    assert without_val.stages[-1].getNumTrees == 6
+    assert without_val.trees == 6
 
 
 def test_health_run_writes_a_version_once(spark, fleet, tmp_path):
@@ -92,7 +91,7 @@ def test_health_run_writes_a_version_once(spark, fleet, tmp_path):
     assert all(not r.method.startswith("baseline") for r in suspects.collect())
     stored = tables.read_records(spark, f"{tmp_path}/soh_v1/metrics")
     assert stored.count() == len(rows)
-    again = tables.load_model(f"{tmp_path}/soh_v1", "ridge_autoregressive_h1")
+    again = tables.load_model(spark, f"{tmp_path}/soh_v1", "ridge_autoregressive_h1")
     assert models.predict(fleet, {"p": again}).filter("p is null").isEmpty()
     with pytest.raises(FileExistsError, match="new version"):
         tables.save_artifacts({}, config, metrics, str(tmp_path))
@@ -130,15 +129,16 @@ def test_boosted_queries_train_by_the_defaults_and_return_errors(spark, monkeypa
     small = "/root/testdata/sf0.001"
     if not os.path.isdir(small):
         pytest.skip("no test tables")
+    monkeypatch.setattr(views, "_staged", {})
     asked, train = [], models.train_variants
 
     def short(rows, val, config, keys, only):
         asked.append(config)
-        return train(rows, val, models.TrainConfig(horizons=config.horizons, boosting=BOOSTING | {"maxIter": 1}), keys, only)
+        return train(rows, val, models.TrainConfig(horizons=config.horizons, boosting=BOOSTING | {"trees": 1}), keys, only)
 
     monkeypatch.setattr(models, "train_variants", short)
     errors, counts = (registered.queries()[name](spark, small).collect() for name in ("boosted_errors", "boosted_metrics"))
-    assert asked == [models.TrainConfig()] * 2
+    assert asked == [models.TrainConfig()]  # one fit for both
     key = lambda r: (r.split, r.method, r.horizon, r.unit_id or "", r.n)
     assert sorted(map(key, errors)) == sorted(map(key, counts))
     boosted = [r for r in errors if r.method.startswith("gbt_")]

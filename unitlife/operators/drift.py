@@ -27,18 +27,24 @@ def long_form(df: DataFrame, features: Sequence[str], ids: Sequence[str] = ()) -
     return values.unpivot(list(ids), list(features), "feature", "x")
 
 
-def column_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float],
-                     limit: int = FEW_GROUPS_ROWS, also: Sequence[Callable[[str], Column]] = ()) -> list[Row]:
+def column_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float], limit: int = FEW_GROUPS_ROWS,
+                     also: Sequence[Callable[[str], Column]] = (), at_most: int | None = None) -> list[Row]:
     """``feature, n, quantiles`` and what ``also`` computes from each column, as local rows; exact at any size.
 
     One wide pass counts (and computes ``also``). Columns of up to ``limit`` values share a second one; larger ones are
-    narrowed by ``grouped_quantiles``. Nothing is unpivoted for the first two.
+    narrowed by ``grouped_quantiles``. Nothing is unpivoted for the first two. ``at_most`` is a known bound on the rows:
+    within ``limit``, one pass does it all.
     """
     wide = df.select([null_if_nan(F.col(f).cast("double")).alias(f"x{i}") for i, f in enumerate(features)])
+    share = F.array(*[F.lit(float(p)) for p in probabilities])
+    at_once = at_most is not None and at_most <= limit
     counted = wide.agg(*[
-        F.struct(F.count(f"x{i}").alias("n"), *[make(f"x{i}").alias(f"v{k}") for k, make in enumerate(also)]).alias(f"x{i}")
+        F.struct(F.count(f"x{i}").alias("n"), *[make(f"x{i}").alias(f"v{k}") for k, make in enumerate(also)],
+                 *([F.percentile(f"x{i}", share).alias("q")] if at_once else [])).alias(f"x{i}")
         for i in range(len(features))]).first()
-    share = F.array(*[F.lit(float(p)) for p in probabilities])
+    if at_once:
+        return [Row(feature=f, n=counted[i]["n"], quantiles=counted[i]["q"], also=tuple(counted[i])[1:-1])
+                for i, f in enumerate(features)]
     small = [i for i in range(len(features)) if counted[i]["n"] <= limit]
     found = wide.agg(*[F.percentile(f"x{i}", share).alias(f"x{i}") for i in small]).first().asDict() if small else {}
     if large := [f for i, f in enumerate(features) if i not in small]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from unitlife.operators.features import FEATURE_COLUMNS, REGISTRY
-from unitlife.plans.registered import AS_OF, DRIFT_COLUMNS, OBSERVED_GRID
+from unitlife.plans.registered import AS_OF, DRIFT_COLUMNS
 from unitlife.schema import HORIZON_GRID, HORIZONS, STANDING_FRACTIONS
 
 FLEET = """
@@ -440,11 +440,11 @@ def oracle_sql() -> dict[str, str]:
       SELECT unit_id, cycle_index, split, method, threshold, rul_true, round(rul_pred, 4) AS rul_pred FROM slope_points"""
     sql["rul_slope_error"] = f"WITH {SLOPE_POINTS} {SUMMARY.format(points='slope_points')}"
     sql["rul_slope_error_chunked"] = sql["rul_slope_error"]
-    observed = "[" + ", ".join(f"soh_h{k}" for k in OBSERVED_GRID) + "]"
+    observed = "[" + ", ".join(f"soh_h{k}" for k in HORIZON_GRID) + "]"
     sql["rul_trajectory_points"] = f"""WITH {FEATURES}{EOL}{STANDING},
-      labelled AS (SELECT unit_id, cycle_index, {_targets(OBSERVED_GRID)} FROM fleet),
+      labelled AS (SELECT unit_id, cycle_index, {_targets(HORIZON_GRID)} FROM fleet),
       standing_rows AS (SELECT * FROM standing JOIN labelled USING (unit_id, cycle_index)),
-      crossed AS ({_crossing(OBSERVED_GRID, observed)})
+      crossed AS ({_crossing(HORIZON_GRID, observed)})
       SELECT unit_id, cycle_index, 'observed_trajectory' AS method, threshold, rul_true, round(rul_pred, 6) AS rul_pred
       FROM crossed"""
     line = "[" + ", ".join(f"soh_prev + slope * {k}" for k in HORIZON_GRID) + "]"
@@ -576,4 +576,12 @@ def oracle_sql() -> dict[str, str]:
         SELECT unit_id, threshold, method, rul_true, rul_pred FROM slope_points
         UNION ALL SELECT unit_id, threshold, 'ridge_trajectory', rul_true, rul_pred FROM crossed)
       {SUMMARY.replace(', 6)', ', 3)').format(points='both_methods')}"""
+    points = "SELECT unit_id, threshold, unnest(['global_slope', 'gbt_trajectory']) AS method, rul_true, rul_pred FROM slope_points"
+    settled = ", ".join(f"CASE WHEN method = 'global_slope' THEN {c} END AS {c}" for c in (
+        "n_censored_preds", "rul_mae_cycles", "rul_median_ae_cycles", "rul_max_ae_cycles"))
+    sql["rul_boosted_counts"] = f"""WITH {FEATURES}{SLOPE}{EOL}{STANDING},
+      slope_points AS (
+        SELECT unit_id, threshold, rul_true, {SLOPE_RUL} AS rul_pred FROM standing, slope WHERE split IN ('val', 'test')),
+      both_methods AS ({points}), summary AS ({SUMMARY.replace(', 6)', ', 3)').format(points='both_methods')})
+      SELECT unit_id, threshold, method, n_points, {settled} FROM summary"""
     return sql

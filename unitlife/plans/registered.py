@@ -23,7 +23,6 @@ from unitlife.streaming.drift_monitor import monitor
 FINE, COARSE = 9, 6
 TIE_FREE_MEAN, TIE_FREE_HOURS = 12, 10
 DRIFT_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_constant"]
-OBSERVED_GRID = tuple(range(1, 47, 5))
 AS_OF = 30
 
 
@@ -288,9 +287,9 @@ def rul_slope_error_chunked(spark, d):
 
 def rul_trajectory_points(spark, d):
     """The crossing rule on the observed future as trajectory, over the whole fleet."""
-    df = _features(spark, d, OBSERVED_GRID)
+    df = _features(spark, d, HORIZON_GRID)
     points = rul.rul_points(
-        df, -0.005, trajectory={k: F.col(features.horizon_target(k)) for k in OBSERVED_GRID},
+        df, -0.005, trajectory={k: F.col(features.horizon_target(k)) for k in HORIZON_GRID},
         trajectory_method="observed_trajectory", keys=KEYS)
     return _round(points.filter(F.col("method") == "observed_trajectory"), COARSE, "rul_pred")
 
@@ -496,7 +495,8 @@ def fleet_size(spark, d):
 
 def feature_medians(spark, d):
     train = _train(_from_table(spark, d))
-    return _round(models.feature_statistics(train, FEATURE_COLUMNS), COARSE, "median", "mean", "std")
+    bound = views.fleet_features(spark, d).count()  # from the stored table's footers
+    return _round(models.feature_statistics(train, FEATURE_COLUMNS, at_most=bound), COARSE, "median", "mean", "std")
 
 
 def feature_medians_narrowed(spark, d):
@@ -505,7 +505,8 @@ def feature_medians_narrowed(spark, d):
 
 
 def _ridges(train: DataFrame, horizons) -> dict:
-    return {k: models.train_ridge(train, FEATURE_COLUMNS, features.horizon_target(k)) for k in horizons}
+    of_target = {features.horizon_target(k): k for k in horizons}
+    return {of_target[t]: m for t, m in models.train_ridges(train, FEATURE_COLUMNS, list(of_target)).items()}
 
 
 def ridge_forecast(spark, d):
@@ -532,9 +533,8 @@ def ridge_metrics(spark, d):
         c: F.when(fine, F.round(c, TIE_FREE_MEAN)).otherwise(F.round(c, COARSE)) for c in ("mae", "rmse")}), COARSE, "r2")
 
 
-def _boosted(spark, d) -> DataFrame:
-    """Both boosted variants as configured by default, at every report horizon, next to the baselines."""
-    config = models.TrainConfig()
+def _forests(spark, d, config) -> DataFrame:
+    """Errors of both boosted variants as configured by default, at every report horizon, next to the baselines."""
     assigned = _from_table(spark, d, config.horizons)
     kept = runs.training_columns(assigned, config.horizons, KEYS).persist()
     frames = splits.split_frames(kept)
@@ -547,11 +547,14 @@ def _boosted(spark, d) -> DataFrame:
     return runs.soh_metrics(assigned, fitted, slope, config.horizons, KEYS)
 
 
+def _boosted(spark, d) -> DataFrame:
+    return views.stored(spark, d, "boosted-errors", lambda: _forests(spark, d, models.TrainConfig()))
+
+
 def boosted_metrics(spark, d):
     """Row counts of both boosted variants, and the baselines.
 
-    The trees' own errors depend on the library's random numbers, so no SQL has them: they are NULL here;
-    ``boosted_errors`` has them.
+    The trees' own errors have no SQL counterpart: they are NULL here; ``boosted_errors`` has them, from the same fit.
     """
     settled = F.col("method").startswith("baseline")
     digits = {"mae": TIE_FREE_MEAN, "rmse": TIE_FREE_MEAN, "r2": COARSE}
@@ -563,25 +566,49 @@ def boosted_errors(spark, d):
     return _round(_boosted(spark, d), COARSE, "mae", "rmse", "r2")
 
 
-def rul_model_error(spark, d):
-    """Remaining life from a ridge at every grid horizon that has enough labels, against the slope method."""
+def _grid_lives(spark, d, fit, method: str) -> DataFrame:
+    """Error summary of remaining life by the slope method and by a fitted grid."""
     assigned = _from_table(spark, d, HORIZON_GRID)
     kept = runs.training_columns(assigned, HORIZON_GRID, KEYS).persist()
     frames = splits.split_frames(kept)
     try:
-        fitted = models.train_grid(
-            frames["train"], frames["val"], grid=HORIZON_GRID, keys=KEYS,
-            fit=lambda train, val, names, target: models.train_ridge(train, names, target))
+        fitted = models.train_grid(frames["train"], frames["val"], grid=HORIZON_GRID, keys=KEYS, fit=fit)
     finally:
         kept.unpersist()
     held_out = _held_out(assigned)
     points = rul.rul_points(
         models.with_trajectory(held_out, fitted), _slope(assigned), held_out,
-        trajectory=models.trajectory_columns(fitted), trajectory_method="ridge_trajectory", keys=KEYS)
-    table = rul.rul_summary(points, KEYS, sized_by=views.events(spark, d).select("unit_id"))
+        trajectory=models.trajectory_columns(fitted), trajectory_method=method, keys=KEYS)
+    return rul.rul_summary(points, KEYS, sized_by=views.events(spark, d).select("unit_id"))
+
+
+def rul_model_error(spark, d):
+    """Remaining life from a ridge at every grid horizon that has enough labels, against the slope method."""
+    table = _grid_lives(spark, d, models.ridge_fit, "ridge_trajectory")
     return _round(table, 3, "rul_mae_cycles", "rul_median_ae_cycles", "rul_max_ae_cycles")
 
 
+def _boosted_lives(spark, d) -> DataFrame:
+    return views.stored(spark, d, "boosted-lives", lambda: _grid_lives(spark, d, None, "gbt_trajectory"))
+
+
+def rul_boosted_counts(spark, d):
+    """The default grid of boosted trees: points of both methods, and the slope method's errors.
+
+    What the trees predict has no SQL counterpart, so their errors and censored predictions are NULL here;
+    ``rul_boosted_error`` has them, from the same fit.
+    """
+    settled = F.col("method") == "global_slope"
+    return _boosted_lives(spark, d).withColumns({
+        "n_censored_preds": F.when(settled, F.col("n_censored_preds")),
+        **{c: F.when(settled, F.round(c, 3)) for c in ("rul_mae_cycles", "rul_median_ae_cycles", "rul_max_ae_cycles")}})
+
+
+def rul_boosted_error(spark, d):
+    """Remaining life from boosted trees at every grid horizon that has enough labels, against the slope method."""
+    return _round(_boosted_lives(spark, d), 3, "rul_mae_cycles", "rul_median_ae_cycles", "rul_max_ae_cycles")
+
+
 _QUERIES = (
     ingest_run, skip_counts, charge_carry, charge_carry_chunked, fleet_chunked, drift_edges_narrowed, drift_by_unit_silenced,
     prefix_drift_silenced, rul_slope_error_chunked, feature_medians_narrowed, waveform_summaries, datevec_times, largest_copy, validation_counts,
@@ -592,7 +619,7 @@ _QUERIES = (
     censored_units, drift_report, worst_drift, drift_edges, drift_histogram, drift_by_split, drift_by_unit,
     drift_stream, projections, point_in_time, prefix_drift, worst_prefix_drift, fleet_audit,
     ambient_settings, run_classes, aborted_runs, hot_cycles, fleet_size, feature_medians, ridge_forecast,
-    ridge_metrics, boosted_metrics, boosted_errors, rul_model_error,
+    ridge_metrics, boosted_metrics, boosted_errors, rul_model_error, rul_boosted_counts, rul_boosted_error,
 )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from unitlife.operators.features import (
 )
 from unitlife.operators.ingest import cycles_from_entries, route_entries, skip_counts
 from unitlife.operators.models import (
-    TrainConfig, feature_names, predict, train_grid, train_variants, trajectory_columns, with_trajectory,
+    Model, TrainConfig, feature_names, predict, train_grid, train_variants, trajectory_columns, with_trajectory,
 )
 from unitlife.operators.projection import projections
 from unitlife.operators.rul import censored_units, eol_cycles, rul_points, rul_summary
@@ -40,7 +39,7 @@ class Lives(NamedTuple):
 
     points: DataFrame
     summary: DataFrame
-    models: dict[int, PipelineModel]
+    models: dict[int, Model]
     censored: DataFrame
 
 
@@ -89,7 +88,7 @@ def training_columns(assigned: DataFrame, horizons: Sequence[int], keys: Keys) -
         "split", "soh", *feature_names(FEATURE_COLUMNS, keys), *[horizon_target(k) for k in horizons])
 
 
-def soh_metrics(assigned: DataFrame, models: Mapping[tuple[str, int], PipelineModel],
+def soh_metrics(assigned: DataFrame, models: Mapping[tuple[str, int], Model],
                 slope: float, horizons: Sequence[int], keys: Keys = Keys()) -> DataFrame:
     """Baselines and models on identical held-out rows, every split and unit on its own."""
     held_out = assigned.filter(F.col("split").isin("val", "test"))
@@ -127,7 +126,7 @@ def forecast_soh(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
 
 def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, excluded: UnitList = EXCLUDED_UNITS,
                  config: TrainConfig = TrainConfig(horizons=HORIZON_GRID), out: str | None = None,
-                 models: Mapping[int, PipelineModel] | None = None, keys: Keys = Keys(),
+                 models: Mapping[int, Model] | None = None, keys: Keys = Keys(),
                  dense: bool = False) -> Lives:
     """Fit the horizon grid and predict remaining life of the held-out units.
 
@@ -156,7 +155,7 @@ def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
 
 
 def report_tables(features_df: DataFrame, metrics: DataFrame, summary: DataFrame,
-                  models: Mapping[int, PipelineModel], *, cohort: UnitTable = SPLIT_OF,
+                  models: Mapping[int, Model], *, cohort: UnitTable = SPLIT_OF,
                   excluded: UnitList = EXCLUDED_UNITS, keys: Keys = Keys()) -> dict[str, DataFrame]:
     """The four report tables, ordered: ``soh``, ``rul``, ``drift`` and ``projection``."""
     assigned = assign_splits(features_df, cohort, excluded, keys)

@@ -49,22 +49,31 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return path, *files.agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first()
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A table written once per session and state of its input to the shared folder, and read from there.
-
-    Later stages start from the stored table, so column pruning and pushed filters apply and a
-    lost executor costs a re-read, not a re-run of what came before. Files that change, come or go make a new one.
-    """
+def _once(spark: SparkSession, sf_dir: str, name: str, build, write) -> DataFrame:
     key = (spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/events.parquet"), name)
     if key not in _staged:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         table = build()
-        write_unit_table(table, path, KEYS)
+        write(table, path)
         _staged[key] = (path, table.schema)
     path, schema = _staged[key]
     return spark.read.schema(schema).parquet(path)
 
 
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table written once per session and state of its input to the shared folder, and read from there.
+
+    Later stages start from the stored table, so column pruning and pushed filters apply and a
+    lost executor costs a re-read, not a re-run of what came before. Files that change, come or go make a new one.
+    """
+    return _once(spark, sf_dir, name, build, lambda table, path: write_unit_table(table, path, KEYS))
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The same for a result that several queries read, such as a fit's errors."""
+    return _once(spark, sf_dir, name, build, lambda table, path: table.write.parquet(path))
+
+
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cycle table."""
     return _stored(spark, sf_dir, "fleet", lambda: fleet_from_events(spark, sf_dir))

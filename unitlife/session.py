@@ -26,6 +26,36 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages").rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library wrote, wherever Spark keeps it."""
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.exists(folder)
+
+
+def publish_folder(spark: SparkSession, path: str, to: str) -> bool:
+    """Renames a finished folder; False (and nothing changed) if ``to`` is taken."""
+    files, folder = _folder(spark, path)
+    target = _folder(spark, to)[1]
+    if files.exists(target):
+        return False
+    done = files.rename(folder, target)
+    inside = _folder(spark, f"{to}/{folder.getName()}")[1]
+    if done and files.exists(inside):  # another one came first, and the rename went into it
+        files.delete(inside, True)
+        return False
+    return done
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import uuid
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from unitlife.operators import models
 from unitlife.schema import CYCLES, FEATURES, Keys
+from unitlife.session import folder_exists, publish_folder, remove_folder
 
 METRICS = (
     "split string, method string, horizon int, battery_id string, n bigint, mae double, rmse double, r2 double")
@@ -65,26 +66,29 @@ def write_rul(points: DataFrame, path: str, summarise, mode: str = "overwrite")
     return written, points.sparkSession.read.schema(summary.schema).json(f"{path}/summary")
 
 
-def save_artifacts(models: Mapping[str, PipelineModel], config, metrics: DataFrame, root: str) -> str:
+def save_artifacts(fitted: Mapping[str, models.Model], config, metrics: DataFrame, root: str) -> str:
     """A new versioned folder with models, configuration and metrics; an existing one is an error.
 
-    The configuration is written first and refuses to overwrite, which claims the version.
+    All is written aside and published by one rename, so a run that fails half way leaves the version free.
     """
     folder = f"{root}/soh_v{config.version}"
     spark = metrics.sparkSession
+    if folder_exists(spark, folder):
+        raise FileExistsError(f"{folder} exists; choose a new version")
+    aside = f"{folder}.building-{uuid.uuid4().hex}"
     settings = json.dumps(dataclasses.asdict(config), default=dict)
     try:
-        spark.createDataFrame([(settings,)], "value string").coalesce(1).write.mode(
-            "errorifexists").text(f"{folder}/config")
-    except AnalysisException as error:
-        if "PATH_ALREADY_EXISTS" not in str(error):
-            raise
-        raise FileExistsError(f"{folder} exists; choose a new version") from error
-    for name, model in models.items():
-        model.save(f"{folder}/models/{name}")
-    write_records(metrics, f"{folder}/metrics", "errorifexists")
+        spark.createDataFrame([(settings,)], "value string").coalesce(1).write.text(f"{aside}/config")
+        for name, model in fitted.items():
+            models.save_model(spark, model, f"{aside}/models/{name}")
+        write_records(metrics, f"{aside}/metrics", "errorifexists")
+        if not publish_folder(spark, aside, folder):
+            raise FileExistsError(f"{folder} exists; choose a new version")
+    except BaseException:
+        remove_folder(spark, aside)
+        raise
     return folder
 
 
-def load_model(folder: str, name: str) -> PipelineModel:
-    return PipelineModel.load(f"{folder}/models/{name}")
+def load_model(spark: SparkSession, folder: str, name: str) -> models.Model:
+    return models.load_model(spark, f"{folder}/models/{name}")
