@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -154,3 +155,14 @@ def test_runs(spark):
     assert [(r.battery_id, r.n_aborted) for r in audit.aborted_runs(runs).collect()] == [("A", 1)]
     assert tuple(audit.fleet_size(df).first()) == (4, 3)
     assert tuple(audit.fleet_size(df.limit(0)).first()) == (0, 0)
+
+
+def test_packed_and_wide_histograms_agree(spark):
+    draw = random.Random(6)
+    rows = [(f"u{draw.randrange(3)}", None if draw.random() < 0.2 else draw.choice([draw.gauss(0, 1), 0.0, 1.0, math.nan]), draw.random(), 7.0, None)
+            for _ in range(600)]
+    df = spark.createDataFrame(rows, "unit string, x double, y double, same double, never double")
+    names = ["x", "y", "same", "never"]
+    fitted = drift.fit_edges(df.filter("unit <> 'u1'"), names)
+    read = lambda small: sorted(map(tuple, drift.histogram(df, fitted, ["unit"], small=small).collect()))
+    assert read(True) == read(False) == read(None) and len(read(True)) == 12

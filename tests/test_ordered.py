@@ -118,3 +118,27 @@ def test_sparse_order_makes_chunks_by_rows(spark):
     assert max(sizes.values()) <= 100 and len(sizes) == 5 and sizes["short", 0] == 50
     got = with_ordinal(df, ["unit"], "at", "n", chunk_rows=100).collect()
     assert all(r.n == (r["at"] - 5 >> 21) + 1 for r in got if r.unit == "long")
+
+
+@pytest.mark.parametrize("kind", ["outlier", "bursts", "two ends", "powers", "even"])
+def test_skewed_orders_make_chunks_by_rank(spark, kind):
+    """No chunk over its rows, chunks in the order's order, and accumulation unchanged."""
+    draw = random.Random(4)
+    orders = {
+        "outlier": [*range(999), 1 << 60],
+        "bursts": sorted({b * 10 ** 12 + draw.randrange(400) for b in range(5) for _ in range(200)}),
+        "two ends": [*range(-(1 << 40), 500 - (1 << 40)), *range(1 << 40, (1 << 40) + 500)],
+        "powers": [2 ** i + j for i in range(4, 60) for j in range(10)],
+        "even": list(range(0, 7000, 7)),
+    }[kind]
+    df = spark.createDataFrame([("hot", o, 1) for o in orders] + [("a", 3, 1)], "unit string, at long, _cell0 int")
+    df = df.select("unit", "at")
+    placed = place(df, ["unit"], "at", dense=False, chunk_rows=100)
+    assert placed.columns == ["unit", "at", CHUNK]
+    rows = sorted(placed.filter("unit = 'hot'").collect(), key=lambda r: r["at"])
+    assert [r["at"] for r in rows] == sorted(orders)
+    chunks = [r[CHUNK] for r in rows]
+    assert chunks == sorted(chunks) and max(chunks.count(c) for c in set(chunks)) <= 100
+    assert len(set(chunks)) <= 2 * len(orders) // 50 + 2
+    got = {r["at"]: r.n for r in with_ordinal(df, ["unit"], "at", "n", chunk_rows=100).filter("unit = 'hot'").collect()}
+    assert got == {o: i for i, o in enumerate(sorted(orders), 1)}

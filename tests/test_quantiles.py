@@ -27,13 +27,13 @@ def test_linspace_keeps_the_exact_doubles():
     assert linspace_probabilities(10)[-1] == 1.0
 
 
-@pytest.mark.parametrize("limit,bins", [(1 << 20, 4096), (50, 64), (1, 64)])
-def test_grouped_quantiles_are_exact(spark, limit, bins):
+@pytest.mark.parametrize("limit,cells", [(1 << 20, 64), (50, 64), (1, 8)])
+def test_grouped_quantiles_are_exact(spark, limit, cells):
     data = {k: samples(k, 3000 if limit > 1 else 120) for k in KINDS} | {"small": [2.0, 1.0], "single": [9.0]}
     rows = [(k, x) for k, xs in data.items() for x in xs] + [("normal", None), ("empty", None)]
     df = spark.createDataFrame(rows, "feature string, x double").repartition(4)
     p = linspace_probabilities(10)
-    got = {r.feature: r for r in grouped_quantiles(df, ["feature"], "x", p, limit=limit, bins=bins).collect()}
+    got = {r.feature: r for r in grouped_quantiles(df, ["feature"], "x", p, limit=limit, cells=cells).collect()}
     assert set(got) == set(data)
     for kind, xs in data.items():
         assert got[kind].n == len(xs)

@@ -295,7 +295,7 @@ def grow(train: DataFrame, val: DataFrame, jobs: Mapping[str, tuple[Sequence[str
     quantiles = column_quantiles(train, features, linspace_probabilities(BINS - 1))
     edges = [sorted(set(q.quantiles))[1:] if q.n else [] for q in quantiles]
     start = np.array([a["mean"] for a in about])
-    spread = np.array([max(a["high"] - a["low"], np.finfo(float).tiny) for a in about])
+    spread = np.array([a["high"] - a["low"] or 1.0 for a in about])
     bits = min(36, 59 - math.ceil(math.log2(known["n"] + 1)))
     allowed = np.array([[f in jobs[name][0] for f in features] for name in names])
 

@@ -2,8 +2,8 @@
 
 A plain ``Window.partitionBy(unit)`` sends every row of a unit to one task, which fails once a
 single unit holds a large share of the table. Here a unit's history is cut into chunks by an
-integer order column that is unique inside the unit, so a chunk never holds more than
-``chunk_rows`` rows, and windows run per ``(unit, chunk)``:
+integer order column that is unique inside the unit, at ranks and not at values, so a chunk never holds more than
+``chunk_rows`` rows however the order is spread, and windows run per ``(unit, chunk)``:
 
 * ``neighbours`` serves bounded frames (lags, leads, rolling windows). Rows near a chunk border
   are copied into the adjacent chunk before one shuffle, and the copies are dropped afterwards.
@@ -20,7 +20,10 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from unitlife.session import use_checkpoints
+
 CHUNK_ROWS = 1 << 20
+MIN_CELLS = 1 << 12
 CHUNK = "_chunk"
 
 
@@ -39,22 +42,38 @@ def place(df: DataFrame, unit: Sequence[str], order: str, *, dense: bool,
 
     ``dense``: ``order`` counts the unit's own rows, so ordinary units fall into one chunk by
     themselves. Otherwise (an event number shared by all units, a time, any number with gaps) units with more
-    than ``chunk_rows`` rows are cut into twice as many equal ranges of the order as they have chunks' worth of
-    rows, so the number of chunks follows the rows and not the gaps.
+    than ``chunk_rows`` rows are cut by rank. Their range is divided into equal cells, whose rows are counted; a cell of more than half a
+    chunk (a burst, or all but an outlier) is divided again, between its own least and greatest row, until none is. The
+    cells' counts, summed in order, give every cell its rank, and a chunk takes the cells that start in its half chunk
+    of ranks: two halves at most. Each round is one map-side combined count over large units; evenly spread orders need one.
     """
     if dense:
         return df.withColumn(CHUNK, chunk_of(F.col(order), chunk_rows))
-    large = (
-        df.groupBy(*unit).agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-        .filter(F.col("_n") > chunk_rows)
-        .select(*unit, "_lo", (F.col("_hi").cast("double") - F.col("_lo") + 1).alias("_span"),
-                F.ceil(2 * F.col("_n") / chunk_rows).alias("_pieces"))
-    )
-    share = (F.col(order).cast("double") - F.col("_lo")) / F.col("_span")
+    unit, half, at = list(unit), max(chunk_rows // 2, 1), F.col(order).cast("bigint")
+    bounds = [F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")]
+
+    def wanted(cells: DataFrame, most: int) -> DataFrame:
+        pieces = F.greatest(F.lit(MIN_CELLS).cast("bigint"), F.expr(f"4 * _n div {chunk_rows}")).alias("_pieces")
+        crowded = cells.filter((F.col("_n") > most) & (F.col("_hi") > F.col("_lo"))).select("*", pieces)
+        return crowded.select(*keys, "_lo", F.expr("(_hi - _lo) div _pieces + 1").alias("_width"))
+
+    use_checkpoints(df.sparkSession)
+    keys, rows = list(unit), df
+    divided = wanted(df.groupBy(*unit).agg(*bounds), chunk_rows).checkpoint()  # small, and read by every later round
+    while True:
+        cell = f"_cell{len(keys) - len(unit)}"
+        rows = rows.join(divided, keys, "left").withColumn(
+            cell, F.coalesce(F.expr(f"(CAST(`{order}` AS BIGINT) - _lo) div _width"), F.lit(-1))).drop("_lo", "_width")
+        keys.append(cell)
+        counts = rows.filter(F.col("_cell0") >= 0).groupBy(*keys).agg(*bounds)
+        divided = wanted(counts.filter(F.col(cell) >= 0), half).checkpoint()
+        if divided.isEmpty():
+            break
+    before = Window.partitionBy(*unit).orderBy(*keys[len(unit):]).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = counts.select(*keys, F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / half).cast("bigint").alias(CHUNK)).checkpoint()
     return (
-        df.join(large, list(unit), "left")
-        .withColumn(CHUNK, F.coalesce(F.floor(share * F.col("_pieces")), F.lit(0)).cast("bigint"))
-        .drop("_lo", "_span", "_pieces")
+        rows.join(chunks, keys, "left").withColumn(CHUNK, F.coalesce(F.col(CHUNK), F.lit(0)).cast("bigint"))
+        .select(*df.columns, CHUNK)
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from unitlife.functions.life import number, slope_rul, standing_cycle, trajectory_rul, true_rul
 from unitlife.operators.drift import (
-    DEFAULT_BINS, _cells, expected_counts, fit_reference, histogram, psi_from_histograms, worst_feature_by,
+    DEFAULT_BINS, PACKED_ROWS, _cells, expected_counts, fit_reference, histogram, psi_from_histograms, worst_feature_by,
 )
 from unitlife.operators.ordered import CHUNK_ROWS, fits_one_task, running
 from unitlife.operators.rul import with_eol
@@ -110,7 +110,7 @@ def prefix_drift(features: DataFrame, points: DataFrame, reference: DataFrame, c
     fitted = fit_reference(reference, columns, bins, digits=digits)
     expected = expected_counts(reference.sparkSession, fitted, bins)
     by = [keys.unit, "standing_cycle"]
-    counts = histogram(counted_to, fitted, by, bins)
+    counts = histogram(counted_to, fitted, by, bins, small=small and chunk_rows <= PACKED_ROWS + 1)
     parts = ["n", *_cells(bins)]
     summed = running(counts, [keys.unit, "feature"], "standing_cycle", dense=True, chunk_rows=chunk_rows,
                      small=small, sums={f"_b_{p}": F.col(p) for p in parts})

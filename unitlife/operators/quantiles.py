@@ -1,27 +1,27 @@
 """Exact grouped quantiles whose memory does not grow with the group.
 
 ``percentile`` keeps a value-to-count map of the whole group in one task. That is the right plan
-for groups up to ``limit`` rows. Larger groups are resolved by narrowing: a histogram of the
-value range is counted (map-side combined), only the bins that hold a wanted rank are kept, and
-those are split again until each holds at most ``limit`` rows or a single value.
+for groups up to ``limit`` rows. Larger groups are resolved by narrowing: a sketch gives cut points of
+about equal counts, the rows between them are counted exactly (map-side combined), only the cells that hold a wanted rank are
+kept, and those are split again until each holds at most ``limit`` rows or a single value; a round leaves about one row in
+``NARROWING_CELLS``. The brackets of all groups are a table; nothing is collected, and no side of a join is broadcast unless
+Spark finds it small.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from unitlife.session import use_checkpoints
 
 GROUP_ROWS = 1 << 20
 # For a handful of groups (features) narrowing is also faster, from about here on.
 FEW_GROUPS_ROWS = 1 << 19
-NARROWING_BINS = 4096
+NARROWING_CELLS = 64
 
 
 def linspace_probabilities(bins: int) -> list[float]:
@@ -30,130 +30,107 @@ def linspace_probabilities(bins: int) -> list[float]:
     return [i * step for i in range(bins)] + [1.0]
 
 
-def large_groups(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_ROWS) -> list[Row]:
-    """Groups of more than ``limit`` values: at most N / limit of them, with count, min and max."""
+def large_groups(values: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Groups of more than ``limit`` values of ``_v``, with count, least and greatest."""
     return (
-        df.groupBy(*keys)
-        .agg(F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        .filter(F.col("_n") > limit).collect()
+        values.groupBy(*keys)
+        .agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .filter(F.col("_n") > limit)
     )
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float],
-                      *, limit: int = GROUP_ROWS, bins: int = NARROWING_BINS,
+                      *, limit: int = GROUP_ROWS, cells: int = NARROWING_CELLS,
                       at_most: int | None = None) -> DataFrame:
     """``keys..., n, quantiles`` with linear interpolation between order statistics.
 
-    NULL values are ignored. ``at_most`` is a known bound on the rows of any group; if it is within
-    ``limit``, the groups need not be counted first.
+    NULL values are ignored, and so are rows with a NULL key in a large group. ``at_most`` is a known bound on the rows of any
+    group; if it is within ``limit``, the groups need not be counted first.
     """
+    keys = list(keys)
     values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    within = at_most is not None and at_most <= limit
-    large = [] if within else large_groups(values, keys, "_v", limit)
-    ordinary = values
-    if large:
-        hot = _frame(values, keys, [], [tuple(r[k] for k in keys) for r in large])
-        ordinary = values.join(F.broadcast(hot), list(keys), "left_anti")
-    result = ordinary.groupBy(*keys).agg(
+    plain = lambda rows: rows.groupBy(*keys).agg(
         F.count("_v").alias("n"),
         F.percentile("_v", F.array(*[F.lit(float(p)) for p in probabilities])).alias("quantiles"))
-    if not large:
-        return result
+    if at_most is not None and at_most <= limit:
+        return plain(values)
+    use_checkpoints(values.sparkSession)
+    large = large_groups(values, keys, limit).checkpoint()
+    if large.isEmpty():
+        return plain(values)
+    named = large.select(*keys)
     # Narrowing reads the values several times. Sums behind them may differ in their last bits from run to run, so
     # they are written once.
-    use_checkpoints(values.sparkSession)
-    fixed = values.join(F.broadcast(hot), list(keys), "left_semi").checkpoint()
-    return result.unionByName(_narrowed(fixed, keys, large_groups(fixed, keys, "_v", 0), probabilities, limit, bins))
+    fixed = values.join(named, keys, "left_semi").checkpoint()
+    return plain(values.join(named, keys, "left_anti")).unionByName(
+        _narrowed(fixed, keys, large_groups(fixed, keys, 0), probabilities, limit, cells))
+
 
+def _positions(n: Column, probabilities: Sequence[float]) -> list[Column]:
+    """Where each quantile lies among the ranks 0 to n - 1."""
+    return [F.lit(float(p)) * (n - 1) for p in probabilities]
 
-def _frame(df: DataFrame, keys: Sequence[str], extra: list[T.StructField], rows: list[tuple]) -> DataFrame:
-    fields = [T.StructField(k, df.schema[k].dataType) for k in keys] + extra
-    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
 
+def _within(start: Column, n: Column) -> Column:
+    return F.filter("_ranks", lambda r: (r >= start) & (r < start + n))
 
-def _narrowed(values: DataFrame, keys: Sequence[str], large: list[Row],
-              probabilities: Sequence[float], limit: int, bins: int) -> DataFrame:
-    key_of = lambda row: tuple(row[k] for k in keys)
-    sizes = {key_of(r): r["_n"] for r in large}
-    positions = {k: [p * (n - 1) for p in probabilities] for k, n in sizes.items()}
-    wanted = {k: sorted({f(x) for x in xs for f in (math.floor, math.ceil)})
-              for k, xs in positions.items()}
-    found: dict[tuple, dict[int, float]] = defaultdict(dict)
 
-    # A bracket: (key, lowest value, highest value, rows below it, rows in it).
-    brackets = [(key_of(r), r["_lo"], r["_hi"], 0, r["_n"]) for r in large]
+def _narrowed(values: DataFrame, keys: list[str], groups: DataFrame, probabilities: Sequence[float], limit: int,
+              cells: int) -> DataFrame:
+    groups = groups.checkpoint()
+    ends = [f(x).cast("bigint") for x in _positions(F.col("_n"), probabilities) for f in (F.floor, F.ceil)]
+    # A bracket: least and greatest value, rows of the group below it, rows in it, ranks wanted of it. Brackets of a
+    # group do not overlap, so the rows below tell them apart.
+    brackets = groups.select(*keys, "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), "_n",
+                             F.array_distinct(F.array(*ends)).alias("_ranks"))
+    found = []
     while True:
-        pending = []
-        for key, lo, hi, below, n in brackets:
-            if lo == hi:
-                found[key].update({r: lo for r in wanted[key] if below <= r < below + n})
-            else:
-                pending.append((key, lo, hi, below, n))
-        wide = [b for b in pending if b[4] > limit]
-        narrow = [b for b in pending if b[4] <= limit]
-        if narrow:
-            for row in _ranked(values, keys, narrow, wanted):
-                found[key_of(row)][row["_rank"]] = row["_v"]
-        if not wide:
+        single = F.col("_lo") == F.col("_hi")
+        found.append(brackets.filter(single).select(*keys, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v")))
+        found.append(_ranked(values, keys, brackets.filter(~single & (F.col("_n") <= limit))))
+        wide = brackets.filter(~single & (F.col("_n") > limit))
+        if wide.isEmpty():
             break
-        brackets = _split(values, keys, wide, wanted, bins)
-
-    rows = []
-    for key, xs in positions.items():
-        at = found[key]
-        quantiles = []
-        for x in xs:
-            low, high = math.floor(x), math.ceil(x)
-            quantiles.append(at[low] if low == high or at[low] == at[high]
-                             else (high - x) * at[low] + (x - low) * at[high])
-        rows.append((*key, sizes[key], quantiles))
-    return _frame(values, keys, [
-        T.StructField("n", T.LongType()), T.StructField("quantiles", T.ArrayType(T.DoubleType())),
-    ], rows)
-
-
-_BRACKET = [T.StructField("_b", T.IntegerType()), T.StructField("_lo", T.DoubleType()),
-            T.StructField("_hi", T.DoubleType()), T.StructField("_below", T.LongType())]
-_RANK = [T.StructField("_b", T.IntegerType()), T.StructField("_rank", T.LongType())]
-
-
-def _inside(values: DataFrame, keys: Sequence[str], brackets: list[tuple]) -> DataFrame:
-    """Rows that lie in a bracket; brackets of one group do not overlap, so at most one match."""
-    frame = _frame(values, keys, _BRACKET,
-                   [(*key, i, lo, hi, below) for i, (key, lo, hi, below, _) in enumerate(brackets)])
-    return values.join(F.broadcast(frame), list(keys)).filter(
-        (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-
-
-def _holding_ranks(counted: DataFrame, values: DataFrame, keys: Sequence[str],
-                   brackets: list[tuple], wanted: dict) -> DataFrame:
-    ranks = _frame(values, keys, _RANK, [
-        (*key, i, r) for i, (key, _, _, below, n) in enumerate(brackets)
-        for r in wanted[key] if below <= r < below + n])
-    return counted.join(F.broadcast(ranks), [*keys, "_b"]).filter(
-        (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n")))
-
-
-def _split(values, keys, brackets, wanted, bins) -> list[tuple]:
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    # The outermost values get bins of their own, so every split makes progress.
-    cell = (F.when(F.col("_v") == F.col("_lo"), -1).when(F.col("_v") == F.col("_hi"), bins)
-            .otherwise(F.least(F.floor(share * bins), F.lit(bins - 1))))
-    counted = _inside(values, keys, brackets).groupBy(*keys, "_b", "_below", cell.alias("_cell")).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    order = Window.partitionBy(*keys, "_b").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    started = counted.withColumn(
-        "_start", F.col("_below") + F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    kept = _holding_ranks(started, values, keys, brackets, wanted).select(
-        *keys, "_min", "_max", "_start", "_n").distinct().collect()
-    return [(tuple(r[k] for k in keys), r["_min"], r["_max"], r["_start"], r["_n"]) for r in kept]
-
-
-def _ranked(values, keys, brackets, wanted) -> list[Row]:
-    counted = _inside(values, keys, brackets).groupBy(*keys, "_b", "_below", "_v").agg(
-        F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    started = counted.withColumn(
-        "_start", F.col("_below") + F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    return _holding_ranks(started, values, keys, brackets, wanted).select(
-        *keys, "_rank", "_v").collect()
+        brackets = _split(values, keys, wide, cells).checkpoint()
+    at = reduce(DataFrame.union, found).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two ranks a probability at most
+    quantiles = []
+    for x in _positions(F.col("_n"), probabilities):
+        low, high = F.floor(x), F.ceil(x)
+        a, b = F.element_at("_at", low.cast("bigint")), F.element_at("_at", high.cast("bigint"))
+        quantiles.append(F.when((low == high) | (a == b), a).otherwise((high - x) * a + (x - low) * b))
+    return groups.join(at, keys).select(*keys, F.col("_n").alias("n"), F.array(*quantiles).alias("quantiles"))
+
+
+def _inside(values: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
+    """Rows that lie in a bracket, with the bracket's bounds and the rows below it."""
+    bounds = brackets.select(*keys, "_lo", "_hi", "_below")
+    return values.join(bounds, keys).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+
+
+def _started(counted: DataFrame, keys: list[str], by: str, brackets: DataFrame) -> DataFrame:
+    """Counts of a bracket's parts with the rank at which each starts and the ranks wanted of it; parts without are left out."""
+    order = Window.partitionBy(*keys, "_below").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    started = counted.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    return (
+        started.join(brackets.select(*keys, "_below", "_ranks"), [*keys, "_below"])
+        .withColumn("_ranks", _within(F.col("_start"), F.col("_n"))).filter(F.size("_ranks") > 0)
+    )
+
+
+def _split(values: DataFrame, keys: list[str], brackets: DataFrame, cells: int) -> DataFrame:
+    inside = _inside(values, keys, brackets)
+    share = F.array(*[F.lit(p) for p in linspace_probabilities(cells)[1:-1]])
+    cuts = inside.groupBy(*keys, "_below").agg(F.array_distinct(F.approx_percentile("_v", share, 16 * cells)).alias("_cuts"))
+    # The outermost values get cells of their own, so every split makes progress.
+    cell = (F.when(F.col("_v") == F.col("_lo"), -1).when(F.col("_v") == F.col("_hi"), cells)
+            .otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))))
+    counted = inside.join(cuts, [*keys, "_below"]).groupBy(*keys, "_below", cell.alias("_cell")).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    return _started(counted, keys, "_cell", brackets).select(
+        *keys, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), F.col("_start").alias("_below"), "_n", "_ranks")
+
+
+def _ranked(values: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
+    counted = _inside(values, keys, brackets).groupBy(*keys, "_below", "_v").agg(F.count("*").alias("_n"))
+    return _started(counted, keys, "_v", brackets).select(*keys, F.explode("_ranks").alias("_rank"), "_v")
