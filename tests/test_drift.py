@@ -157,12 +157,19 @@ def test_runs(spark):
     assert tuple(audit.fleet_size(df.limit(0)).first()) == (0, 0)
 
 
-def test_packed_and_wide_histograms_agree(spark):
+def test_histogram_counts_every_bin(spark):
     draw = random.Random(6)
     rows = [(f"u{draw.randrange(3)}", None if draw.random() < 0.2 else draw.choice([draw.gauss(0, 1), 0.0, 1.0, math.nan]), draw.random(), 7.0, None)
             for _ in range(600)]
     df = spark.createDataFrame(rows, "unit string, x double, y double, same double, never double")
     names = ["x", "y", "same", "never"]
     fitted = drift.fit_edges(df.filter("unit <> 'u1'"), names)
-    read = lambda small: sorted(map(tuple, drift.histogram(df, fitted, ["unit"], small=small).collect()))
-    assert read(True) == read(False) == read(None) and len(read(True)) == 12
+    for by in ([], ["unit"]):
+        want = set()
+        for unit in {r[0] for r in rows} if by else {None}:
+            for i, f in enumerate(fitted):
+                xs = [r[1 + i] for r in rows if unit in (None, r[0]) and r[1 + i] is not None and not math.isnan(r[1 + i])]
+                places = [sum(x >= e for e in f.edges) for x in xs]
+                want.add((*([unit] if by else []), f.feature, len(xs), *(places.count(k) for k in range(10))))
+        assert set(map(tuple, drift.histogram(df, fitted, by).collect())) == want
+    assert [tuple(r)[1:] for r in drift.histogram(df.limit(0), fitted).collect()] == [(0,) * 11] * 4

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from unitlife.functions.life import psi_term, rate_psi
-from unitlife.operators.ordered import fits_one_task
 from unitlife.operators.quantiles import FEW_GROUPS_ROWS, grouped_quantiles, linspace_probabilities
 from unitlife.schema import null_if_nan
 
@@ -120,60 +119,40 @@ def _cells(bins: int) -> list[str]:
     return [f"c{i}" for i in range(max(bins, 3))]
 
 
-def histogram(df: DataFrame, fitted: Sequence[Fitted], by: Sequence[str] = (), bins: int = DEFAULT_BINS,
-              small: bool | None = None) -> DataFrame:
-    """``by..., feature, n, c0, c1, ...`` of the wide rows ``df``.
-
-    Bins are half-open: a value on an edge belongs to the right one. One map-side combined pass counts;
-    only the counts are unpivoted. Empty bins are zeros, so none can go missing. With groups of at most ``PACKED_ROWS`` rows
-    (``small``; checked by default) a group carries a few packed counters per feature, otherwise one per edge.
-    """
-    wide = df.select(*by, *[null_if_nan(F.col(f.feature).cast("double")).alias(f"_x{i}") for i, f in enumerate(fitted)])
-    if by and (fits_one_task(df, by, PACKED_ROWS) if small is None else small):
-        return _packed_histogram(wide, fitted, by, bins)
-    counts = []
-    for i, f in enumerate(fitted):
-        counts.append(F.count(f"_x{i}").alias(f"_n{i}"))
-        counts += [F.count_if(F.col(f"_x{i}") >= F.lit(e)).alias(f"_n{i}_{j}") for j, e in enumerate(f.edges)]
-    entries = []
-    for i, f in enumerate(fitted):
-        above = [F.col(f"_n{i}"), *[F.col(f"_n{i}_{j}") for j in range(len(f.edges))], F.lit(0).cast("bigint")]
-        cells = [above[j] - above[j + 1] for j in range(len(above) - 1)]
-        cells += [F.lit(0).cast("bigint")] * (len(_cells(bins)) - len(cells))
-        entries.append(F.struct(F.lit(f.feature).alias("feature"), F.col(f"_n{i}").alias("n"),
-                                *[c.alias(name) for c, name in zip(cells, _cells(bins), strict=True)]))
-    return wide.groupBy(*by).agg(*counts).select(*by, F.inline(F.array(*entries)))
-
-
-COUNTER_BITS, COUNTERS = 20, 3  # of a long
-PACKED_ROWS = (1 << COUNTER_BITS) - 1
-
-
 def _bin_of(x: Column, edges: Sequence[float], first: int = 0) -> Column:
-    """The number of edges at or below ``x``, by a tree of comparisons; NULL for a missing value."""
+    """The number of edges at or below ``x``, by a tree of comparisons."""
     if not edges:
-        return F.when(x.isNotNull(), F.lit(first))
+        return F.lit(first)
     middle = len(edges) // 2
-    left, right = (_bin_of(x, part, start) if part else F.lit(start) for part, start in (
-        (edges[:middle], first), (edges[middle + 1:], first + middle + 1)))
-    return F.when(x >= F.lit(edges[middle]), right).when(x.isNotNull(), left)
+    return F.when(x < F.lit(edges[middle]), _bin_of(x, edges[:middle], first)).otherwise(
+        _bin_of(x, edges[middle + 1:], first + middle + 1))
+
 
+def histogram(df: DataFrame, fitted: Sequence[Fitted], by: Sequence[str] = (), bins: int = DEFAULT_BINS) -> DataFrame:
+    """``by..., feature, n, c0, c1, ...`` of the wide rows ``df``.
 
-def _packed_histogram(wide: DataFrame, fitted: Sequence[Fitted], by: Sequence[str], bins: int) -> DataFrame:
-    """One bin number per value; ``COUNTERS`` bins share a long, whose sum holds their counts side by side."""
-    numbered = wide.select(*by, *[_bin_of(F.col(f"_x{i}"), f.edges).alias(f"_b{i}") for i, f in enumerate(fitted)])
-    longs = -(-len(_cells(bins)) // COUNTERS)
-    sums, entries = [], []
+    Bins are half-open: a value on an edge belongs to the right one. Every value gets its bin's number by a tree of
+    comparisons; one map-side combined count by (group, feature, bin) follows, whose rows are as many as bins are in use, and
+    the counts are set side by side. A missing value counts in a bin of its own, so that no feature of a group can go missing.
+    """
+    cells = _cells(bins)
+    missing = len(cells)
+    codes = []
     for i, f in enumerate(fitted):
-        for k in range(longs):
-            one = F.expr(f"CASE _b{i} " + " ".join(
-                f"WHEN {k * COUNTERS + j} THEN {1 << (COUNTER_BITS * j)}L" for j in range(COUNTERS)) + " ELSE 0L END")
-            sums.append(F.sum(one).alias(f"_s{i}_{k}"))
-        cells = [F.shiftright(F.col(f"_s{i}_{c // COUNTERS}"), COUNTER_BITS * (c % COUNTERS)).bitwiseAND(F.lit(PACKED_ROWS))
-                 for c in range(len(_cells(bins)))]
-        entries.append(F.struct(F.lit(f.feature).alias("feature"), reduce(lambda a, b: a + b, cells).alias("n"),
-                                *[c.alias(name) for c, name in zip(cells, _cells(bins), strict=True)]))
-    return numbered.groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*entries)))
+        x = null_if_nan(F.col(f.feature).cast("double"))
+        codes.append(F.when(x.isNull(), missing).otherwise(_bin_of(x, f.edges)) + i * (missing + 1))
+    coded = df.select(*by, F.explode(F.array(*codes)).alias("_code"))
+    counted = coded.groupBy(*by, "_code").agg(F.count(F.lit(1)).alias("_n"))
+    place, names = F.expr(f"_code % {missing + 1}"), F.array(*[F.lit(f.feature) for f in fitted])
+    in_bin = [F.sum(F.when(place == k, F.col("_n")).otherwise(0)).alias(c) for k, c in enumerate(cells)]
+    wide = counted.groupBy(*by, F.get(names, F.expr(f"_code div {missing + 1}").cast("int")).alias("feature")).agg(
+        F.sum(F.when(place != missing, F.col("_n")).otherwise(0)).alias("n"), *in_bin)
+    if by:
+        return wide
+    # without rows there is no group, but every feature has its zeros
+    zeros = df.sparkSession.createDataFrame([(f.feature,) for f in fitted], "feature string")
+    return zeros.join(F.broadcast(wide), "feature", "left").select(
+        "feature", *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("n", *cells)])
 
 
 def expected_counts(spark: SparkSession, fitted: Sequence[Fitted], bins: int = DEFAULT_BINS) -> DataFrame:
