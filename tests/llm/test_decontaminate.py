@@ -55,11 +55,13 @@ def test_planted_passages_and_nothing_else(spark):
     items, docs, want = planted()
     benchmark = spark.createDataFrame([*items, (90, None), (91, ""), (92, "too short"), (None, items[0][1])], "item_id long, text string")
     rows = [(d, t, "k") for d, t in docs] + [(900, None, "k"), (901, "", "k"), (1, docs[1][1], "k")]
-    documents = spark.createDataFrame(rows, "doc_id long, text string, leaks string")
+    documents = spark.createDataFrame(rows, "doc_id long, text string, leaks string").selectExpr(
+        "doc_id", "text", "leaks", "1 AS _text", "2 AS _of", "3 AS _node", "4 AS _leaks", "5 AS digest", "6 AS c0")
     for block_words, at_once in ((dec.BLOCK_WORDS, 4), (300, 10), (300, 2)):
         out = dec.find(documents, benchmark, block_words=block_words, blocks_at_once=at_once)
-        assert out.columns == ["doc_id", "text", "leaks"]
+        assert out.columns == ["doc_id", "text", "_text", "_of", "_node", "_leaks", "digest", "c0", "leaks"]
         found = out.collect()
+        assert {(r._text, r._of, r._node, r._leaks, r.digest, r.c0) for r in found} == {(1, 2, 3, 4, 5, 6)}
         assert len(found) == len(rows)
         for r in found:
             leaks = [x for x in r.leaks if x.item_id is not None]

@@ -80,3 +80,15 @@ def test_against_a_walk(spark, seed, share, epochs):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string, domain string, lang string, source string")
     assert mixing.mix(df, LEVELS).collect() == []
+
+
+def test_a_weight_of_zero_leaves_out(spark):
+    data = rows(6)
+    df = spark.createDataFrame(data, "doc_id long, text string, domain string, lang string, source string, n int")
+    weights = {"lang": {"de": 0, "en": 3}, "domain": {"b": 0}}
+    got = mixing.mix(df, LEVELS, (1, 1), weights, 2, seed=3).collect()
+    assert {r.lang for r in got} == {"en"} and {r.domain for r in got} == {"a", None}
+    assert sum(r.tokens for r in got) > 0
+    only = mixing.mix(df.filter("lang = 'en' AND domain <=> 'a'"), LEVELS, (1, 1), {}, 2, seed=3)
+    assert only.count() > 0
+    assert mixing.mix(df, LEVELS, (1, 1), {"lang": {"de": 0, "en": 0}}, 2).collect() == []

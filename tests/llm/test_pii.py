@@ -65,8 +65,9 @@ def test_long_runs_take_linear_time():
 def test_table(spark):
     rows = [(1, "mail x@y.org now", "k"), (1, "mail x@y.org now", "k"), (None, None, None), (2, "", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
-    out = pii.find(df, mask="clean")
-    assert out.columns == ["doc_id", "text", "spans", "clean"]
+    out = pii.find(df.selectExpr("*", "1 AS _text", "2 AS c0"), mask="clean")
+    assert out.columns == ["doc_id", "text", "_text", "c0", "spans", "clean"]
+    assert {(r._text, r.c0) for r in out.collect()} == {(1, 2)}
     got = sorted(((r.doc_id or 0, len(r.spans), r.clean) for r in out.collect()))
     assert got == [(0, 0, ""), (1, 1, "mail [EMAIL] now"), (1, 1, "mail [EMAIL] now"), (2, 0, "")]
     assert pii.find(df.limit(0)).count() == 0

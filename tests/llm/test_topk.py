@@ -57,3 +57,15 @@ def test_fewer_rows_than_asked_and_none(spark):
     assert sorted(map(tuple, topk.search(vectors, vectors, 5).collect())) == [(0, 1, 50, 131072), (50, 1, 0, 131072)]
     none = vectors.filter("false")
     assert topk.search(none, none, 5).collect() == [] == topk.search(none, vectors, 5).collect()
+
+
+@pytest.mark.parametrize("large", [9_000_000.0, 1e7, 1e12])
+def test_large_components_do_not_wrap(spark, large):
+    """Beyond 32 bits, beyond exact doubles, and products beyond a long on the way to a score within it."""
+    rng = random.Random(3)
+    data = [(i, [large * rng.choice([-1, 1, 0.5]) if large < 1e12 else large * (i == 7), rng.uniform(-1, 1), float(i)]) for i in range(40)]
+    data.append((50, [1.0, 2.0, 3.0]))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    vectors = topk.integers(df)
+    queries = vectors.filter("vec_id % 10 = 0")
+    assert sorted(map(tuple, topk.search(queries, vectors, 5).collect())) == brute(data, 5, 10)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from unitlife.llm.shared import LONG_TEXT, batched, stored, values, words_of
+from unitlife.llm.shared import LONG_TEXT, batched, positional, stored, values, words_of
 
 SEED_WORDS = 3
 MIN_SCORE, MIN_WORDS = 0.5, 8
@@ -252,8 +252,9 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
 def _searched(documents: DataFrame, text: str, names: Sequence[str], some: Sequence[Block]) -> DataFrame:
     """``names`` and the ``leaks`` of a few blocks, found where the documents are read."""
     shared = [documents.sparkSession.sparkContext.broadcast(block) for block in some]
-    source = documents.select(F.col(text).cast("string").alias("_text"), *names)
-    schema = StructType([*source.schema.fields[1:], StructField("leaks", ArrayType(LEAK))])
+    source = positional(documents.select(F.col(text).cast("string"), *names))
+    schema = StructType([*(StructField(c, f.dataType) for c, f in zip(names, source.schema.fields[1:], strict=True)),
+                         StructField("leaks", ArrayType(LEAK))])
     fields = LEAK.fieldNames()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,6 +291,7 @@ def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep: S
         finds.append(stored(_searched(texts, "t", ["node"], few).filter(F.size("leaks") > 0), "leaks"))
         few, more = [*more, *islice(ready, blocks_at_once - len(more))], []
     every = reduce(DataFrame.unionByName, finds).select("node", F.explode("leaks").alias("leak")).distinct()
-    by_text = every.groupBy("node").agg(F.array_sort(F.collect_list("leak")).alias("_leaks")).withColumnRenamed("node", "_node")
-    joined = documents.select(*names, node.alias("_of")).join(by_text, F.col("_of") == F.col("_node"), "left")
-    return joined.select(*names, F.coalesce("_leaks", F.array().cast(ArrayType(LEAK))).alias("leaks"))
+    by_text = every.groupBy(F.col("node").alias("digest")).agg(F.array_sort(F.collect_list("leak")).alias("found"))
+    flat = positional(documents.select(*names, node))
+    joined = flat.join(by_text, F.col(flat.columns[-1]) == F.col("digest"), "left")
+    return joined.select(*flat.columns[:-1], F.coalesce("found", F.array().cast(ArrayType(LEAK)))).toDF(*names, "leaks")

@@ -10,7 +10,8 @@ Column functions only, in whole numbers. Budgets are one row per leaf. A leaf ma
 epochs need no order, and a part of an epoch is cut into 4096 slices of the seeded order; slice totals show where
 the line falls, and only the rows of that slice are put in order.
 
-A null text has no tokens, and documents without tokens are never taken; a null level is a node of its own.
+A null text has no tokens, and documents without tokens are never taken; a null level is a node of its own. A weight of
+0 leaves a node and all below it out; its siblings take what it would have got, as far as they can.
 Repeated rows are taken one by one. An empty table, or a budget of 0, gives an empty result. Other columns pass
 through; input columns called ``epoch`` or ``tokens`` are replaced.
 """
@@ -48,7 +49,7 @@ def _split(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
     capacity; the others share the rest by weight. Tokens left over by the division go to the first of them.
     """
     family = Window.partitionBy(*(parent or [F.lit(0)]))
-    line = family.orderBy(F.col("capacity") / F.col("weight"), F.col("name"))
+    line = family.orderBy(F.col("capacity") / F.greatest("weight", F.lit(1)), F.col("name"))
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     ranked = nodes.withColumns({
         "left": F.col("given") - F.coalesce(F.sum("capacity").over(before), F.lit(0)),
@@ -70,17 +71,18 @@ def budgets(totals: DataFrame, levels: Sequence[str], share: tuple[int, int],
             weights: Mapping[str, Mapping[str, int]], max_epochs: int) -> DataFrame:
     """``totals`` (levels, ``tokens``) with each leaf's ``budget``; ``share`` of all tokens is given out."""
     all_rows = Window.partitionBy(F.lit(0))
-    out = totals.filter(F.col("tokens") > 0).withColumn("capacity", F.col("tokens") * max_epochs)
+    weight_of = {level: reduce(lambda w, known: F.when(F.col(level) == known[0], known[1]).otherwise(w),  # noqa: B023
+                               weights.get(level, {}).items(), F.lit(1)) for level in levels}
+    taken = reduce(and_, (w > 0 for w in weight_of.values()))
+    out = totals.filter(F.col("tokens") > 0).withColumn("capacity", F.when(taken, F.col("tokens") * max_epochs).otherwise(0))
     asked = F.sum("tokens").over(all_rows) * share[0]
     out = out.withColumn("_all", asked).withColumn("given", F.least(
         F.expr(f"_all div {share[1]}"), F.sum("capacity").over(all_rows))).drop("_all")
     for depth, level in enumerate(levels):
         path = list(levels[:depth + 1])
-        weight = reduce(lambda w, known: F.when(F.col(level) == known[0], known[1]).otherwise(w),
-                        weights.get(level, {}).items(), F.lit(1))
         nodes = (
             out.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.max("given").alias("given"))
-            .withColumns({"weight": weight.cast("bigint"), "name": F.coalesce(F.col(level), F.lit(""))})
+            .withColumns({"weight": weight_of[level].cast("bigint"), "name": F.coalesce(F.col(level), F.lit(""))})
         )
         split = _split(nodes, path[:-1]).select(*path, F.col("budget").alias("given"))
         out = _join(out.drop("given"), split, path)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from unitlife.llm.shared import values
+from unitlife.llm.shared import positional, values
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -188,12 +188,12 @@ def find(df: DataFrame, text: str = "text", mask: str | None = None, keep: Seque
     """``df`` (its columns ``keep``, or all) with ``spans``, an array of kind, start and end (code points, end
     exclusive), and, if ``mask`` names a column, the text with all spans replaced there."""
     added = ["spans", *([mask] if mask else [])]
-    source = df.select(df[text].cast("string").alias("_text"),
-                       *(df[c] for c in (df.columns if keep is None else keep) if c not in added))
+    kept = [c for c in (df.columns if keep is None else keep) if c not in added]
+    source = positional(df.select(df[text].cast("string"), *(df[c] for c in kept)))
     span = StructType([StructField("kind", StringType()), StructField("start", IntegerType()),
                        StructField("end", IntegerType())])
-    schema = StructType([*source.schema.fields[1:], StructField("spans", ArrayType(span)),
-                         *([StructField(mask, StringType())] if mask else [])])
+    schema = StructType([*(StructField(c, f.dataType) for c, f in zip(kept, source.schema.fields[1:], strict=True)),
+                         StructField("spans", ArrayType(span)), *([StructField(mask, StringType())] if mask else [])])
     arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches):

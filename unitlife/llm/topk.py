@@ -13,8 +13,8 @@ every shard once, packed into arrays. A task holds one shard and one block.
 Rows without an id, and vectors that are null or hold a null or non-finite component take no part.
 Shorter vectors count as filled up with zeros. Rows that share the query's id are its own rows;
 repeated query rows count once per different vector. Ties go to the smaller id. An empty table or
-query set gives an empty result. Other columns are not read. Components must stay below 2^30 after
-scaling.
+query set gives an empty result. Other columns are not read. Components are longs; products that do not fit in one are summed as Python's
+integers, and only a score beyond a long is an error.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 1 << 17
+SHARD_CELLS = 1 << 24  # eight bytes each
 BLOCK_ROWS = 1 << 10
 STRIDE = 2048
 EXACT = 1 << 53
@@ -58,17 +59,18 @@ class Shard:
         self.ids = ids[order]
         lists = np.ascontiguousarray(rows[order].T)
         self.low, self.high = lists.min(1), lists.max(1)
-        self.greatest = int(max(np.abs(self.low).max(initial=0), np.abs(self.high).max(initial=0)))
+        self.greatest = max(abs(int(self.low.min(initial=0))), abs(int(self.high.max(initial=0))))
         self.lists = lists
 
     def typed(self, q: np.ndarray) -> np.ndarray:
-        """The lists in a type whose sums are exact for this query block (doubles where they are)."""
-        exact = self.greatest * int(np.abs(q).max(initial=0)) * max(len(self.low), 1) < EXACT
-        return self.lists.astype(np.float64) if exact else self.lists
+        """The lists in a type whose sums are exact for this query block: doubles, longs, or integers of any size."""
+        most = self.greatest * max(abs(int(q.max(initial=0))), abs(int(q.min(initial=0)))) * max(len(self.low), 1)
+        return self.lists.astype(np.float64 if most < EXACT else np.int64 if most < 1 << 62 else object)
 
     def top(self, q: np.ndarray, own: int, k: int, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows of one query, best first."""
-        a, b = q * self.low, q * self.high
+        kind = object if lists.dtype == object else np.int64
+        a, b = q.astype(kind) * self.low, q.astype(kind) * self.high
         least, most = np.minimum(a, b), np.maximum(a, b)
         by_range = np.argsort(most - least, kind="stable")
         reach = np.cumsum((most - least)[by_range])
@@ -121,7 +123,7 @@ def _packed(df: DataFrame, group: str, width: int, key: bool) -> DataFrame:
             group: [pdf[group].iloc[0]],
             "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()],
             "keys": [pdf["query_key"].to_numpy(np.int64).tobytes() if key else b""],
-            "cells": [matrix(pdf["w"], width).astype(np.int32).tobytes()],
+            "cells": [matrix(pdf["w"], width).tobytes()],
         })
     return df.groupBy(group).applyInPandas(pack, f"{group} int, ids binary, keys binary, cells binary")
 
@@ -141,15 +143,17 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, shard_rows: int =
     asked = queries.select("vec_id", "w").distinct().withColumn("query_key", F.xxhash64("w"))
     about = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("w")).alias("width")).first()
     width = max(size["width"] or 0, about["width"] or 0)
+    shard_rows = max(min(shard_rows, SHARD_CELLS // max(width, 1)), 1)
+    block_rows = max(min(block_rows, SHARD_CELLS // max(width, 1)), 1)
     shards = max(-(-size["n"] // shard_rows), 2 * spark.sparkContext.defaultParallelism)
     blocks = max(-(-about["n"] // block_rows), 1)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                cells = np.frombuffer(row.cells, np.int32).reshape(-1, width).astype(np.int64)
+                cells = np.frombuffer(row.cells, np.int64).reshape(-1, width)
                 shard = Shard(np.frombuffer(row.ids, np.int64), cells)
-                asked_rows = np.frombuffer(row.q_cells, np.int32).reshape(-1, width).astype(np.int64)
+                asked_rows = np.frombuffer(row.q_cells, np.int64).reshape(-1, width)
                 lists = shard.typed(asked_rows)
                 out = []
                 for q, own, key in zip(asked_rows, np.frombuffer(row.q_ids, np.int64),
