@@ -135,6 +135,16 @@ ridge AS (
 )"""
 
 
+GRID_CURVES = """
+      grid AS (
+        SELECT horizon FROM (
+          SELECT horizon, min(count(y)) OVER (ORDER BY horizon) AS fewest FROM asked WHERE split = 'train' GROUP BY horizon)
+        WHERE fewest >= 50),
+      curves AS (
+        SELECT unit_id, cycle_index, list(horizon::DOUBLE ORDER BY horizon) AS h, list(p ORDER BY horizon) AS y
+        FROM ridge JOIN grid USING (horizon) GROUP BY unit_id, cycle_index),"""
+
+
 def _targets(horizons) -> str:
     return ", ".join(
         f"lead(soh, {k - 1}) OVER (PARTITION BY unit_id ORDER BY cycle_index) AS soh_h{k}" for k in horizons)
@@ -562,13 +572,7 @@ def oracle_sql() -> dict[str, str]:
       slope_points AS (
         SELECT unit_id, threshold, 'global_slope' AS method, rul_true, {SLOPE_RUL} AS rul_pred
         FROM standing, slope WHERE split IN ('val', 'test')), {_ridge(HORIZON_GRID)},
-      grid AS (
-        SELECT horizon FROM (
-          SELECT horizon, min(count(y)) OVER (ORDER BY horizon) AS fewest FROM asked WHERE split = 'train' GROUP BY horizon)
-        WHERE fewest >= 50),
-      curves AS (
-        SELECT unit_id, cycle_index, list(horizon::DOUBLE ORDER BY horizon) AS h, list(p ORDER BY horizon) AS y
-        FROM ridge JOIN grid USING (horizon) GROUP BY unit_id, cycle_index),
+{GRID_CURVES}
       standing_curves AS (
         SELECT s.*, h, y FROM standing s JOIN curves USING (unit_id, cycle_index) WHERE split IN ('val', 'test')),
       crossed AS ({CROSSING.format(curves='standing_curves')}),
@@ -576,6 +580,30 @@ def oracle_sql() -> dict[str, str]:
         SELECT unit_id, threshold, method, rul_true, rul_pred FROM slope_points
         UNION ALL SELECT unit_id, threshold, 'ridge_trajectory', rul_true, rul_pred FROM crossed)
       {SUMMARY.replace(', 6)', ', 3)').format(points='both_methods')}"""
+    sql["projections_fitted"] = f"""WITH RECURSIVE {FEATURES}{SLOPE}, {STANDING_CYCLES}, {_ridge(HORIZON_GRID)},{GRID_CURVES}
+      stood AS (
+        SELECT f.unit_id, fraction, max_cycle, cycle_index, soh_prev
+        FROM features f JOIN standing_cycles s ON f.unit_id = s.unit_id AND f.cycle_index = s.standing_cycle
+        WHERE soh_prev IS NOT NULL AND split IN ('val', 'test')),
+      ahead AS (SELECT *, cycle_index - 1 + horizon AS x FROM stood, grid, slope WHERE cycle_index - 1 + horizon <= max_cycle + 25)
+      SELECT unit_id, NULL::DOUBLE AS fraction, 'actual' AS series, cycle_index::DOUBLE AS x, round(soh, 6) AS soh
+      FROM features WHERE split IN ('val', 'test')
+      UNION ALL SELECT unit_id, fraction, 'baseline', x::DOUBLE, round(soh_prev + slope * horizon, 6) FROM ahead
+      UNION ALL SELECT a.unit_id, fraction, 'model', x::DOUBLE, round(p, 6)
+      FROM ahead a JOIN ridge r ON a.unit_id = r.unit_id AND a.cycle_index = r.cycle_index AND a.horizon = r.horizon"""
+    sql["point_in_time_fitted"] = f"""WITH RECURSIVE {FEATURES}{SLOPE}{EOL}, {STANDING_CYCLES}, {_ridge(HORIZON_GRID)},{GRID_CURVES}
+      stood AS (
+        SELECT DISTINCT f.unit_id, cycle_index, soh, soh_prev
+        FROM features f JOIN standing_cycles s ON f.unit_id = s.unit_id AND f.cycle_index = s.standing_cycle
+        WHERE soh_prev IS NOT NULL AND split IN ('val', 'test')),
+      answered AS (
+        SELECT stood.*, threshold, h, y, CASE WHEN eol_cycle > cycle_index - 1 THEN (eol_cycle - (cycle_index - 1))::DOUBLE END AS rul_true,
+               {SLOPE_RUL} AS rul_baseline
+        FROM stood JOIN eol USING (unit_id) JOIN curves USING (unit_id, cycle_index), slope),
+      crossed AS ({CROSSING.format(curves='answered')})
+      SELECT unit_id, cycle_index, soh, soh_prev, threshold, rul_true, round(rul_baseline, 4) AS rul_baseline,
+             round(rul_baseline - rul_true, 4) AS delta_baseline, round(rul_pred, 3) AS rul_model,
+             round(rul_pred - rul_true, 3) AS delta_model FROM crossed"""
     points = "SELECT unit_id, threshold, unnest(['global_slope', 'gbt_trajectory']) AS method, rul_true, rul_pred FROM slope_points"
     settled = ", ".join(f"CASE WHEN method = 'global_slope' THEN {c} END AS {c}" for c in (
         "n_censored_preds", "rul_mae_cycles", "rul_median_ae_cycles", "rul_max_ae_cycles"))

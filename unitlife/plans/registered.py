@@ -439,6 +439,32 @@ def point_in_time(spark, d):
     return _round(answers, 4, "rul_baseline", "delta_baseline", "rul_model", "delta_model")
 
 
+def _ridge_curves(spark, d):
+    """Held-out rows with the curve of a ridge at every grid horizon that has enough labels, the train slope, and the models."""
+    assigned = _from_table(spark, d, HORIZON_GRID)
+    fitted = models.train_grid(
+        _train(assigned), _held_out(assigned), grid=HORIZON_GRID, keys=KEYS, fit=models.ridge_fit)
+    rows = models.with_trajectory(_held_out(assigned), fitted).withColumn("train_slope", _slope(assigned))
+    return rows, fitted
+
+
+def projections_fitted(spark, d):
+    """Curves of a fitted model at the standing points of the held-out units."""
+    rows, fitted = _ridge_curves(spark, d)
+    curves = projection.projections(
+        rows, F.col("train_slope"), sorted(fitted), trajectory=models.trajectory_columns(fitted), keys=KEYS)
+    return _round(curves, COARSE, "soh")
+
+
+def point_in_time_fitted(spark, d):
+    """Answers of a fitted model at the standing points of the held-out units."""
+    rows, fitted = _ridge_curves(spark, d)
+    answers = projection.point_in_time(
+        rows, _standing(spark, d), F.col("train_slope"), trajectory=models.trajectory_columns(fitted),
+        cycles=views.soh_of(views.fleet(spark, d)), keys=KEYS)
+    return _round(_round(answers, 4, "rul_baseline", "delta_baseline"), 3, "rul_model", "delta_model")
+
+
 def _prefix_drift(spark, d):
     return projection.prefix_drift(
         _settled(views.fleet_features(spark, d)), _standing(spark, d), _settled(_train(_from_table(spark, d))),
@@ -617,7 +643,7 @@ _QUERIES = (
     leaked_units, cohort_mismatch, cohort_problems, fade_slope, baseline_metrics, leakage_suspects,
     metrics_report, rul_points, rul_slope_error, rul_trajectory_points, rul_trajectory_error, eol_cycles,
     censored_units, drift_report, worst_drift, drift_edges, drift_histogram, drift_by_split, drift_by_unit,
-    drift_stream, projections, point_in_time, prefix_drift, worst_prefix_drift, fleet_audit,
+    drift_stream, projections, point_in_time, projections_fitted, point_in_time_fitted, prefix_drift, worst_prefix_drift, fleet_audit,
     ambient_settings, run_classes, aborted_runs, hot_cycles, fleet_size, feature_medians, ridge_forecast,
     ridge_metrics, boosted_metrics, boosted_errors, rul_model_error, rul_boosted_counts, rul_boosted_error,
 )
