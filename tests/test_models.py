@@ -97,6 +97,25 @@ def test_health_run_writes_a_version_once(spark, fleet, tmp_path):
         tables.save_artifacts({}, config, metrics, str(tmp_path))
 
 
+def test_a_run_that_fails_half_way_leaves_its_version_free(spark, tmp_path, monkeypatch):
+    metrics = spark.createDataFrame([("val", "m", 1, "B0007", 3, 0.1, 0.2, 0.3)], tables.METRICS)
+    config = models.TrainConfig(version="2")
+    fitted = {"ridge_h1": models.Ridge(["soh_prev"], [0.9], [1.0], 0.5)}
+    save = models.save_model
+
+    def failing(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(models, "save_model", failing)
+    with pytest.raises(OSError, match="lost"):
+        tables.save_artifacts(fitted, config, metrics, str(tmp_path))
+    assert os.listdir(tmp_path) == []
+    monkeypatch.setattr(models, "save_model", save)
+    folder = tables.save_artifacts(fitted, config, metrics, str(tmp_path))
+    assert tables.load_model(spark, folder, "ridge_h1") == fitted["ridge_h1"]
+    assert os.listdir(tmp_path) == ["soh_v2"]
+
+
 def test_life_run_and_report(spark, fleet, tmp_path):
     grid = (1, 6, 11)
     config = models.TrainConfig(horizons=grid, boosting=BOOSTING, early_stopping_rounds=1)
