@@ -612,4 +612,5 @@ def oracle_sql() -> dict[str, str]:
         SELECT unit_id, threshold, rul_true, {SLOPE_RUL} AS rul_pred FROM standing, slope WHERE split IN ('val', 'test')),
       both_methods AS ({points}), summary AS ({SUMMARY.replace(', 6)', ', 3)').format(points='both_methods')})
       SELECT unit_id, threshold, method, n_points, {settled} FROM summary"""
+    sql["rul_records"], sql["rul_summary_records"] = sql["rul_points"], sql["rul_slope_error"]
     return sql

@@ -15,6 +15,7 @@ from unitlife.plans import runs, views
 from unitlife.plans.views import KEYS
 from unitlife.schema import CHARGE_COLUMNS, DISCHARGE_COLUMNS, HORIZON_GRID, HORIZONS
 from unitlife.session import shared_folder
+from unitlife.sources import tables
 from unitlife.sources.landing import choose_files
 from unitlife.streaming.drift_monitor import monitor
 
@@ -268,6 +269,23 @@ def rul_points(spark, d):
     return _round(points, 4, "rul_pred")
 
 
+def _life_records(spark, d):
+    """Points of the slope method and their summary, written as JSON records and read back."""
+    assigned = _assigned(spark, d)
+    held_out = _held_out(assigned)
+    points = rul.rul_points(held_out, _slope(assigned), held_out, keys=KEYS)
+    folder = f"{shared_folder(spark)}/rul-{uuid.uuid4().hex}"
+    return tables.write_rul(points, folder, lambda p: rul.rul_summary(p, KEYS))
+
+
+def rul_records(spark, d):
+    return _round(_life_records(spark, d)[0], 4, "rul_pred")
+
+
+def rul_summary_records(spark, d):
+    return _round(_life_records(spark, d)[1], COARSE, "rul_mae_cycles", "rul_median_ae_cycles", "rul_max_ae_cycles")
+
+
 def rul_slope_error(spark, d):
     """The flagship: error of the slope-projected remaining life per held-out unit and threshold."""
     assigned = _assigned(spark, d)
@@ -641,7 +659,7 @@ _QUERIES = (
     capacity_examples, feature_build, feature_build_as_of, feature_coverage, horizon_targets, grid_labels,
     seen_and_future, split_assignment, split_sizes, split_units, unknown_units, excluded_present,
     leaked_units, cohort_mismatch, cohort_problems, fade_slope, baseline_metrics, leakage_suspects,
-    metrics_report, rul_points, rul_slope_error, rul_trajectory_points, rul_trajectory_error, eol_cycles,
+    metrics_report, rul_points, rul_records, rul_summary_records, rul_slope_error, rul_trajectory_points, rul_trajectory_error, eol_cycles,
     censored_units, drift_report, worst_drift, drift_edges, drift_histogram, drift_by_split, drift_by_unit,
     drift_stream, projections, point_in_time, projections_fitted, point_in_time_fitted, prefix_drift, worst_prefix_drift, fleet_audit,
     ambient_settings, run_classes, aborted_runs, hot_cycles, fleet_size, feature_medians, ridge_forecast,
