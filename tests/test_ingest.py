@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from unitlife.functions.times import datevec_to_timestamp, file_stem, hours_between
 from unitlife.functions.waveform import charge_summary, discharge_summary
+from unitlife.operators import validate
+from unitlife.operators.features import build_features
 from unitlife.operators.ingest import attach_charges, cycles_from_entries, route, route_entries, skip_counts
 from unitlife.operators.validate import capacity_examples, validate_cycles, validation_counts
 from unitlife.plans import runs
-from unitlife.schema import CYCLES, RAW_ENTRIES, RAW_FILE, DataValidationError
+from unitlife.schema import CHARGE_COLUMNS, CYCLES, RAW_ENTRIES, RAW_FILE, DataValidationError
 from unitlife.sources import landing, tables
 
 
@@ -238,3 +240,54 @@ def test_records_round_trip(spark, tmp_path):
     assert tables.read_records(spark, str(tmp_path / "metrics")).collect() == df.collect()
     (tmp_path / "array.json").write_text('[{"split": "val", "horizon": 1, "mae": 0.5}, {"split": "test"}]')
     assert tables.read_records(spark, str(tmp_path / "array.json"), lines=False).count() == 2
+
+
+FLAWS = {
+    "empty": [],
+    "null": [("u", 1, 2.0, 5.0), ("u", 2, None, 5.0)],
+    "duplicate": [("u", 1, 2.0, 5.0), ("u", 2, 2.0, 5.0), ("u", 1, 2.1, 5.0)],
+    "capacity outside": [("u", 1, 2.0, 5.0), ("v", 1, 3.2, 5.0)],
+    "duration": [("u", 1, 2.0, 5.0), ("v", 1, 2.0, 0.0)],
+}
+
+
+@pytest.mark.parametrize("rule", FLAWS)
+def test_rules_ride_on_the_write(spark, tmp_path, rule):
+    schema = "battery_id string, cycle_index int, capacity_ah double, discharge_duration_s double"
+    sound = spark.createDataFrame([("u", i, 2.0, 5.0) for i in (3, 1, 2)] + [("v", 1, 1.5, None)], schema)
+    out = str(tmp_path / "cycles")
+    tables.write_valid_cycles(sound, out)
+    tables.write_valid_cycles(sound, out)
+    with pytest.raises(DataValidationError, match=rule):
+        tables.write_valid_cycles(spark.createDataFrame(FLAWS[rule], schema), out)
+    assert sorted(spark.read.parquet(out).collect()) == sorted(sound.collect())
+    assert [p.name for p in tmp_path.iterdir()] == ["cycles"]
+
+
+def test_observed_counts_equal_the_query_over_chunks(spark):
+    schema = "battery_id string, cycle_index int, capacity_ah double, discharge_duration_s double"
+    rows = [(u, c, cap, dur) for u in ("a", "b", None) for c in (1, 2, 2, None, None, (1 << 20) + 1)
+            for cap, dur in ((2.0, 1.0), (9.0, -1.0))]
+    df = spark.createDataFrame(rows, schema)
+    checked, seen = validate.observed(tables.clustered(df))
+    assert checked.drop("_chunk").collect() and seen.get == validation_counts(df).first().asDict()
+
+
+def test_a_stored_table_is_shuffled_once_and_sorted(spark, tmp_path):
+    rows = spark.range(4000).select(
+        F.concat(F.lit("u"), (F.col("id") % 7).cast("string")).alias("battery_id"),
+        (F.floor(F.col("id") / 7) + 1).cast("int").alias("cycle_index"), F.lit(2.0).alias("capacity_ah"),
+        F.lit(None).cast("timestamp_ntz").alias("cycle_start_time"),
+        *[F.lit(1.0).alias(c) for c in ("discharge_duration_s", "voltage_min", "temp_max", "ambient_temperature",
+                                        *CHARGE_COLUMNS)])
+    built = build_features(rows, dense=True, keep_chunk=True)
+    laid = tables.clustered(built).sortWithinPartitions("battery_id", "_chunk", "cycle_index")
+    plan = laid._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort") == 1
+    tables.write_unit_table(built, str(tmp_path / "t"))
+    at = F.col("_metadata.row_index").alias("at")
+    seen = spark.read.parquet(str(tmp_path / "t")).select("battery_id", "cycle_index", "_metadata.file_name", at).collect()
+    assert len(seen) == 4000 and len({r.file_name for r in seen if r.battery_id == "u0"}) == 1
+    for name in {r.file_name for r in seen}:
+        own = [(r.battery_id, r.cycle_index) for r in sorted((r for r in seen if r.file_name == name), key=lambda r: r.at)]
+        assert own == sorted(own)

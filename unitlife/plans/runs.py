@@ -47,8 +47,8 @@ def ingest(spark: SparkSession, root: str, out: str | None = None, *, pattern: s
            kind: str = "parquet") -> Ingested:
     """Raw unit files to the validated cycle table, with the counts of what was left out.
 
-    The cycle table is a small fraction of the sample arrays it summarises; it is kept while it is
-    validated and written, so the arrays are read once.
+    Validation rides on the write to ``out``, so the sample arrays are read once; without ``out`` the cycle table, a
+    small fraction of them, is kept while it is validated.
     """
     files = landing.discover_unit_files(spark, root, pattern)
     cycles, skipped = _cycle_table(spark, landing.read_unit_files(spark, root, files, kind, pattern), out)
@@ -63,22 +63,22 @@ def ingest_entries(spark: SparkSession, path: str, out: str | None = None, *, ki
 
 def _cycle_table(spark: SparkSession, entries: DataFrame, out: str | None) -> tuple[DataFrame, DataFrame]:
     skipped = skip_counts(route_entries(entries))
-    cycles = cycles_from_entries(entries).persist()
+    cycles = cycles_from_entries(entries)
+    if out is not None:
+        tables.write_valid_cycles(cycles, out)
+        return tables.read_cycles(spark, out), skipped
+    cycles = cycles.persist()
     try:
         validate_cycles(cycles)
-        if out is None:
-            return cycles, skipped
-        tables.write_unit_table(cycles, out)
     except BaseException:
         cycles.unpersist()
         raise
-    cycles.unpersist()
-    return tables.read_cycles(spark, out), skipped
+    return cycles, skipped
 
 
 def features(spark: SparkSession, cycles_path: str, out: str) -> DataFrame:
     """Ingested cycle numbers are dense, so the features need one shuffle."""
-    tables.write_unit_table(build_features(tables.read_cycles(spark, cycles_path), dense=True), out)
+    tables.write_unit_table(build_features(tables.read_cycles(spark, cycles_path), dense=True, keep_chunk=True), out)
     return tables.read_features(spark, out)
 
 

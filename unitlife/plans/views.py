@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from unitlife.operators.features import build_features
 from unitlife.operators.ingest import route
-from unitlife.operators.ordered import CHUNK_ROWS, running
+from unitlife.operators.ordered import CHUNK, CHUNK_ROWS, running
 from unitlife.schema import Keys
 from unitlife.session import shared_folder
 from unitlife.sources.tables import write_unit_table
@@ -55,7 +55,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build, write) -> DataFram
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         table = build()
         write(table, path)
-        _staged[key] = (path, table.schema)
+        _staged[key] = (path, StructType([f for f in table.schema if f.name != CHUNK]))
     path, schema = _staged[key]
     return spark.read.schema(schema).parquet(path)
 
@@ -82,7 +82,7 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fleet_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table, for the stages that start from one."""
     return _stored(spark, sf_dir, "features",
-                   lambda: build_features(fleet(spark, sf_dir), KEYS, dense=True))
+                   lambda: build_features(fleet(spark, sf_dir), KEYS, dense=True, keep_chunk=True))
 
 
 def fleet_from_events(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -10,7 +10,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from unitlife.operators import models
+from unitlife.operators import models, validate
+from unitlife.operators.ordered import CHUNK, ensure_chunk
 from unitlife.schema import CYCLES, FEATURES, Keys
 from unitlife.session import folder_exists, publish_folder, remove_folder
 
@@ -42,14 +43,38 @@ def read_rul(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             read_records(spark, f"{path}/summary", RUL_SUMMARY))
 
 
+def clustered(df: DataFrame, keys: Keys = Keys()) -> DataFrame:
+    """Hashed by (unit, chunk), the chunk column added: a large unit is spread over several partitions, a small one is
+    together. Rows that have their chunk column come out of a shuffle on it and are not shuffled again; nothing is
+    sampled, so what is above runs once."""
+    return df if CHUNK in df.columns else ensure_chunk(df, keys.cycle).repartition(keys.unit, CHUNK)
+
+
 def write_unit_table(df: DataFrame, path: str, keys: Keys = Keys(), mode: str = "overwrite") -> None:
-    """Parquet, ranged and sorted by (unit, cycle).
+    """Parquet, each file sorted by (unit, cycle), so that unit filters skip row groups and pages by their statistics
+    without one directory per unit."""
+    (clustered(df, keys).sortWithinPartitions(keys.unit, CHUNK, keys.cycle).drop(CHUNK)
+     .write.mode(mode).parquet(path))
+
+
+def write_valid_cycles(cycles: DataFrame, path: str, keys: Keys = Keys()) -> None:
+    """The cycle table, counted against the rules while it is written aside, and published by a rename if it keeps them.
 
-    Ranges split a large unit over several files and keep a small one together, so that unit
-    filters skip files by their statistics without one directory per unit.
+    One pass. A broken rule raises ``DataValidationError`` and leaves neither a new table nor a changed old one.
     """
-    (df.repartitionByRange(keys.unit, keys.cycle).sortWithinPartitions(keys.unit, keys.cycle)
-     .write.mode(mode).parquet(path))
+    spark = cycles.sparkSession
+    aside = f"{path}.building-{uuid.uuid4().hex}"
+    rows, seen = validate.observed(clustered(cycles, keys), keys)
+    try:
+        rows.drop(CHUNK).write.parquet(aside)
+        written = spark.read.schema(cycles.schema).parquet(aside)
+        validate.require_valid(seen.get, lambda: validate.capacity_examples(written, keys), keys)
+        remove_folder(spark, path)
+        if not publish_folder(spark, aside, path):
+            raise FileExistsError(f"{path} was written by another run")
+    except BaseException:
+        remove_folder(spark, aside)
+        raise
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
