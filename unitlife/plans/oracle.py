@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from unitlife.operators.features import FEATURE_COLUMNS, REGISTRY
-from unitlife.plans.registered import AS_OF, DRIFT_COLUMNS
+from unitlife.plans.registered import AS_OF, DRIFT_COLUMNS, SLICES
 from unitlife.schema import HORIZON_GRID, HORIZONS, STANDING_FRACTIONS
 
 FLEET = """
@@ -229,7 +229,8 @@ old_items AS (SELECT * FROM items WHERE l_shipdate < TIMESTAMP '1998-01-01'),
 new_items AS (SELECT * FROM items WHERE l_shipdate >= TIMESTAMP '1998-01-01'),
 ref AS ({_long(DRIFT_COLUMNS, 'old_items')})"""
 ITEM_DRIFT = f"{ITEMS}, cur AS ({_long(DRIFT_COLUMNS, 'new_items')}), {_psi()}"
-STREAM_DRIFT = f"{ITEMS}, cur AS ({_long(DRIFT_COLUMNS, 'items')}), {_psi()}"
+SLICED = f"(SELECT *, (l_orderkey % {SLICES})::BIGINT AS batch_id FROM items)"
+STREAM_DRIFT = f"{ITEMS}, cur AS ({_long(DRIFT_COLUMNS, SLICED, 'batch_id')}), {_psi('batch_id')}"
 
 
 SETTLED = ", ".join(f"round({c}, 10) AS {c}" for c in FEATURE_COLUMNS)
@@ -359,6 +360,33 @@ def oracle_sql() -> dict[str, str]:
              charge_duration_s, charge_current_end, charge_temp_max, charge_temp_mean, (s.seg + 1)::INTEGER AS cycle_index
       FROM segmented s LEFT JOIN charged c ON s.unit_id = c.unit_id AND s.seg = c.seg
       WHERE s.route = 'discharge'"""
+    nested = sql["ingest_run"].replace(
+        "ts, event_id AS file_cycle_number", "ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS file_cycle_number")
+    sql["ingest_landings"], sql["ingest_files"] = nested, nested
+    sql["landed_copies"] = """SELECT (user_id % 2)::BIGINT AS batch, 'U' || user_id AS battery_id,
+             (CASE WHEN user_id % 4 = 2 THEN 0 ELSE max((event_id % 2 = 0)::INTEGER) END)::BIGINT AS n_skipped
+      FROM events GROUP BY user_id"""
+    steps = ("rows", "rows WHERE capacity_ah IS NOT NULL", "one", "one WHERE capacity_ah > 0 AND capacity_ah < 3.2",
+             "one WHERE capacity_ah > 0 AND capacity_ah < 3.2 AND discharge_duration_s > 0", "rows WHERE false")
+    sql["rejections"] = f"""WITH {FLAWED}, rows AS (SELECT * FROM flawed),
+      one AS (
+        SELECT unit_id, cycle_index, min(capacity_ah) AS capacity_ah, min(discharge_duration_s) AS discharge_duration_s
+        FROM rows WHERE capacity_ah IS NOT NULL GROUP BY unit_id, cycle_index),
+      steps AS ({' UNION ALL '.join(f'SELECT {i} AS step, * FROM {rows}' for i, rows in enumerate(steps))}),
+      per_key AS (
+        SELECT step, count(*) AS n, count(*) FILTER (capacity_ah IS NULL) AS n_null,
+               count(*) FILTER (capacity_ah <= 0 OR capacity_ah >= 3.2) AS n_capacity,
+               count(*) FILTER (discharge_duration_s <= 0) AS n_duration FROM steps GROUP BY step, unit_id, cycle_index),
+      counts AS (
+        SELECT step, sum(n) AS n, sum(n_null) AS n_null, sum(n - 1) AS n_duplicate, sum(n_capacity) AS n_capacity,
+               sum(n_duration) AS n_duration FROM per_key GROUP BY step)
+      SELECT s.step::INTEGER AS step, CASE WHEN n IS NULL THEN 'empty' WHEN n_null > 0 THEN 'null'
+               WHEN n_duplicate > 0 THEN 'duplicate' WHEN n_capacity > 0 THEN 'capacity'
+               WHEN n_duration > 0 THEN 'duration' ELSE 'none' END AS rule,
+             CASE WHEN n IS NULL THEN 0 WHEN n_null > 0 THEN n_null WHEN n_duplicate > 0 THEN n_duplicate
+               WHEN n_capacity > 0 THEN n_capacity ELSE n_duration END::BIGINT AS n_rows
+      FROM (SELECT unnest(range(0, {len(steps)})) AS step) s LEFT JOIN counts USING (step)
+      UNION ALL SELECT {len(steps)}, 'written', n::BIGINT FROM counts WHERE step = 4"""
     sql["charge_carry_chunked"] = sql["charge_carry"]
     sql["fleet_chunked"] = (f"WITH {FLEET} SELECT unit_id, cycle_index, file_cycle_number, 2 * soh AS capacity_ah, "
                             "ambient_temperature FROM fleet")
@@ -484,7 +512,7 @@ def oracle_sql() -> dict[str, str]:
     sql["drift_by_unit_silenced"] = (
         f"WITH {_fleet_drift('split, unit_id', silenced=True)} {_with_no_data('split, unit_id', 'held')}")
     sql["drift_edges_narrowed"] = sql["drift_edges"]
-    sql["drift_stream"] = f"WITH {STREAM_DRIFT} SELECT 0::BIGINT AS batch_id, feature, psi, rating FROM drift"
+    sql["drift_stream"] = f"WITH {STREAM_DRIFT} SELECT batch_id, feature, psi, rating FROM drift"
 
     curve = "[" + ", ".join(str(k) for k in HORIZON_GRID) + "]"
     sql["projections"] = f"""WITH {FEATURES}{SLOPE}, {STANDING_CYCLES},

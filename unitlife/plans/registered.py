@@ -13,11 +13,13 @@ from unitlife.operators import audit, drift, evaluate, features, ingest, models,
 from unitlife.operators.features import FEATURE_COLUMNS
 from unitlife.plans import runs, views
 from unitlife.plans.views import KEYS
-from unitlife.schema import CHARGE_COLUMNS, DISCHARGE_COLUMNS, HORIZON_GRID, HORIZONS
+from unitlife.schema import CHARGE_COLUMNS, DISCHARGE_COLUMNS, HORIZON_GRID, HORIZONS, DataValidationError
 from unitlife.session import shared_folder
 from unitlife.sources import tables
 from unitlife.sources.landing import choose_files
-from unitlife.streaming.drift_monitor import monitor
+from unitlife.streaming import landing_stream
+from unitlife.streaming.drift_monitor import folder_sink, monitor, read_reports
+from unitlife.streaming.landing_stream import land
 
 # Enough digits to tell results apart, few enough to ignore summation order. Averages of values with
 # six decimals over up to 127 rows have no rounding ties at twelve, hours from microseconds none at ten.
@@ -101,6 +103,66 @@ def ingest_run(spark, d):
     return _round(cycles, FINE, "capacity_ah", *DISCHARGE_COLUMNS, *CHARGE_COLUMNS)
 
 
+def _two_landings(spark, d, between) -> str:
+    """Unit files in two landings; ``between(root)`` runs after each. Returns the folder of the run."""
+    folder = f"{shared_folder(spark)}/landings-{uuid.uuid4().hex}"
+    for landing in (0, 1):
+        views.land_unit_files(spark, d, f"{folder}/raw", landing)
+        between(folder)
+    return folder
+
+
+def _land(spark):
+    return lambda folder: land(
+        spark, f"{folder}/raw", f"{folder}/landed", stem=views.unit_of_folder).awaitTermination()
+
+
+def ingest_landings(spark, d):
+    """Unit files in two landings, each read once by the stream, then ingested: larger copies replace smaller ones."""
+    folder = _two_landings(spark, d, _land(spark))
+    cycles = runs.ingest_landed(spark, f"{folder}/landed", f"{folder}/cycles", stem=views.unit_of_folder).cycles
+    return _round(cycles, FINE, "capacity_ah", *DISCHARGE_COLUMNS, *CHARGE_COLUMNS)
+
+
+def ingest_files(spark, d):
+    """The same files found and ingested at once."""
+    folder = _two_landings(spark, d, lambda folder: None)
+    cycles = runs.ingest(spark, f"{folder}/raw", f"{folder}/cycles", stem=views.unit_of_folder).cycles
+    return _round(cycles, FINE, "capacity_ah", *DISCHARGE_COLUMNS, *CHARGE_COLUMNS)
+
+
+def landed_copies(spark, d):
+    """What each landing brought, and which copy of a unit counts."""
+    folder = _two_landings(spark, d, _land(spark))
+    files = landing_stream.landed_files(spark, f"{folder}/landed")
+    chosen = landing_stream.read_landed(spark, f"{folder}/landed", views.unit_of_folder)[1]
+    return files.join(chosen.select("file", "stem", "n_skipped"), "file").select(
+        "batch", F.col("stem").alias("battery_id"), "n_skipped")
+
+
+def rejections(spark, d):
+    """The rule that stops the write of a table, which then keeps it and meets the next one, and what is left at last."""
+    cycles = _flawed(spark, d)
+    capacity = F.col("capacity_ah")
+    mended = (
+        cycles, cycles.filter(capacity.isNotNull()),
+        cycles.filter(capacity.isNotNull()).groupBy("unit_id", "cycle_index").agg(
+            F.min("capacity_ah").alias("capacity_ah"), F.min("discharge_duration_s").alias("discharge_duration_s")))
+    steps = (*mended, mended[2].filter((capacity > 0) & (capacity < 3.2)),
+             mended[2].filter((capacity > 0) & (capacity < 3.2) & (F.col("discharge_duration_s") > 0)), cycles.limit(0))
+    folder = f"{shared_folder(spark)}/rejections-{uuid.uuid4().hex}"
+    found = []
+    for step, table in enumerate(steps):
+        try:
+            tables.write_valid_cycles(table, folder, KEYS)
+            found.append((step, "none", 0))
+        except DataValidationError as error:
+            found.append((step, error.rule, error.rows))
+    broken = spark.createDataFrame(found, "step int, rule string, n_rows bigint")
+    left = spark.read.schema(steps[4].schema).parquet(folder).agg(F.count("*").alias("n_rows"))
+    return broken.unionByName(left.select(F.lit(len(steps)).alias("step"), F.lit("written").alias("rule"), "n_rows"))
+
+
 def waveform_summaries(spark, d):
     samples = F.col("embedding").cast("array<double>")
     entries = views.table(spark, d, "embeddings").select("vec_id", F.struct(
@@ -413,20 +475,22 @@ def drift_by_unit_silenced(spark, d):
     return _round(report, FINE, "psi")
 
 
+SLICES = 4
+
+
 def drift_stream(spark, d):
-    """Line items as a stream, each micro-batch compared with the reference."""
-    stream = (
-        spark.readStream.schema(views.SCHEMAS["lineitem"]).option("pathGlobFilter", "lineitem.parquet")
-        .parquet(d).withColumn("l_constant", F.lit(7.0)))
+    """Line items landing in slices, the monitor started anew after each, and once more when nothing is new."""
     run = f"{shared_folder(spark)}/drift-stream-{uuid.uuid4().hex}"
-    query = monitor(
-        stream, _reference_items(spark, d), DRIFT_COLUMNS,
-        lambda report, batch_id: report.write.mode("overwrite").parquet(f"{run}/reports/batch={batch_id}"),
-        f"{run}/checkpoint", digits=FINE)
-    query.awaitTermination()
-    reports = spark.read.schema("batch_id bigint, feature string, psi double, rating string").parquet(
-        f"{run}/reports/batch=*")
-    return _round(reports, FINE, "psi")
+    columns = "l_orderkey", "l_shipdate", *DRIFT_COLUMNS[:-1]
+    items = views.table(spark, d, "lineitem").select(*columns)
+    reference = _reference_items(spark, d)
+    for part in range(SLICES + 1):
+        if part < SLICES:
+            items.filter(F.col("l_orderkey") % SLICES == part).write.parquet(f"{run}/in/slice{part}")
+        stream = spark.readStream.schema(items.schema).option("recursiveFileLookup", "true").parquet(f"{run}/in")
+        monitor(stream.withColumn("l_constant", F.lit(7.0)), reference, DRIFT_COLUMNS, folder_sink(f"{run}/reports"),
+                f"{run}/checkpoint", digits=FINE).awaitTermination()
+    return _round(read_reports(spark, f"{run}/reports"), FINE, "psi")
 
 
 # Projection and point in time.
@@ -654,7 +718,7 @@ def rul_boosted_error(spark, d):
 
 
 _QUERIES = (
-    ingest_run, skip_counts, charge_carry, charge_carry_chunked, fleet_chunked, drift_edges_narrowed, drift_by_unit_silenced,
+    ingest_run, ingest_landings, ingest_files, landed_copies, rejections, skip_counts, charge_carry, charge_carry_chunked, fleet_chunked, drift_edges_narrowed, drift_by_unit_silenced,
     prefix_drift_silenced, rul_slope_error_chunked, feature_medians_narrowed, waveform_summaries, datevec_times, largest_copy, validation_counts,
     capacity_examples, feature_build, feature_build_as_of, feature_coverage, horizon_targets, grid_labels,
     seen_and_future, split_assignment, split_sizes, split_units, unknown_units, excluded_present,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unitlife.functions.times import file_stem
 from unitlife.operators import evaluate
 from unitlife.operators.drift import drift_by
 from unitlife.operators.features import (
@@ -23,6 +24,7 @@ from unitlife.operators.splits import EXCLUDED_UNITS, SPLIT_OF, UnitList, UnitTa
 from unitlife.operators.validate import validate_cycles
 from unitlife.schema import HORIZON_GRID, Keys
 from unitlife.sources import landing, tables
+from unitlife.streaming import landing_stream
 
 
 class Ingested(NamedTuple):
@@ -44,14 +46,14 @@ class Lives(NamedTuple):
 
 
 def ingest(spark: SparkSession, root: str, out: str | None = None, *, pattern: str = "*.parquet",
-           kind: str = "parquet") -> Ingested:
+           kind: str = "parquet", stem: Callable[[Column], Column] = file_stem) -> Ingested:
     """Raw unit files to the validated cycle table, with the counts of what was left out.
 
     Validation rides on the write to ``out``, so the sample arrays are read once; without ``out`` the cycle table, a
     small fraction of them, is kept while it is validated.
     """
-    files = landing.discover_unit_files(spark, root, pattern)
-    cycles, skipped = _cycle_table(spark, landing.read_unit_files(spark, root, files, kind, pattern), out)
+    files = landing.discover_unit_files(spark, root, pattern, stem)
+    cycles, skipped = _cycle_table(spark, landing.read_unit_files(spark, root, files, kind, pattern, stem), out)
     return Ingested(cycles, skipped, files)
 
 
@@ -61,6 +63,14 @@ def ingest_entries(spark: SparkSession, path: str, out: str | None = None, *, ki
     return Ingested(cycles, skipped, None)
 
 
+def ingest_landed(spark: SparkSession, landed: str, out: str | None = None, *,
+                  stem: Callable[[Column], Column] = file_stem) -> Ingested:
+    """The same from what ``landing_stream.land`` has stored so far; raw files are not read again."""
+    entries, files = landing_stream.read_landed(spark, landed, stem)
+    cycles, skipped = _cycle_table(spark, entries, out)
+    return Ingested(cycles, skipped, files)
+
+
 def _cycle_table(spark: SparkSession, entries: DataFrame, out: str | None) -> tuple[DataFrame, DataFrame]:
     skipped = skip_counts(route_entries(entries))
     cycles = cycles_from_entries(entries)

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from unitlife.operators.features import build_features
 from unitlife.operators.ingest import route
 from unitlife.operators.ordered import CHUNK, CHUNK_ROWS, running
-from unitlife.schema import Keys
+from unitlife.schema import RAW_ENTRY, Keys
 from unitlife.session import shared_folder
 from unitlife.sources.tables import write_unit_table
 
@@ -143,6 +143,26 @@ def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.array(F.lit(0.0), value * 10).alias("time"), capacity.alias("capacity")).alias("data"))
 
 
+def unit_of_folder(path: Column) -> Column:
+    """The unit that a path ``.../unit=U7/name`` is named after."""
+    return F.regexp_extract(path, r"unit=([^/]+)/[^/]+$", 1)
+
+
+def land_unit_files(spark: SparkSession, sf_dir: str, root: str, landing: int) -> None:
+    """A landing of nested files, one per unit, below ``root``: the first has even units whole and of the others every
+    second event, the second has the odd units whole and of every fourth unit again every second event."""
+    entries = raw_entries(spark, sf_dir)
+    number = F.substring("battery_id", 2, 20).cast("bigint")
+    whole = number % 2 == landing
+    short = (F.col("file_cycle_number") % 2 == 0) & ((number % 2 == 1) if landing == 0 else (number % 4 == 0))
+    entry = F.struct("file_cycle_number", *RAW_ENTRY.fieldNames())
+    nested = entries.filter(whole | short).groupBy("battery_id").agg(F.array_sort(F.collect_list(entry)).alias("cycle"))
+    nested.select(
+        F.col("battery_id").alias("unit"), "battery_id", F.transform("cycle", lambda e: F.struct(
+            *[e[n].alias(n) for n in RAW_ENTRY.fieldNames()])).alias("cycle"),
+    ).write.partitionBy("unit").parquet(f"{root}/landing{landing}")
+
+
 def routed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as raw entries: clicks charge, purchases discharge, errors are impedance runs.
 

@@ -18,7 +18,11 @@ class Keys:
 
 
 class DataValidationError(Exception):
-    """A table breaks an invariant."""
+    """A table breaks an invariant: ``rule`` by ``rows`` rows."""
+
+    def __init__(self, message: str, rule: str | None = None, rows: int = 0):
+        super().__init__(message)
+        self.rule, self.rows = rule, rows
 
 
 class UnitsError(Exception):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +20,18 @@ def batch_drift(batch: DataFrame, batch_id: int, fitted: Sequence[Fitted], expec
     return report.select("batch_id", "feature", "psi", "rating")
 
 
+REPORT = "batch_id bigint, feature string, psi double, rating string"
+
+
+def folder_sink(folder: str) -> Callable[[DataFrame, int], None]:
+    """A folder per batch, written anew when a batch is repeated, so that a restart doubles nothing."""
+    return lambda report, batch_id: report.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(REPORT).parquet(f"{folder}/batch=*")
+
+
 def monitor(stream: DataFrame, reference: DataFrame, features: Sequence[str],
             sink: Callable[[DataFrame, int], None], checkpoint: str, *, bins: int = DEFAULT_BINS,
             digits: int | None = None, trigger: dict | None = None) -> StreamingQuery:
@@ -27,7 +39,8 @@ def monitor(stream: DataFrame, reference: DataFrame, features: Sequence[str],
 
     The edges and reference counts are fitted once and kept as local rows (one per feature). A
     batch is independent of the others, so there is no state and no watermark; a batch without
-    values for a feature reports nothing for it. ``sink`` must tolerate a repeated ``batch_id``.
+    values for a feature reports nothing for it. ``sink`` must tolerate a repeated ``batch_id``, as ``folder_sink`` does.
+    A stream that limits files or bytes per trigger is cut into batches of that size.
     """
     spark = reference.sparkSession
     fitted = fit_reference(reference, features, bins, digits=digits)
