@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from fleets import close, psi
 from unitlife.operators import audit, drift
+from unitlife.operators.drift import expected_counts, fit_reference
 from unitlife.operators.quantiles import linspace_probabilities
-from unitlife.streaming.drift_monitor import monitor
+from unitlife.streaming.drift_monitor import batch_drift, folder_sink, monitor, read_reports
 
 
 def frame(spark, xs, name="x"):
@@ -108,6 +109,29 @@ def test_stream_reports_each_batch(spark, tmp_path):
     assert all(rows[0].batch_id == b for b, rows in seen.items())
 
 
+def test_a_restarted_or_repeated_batch_is_reported_once(spark, tmp_path):
+    reference = frame(spark, gauss(400))
+    fitted = fit_reference(reference, ["x"])
+
+    def run():
+        stream = spark.readStream.schema("x double").option("recursiveFileLookup", "true").option(
+            "maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+        monitor(stream, reference, ["x"], folder_sink(f"{tmp_path}/reports"), str(tmp_path / "checkpoint"),
+                fitted=fitted).awaitTermination()
+        return sorted(read_reports(spark, f"{tmp_path}/reports").collect())
+
+    frame(spark, gauss(300, seed=4)).repartition(5).write.parquet(f"{tmp_path}/in/a")
+    first = run()
+    assert [r.batch_id for r in first] == [0, 1, 2]
+    assert run() == first
+    frame(spark, gauss(300, 2.0, seed=5)).repartition(2).write.parquet(f"{tmp_path}/in/b")
+    second = run()
+    assert second[:3] == first and [r.batch_id for r in second] == [0, 1, 2, 3] and second[3].rating == "significant shift"
+    again = spark.read.schema("x double").parquet(f"{tmp_path}/in/b")
+    folder_sink(f"{tmp_path}/reports")(batch_drift(again, 3, fitted, expected_counts(spark, fitted, 10)), 3)
+    assert sorted(read_reports(spark, f"{tmp_path}/reports").collect()) == second
+
+
 def audited(spark, units):
     rows = [(u, i + 1, y, t) for u, series in units.items() for i, (y, t) in enumerate(series)]
     df = spark.createDataFrame(rows, "battery_id string, cycle_index int, soh double, ambient_temperature double")

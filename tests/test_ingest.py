@@ -12,6 +12,7 @@ from unitlife.operators.validate import capacity_examples, validate_cycles, vali
 from unitlife.plans import runs
 from unitlife.schema import CHARGE_COLUMNS, CYCLES, RAW_ENTRIES, RAW_FILE, DataValidationError
 from unitlife.sources import landing, tables
+from unitlife.streaming import landing_stream
 
 
 def one(spark, column):
@@ -242,6 +243,32 @@ def test_records_round_trip(spark, tmp_path):
     assert tables.read_records(spark, str(tmp_path / "array.json"), lines=False).count() == 2
 
 
+def test_a_second_landing_reads_new_files_only(spark, tmp_path):
+    root, out = str(tmp_path), str(tmp_path / "landed")
+
+    def run(**options):
+        landing_stream.land(spark, f"{root}/raw", out, **options).awaitTermination()
+        return sorted((r.batch, r.path.split("/raw/")[1]) for r in landing_stream.landed_files(spark, out).collect())
+
+    land(spark, root, "U1", FILE[:2], folder="raw/one")
+    land(spark, root, "U2", FILE, folder="raw/one")
+    assert run() == [(0, "one/U1.parquet"), (0, "one/U2.parquet")]
+    before = runs.ingest_landed(spark, out).cycles.collect()
+    assert sorted((r.battery_id, r.cycle_index) for r in before) == [("U1", 1), ("U2", 1), ("U2", 2)]
+    assert len(run()) == 2  # nothing new, no batch
+    land(spark, root, "U1", FILE, folder="raw/two")
+    land(spark, root, "U2", FILE[:2], folder="raw/two")
+    land(spark, root, "U3", FILE, folder="raw/two")
+    landed = run(files_per_batch=1)
+    assert landed[:2] == [(0, "one/U1.parquet"), (0, "one/U2.parquet")] and [b for b, _ in landed[2:]] == [1, 2, 3]
+    cycles, skipped, files = runs.ingest_landed(spark, out, f"{root}/cycles")
+    assert sorted((r.battery_id, r.cycle_index) for r in cycles.collect()) == [
+        (u, c) for u in ("U1", "U2", "U3") for c in (1, 2)]
+    assert {r.stem: (r.path.split("/raw/")[1], r.n_skipped) for r in files.collect()} == {
+        "U1": ("two/U1.parquet", 1), "U2": ("one/U2.parquet", 1), "U3": ("two/U3.parquet", 0)}
+    assert {r.battery_id: r.n_entries for r in skipped.collect()} == {"U1": 6, "U2": 6, "U3": 6}
+
+
 FLAWS = {
     "empty": [],
     "null": [("u", 1, 2.0, 5.0), ("u", 2, None, 5.0)],

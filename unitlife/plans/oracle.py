@@ -641,4 +641,12 @@ def oracle_sql() -> dict[str, str]:
       both_methods AS ({points}), summary AS ({SUMMARY.replace(', 6)', ', 3)').format(points='both_methods')})
       SELECT unit_id, threshold, method, n_points, {settled} FROM summary"""
     sql["rul_records"], sql["rul_summary_records"] = sql["rul_points"], sql["rul_slope_error"]
+    sql["artifact_metrics"], sql["artifact_forecast"] = sql["ridge_metrics"], sql["ridge_forecast"]
+    sql["rul_run_censored"] = sql["censored_units"].replace("DISTINCT unit_id, threshold, split", "DISTINCT unit_id, threshold").replace(
+        "split IS NOT NULL", "split IN ('val', 'test')")
+    sql["report_soh"] = f"SELECT split, unit_id, horizon, method, mae, rmse FROM ({sql['ridge_metrics']})"
+    sql["report_rul"] = sql["rul_model_error"].replace("'ridge_trajectory'", "'gbt_trajectory'")
+    sql["report_drift"] = (
+        f"SELECT split || ' ' || unit_id AS compared_to_train, feature, psi, rating FROM ({sql['drift_by_unit']})")
+    sql["report_projection"] = sql["projections_fitted"]
     return sql

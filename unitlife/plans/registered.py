@@ -484,12 +484,13 @@ def drift_stream(spark, d):
     columns = "l_orderkey", "l_shipdate", *DRIFT_COLUMNS[:-1]
     items = views.table(spark, d, "lineitem").select(*columns)
     reference = _reference_items(spark, d)
+    fitted = drift.fit_reference(reference, DRIFT_COLUMNS, digits=FINE)
     for part in range(SLICES + 1):
         if part < SLICES:
             items.filter(F.col("l_orderkey") % SLICES == part).write.parquet(f"{run}/in/slice{part}")
         stream = spark.readStream.schema(items.schema).option("recursiveFileLookup", "true").parquet(f"{run}/in")
         monitor(stream.withColumn("l_constant", F.lit(7.0)), reference, DRIFT_COLUMNS, folder_sink(f"{run}/reports"),
-                f"{run}/checkpoint", digits=FINE).awaitTermination()
+                f"{run}/checkpoint", digits=FINE, fitted=fitted).awaitTermination()
     return _round(read_reports(spark, f"{run}/reports"), FINE, "psi")
 
 
@@ -620,8 +621,12 @@ def _ridges(train: DataFrame, horizons) -> dict:
 def ridge_forecast(spark, d):
     """The ridge over all features at every report horizon, applied to the held-out units."""
     assigned = _from_table(spark, d, HORIZONS)
+    return _forecast_rows(assigned, _ridges(_train(assigned), HORIZONS))
+
+
+def _forecast_rows(assigned: DataFrame, fitted: dict) -> DataFrame:
     scored = models.predict(_held_out(assigned), {
-        f"_p{k}": model for k, model in _ridges(_train(assigned), HORIZONS).items()})
+        f"_p{k}": model for k, model in fitted.items()})
     entries = [F.struct(F.lit(k).alias("horizon"), F.when(
         F.col("soh_prev").isNotNull() & F.col(features.horizon_target(k)).isNotNull(), F.col(f"_p{k}")).alias("prediction"))
         for k in HORIZONS]
@@ -629,16 +634,90 @@ def ridge_forecast(spark, d):
     return _round(long.filter(F.col("prediction").isNotNull()), COARSE, "prediction")
 
 
+def _ridge_metrics(assigned: DataFrame, fitted: dict) -> DataFrame:
+    slope = evaluate.fade_slope(_train(assigned)).first()["slope"]
+    return runs.soh_metrics(
+        assigned, {("ridge_autoregressive", k): m for k, m in fitted.items()}, slope, HORIZONS, KEYS)
+
+
+def _settled_metrics(metrics: DataFrame) -> DataFrame:
+    fine = F.col("method").startswith("baseline")  # the models' last digits depend on the solver
+    return metrics.withColumns({
+        c: F.when(fine, F.round(c, TIE_FREE_MEAN)).otherwise(F.round(c, COARSE)) for c in ("mae", "rmse")})
+
+
 def ridge_metrics(spark, d):
     """The ridge variant at every report horizon next to the baselines."""
     assigned = _from_table(spark, d, HORIZONS)
-    train = _train(assigned)
-    fitted = {("ridge_autoregressive", k): model for k, model in _ridges(train, HORIZONS).items()}
-    slope = evaluate.fade_slope(train).first()["slope"]
-    metrics = runs.soh_metrics(assigned, fitted, slope, HORIZONS, KEYS)
-    fine = F.col("method").startswith("baseline")  # the models' last digits depend on the solver
-    return _round(metrics.withColumns({
-        c: F.when(fine, F.round(c, TIE_FREE_MEAN)).otherwise(F.round(c, COARSE)) for c in ("mae", "rmse")}), COARSE, "r2")
+    return _round(_settled_metrics(_ridge_metrics(assigned, _ridges(_train(assigned), HORIZONS))), COARSE, "r2")
+
+
+def _artifacts(spark, d) -> str:
+    """The folder of a version: ridges, configuration and metrics."""
+    def save(root: str) -> None:
+        assigned = _from_table(spark, d, HORIZONS)
+        fitted = _ridges(_train(assigned), HORIZONS)
+        tables.save_artifacts({f"ridge_h{k}": m for k, m in fitted.items()}, models.TrainConfig(),
+                              _ridge_metrics(assigned, fitted), root)
+    return f"{views.folder_once(spark, d, 'artifacts', save)}/soh_v{models.TrainConfig().version}"
+
+
+def artifact_metrics(spark, d):
+    """The metrics of a published version, read from its JSON records."""
+    schema = tables.METRICS.replace("battery_id string", "unit_id bigint")
+    metrics = tables.read_records(spark, f"{_artifacts(spark, d)}/metrics", schema)
+    return _round(_settled_metrics(metrics), COARSE, "r2")
+
+
+def artifact_forecast(spark, d):
+    """Forecasts of the models loaded from a published version."""
+    folder = _artifacts(spark, d)
+    return _forecast_rows(
+        _from_table(spark, d, HORIZONS), {k: tables.load_model(spark, folder, f"ridge_h{k}") for k in HORIZONS})
+
+
+def _life_run(spark, d, folder: str) -> runs.Lives:
+    """The whole run of remaining life with a ridge at every grid horizon that has enough labels."""
+    assigned = _from_table(spark, d, HORIZON_GRID)
+    grid = models.train_grid(
+        _train(assigned), _held_out(assigned), grid=HORIZON_GRID, keys=KEYS, fit=models.ridge_fit)
+    return runs.forecast_rul(
+        views.fleet_features(spark, d), cohort=views.cohort(spark, d), excluded=views.excluded(spark, d), models=grid,
+        out=folder, keys=KEYS, dense=True)
+
+
+def rul_run_censored(spark, d):
+    """Held-out units of that run which never reach a threshold."""
+    folder = f"{shared_folder(spark)}/rul-run-{uuid.uuid4().hex}"
+    return _life_run(spark, d, folder).censored
+
+
+def _report(spark, d, name: str) -> DataFrame:
+    """A table of the written report on that run."""
+    def write(folder: str) -> None:
+        assigned = _from_table(spark, d, HORIZONS)
+        metrics = _ridge_metrics(assigned, _ridges(_train(assigned), HORIZONS))
+        lives = _life_run(spark, d, f"{folder}/lives")
+        runs.write_report(runs.report_tables(
+            _settled(views.fleet_features(spark, d)), metrics, lives.summary, lives.models,
+            cohort=views.cohort(spark, d), excluded=views.excluded(spark, d), keys=KEYS, digits=FINE), f"{folder}/report")
+    return spark.read.parquet(f"{views.folder_once(spark, d, 'report', write)}/report/{name}")
+
+
+def report_soh(spark, d):
+    return _settled_metrics(_report(spark, d, "soh"))
+
+
+def report_rul(spark, d):
+    return _round(_report(spark, d, "rul"), 3, "rul_mae_cycles", "rul_median_ae_cycles", "rul_max_ae_cycles")
+
+
+def report_drift(spark, d):
+    return _round(_report(spark, d, "drift"), FINE, "psi")
+
+
+def report_projection(spark, d):
+    return _round(_report(spark, d, "projection"), COARSE, "soh")
 
 
 def _forests(spark, d, config) -> DataFrame:
@@ -727,7 +806,8 @@ _QUERIES = (
     censored_units, drift_report, worst_drift, drift_edges, drift_histogram, drift_by_split, drift_by_unit,
     drift_stream, projections, point_in_time, projections_fitted, point_in_time_fitted, prefix_drift, worst_prefix_drift, fleet_audit,
     ambient_settings, run_classes, aborted_runs, hot_cycles, fleet_size, feature_medians, ridge_forecast,
-    ridge_metrics, boosted_metrics, boosted_errors, rul_model_error, rul_boosted_counts, rul_boosted_error,
+    ridge_metrics, artifact_metrics, artifact_forecast, rul_run_censored, report_soh, report_rul, report_drift, report_projection,
+    boosted_metrics, boosted_errors, rul_model_error, rul_boosted_counts, rul_boosted_error,
 )
 
 

@@ -166,15 +166,16 @@ def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
 
 def report_tables(features_df: DataFrame, metrics: DataFrame, summary: DataFrame,
                   models: Mapping[int, Model], *, cohort: UnitTable = SPLIT_OF,
-                  excluded: UnitList = EXCLUDED_UNITS, keys: Keys = Keys()) -> dict[str, DataFrame]:
-    """The four report tables, ordered: ``soh``, ``rul``, ``drift`` and ``projection``."""
+                  excluded: UnitList = EXCLUDED_UNITS, keys: Keys = Keys(),
+                  digits: int | None = None) -> dict[str, DataFrame]:
+    """The four report tables, ordered: ``soh``, ``rul``, ``drift`` and ``projection``. ``digits`` rounds the drift edges."""
     assigned = assign_splits(features_df, cohort, excluded, keys)
     train = assigned.filter(F.col("split") == "train")
     held_out = assigned.filter(F.col("split").isin("val", "test"))
     slope = evaluate.fade_slope(train).first()["slope"]
     compared = F.concat_ws(" ", "split", F.col(keys.unit).cast("string"))
     drift = drift_by(train, held_out.withColumn("compared_to_train", compared),
-                     feature_names(FEATURE_COLUMNS, keys), ["compared_to_train"])
+                     feature_names(FEATURE_COLUMNS, keys), ["compared_to_train"], digits=digits)
     curves = projections(
         with_trajectory(held_out, models), slope, sorted(models), trajectory=trajectory_columns(models), keys=keys)
     return {

@@ -19,7 +19,8 @@ from unitlife.schema import RAW_ENTRY, Keys
 from unitlife.session import shared_folder
 from unitlife.sources.tables import write_unit_table
 
-_staged: dict[tuple, tuple[str, StructType]] = {}
+_folders: dict[tuple, str] = {}
+_schemas: dict[str, StructType] = {}
 
 KEYS = Keys("unit_id", "cycle_index")
 
@@ -49,15 +50,24 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return path, *files.agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first()
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build, write) -> DataFrame:
+def folder_once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """A folder of the shared one that ``write(path)`` fills once per session and state of the events."""
     key = (spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/events.parquet"), name)
-    if key not in _staged:
+    if key not in _folders:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _folders[key] = path
+    return _folders[key]
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build, write) -> DataFrame:
+    def fill(path: str) -> None:
         table = build()
         write(table, path)
-        _staged[key] = (path, StructType([f for f in table.schema if f.name != CHUNK]))
-    path, schema = _staged[key]
-    return spark.read.schema(schema).parquet(path)
+        _schemas[path] = StructType([f for f in table.schema if f.name != CHUNK])
+
+    path = folder_once(spark, sf_dir, name, fill)
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:

@@ -72,6 +72,7 @@ def write_valid_cycles(cycles: DataFrame, path: str, keys: Keys = Keys()) -> Non
         remove_folder(spark, path)
         if not publish_folder(spark, aside, path):
             raise FileExistsError(f"{path} was written by another run")
+        spark.catalog.refreshByPath(path)
     except BaseException:
         remove_folder(spark, aside)
         raise

@@ -34,16 +34,18 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
 
 def monitor(stream: DataFrame, reference: DataFrame, features: Sequence[str],
             sink: Callable[[DataFrame, int], None], checkpoint: str, *, bins: int = DEFAULT_BINS,
-            digits: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+            digits: int | None = None, trigger: dict | None = None,
+            fitted: Sequence[Fitted] | None = None) -> StreamingQuery:
     """Start the monitor; ``sink(report, batch_id)`` receives one small report per batch.
 
     The edges and reference counts are fitted once and kept as local rows (one per feature). A
     batch is independent of the others, so there is no state and no watermark; a batch without
     values for a feature reports nothing for it. ``sink`` must tolerate a repeated ``batch_id``, as ``folder_sink`` does.
+    Pass ``fitted`` (of ``fit_reference``) to keep the edges over restarts instead of reading the reference again.
     A stream that limits files or bytes per trigger is cut into batches of that size.
     """
     spark = reference.sparkSession
-    fitted = fit_reference(reference, features, bins, digits=digits)
+    fitted = fitted or fit_reference(reference, features, bins, digits=digits)
     expected = expected_counts(spark, fitted, bins)
 
     def report(batch: DataFrame, batch_id: int) -> None:
