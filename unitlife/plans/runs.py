@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
@@ -21,8 +22,8 @@ from unitlife.operators.models import (
 from unitlife.operators.projection import projections
 from unitlife.operators.rul import censored_units, eol_cycles, rul_points, rul_summary
 from unitlife.operators.splits import EXCLUDED_UNITS, SPLIT_OF, UnitList, UnitTable, assign_splits, split_frames
-from unitlife.operators.validate import validate_cycles
 from unitlife.schema import HORIZON_GRID, Keys
+from unitlife.session import shared_folder
 from unitlife.sources import landing, tables
 from unitlife.streaming import landing_stream
 
@@ -49,8 +50,7 @@ def ingest(spark: SparkSession, root: str, out: str | None = None, *, pattern: s
            kind: str = "parquet", stem: Callable[[Column], Column] = file_stem) -> Ingested:
     """Raw unit files to the validated cycle table, with the counts of what was left out.
 
-    Validation rides on the write to ``out``, so the sample arrays are read once; without ``out`` the cycle table, a
-    small fraction of them, is kept while it is validated.
+    Validation rides on the write to ``out`` (by default a new folder in the shared one), so the sample arrays are read once.
     """
     files = landing.discover_unit_files(spark, root, pattern, stem)
     cycles, skipped = _cycle_table(spark, landing.read_unit_files(spark, root, files, kind, pattern, stem), out)
@@ -73,17 +73,9 @@ def ingest_landed(spark: SparkSession, landed: str, out: str | None = None, *,
 
 def _cycle_table(spark: SparkSession, entries: DataFrame, out: str | None) -> tuple[DataFrame, DataFrame]:
     skipped = skip_counts(route_entries(entries))
-    cycles = cycles_from_entries(entries)
-    if out is not None:
-        tables.write_valid_cycles(cycles, out)
-        return tables.read_cycles(spark, out), skipped
-    cycles = cycles.persist()
-    try:
-        validate_cycles(cycles)
-    except BaseException:
-        cycles.unpersist()
-        raise
-    return cycles, skipped
+    out = out or f"{shared_folder(spark)}/cycles-{uuid.uuid4().hex}"
+    tables.write_valid_cycles(cycles_from_entries(entries), out)
+    return tables.read_cycles(spark, out), skipped
 
 
 def features(spark: SparkSession, cycles_path: str, out: str) -> DataFrame:
