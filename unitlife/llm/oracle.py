@@ -45,7 +45,7 @@ SELECT doc_id, doc_id, doc_id, 1, 0 FROM documents WHERE text IS NULL
 """
 
 OP6 = r"""
-WITH said AS (
+WITH RECURSIVE said AS (
     SELECT conv_id, turn, role, text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
     UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
@@ -57,25 +57,41 @@ WITH said AS (
     SELECT *, row_number() OVER w - 1 AS place, sum(cost) OVER w - cost AS start
     FROM turns
     WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+), headed AS (
+    SELECT p.*, start // 32768 AS block, coalesce(h.cost, 0) AS sys, CASE WHEN place > 0 THEN coalesce(h.cost, 0) ELSE 0 END AS again,
+           length(regexp_replace(p.role, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g'))
+             + length(regexp_replace(p.text, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')) + 9 AS chars,
+           CASE WHEN p.role = 'assistant' THEN 4 ELSE 7 END AS closing
+    FROM placed p
+    LEFT JOIN (SELECT conv_id, cost FROM placed WHERE place = 0 AND role = 'system') h ON p.conv_id IS NOT DISTINCT FROM h.conv_id
+), asked AS (
+    SELECT *, list_filter(list({'s': start, 'p': place}) OVER (
+             PARTITION BY conv_id ORDER BY start RANGE BETWEEN 512 PRECEDING AND 1 PRECEDING),
+             lambda t: t.s >= start - least(512, 2048 - again - cost) AND (t.p > 0 OR sys = 0)) AS before
+    FROM headed
+), rooms AS (
+    SELECT *, coalesce(list_min(before).p, place) AS back,
+           greatest(start + cost, 2048 - again + coalesce(list_min(before).s, start)) AS until
+    FROM asked
+), walk AS (
+    SELECT conv_id, place, place AS win, until, block FROM rooms WHERE place = 0
+    UNION ALL
+    SELECT r.conv_id, r.place, CASE WHEN r.block = w.block AND r.start + r.cost <= w.until THEN w.win ELSE r.place END,
+           CASE WHEN r.block = w.block AND r.start + r.cost <= w.until THEN w.until ELSE r.until END, r.block
+    FROM walk w JOIN rooms r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.place = w.place + 1
 ), windowed AS (
-    SELECT *, start // 1536 AS win, place = 0 AND role = 'system' AS is_system,
-           length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g'))
-             + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')) + 9 AS chars
-    FROM placed
+    SELECT r.*, win FROM rooms r JOIN walk w ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.place = w.place
 ), spans AS (
-    SELECT conv_id, win, lead(win) OVER l AS next_win, lead(opens) OVER l AS next_opens, row_number() OVER l AS nth
-    FROM (SELECT conv_id, win, min(start) AS opens FROM windowed GROUP BY conv_id, win)
-    WINDOW l AS (PARTITION BY conv_id ORDER BY win)
+    SELECT conv_id, place, back, again FROM windowed WHERE win = place
 ), lengths AS (
-    SELECT conv_id, chars + CASE WHEN role = 'assistant' THEN 4 ELSE 7 END AS chars FROM windowed
+    SELECT conv_id, chars + closing AS chars FROM windowed
     UNION ALL
     SELECT t.conv_id, t.chars + 7 FROM windowed t
-    JOIN spans s ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.win = s.win
-    WHERE NOT t.is_system AND s.next_opens - t.start <= 512
+    JOIN spans s ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.place >= s.back AND t.place < s.place
     UNION ALL
     SELECT t.conv_id, t.chars + 7 FROM windowed t
     JOIN spans s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
-    WHERE t.is_system AND s.nth > 1
+    WHERE t.place = 0 AND s.again > 0
 ), digests AS (
     SELECT conv_id, count(*) AS n_turns,
            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
