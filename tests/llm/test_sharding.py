@@ -1,9 +1,66 @@
 """The permutation and the numbering."""
 
+import os
+import struct
+import zlib
+
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from unitlife.llm import sharding
+from unitlife.llm import queries, sharding
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def spark_hash(*values):
+    """Of (format, value) pairs, as the SQL function of the same name; None changes nothing."""
+    h = 42
+    for form, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if form == "s" else struct.pack(form, v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def walked(number, rows, seed=0):
+    """The Feistel network and the cycle walk in plain arithmetic."""
+    a, b = sharding.sides(rows)
+    while True:
+        left, right = divmod(number, b)
+        for i in range(sharding.ROUNDS):
+            noise = spark_hash(("<q", seed), ("<i", i), ("<q", left if i % 2 else right))
+            if i % 2:
+                right = (right + noise % b) % b
+            else:
+                left = (left + noise % a) % a
+        number = left * b + right
+        if number < rows:
+            return number
+
+
+@pytest.mark.parametrize("rows, seed", [(1, 0), (2, 1), (7, 3), (97, 0), (1000, 5), (4099, 2)])
+def test_permutation_equals_plain_arithmetic(spark, rows, seed):
+    got = spark.range(rows).select("id", sharding.permuted(F.col("id"), rows, seed).alias("p")).collect()
+    assert all(r.p == walked(r.id, rows, seed) for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_query_equals_plain_arithmetic(spark):
+    """Every document's number, shard, slot, size and checksum, worked out row by row."""
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = [(doc, len(text) + 1, zlib.crc32(text)) for doc, text in texts.items()]
+
+    def order(row):
+        values = [("<q", v) for v in row]
+        h = spark_hash(*values)
+        return h % sharding.BUCKETS, h, spark_hash(("<i", 1), *values)
+
+    want = []
+    for number, row in enumerate(sorted(rows, key=order)):
+        place = walked(number, len(rows))
+        want.append((*row, "rows", place % 8, place // 8))
+    got = queries.op5_feistel_shards(spark, SMALL).collect()
+    assert sorted((r.doc_id, r["size"], r.text_crc32, r.law, r.shard, r.slot) for r in got) == sorted(want)
 
 
 @pytest.mark.parametrize("rows", [1, 2, 3, 4, 7, 97, 1000, 4099])
