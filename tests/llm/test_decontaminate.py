@@ -99,3 +99,68 @@ def test_empty_sides(spark):
     assert [r.leaks for r in dec.find(documents, none).collect()] == [[]]
     items = spark.createDataFrame([(1, " ".join("abcdefghij"))], "item_id long, text string")
     assert dec.find(documents.limit(0), items).collect() == []
+
+
+def found_in(spark, items, docs):
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    return {r.doc_id: r.leaks for r in dec.find(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+
+
+def test_every_item_aligned_with_every_document(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(900)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(rng.choice([12, 20, 33, 60, 140]))) for i in range(30)]
+    docs = []
+    for d in range(150):
+        words = text(rng.choice([0, 20, 90]))
+        if d % 3:
+            copy = list(rng.choice(items)[1])
+            for i in rng.sample(range(len(copy)), int(len(copy) * rng.uniform(0.15, 0.33))):
+                copy[i] = rng.choice(vocabulary)
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = copy
+        docs.append((d, words))
+    want = {(d, i): local_score(item, words) for d, words in docs for i, item in items}
+    leaked = {pair for pair, score in want.items() if score >= dec.least_score(len(items[pair[1]][1]))}
+    found = found_in(spark, [(i, " ".join(w)) for i, w in items], [(d, " ".join(w)) for d, w in docs])
+    pairs = {(d, x.item_id): x.score for d, leaks in found.items() for x in leaks}
+    assert set(pairs) <= leaked and len(leaked) > 60
+    assert all(abs(score - want[p] / (dec.MATCH * len(items[p[1]][1]))) < 1e-9 for p, score in pairs.items())
+    assert len(pairs) >= 0.9 * len(leaked)
+
+
+def test_short_long_and_unspaced_items(spark):
+    words = [f"v{i}" for i in range(300)]
+    chinese = "".join(chr(0x4e00 + 7 * i) for i in range(24))
+    items = [(1, "Who wrote it?"), (2, " ".join(words)), (3, chinese), (4, "two words"), (5, None)]
+    docs = [(1, "they asked who wrote it again"), (2, "who else wrote it"), (3, "x " + " ".join(words[100:200]) + " y"),
+            (4, " ".join(words[100:140])), (5, f"前{chinese[:10]}了{chinese[11:]}后"), (6, "two words")]
+    found = {d: [(x.item_id, x.start, x.end, x.equal) for x in leaks] for d, leaks in found_in(spark, items, docs).items()}
+    assert found == {1: [(1, 2, 5, 3)], 2: [], 3: [(2, 1, 101, 100)], 4: [], 5: [(3, 1, 25, 23)], 6: []}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r.item_id for r in dec.unsearched(benchmark).collect()) == [4, 5]
+
+
+def test_copies_next_to_each_other(spark):
+    plain, dull = [f"p{i}" for i in range(16)], "a b a b a c a b".split() * 3
+    items = [(1, " ".join(plain)), (2, " ".join(dull))]
+    found = found_in(spark, items, [(1, " ".join(plain * 3)), (2, " ".join(dull + ["x"] * 3 + dull + ["y"] * 3 + dull))])
+    assert [(x.item_id, x.start, x.end) for x in found[1]] == [(1, 0, 16), (1, 16, 32), (1, 32, 48)]
+    covered = {w for x in found[2] if x.item_id == 2 for w in range(x.start, x.end)}
+    assert len(found[2]) >= 1 and {*range(24), *range(27, 51), *range(54, 78)} <= covered
+
+
+def test_a_phrase_that_many_items_share(monkeypatch):
+    phrase = [f"s{i}" for i in range(8)]
+    items = [(i, " ".join(phrase + [f"i{i}x{k}" for k in range(10)])) for i in range(400)]
+    texts = [" ".join(" ".join(phrase) + f" gap{k}" for k in range(60)) + " " + items[7][1], "nothing here", items[399][1]]
+    block = dec.Block.of(items)
+    block.choose(block.count(texts))
+    whole = block.leaks(texts)
+    assert [[x[0] for x in rows] for rows in whole] == [[7], [], [399]]
+    monkeypatch.setattr(dec, "HITS", 5000)
+    numbers, starts = block.read(texts)
+    regions = list(block.candidates(numbers, starts))
+    assert len(regions) > 10 and max(map(len, regions)) <= 5000
+    assert block.leaks(texts) == whole
