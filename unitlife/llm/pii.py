@@ -3,8 +3,10 @@
 One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, scheme separators, digits and identifier
 cues. A local parser per anchor expands it to the left and right, in time that grows with the span, and
 validates what it found. Base kinds are ``email``, ``ip``, ``card`` and ``phone``; the method adds ``url`` (from
-``://``) and ``account`` (an identifier that follows a cue). Spans of one kind do not overlap; spans of different
-kinds may.
+``://``) and ``account`` (an identifier that follows a cue). Cues are found without regard to case; each has a parser that
+sets the identifier's boundary: IBANs end where their check digits agree, social security numbers have nine digits in ranges
+that are issued, passports one word, other identifiers 6 to 34 letters and digits, four digits at least, in words that all hold a digit.
+Spans of one kind do not overlap; spans of different kinds may.
 
 Every text is read whole, in the task that scanned it; nothing is shuffled. A null text is an empty one, which
 has no span. All other columns pass through; input columns with the names of the new ones are replaced. Repeated
@@ -25,8 +27,9 @@ from unitlife.llm.shared import positional, values
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
-# Words that announce an identifier.
-CUES = ("account", "acct", "iban", "ssn", "passport", "customer id", "user id", "member id")
+# Words that announce an identifier, and words that do so with "id" or "number" behind them.
+CUES = ("account", "acct", "iban", "ssn", "social security", "passport")
+OWNERS = ("customer", "client", "user", "member", "patient", "employee", "taxpayer")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -36,7 +39,12 @@ _SPACED = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
 _ADDRESS = re.compile(r"[^\s<>\"'`\\{}|^]++")
 _HOST = re.compile(r"(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)")
-_NUMBER = re.compile(r"(?:\s?(?:no|number|nr)\b\.?)?[ \t]{0,3}[:=#]?[ \t]{0,3}([A-Za-z0-9]++(?:[ -][A-Za-z0-9]*[0-9][A-Za-z0-9]*+)*+)", re.I)
+_TAIL = re.compile(r"([ \t_-]{0,2}(?:id|number|num|no|nr)(?![A-Za-z]))?\.?(?:[ \t]+is(?![A-Za-z]))?[ \t]{0,3}[:=#]?[ \t]{0,3}", re.I | re.A)
+_PLAIN = re.compile(r"[A-Za-z]*+[0-9][A-Za-z0-9]*+(?:[ -][A-Za-z]*+[0-9][A-Za-z0-9]*+)*+")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]{4}){2,7}(?:[ -]?[A-Za-z0-9]{1,3})?")
+_IBAN_PART = re.compile(r"[ -]?[A-Za-z0-9]{1,4}")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}([ -]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![A-Za-z0-9])")
+_PASSPORT = re.compile(r"[A-Za-z]{0,3}[0-9]{6,9}(?![A-Za-z0-9])")
 _DIGITS = frozenset("0123456789")
 
 Span = tuple[int, int, str]
@@ -49,9 +57,8 @@ def anchors() -> ahocorasick.Automaton:
     for digit in _DIGITS:
         found.add_word(digit, "0")
     found.add_word("://", "/")
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, form)
+    for cue in (*CUES, *OWNERS):
+        found.add_word(cue, cue)
     found.make_automaton()
     return found
 
@@ -115,24 +122,53 @@ def url_at(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return (start, at + 3 + len(tail)) if tail and _HOST.match(tail) else None
 
 
-def _iban(compact: str) -> bool:
-    moved = (compact[4:] + compact[:4]).upper()
-    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+def _iban(text: str, at: int) -> int | None:
+    """The furthest end of a word of the number at which its check digits agree."""
+    run = _IBAN.match(text, at)
+    if not run:
+        return None
+    end = None
+    for part in _IBAN_PART.finditer(text, at + 4, run.end()):
+        stop = part.end()
+        compact = text[at:stop].replace(" ", "").replace("-", "").upper()
+        if 15 <= len(compact) <= 34 and not (text[stop:stop + 1].isascii() and text[stop:stop + 1].isalnum()):
+            if int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1:
+                end = stop
+    return end
 
 
-def account_after(text: str, cue_start: int, cue_end: int) -> tuple[int, int] | None:
-    """The identifier that follows a cue: 6 to 34 letters and digits, at least four digits; an IBAN must check."""
-    if cue_start and text[cue_start - 1].isalnum() or text[cue_end:cue_end + 1].isalpha():
-        return None
-    found = _NUMBER.match(text, cue_end)
-    if not found:
-        return None
-    compact = found[1].replace(" ", "").replace("-", "")
-    if not 6 <= len(compact) <= 34 or sum(c in _DIGITS for c in compact) < 4:
+def _plain(text: str, at: int) -> int | None:
+    found = _PLAIN.match(text, at)
+    compact = found[0].replace(" ", "").replace("-", "") if found else ""
+    return found.end() if 6 <= len(compact) <= 34 and sum(c in _DIGITS for c in compact) >= 4 else None
+
+
+def _matched(pattern: re.Pattern):
+    def parse(text: str, at: int) -> int | None:
+        found = pattern.match(text, at)
+        return found.end() if found else None
+    return parse
+
+
+PARSERS = dict.fromkeys((*CUES, *OWNERS), _plain) | {
+    "iban": _iban, "ssn": _matched(_SSN), "social security": _matched(_SSN), "passport": _matched(_PASSPORT)}
+
+
+def account_after(text: str, cue: str, start: int, end: int) -> tuple[int, int] | None:
+    """The identifier that follows the cue between ``start`` and ``end``."""
+    if start and text[start - 1].isalnum():
         return None
-    if text[cue_start:cue_end].lower() == "iban" and not _iban(compact):
+    tail = _TAIL.match(text, end)
+    if not tail[1] and (cue in OWNERS or text[end:end + 1].isalpha()):
         return None
-    return found.start(1), found.end(1)
+    stop = PARSERS[cue](text, tail.end())
+    return (tail.end(), stop) if stop else None
+
+
+def folded(text: str) -> str:
+    """Lower case, every character at its place."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def spans_of(text: str, automaton: ahocorasick.Automaton) -> list[Span]:
@@ -144,7 +180,7 @@ def spans_of(text: str, automaton: ahocorasick.Automaton) -> list[Span]:
         out.append((start, end, kind))
         past[kind] = end
 
-    for last, mark in automaton.iter(text):
+    for last, mark in automaton.iter(folded(text)):
         if mark == "0":
             if last >= past["dotted"]:
                 end = past["dotted"] = _DOTTED.match(text, last).end()
@@ -168,7 +204,7 @@ def spans_of(text: str, automaton: ahocorasick.Automaton) -> list[Span]:
                 keep("url", *found)
         else:
             start = last + 1 - len(mark)
-            if start >= past["account"] and (found := account_after(text, start, last + 1)):
+            if start >= past["account"] and (found := account_after(text, mark, start, last + 1)):
                 keep("account", *found)
     order = {kind: i for i, kind in enumerate(KINDS)}
     return sorted(out, key=lambda s: (s[0], order[s[2]]))
