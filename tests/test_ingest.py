@@ -269,6 +269,17 @@ def test_a_second_landing_reads_new_files_only(spark, tmp_path):
     assert {r.battery_id: r.n_entries for r in skipped.collect()} == {"U1": 6, "U2": 6, "U3": 6}
 
 
+def test_a_landed_file_without_entries_is_listed(spark, tmp_path):
+    root, out = str(tmp_path), str(tmp_path / "landed")
+    land(spark, root, "U1", FILE, folder="raw")
+    land(spark, root, "U2", [], folder="raw")
+    landing_stream.land(spark, f"{root}/raw", out).awaitTermination()
+    assert sorted(r.path.split("/raw/")[1] for r in landing_stream.landed_files(spark, out).collect()) == ["U1.parquet", "U2.parquet"]
+    entries, files = landing_stream.read_landed(spark, out)
+    assert {r.battery_id for r in entries.collect()} == {"U1"} and sorted(r.stem for r in files.collect()) == ["U1", "U2"]
+    assert {r.battery_id: r.n_entries for r in runs.ingest_landed(spark, out).skipped.collect()} == {"U1": 6}
+
+
 FLAWS = {
     "empty": [],
     "null": [("u", 1, 2.0, 5.0), ("u", 2, None, 5.0)],
