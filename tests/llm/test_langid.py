@@ -171,3 +171,19 @@ def test_label_score_and_rejection_by_plain_counts(spark):
         assert (row.lang_pred, row.rejected) == (langs[best], e[best] > limit[best] + uniform / math.sqrt(letters))
         assert row.score == pytest.approx(shares(e, heat)[best], rel=1e-3) and row.cross_entropy == pytest.approx(e[best], rel=1e-4)
     assert {row.rejected for row in found} == {True, False}
+
+
+def test_all_training_rows_set_temperature_and_limits(spark):
+    """Of many rows of one language a few are odd: they move its exact quantile, wherever their keys put them."""
+    rng = random.Random(11)
+    rows = [(i, text("aa", rng, 3), "aa") for i in range(2200)] + [(5000 + i, "q" * 9 + "wvxj" * i, "aa") for i in range(1, 4)]
+    rows += [(9000 + i, text("bb", rng, 3), "bb") for i in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    entropies, _ = model.entropies([t for _, t, _ in rows])
+    own = np.array([model.langs.index(lang) for *_, lang in rows])
+    for j, lang in enumerate(model.langs):
+        want = (np.quantile(entropies[own == j, j], 0.999) + np.log2(model.letters)) / 2
+        assert model.limits[lang] == pytest.approx(want, rel=1e-6)
+    each = np.arange(len(own))
+    fits = [np.log(np.maximum(langid._softmax(entropies, t)[each, own], 1e-9)).sum() for t in langid.TEMPERATURES]
+    assert model.temperature == langid.TEMPERATURES[int(np.argmax(fits))]

@@ -8,9 +8,9 @@ of counts. A gram is a 64-bit key of four 16-bit letter codes, kept in sorted ar
 one array with a row of log-probabilities per language, and other grams are worked out from the lower orders.
 
 ``identify`` picks the language of the lowest cross-entropy per character. ``score`` is the softmax of the
-cross-entropies at the temperature that fits a bounded sample of training rows best. A text is ``rejected`` if even
-its best language describes it badly: its cross-entropy lies beyond the middle between what that language's own
-sample texts reach (0.999 quantile) and a uniform guess, plus an allowance for short texts.
+cross-entropies at the temperature that fits all training rows best. A text is ``rejected`` if even
+its best language describes it badly: its cross-entropy lies beyond the middle between what all of that language's own
+training texts reach (exact 0.999 quantile) and a uniform guess, plus an allowance for short texts.
 
 Text is lower-cased; everything but letters is one space. A text that is null or has no letter is ``und``, with score
 0, and rejected. Texts are read whole. Repeated rows are handled alike. Input columns with the names of the new
@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from unitlife.llm.shared import batched, positional, stored, values
+from unitlife.operators.drift import column_quantiles
 
 ORDER = 4
-SAMPLE_ROWS = 1000  # of a language, for the temperature and its limit of rejection
+LIMIT_SHARE = 0.999  # of a language's training texts, for its limit of rejection
 BATCH_CHARS = 1 << 18
 UNKNOWN = "und"
 TEMPERATURES = (0.5, 1, 2, 4, 8, 16, 32, 64)
@@ -167,17 +168,13 @@ class Model:
                 sums[:, j] += np.bincount(owner, bits[:, j], len(texts))
         return sums / np.maximum(n, 1)[:, None], letters
 
-    def calibrate(self, own: np.ndarray, entropies: np.ndarray) -> None:
-        """Fit temperature and limits to sample texts whose language is column ``own``."""
-        if not len(own):
-            return
-        rows = np.arange(len(own))
-        chances = {t: np.log(np.maximum(_softmax(entropies, t)[rows, own], 1e-9)).mean() for t in TEMPERATURES}
-        self.temperature = max(chances, key=chances.get)
-        for j, lang in enumerate(self.langs):
-            reached = entropies[own == j, j]
-            if len(reached):
-                self.limits[lang] = float(np.quantile(reached, 0.999) + np.log2(self.letters)) / 2
+    def calibrate(self, chances: Sequence[float], reached: Sequence[float | None]) -> None:
+        """Set the temperature of the highest log-chance of the training rows' own languages, and every language's limit by the
+        cross-entropy that its own rows reach (None: it has no row with a letter)."""
+        self.temperature = TEMPERATURES[int(np.argmax(chances))]
+        for lang, bits in zip(self.langs, reached, strict=True):
+            if bits is not None:
+                self.limits[lang] = float(bits + np.log2(self.letters)) / 2
 
     def predict(self, texts: Sequence[str]) -> list[tuple[str, float, float | None, bool]]:
         """Language, score, cross-entropy and rejection of every text."""
@@ -230,9 +227,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["lang", "gram", "n"])
 
 
-def fit(training: DataFrame, key: str = "doc_id", max_grams: int | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Models from all rows of ``key, lang, text`` that have both a language and a text."""
-    rows = training.select(F.col(key).cast("string").alias("key"), F.col("lang").cast("string").alias("lang"), "text").filter(
+def fit(training: DataFrame, key: str = "doc_id", max_grams: int | None = None, sample_rows: int | None = None) -> Model:
+    """Models, temperature and limits from all rows of ``lang, text`` that have both a language and a text. ``key`` and
+    ``sample_rows`` are of former use, when some rows set the temperature and the limits; they change nothing."""
+    rows = training.select(F.col("lang").cast("string").alias("lang"), "text").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = stored(
         rows.select("lang", "text").mapInArrow(_counted, "lang string, gram bigint, n bigint")
@@ -251,32 +249,31 @@ def fit(training: DataFrame, key: str = "doc_id", max_grams: int | None = None,
     model = Model({one: (keys[lang == j], n[lang == j]) for j, one in enumerate(names.to_pylist())})
     if not model.langs:
         return model
-    # up to ``sample_rows`` of every learned language, so that a rare one gets a limit of its own
-    place = F.xxhash64(F.coalesce("key", F.lit("")), "lang").alias("place")
-    learned = rows.filter(F.col("lang").isin(model.langs))
-    each = {r["lang"]: max(1, r["count"] // (2 * sample_rows)) for r in learned.groupBy("lang").count().collect()}
-    step = F.lit(1)
-    for lang, n in each.items():
-        step = F.when(F.col("lang") == lang, n).otherwise(step)
-    first = Window.partitionBy("lang").orderBy("place", F.length("text"), "text")
-    sample = (learned.select("lang", "text", place).filter(F.pmod("place", step) == 0)
-              .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample_rows))
     shared = training.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches):
+        """Of every learned row with a letter: its language, its cross-entropy there, and the log of its chance at each temperature."""
+        at = {lang: j for j, lang in enumerate(shared.value.langs)}
         for batch in batches:
-            rows = zip(values(batch.column(0)), values(batch.column(1)), strict=True)
+            rows = ((at[lang], text) for lang, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True) if lang in at)
             for some in batched(rows, lambda r: len(r[1]), BATCH_CHARS):
                 entropies, letters = shared.value.entropies([t for _, t in some])
-                own = [shared.value.langs.index(lang) for lang, _ in some]
-                ok = letters > 0
+                own, entropies = np.array([j for j, _ in some])[letters > 0], entropies[letters > 0]
+                every = np.arange(len(own))
+                chances = (np.log(np.maximum(_softmax(entropies, t)[every, own], 1e-9)) for t in TEMPERATURES)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(own)[ok], pa.int64()), pa.array(list(entropies[ok]), pa.list_(pa.float64()))],
-                    names=["own", "bits"])
-
-    found = sample.select("lang", "text").mapInArrow(measured, "own bigint, bits array<double>").toArrow()
-    if found.num_rows:
-        model.calibrate(found["own"].to_numpy(), np.array(found["bits"].to_pylist()))
+                    [pa.array(own, pa.int32()), pa.array(entropies[every, own]), *(pa.array(c) for c in chances)], names=names_of)
+
+    chance = [f"t{k}" for k in range(len(TEMPERATURES))]
+    names_of = ["own", "bits", *chance]
+    found = stored(rows.select("lang", "text").mapInArrow(
+        measured, f"own int, bits double, {', '.join(f'{c} double' for c in chance)}"), "langid-measured")
+    sums = found.agg(*[F.sum(c).alias(c) for c in chance]).first()
+    each = [f"bits{j}" for j in range(len(model.langs))]
+    reached = column_quantiles(found.select(*[F.when(F.col("own") == j, F.col("bits")).alias(c) for j, c in enumerate(each)]),
+                               each, [LIMIT_SHARE])
+    if sums[0] is not None:
+        model.calibrate(list(sums), [r.quantiles[0] if r.n else None for r in reached])
     return model
 
 
