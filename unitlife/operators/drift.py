@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from unitlife.functions.life import psi_term, rate_psi
-from unitlife.operators.quantiles import FEW_GROUPS_ROWS, grouped_quantiles, linspace_probabilities
+from unitlife.operators.quantiles import (
+    FEW_GROUPS_ROWS, LISTED_ROWS, column_order, column_ranks, interpolated, linspace_probabilities,
+)
 from unitlife.schema import null_if_nan
 
 # Fixed values.
@@ -31,27 +33,32 @@ def column_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequ
                      also: Sequence[Callable[[str], Column]] = (), at_most: int | None = None) -> list[Row]:
     """``feature, n, quantiles`` and what ``also`` computes from each column, as local rows; exact at any size.
 
-    One wide pass counts (and computes ``also``). Columns of up to ``limit`` values share a second one; larger ones are
-    narrowed by ``grouped_quantiles``. Nothing is unpivoted for the first two. ``at_most`` is a known bound on the rows:
-    within ``limit``, one pass does it all.
+    One wide pass counts (and computes ``also``). As many columns as have up to ``limit`` values together share a second one; the others
+    are narrowed by ``column_order``. Nothing is unpivoted or shuffled but counts. ``at_most`` is a known bound on the rows: if all
+    columns are within ``limit``, one pass does it all.
     """
     wide = df.select([null_if_nan(F.col(f).cast("double")).alias(f"x{i}") for i, f in enumerate(features)])
     share = F.array(*[F.lit(float(p)) for p in probabilities])
-    at_once = at_most is not None and at_most <= limit
+    at_once = at_most is not None and at_most * len(features) <= limit
     counted = wide.agg(*[
-        F.struct(F.count(f"x{i}").alias("n"), *[make(f"x{i}").alias(f"v{k}") for k, make in enumerate(also)],
+        F.struct(F.count(f"x{i}").alias("n"), F.min(f"x{i}").alias("lo"), F.max(f"x{i}").alias("hi"),
+                 *[make(f"x{i}").alias(f"v{k}") for k, make in enumerate(also)],
                  *([F.percentile(f"x{i}", share).alias("q")] if at_once else [])).alias(f"x{i}")
         for i in range(len(features))]).first()
+    others = [tuple(counted[i])[3:3 + len(also)] for i in range(len(features))]
     if at_once:
-        return [Row(feature=f, n=counted[i]["n"], quantiles=counted[i]["q"], also=tuple(counted[i])[1:-1])
-                for i, f in enumerate(features)]
-    small = [i for i in range(len(features)) if counted[i]["n"] <= limit]
+        return [Row(feature=f, n=counted[i]["n"], quantiles=counted[i]["q"], also=others[i]) for i, f in enumerate(features)]
+    small, total = [], 0
+    for i in sorted(range(len(features)), key=lambda i: counted[i]["n"]):
+        total += counted[i]["n"]
+        if total <= limit:
+            small.append(i)
     found = wide.agg(*[F.percentile(f"x{i}", share).alias(f"x{i}") for i in small]).first().asDict() if small else {}
-    if large := [f for i, f in enumerate(features) if i not in small]:
-        rows = grouped_quantiles(long_form(df, large), ["feature"], "x", probabilities, limit=limit).collect()
-        found |= {f"x{list(features).index(r['feature'])}": r["quantiles"] for r in rows}
-    return [Row(feature=f, n=counted[i]["n"], quantiles=found[f"x{i}"], also=tuple(counted[i])[1:])
-            for i, f in enumerate(features)]
+    if large := [i for i in range(len(features)) if i not in small]:
+        order = column_order(wide, [f"x{i}" for i in large], [(counted[i]["lo"], counted[i]["hi"]) for i in large],
+                             column_ranks(probabilities), listed=min(limit, LISTED_ROWS))
+        found |= {f"x{i}": interpolated(*order[k, 0], probabilities) for k, i in enumerate(large)}
+    return [Row(feature=f, n=counted[i]["n"], quantiles=found[f"x{i}"], also=others[i]) for i, f in enumerate(features)]
 
 
 def inner_edges(quantiles: Sequence[float]) -> list[float]:

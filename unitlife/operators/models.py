@@ -14,7 +14,7 @@ from unitlife.operators import boosting
 from unitlife.operators.boosting import Forest, best_iteration
 from unitlife.operators.drift import column_quantiles
 from unitlife.operators.features import FEATURE_COLUMNS, TELEMETRY_FEATURES, fit_rows, horizon_target
-from unitlife.operators.quantiles import FEW_GROUPS_ROWS
+from unitlife.operators.quantiles import FEW_GROUPS_ROWS, column_order, column_ranks, interpolated
 from unitlife.schema import HORIZON_GRID, HORIZONS, MIN_GRID_ROWS, Keys, null_if_nan
 from unitlife.session import folder_exists
 
@@ -94,23 +94,33 @@ def load_model(spark: SparkSession, path: str) -> Model:
 
 
 def train_ridges(train: DataFrame, features: Sequence[str], targets: Sequence[str],
-                 alpha: float = RIDGE_ALPHA, at_most: int | None = None) -> dict[str, Ridge]:
+                 alpha: float = RIDGE_ALPHA) -> dict[str, Ridge]:
     """Median-impute, scale and fit a ridge of strength ``alpha`` for every target that has rows, from sufficient statistics.
 
-    The medians of a target's own rows come first. One map-side combined pass then adds up moments and cross products
-    of all targets, with every value taken relative to its median, so that a missing one adds nothing; each model is a solve of as many
-    equations as features.
+    The medians of a target's own rows come first: narrowed in passes over the features that count for all targets at once.
+    One map-side combined pass then adds up moments and cross products of all targets, with every value taken relative to its
+    median, so that a missing one adds nothing; each model is a solve of as many equations as features. The columns are kept while they are read.
     """
-    value = {f: null_if_nan(F.col(f).cast("double")) for f in features}
-    label = {t: null_if_nan(F.col(t).cast("double")) for t in targets}
-    masked = train.select([F.when(label[t].isNotNull(), value[f]).alias(f"x{k}_{i}")
-                           for k, t in enumerate(targets) for i, f in enumerate(features)])
-    middles = [r.quantiles[0] if r.n else None for r in column_quantiles(masked, masked.columns, [0.5], at_most=at_most)]
+    number = lambda c: null_if_nan(F.col(c).cast("double"))
+    kept = train.select(*[number(f).alias(f"x{i}") for i, f in enumerate(features)],
+                        *[number(t).alias(f"y{k}") for k, t in enumerate(targets)]).persist()
+    try:
+        return _fitted_ridges(kept, features, targets, alpha)
+    finally:
+        kept.unpersist()
+
+
+def _fitted_ridges(train: DataFrame, features: Sequence[str], targets: Sequence[str], alpha: float) -> dict[str, Ridge]:
+    value, label = [f"x{i}" for i in range(len(features))], [f"y{k}" for k in range(len(targets))]
+    ends = train.agg(*[F.struct(F.min(c), F.max(c)).alias(c) for c in value]).first()
+    masked = train.select(*value, *[F.col(c).isNotNull().alias(c) for c in label])
+    order = column_order(masked, value, [tuple(e) if e[0] is not None else None for e in ends], column_ranks([0.5]), label)
+    middles = [(interpolated(*order[i, k], [0.5]) or [None])[0] for k in range(len(targets)) for i in range(len(features))]
     width = len(features)
     medians = [middles[k * width:(k + 1) * width] for k in range(len(targets))]
     table = F.array(*[F.array(*[F.lit(m).cast("double") for m in own]) for own in medians])
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), label[t].alias("y")) for k, t in enumerate(targets)])
-    long = train.select(*[value[f].alias(f"x{i}") for i, f in enumerate(features)], F.inline(entries)).filter("y is not null")
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("y")) for k, c in enumerate(label)])
+    long = train.select(*value, F.inline(entries)).filter("y is not null")
     centred = long.select("k", "y", *[F.coalesce(F.col(f"x{i}") - F.get(F.get(table, F.col("k")), F.lit(i)), F.lit(0.0)).alias(f"z{i}")
                                       for i in range(width)])
     z = [F.col(f"z{i}") for i in range(width)]

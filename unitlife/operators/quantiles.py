@@ -1,18 +1,23 @@
 """Exact grouped quantiles whose memory does not grow with the group.
 
 ``percentile`` keeps a value-to-count map of the whole group in one task. That is the right plan
-for groups up to ``limit`` rows. Larger groups are resolved by narrowing: a sketch gives cut points of
+for groups up to ``limit`` rows. Larger groups of a table are resolved by narrowing: a sketch gives cut points of
 about equal counts, the rows between them are counted exactly (map-side combined), only the cells that hold a wanted rank are
 kept, and those are split again until each holds at most ``limit`` rows or a single value; a round leaves about one row in
 ``NARROWING_CELLS``. The brackets of all groups are a table; nothing is collected, and no side of a join is broadcast unless
 Spark finds it small.
+
+A handful of columns needs neither that table nor a shuffle of rows: ``column_order`` counts each column's values between cut
+points in every task, adds the counts up, and cuts the cells that hold a wanted rank again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ GROUP_ROWS = 1 << 20
 # For a handful of groups (features) narrowing is also faster, from about here on.
 FEW_GROUPS_ROWS = 1 << 19
 NARROWING_CELLS = 64
+COLUMN_CELLS = 1 << 10
+LISTED_ROWS = 1 << 16  # values that the last round of ``column_order`` lists
 
 
 def linspace_probabilities(bins: int) -> list[float]:
@@ -134,3 +141,184 @@ def _split(values: DataFrame, keys: list[str], brackets: DataFrame, cells: int)
 def _ranked(values: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
     counted = _inside(values, keys, brackets).groupBy(*keys, "_below", "_v").agg(F.count("*").alias("_n"))
     return _started(counted, keys, "_v", brackets).select(*keys, F.explode("_ranks").alias("_rank"), "_v")
+
+
+def _ordered(x: float) -> int:
+    """A whole number per double, in the same order; its own inverse but for the type (``_double``)."""
+    bits = int(np.float64(x).view(np.int64))
+    return bits if bits >= 0 else bits ^ 0x7FFFFFFFFFFFFFFF
+
+
+def _double(number: int) -> float:
+    return float(np.int64(number if number >= 0 else number ^ 0x7FFFFFFFFFFFFFFF).view(np.float64))
+
+
+def _cut(low: float, high: float, cells: int, even: bool) -> list[float]:
+    """Points between two values: evenly spaced, or evenly spaced among the doubles, which ends any distribution."""
+    if even and np.isfinite(high - low):
+        points = np.linspace(low, high, cells + 1)[1:-1]
+    else:
+        a, b = _ordered(low), _ordered(high)
+        points = np.array([_double(a + (b - a) * k // cells) for k in range(1, cells)])
+    return [x for x in points.tolist() if low < x < high]
+
+
+def _columns(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    for i in range(width):
+        yield i, batch.column(i).fill_null(np.nan).to_numpy(zero_copy_only=False)
+
+
+def _masks(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+    found = [m.fill_null(False).to_numpy(zero_copy_only=False) for m in batch.columns[width:]]
+    return found or [np.ones(len(batch), bool)]
+
+
+def _counted(cuts: Sequence[np.ndarray], wanted: Sequence[np.ndarray | None], groups: int):
+    """Values of each column and group at a cut point (odd codes) or between two (even ones), where ``wanted`` says so."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((groups, 2 * len(c) + 1), np.int64) for c in cuts]
+        for batch in batches:
+            masks = _masks(batch, len(cuts))
+            for i, x in _columns(batch, len(cuts)):
+                if wanted[i] is None:
+                    continue
+                code, known = _codes(x, cuts[i], wanted[i])
+                for j, mask in enumerate(masks):
+                    sums[i][j] += np.bincount(code[mask[known]], minlength=sums[i].shape[1])
+        for i, own in enumerate(sums):
+            j, code = np.nonzero(own)
+            yield pa.record_batch([pa.array(np.full(len(j), i), pa.int32()), pa.array(j, pa.int32()), pa.array(code, pa.int32()),
+                                   pa.array(own[j, code])], ["i", "j", "code", "n"])
+    return count
+
+
+def _codes(x: np.ndarray, cuts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the known values whose code is wanted, and their places."""
+    place = np.flatnonzero(~np.isnan(x))
+    x = x[place]
+    left = np.searchsorted(cuts, x)
+    code = 2 * left + (cuts[np.minimum(left, len(cuts) - 1)] == x)
+    inside = wanted[code]
+    return code[inside], place[inside]
+
+
+def _listed(cuts: Sequence[np.ndarray], wanted: Sequence[np.ndarray], groups: int):
+    """The values themselves, where ``wanted``: per column, a row of marks per group."""
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = _masks(batch, len(cuts))
+            for i, x in _columns(batch, len(cuts)):
+                if not wanted[i].any():
+                    continue
+                code, place = _codes(x, cuts[i], wanted[i].any(0))
+                for j, mask in enumerate(masks):
+                    x_j = x[place[mask[place] & wanted[i][j][code]]]
+                    if len(x_j):
+                        yield pa.record_batch([pa.array(np.full(len(x_j), i), pa.int32()), pa.array(np.full(len(x_j), j), pa.int32()),
+                                               pa.array(x_j)], ["i", "j", "x"])
+    return values
+
+
+def column_order(df: DataFrame, values: Sequence[str], bounds: Sequence[tuple[float, float] | None],
+                 ranks: Callable[[int], Sequence[int]], masks: Sequence[str] = (), *, listed: int = LISTED_ROWS,
+                 cells: int = COLUMN_CELLS) -> dict[tuple[int, int], tuple[int, Mapping[int, float]]]:
+    """``(column, mask) -> (n, rank -> value)``: order statistics of double columns over the rows where each mask holds
+    (all rows, without masks), as local values. ``bounds`` has the least and greatest value of each column (None: it has no value);
+    ``ranks`` gives the ranks, from 0, that are wanted of ``n`` values.
+
+    Every round reads the columns once and shuffles counts alone: tasks count the values between cut points, and cells
+    that hold a wanted rank are cut again, until they hold ``listed`` rows in all, whose values are listed. Rounds cut by value and among
+    the doubles in turn, so there are few whatever the distribution. Ties at a cut point are counted by themselves.
+    """
+    groups = max(len(masks), 1)
+    rows = df.select(*values, *masks)
+    cuts = [np.array(sorted({b[0], *_cut(*b, cells, True), b[1]}) if b else [0.0]) for b in bounds]
+    # open cells by column: (below, above) -> {mask: (values of the mask below the cell, ranks)}; all of them at first
+    wanted = [np.ones(2 * len(c) + 1, bool) if b else None for c, b in zip(cuts, bounds, strict=True)]
+    open_cells: list[dict] = [{(-1, len(c)): {j: None for j in range(groups)}} if b else {} for c, b in zip(cuts, bounds, strict=True)]
+    found: dict[tuple[int, int], tuple[int, dict[int, float]]] = {
+        (i, j): (0, {}) for i in range(len(values)) for j in range(groups)}
+    even = False
+    while True:
+        counts = [np.zeros((groups, 2 * len(c) + 1), np.int64) for c in cuts]
+        summed = rows.mapInArrow(_counted(cuts, wanted, groups), "i int, j int, code int, n bigint").groupBy(
+            "i", "j", "code").agg(F.sum("n").alias("n")).toArrow()
+        i, j, code, n = (summed[c].to_numpy() for c in ("i", "j", "code", "n"))
+        for column in range(len(values)):
+            own = i == column
+            counts[column][j[own], code[own]] = n[own]
+        left: list[dict] = [{} for _ in cuts]
+        held = 0
+        for column, cell_groups in enumerate(open_cells):
+            for (a, b), groups_of in cell_groups.items():
+                part = slice(2 * a + 2, 2 * b + 1)
+                for group, before in groups_of.items():
+                    inside = counts[column][group, part]
+                    ends = np.cumsum(inside)
+                    if before is None:  # the first round counts all
+                        before = 0, list(ranks(int(ends[-1]))) if ends[-1] else []
+                        found[column, group] = int(ends[-1]), {}
+                    below, asked = before
+                    for rank in asked:
+                        at = int(np.searchsorted(ends, rank - below, "right"))
+                        place = part.start + at
+                        if place % 2:
+                            found[column, group][1][rank] = float(cuts[column][place // 2])
+                            continue
+                        cell = left[column].setdefault((place // 2 - 1, place // 2), {})
+                        if group not in cell:
+                            cell[group] = below + int(ends[at] - inside[at]), []
+                            held += int(inside[at])
+                        cell[group][1].append(rank)
+        if not held:
+            return found
+        if held <= listed:
+            break
+        cuts, wanted, open_cells = _cut_again(cuts, left, cells, even)
+        even = not even
+    marks = [np.zeros((groups, 2 * len(c) + 1), bool) for c in cuts]
+    for column, cell_groups in enumerate(left):
+        for (_, b), groups_of in cell_groups.items():
+            marks[column][list(groups_of), 2 * b] = True
+    listing = rows.mapInArrow(_listed(cuts, marks, groups), "i int, j int, x double").toArrow()
+    i, j, x = (listing[c].to_numpy() for c in ("i", "j", "x"))
+    for column, cell_groups in enumerate(left):
+        for (a, b), groups_of in cell_groups.items():
+            for group, (below, asked) in groups_of.items():
+                own = x[(i == column) & (j == group)]
+                own = np.sort(own[(own > cuts[column][a]) & (own < cuts[column][b])])
+                found[column, group][1].update({rank: float(own[rank - below]) for rank in asked})
+    return found
+
+
+def _cut_again(cuts: Sequence[np.ndarray], left: Sequence[dict], cells: int, even: bool):
+    """Cut points of the next round, what it counts, and the open cells by their new places."""
+    new, wanted, open_cells = [], [], []
+    for own, cell_groups in zip(cuts, left, strict=True):
+        share = max(cells // max(len(cell_groups), 1), 8)
+        points = sorted({x for a, b in cell_groups for x in (own[a], own[b], *_cut(own[a], own[b], share, even))}) or [0.0]
+        at = {x: k for k, x in enumerate(points)}
+        moved = {(at[own[a]], at[own[b]]): groups for (a, b), groups in cell_groups.items()}
+        mark = np.zeros(2 * len(points) + 1, bool)
+        for a, b in moved:
+            mark[2 * a + 2:2 * b + 1] = True
+        new.append(np.array(points, np.float64))
+        wanted.append(mark if moved else None)
+        open_cells.append(moved)
+    return new, wanted, open_cells
+
+
+def column_ranks(probabilities: Sequence[float]) -> Callable[[int], list[int]]:
+    """The ranks next to each quantile of ``n`` values."""
+    return lambda n: sorted({int(f(p * (n - 1))) for p in probabilities for f in (np.floor, np.ceil)})
+
+
+def interpolated(n: int, at: Mapping[int, float], probabilities: Sequence[float]) -> list[float] | None:
+    """Quantiles by linear interpolation between the order statistics ``at``; None without values."""
+    out = []
+    for p in probabilities if n else ():
+        x = p * (n - 1)
+        low, high = int(np.floor(x)), int(np.ceil(x))
+        a, b = at[low], at[high]
+        out.append(a if low == high or a == b else (high - x) * a + (x - low) * b)
+    return out or None

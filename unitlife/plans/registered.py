@@ -756,12 +756,15 @@ def boosted_errors(spark, d):
 def _grid_lives(spark, d, fit, method: str) -> DataFrame:
     """Error summary of remaining life by the slope method and by a fitted grid."""
     assigned = _from_table(spark, d, HORIZON_GRID)
-    kept = runs.training_columns(assigned, HORIZON_GRID, KEYS).persist()
+    kept = runs.training_columns(assigned, HORIZON_GRID, KEYS)
+    if fit is None:
+        kept = kept.persist()  # a ridge keeps what it reads itself
     frames = splits.split_frames(kept)
     try:
         fitted = models.train_grid(frames["train"], frames["val"], grid=HORIZON_GRID, keys=KEYS, fit=fit)
     finally:
-        kept.unpersist()
+        if fit is None:
+            kept.unpersist()
     held_out = _held_out(assigned)
     points = rul.rul_points(
         models.with_trajectory(held_out, fitted), _slope(assigned), held_out,

@@ -136,14 +136,17 @@ def forecast_rul(features_df: DataFrame, *, cohort: UnitTable = SPLIT_OF, exclud
     """
     targets = add_horizon_targets(features_df, config.horizons, keys, dense=dense)
     assigned = assign_splits(targets, cohort, excluded, keys)
-    kept = training_columns(assigned, config.horizons, keys).persist()
+    kept = training_columns(assigned, config.horizons, keys)
+    if models is None:
+        kept = kept.persist()  # the slope alone needs two columns once
     frames = split_frames(kept)
     try:
         slope = evaluate.fade_slope(frames["train"]).first()["slope"]
         grid = dict(models) if models is not None else train_grid(
             frames["train"], frames["val"], config, config.horizons, keys)
     finally:
-        kept.unpersist()
+        if models is None:
+            kept.unpersist()
     held_out = assigned.filter(F.col("split").isin("val", "test"))
     points = rul_points(
         with_trajectory(held_out, grid), slope, held_out, trajectory=trajectory_columns(grid), keys=keys

@@ -19,7 +19,7 @@ from unitlife.schema import RAW_ENTRY, Keys
 from unitlife.session import shared_folder
 from unitlife.sources.tables import write_unit_table
 
-_folders: dict[tuple, str] = {}
+_staged: dict[tuple, str] = {}
 _schemas: dict[str, StructType] = {}
 
 KEYS = Keys("unit_id", "cycle_index")
@@ -53,11 +53,11 @@ def _state(spark: SparkSession, path: str) -> tuple:
 def folder_once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     """A folder of the shared one that ``write(path)`` fills once per session and state of the events."""
     key = (spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/events.parquet"), name)
-    if key not in _folders:
+    if key not in _staged:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         write(path)
-        _folders[key] = path
-    return _folders[key]
+        _staged[key] = path
+    return _staged[key]
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build, write) -> DataFrame:
