@@ -329,3 +329,26 @@ def test_a_stored_table_is_shuffled_once_and_sorted(spark, tmp_path):
     for name in {r.file_name for r in seen}:
         own = [(r.battery_id, r.cycle_index) for r in sorted((r for r in seen if r.file_name == name), key=lambda r: r.at)]
         assert own == sorted(own)
+
+
+def test_folders_of_one_file_are_listed_in_groups(spark, tmp_path):
+    from unitlife.plans import views
+    from unitlife.session import LISTING
+    for unit in range(40):  # beyond 32 folders Spark lists by a job
+        spark.createDataFrame([(f"U{unit}", [])], RAW_FILE).coalesce(1).write.parquet(f"{tmp_path}/raw/unit=U{unit}")
+    before, most = spark.conf.get(LISTING), 4 * spark.sparkContext.defaultParallelism
+    name = views.unit_of_folder
+    try:
+        for opened in (
+                lambda: landing.list_files(spark, f"{tmp_path}/raw"),
+                lambda: landing.read_unit_files(spark, f"{tmp_path}/raw", landing.list_files(spark, f"{tmp_path}/raw"), stem=name),
+                lambda: landing_stream.land(spark, f"{tmp_path}/raw", f"{tmp_path}/landed", stem=name).awaitTermination()):
+            spark.conf.set(LISTING, "10000")
+            opened()
+            assert int(spark.conf.get(LISTING)) == most
+        assert landing.list_files(spark, f"{tmp_path}/raw").count() == 40
+        spark.conf.set(LISTING, "3")  # fewer stay fewer
+        landing.list_files(spark, f"{tmp_path}/raw")
+        assert spark.conf.get(LISTING) == "3"
+    finally:
+        spark.conf.set(LISTING, before)
