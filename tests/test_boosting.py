@@ -160,3 +160,31 @@ def test_row_keys_decide_the_sample():
     drawn = boosting.sampled(keys, 3, 42, 0.9)
     assert 0.895 < drawn.mean() < 0.905 and (boosting.sampled(keys[::-1], 3, 42, 0.9)[::-1] == drawn).all()
     assert (boosting.sampled(keys, 4, 42, 0.9) != drawn).any()
+
+
+def test_below_the_root_at_most_half_the_rows_are_counted_by_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 8)
+    passes, gather = [], boosting._gather
+
+    def watched(blocks, parts, job):
+        found = gather(blocks, parts, job)
+        f = int(np.flatnonzero(job.chosen[0])[0])
+        passes.append((job.level, int(found[1][0, :, f].sum()), blocks.getNumPartitions()))
+        return found
+
+    monkeypatch.setattr(boosting, "_gather", watched)
+    df = frame(spark, rows(1500, 6))
+    boosting.grow(df, df.limit(0), {"y": (FEATURES, "y")}, **SETTINGS)
+    cores = spark.sparkContext.defaultParallelism
+    assert max(tasks for *_, tasks in passes) <= max(2 * cores, 1500 / 8 / boosting.TASK_BLOCKS + 1)
+    for level, counted, _ in passes:
+        if level == 0:
+            whole = counted
+        assert 0 < counted <= (whole / 2 if level else 1500)
+
+
+def test_other_children_are_the_rest_of_their_parents():
+    parents = np.arange(12).reshape(2, 2, 3)
+    found = parents // 3
+    out = boosting._children(parents, np.array([True, False, False, True]), found)
+    assert (out[[0, 3]] == found).all() and (out[[1, 2]] == parents - found).all()

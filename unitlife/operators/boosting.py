@@ -1,16 +1,16 @@
 """Gradient-boosted regression trees, grown for many targets in the same passes.
 
 Features are cut into bins by exact quantiles of the training rows; a missing value has a bin of its own and goes to
-the side of a split that suits it better. Rows travel as blocks of bins, labels and current predictions. One pass over the blocks
+the side of a split that suits it better. Rows travel as blocks of bins and current residuals. One pass over the blocks
 serves a level of the current tree of *every* target: each task adds up its rows' residuals per (target, node, feature,
-bin), the sums are added up, and the driver, which sees no rows, chooses the splits. The number of passes
+bin), the sums are added up, and the driver, which sees no rows, chooses the splits. Below the root only the smaller child
+of each node is counted, over the features drawn for the tree; the other child is the rest of its parent. The number of passes
 follows the longest forest and not the number of targets. Residuals are rounded to integers that add up exactly, so
 neither the partitioning nor a lost executor changes a tree.
 
 Growth stops on the validation rows while it goes on: a target leaves once ``patience`` trees have not lowered its
 validation loss, and its forest is cut to the leading trees with the lowest loss; nothing is fitted twice. Every ``REFRESH`` trees
-the blocks are written anew with their predictions to the shared folder, which ends their lineage, and the folder
-before is removed.
+the blocks are checkpointed anew with their residuals, which ends their lineage, and the folder before is removed.
 """
 
 from __future__ import annotations
@@ -20,25 +20,28 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitlife.operators.drift import column_quantiles
 from unitlife.operators.quantiles import linspace_probabilities
-from unitlife.session import remove_folder, shared_folder
+from unitlife.session import remove_folder, use_checkpoints
 
 BINS = 32
 BLOCK_ROWS = 1 << 14
-REFRESH = 32
+TASK_BLOCKS = 64  # at most, on average
+REFRESH = 16
 FAN_IN = 64  # histograms that one task or the driver adds up
-HELD_BYTES = 1 << 26
+HELD_BYTES = 1 << 27
 NO_SPLIT = 255  # every bin is below
 
-_BLOCK = "block string, n bigint, bins binary, held_out binary, keys binary, labels binary, predictions binary"
+_BLOCK = "block string, n bigint, bins binary, held_out binary, keys binary, residuals binary"
 
 
 @dataclass(frozen=True)
@@ -94,15 +97,20 @@ def binned(values: np.ndarray, edges: Sequence[float]) -> np.ndarray:
 
 def route(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, missing_right: np.ndarray, levels: int) -> np.ndarray:
     """Number, within its level, of the node that each row reaches after ``levels`` splits."""
-    rows = np.arange(bins.shape[1])
-    node = np.zeros(bins.shape[1], np.intp)
+    node = np.zeros(bins.shape[1], np.uint8 if levels <= 8 else np.intp)
     for level in range(levels):
-        first = 2 ** level - 1
-        own = slice(first, 2 * first + 1)
-        x = bins[feature[own][node], rows] if level else bins[feature[0]]
-        right = x > cut[own][node]
-        if missing_right[own].any():
-            right |= (x == 0) & missing_right[own][node]
+        right = np.zeros(bins.shape[1], bool)
+        for i in range(2 ** level):
+            at = 2 ** level - 1 + i
+            if cut[at] == NO_SPLIT:
+                continue
+            x = bins[feature[at]]
+            goes = x > cut[at]
+            if missing_right[at]:
+                goes |= x == 0
+            if level:
+                goes &= node == i
+            right |= goes
         node = 2 * node + right
     return node
 
@@ -118,99 +126,95 @@ def sampled(keys: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
 
 @dataclass
 class _Pass:
-    """What a pass over the blocks needs to know."""
+    """What a pass over the blocks needs to know. Trees are ``(feature, cut, missing_right, value)``, a row per target."""
 
     run: str
     targets: int
     features: int
     active: list[int]
-    since: int  # trees that the stored predictions hold
-    trees: list[dict[int, tuple]]  # per tree after that: target -> (feature, cut, missing_right, value)
+    since: int  # trees that the stored residuals leave behind
+    trees: list[tuple]  # those after that
     tree: int
     depth: int
     level: int
-    growing: dict[int, tuple]  # target -> (feature, cut, missing_right) of the current tree
+    growing: tuple  # (feature, cut, missing_right) of the current tree
+    chosen: np.ndarray  # features of the current tree, a row per target
+    counted: np.ndarray  # whether a node of this level is counted, a row per target
     scale: np.ndarray
     seed: int
     share: float
 
 
-# Predictions that a worker has made, so that the next pass adds the latest tree alone. Losing them costs time only.
+# Residuals that a worker has made, so that the next pass takes off the latest trees alone. Losing them costs time only.
 _held: OrderedDict[tuple[str, str], tuple[int, np.ndarray]] = OrderedDict()
 
 
-def _predictions(job: _Pass, block: str, bins: np.ndarray, stored: np.ndarray) -> np.ndarray:
+def _residuals(job: _Pass, block: str, bins: np.ndarray, stored: np.ndarray) -> np.ndarray:
     done, out = _held.pop((job.run, block), (-1, None))
     if out is None or done < job.since:
         done, out = job.since, stored.copy()
-    for tree in job.trees[done - job.since:]:
+    for *splits, value in job.trees[done - job.since:]:
         for m in job.active:
-            feature, cut, missing_right, value = tree[m]
-            out[m] += value[route(bins, feature, cut, missing_right, job.depth)]
+            out[m] -= value[m].take(route(bins, *(x[m] for x in splits), job.depth))
     _held[job.run, block] = (job.since + len(job.trees), out)
     while len(_held) > 1 and sum(p.nbytes for _, p in _held.values()) > HELD_BYTES:
         _held.popitem(last=False)
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], job: _Pass):
-    for batch in batches:
-        for row in batch.to_pylist():
-            n, read = row["n"], lambda name, kind: np.frombuffer(row[name], kind)  # noqa: B023
-            bins = read("bins", np.uint8).reshape(job.features, n)
-            labels = read("labels", np.float64).reshape(job.targets, n)
-            stored = read("predictions", np.float64).reshape(job.targets, n)
-            yield row, bins, labels, read("held_out", bool), read("keys", np.uint64), _predictions(job, row["block"], bins, stored)
+def _read(job: _Pass, row: tuple):
+    block, n, bins, held_out, keys, stored = row
+    bins = np.frombuffer(bins, np.uint8).reshape(job.features, n)
+    stored = np.frombuffer(stored, np.float64).reshape(job.targets, n)
+    return bins, np.frombuffer(held_out, bool), np.frombuffer(keys, np.uint64), _residuals(job, block, bins, stored)
 
 
 def _sums(job: _Pass):
-    """Per task: residual sums and counts by (target, node, feature, bin), then validation losses and counts."""
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, width = 2 ** job.level, job.features * (BINS + 1)
-        sums = np.zeros((len(job.active), nodes * width), np.int64)
+    """Per task: residual sums and counts by (target, parent of a counted node, feature, bin), then validation losses and counts."""
+    def add(rows: Iterator[tuple]) -> Iterator[tuple]:
+        parents = 2 ** max(job.level - 1, 0)
+        sums = np.zeros((len(job.active), parents, job.features, BINS + 1), np.int64)
         counts, losses = np.zeros_like(sums), np.zeros((len(job.active), 2))
-        place = (np.arange(job.features) * (BINS + 1))[:, None]
-        for _, bins, labels, held_out, keys, predictions in _blocks(batches, job):
+        for row in rows:
+            bins, held_out, keys, residuals = _read(job, row)
             drawn = ~held_out & sampled(keys, job.tree, job.seed, job.share)
             for a, m in enumerate(job.active):
-                known = ~np.isnan(labels[m])
-                rows = np.flatnonzero(drawn & known)
-                residual = np.rint((labels[m][rows] - predictions[m][rows]) * job.scale[m])
-                own = bins[:, rows]
-                code = (own + place + route(own, *job.growing[m], job.level) * width).ravel()
-                sums[a] += np.bincount(code, np.tile(residual, job.features), nodes * width).astype(np.int64)
-                counts[a] += np.bincount(code, minlength=nodes * width)
+                known = ~np.isnan(residuals[m])
                 if job.level == 0:
-                    error = (labels[m] - predictions[m])[held_out & known]
+                    error = residuals[m][held_out & known]
                     losses[a] += error @ error, len(error)
-        yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (sums, counts, losses)], ["sums", "counts", "losses"])
+                inside = drawn & known
+                if job.level:
+                    node = route(bins, *(x[m] for x in job.growing), job.level)
+                    inside &= job.counted[m].take(node)
+                chosen = np.flatnonzero(inside)
+                own = bins.take(chosen, axis=1)
+                whole = np.rint(residuals[m].take(chosen) * job.scale[m])
+                place = (node.take(chosen) >> 1).astype(np.intp) * (BINS + 1) if job.level else np.intp(0)
+                for f in np.flatnonzero(job.chosen[m]):
+                    code = place + own[f]
+                    sums[a, :, f] += np.bincount(code, whole, parents * (BINS + 1)).astype(np.int64).reshape(parents, -1)
+                    counts[a, :, f] += np.bincount(code, minlength=parents * (BINS + 1)).reshape(parents, -1)
+        yield sums, counts, losses
     return add
 
 
-_SUMS = "sums binary, counts binary, losses binary"
-_KINDS = {"sums": np.int64, "counts": np.int64, "losses": np.float64}
+def _added(one: tuple, other: tuple) -> tuple:
+    return tuple(a + b for a, b in zip(one, other, strict=True))
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            own = [np.frombuffer(row[c], kind) for c, kind in _KINDS.items()]
-            total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
-    if total is not None:
-        yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in total], list(_KINDS))
+def _gather(blocks: RDD, parts: int, job: _Pass) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = blocks.mapPartitions(_sums(job))
+    if parts > FAN_IN:
+        return found.treeReduce(_added, math.ceil(math.log(parts, FAN_IN)))
+    return reduce(_added, found.collect())
 
 
-def _gather(blocks: DataFrame, parts: int, job: _Pass) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = blocks.mapInArrow(_sums(job), _SUMS)
-    while parts > FAN_IN:
-        parts = -(-parts // FAN_IN)
-        found = found.repartition(parts).mapInArrow(_added, _SUMS)
-    shape = (len(job.active), 2 ** job.level, job.features, BINS + 1)
-    batches = iter(found.toArrow().to_batches())
-    total = next(_added(batches)).to_pylist()[0]
-    sums, counts, losses = (np.frombuffer(total[c], kind) for c, kind in _KINDS.items())
-    return sums.reshape(shape), counts.reshape(shape), losses.reshape(-1, 2)
+def _children(parents: np.ndarray, counted: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Per node of a level what it holds, from its parents and from the one child of each that was counted."""
+    out = np.empty((2 * len(parents), *parents.shape[1:]), parents.dtype)
+    out[counted], out[~counted] = found, parents - found
+    return out
 
 
 def best_splits(sums: np.ndarray, counts: np.ndarray, allowed: np.ndarray, least: int):
@@ -219,7 +223,8 @@ def best_splits(sums: np.ndarray, counts: np.ndarray, allowed: np.ndarray, least
     ``sums`` and ``counts`` are (node, feature, bin). Of equal gains the first feature, then the lowest cut, then missing
     values to the left. A node that no split improves sends everything left.
     """
-    total, n = sums[:, 0].sum(1), counts[:, 0].sum(1)
+    first = int(np.argmax(allowed))  # what is not allowed may not have been counted
+    total, n = sums[:, first].sum(1), counts[:, first].sum(1)
     low_s, low_n = np.cumsum(sums[..., 1:-1], -1), np.cumsum(counts[..., 1:-1], -1)
     # missing values to the left, then to the right
     left_s = np.stack([low_s + sums[..., :1], low_s], -1)
@@ -251,8 +256,7 @@ def _packed(features: Sequence[str], targets: int, edges: Sequence[Sequence[floa
             values = columns[2:2 + len(features)]
             bins = np.array([binned(v, e) for v, e in zip(values, edges, strict=True)], np.uint8).reshape(len(features), n)
             labels = np.array(columns[2 + len(features):], np.float64).reshape(targets, n)
-            predictions = np.repeat(start[:, None], n, 1)
-            parts = (bins, columns[0].astype(bool), columns[1].astype(np.int64), labels, predictions)
+            parts = (bins, columns[0].astype(bool), columns[1].astype(np.int64), labels - start[:, None])
             return pa.record_batch([pa.array([uuid.uuid4().hex]), pa.array([n], pa.int64()), *(
                 pa.array([p.tobytes()], pa.binary()) for p in parts)], [c.split()[0] for c in _BLOCK.split(", ")])
 
@@ -268,12 +272,24 @@ def _packed(features: Sequence[str], targets: int, edges: Sequence[Sequence[floa
 
 
 def _refreshed(job: _Pass):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, *_, predictions in _blocks(batches, job):
-            row["predictions"] = predictions.tobytes()
-            yield pa.RecordBatch.from_pylist([row], pa.schema([
-                ("block", pa.string()), ("n", pa.int64()), *((c, pa.binary()) for c in list(row)[2:])]))
-    return write
+    def renew(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for row in rows:
+            yield *row[:-1], _read(job, row)[-1].tobytes()
+    return renew
+
+
+def _kept(blocks: RDD) -> RDD:
+    """The blocks in the cache and in the shared folder, in the partitions they have."""
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    blocks.checkpoint()
+    blocks.count()
+    return blocks
+
+
+def _dropped(spark: SparkSession, blocks: RDD) -> None:
+    blocks.unpersist()
+    if blocks.getCheckpointFile():
+        remove_folder(spark, blocks.getCheckpointFile())
 
 
 def grow(train: DataFrame, val: DataFrame, jobs: Mapping[str, tuple[Sequence[str], str]], *, trees: int, rate: float,
@@ -304,26 +320,27 @@ def grow(train: DataFrame, val: DataFrame, jobs: Mapping[str, tuple[Sequence[str
         F.lit(held_out).alias("held_out"), key, *[number(f).alias(f"x{i}") for i, f in enumerate(features)],
         *[number(jobs[name][1]).alias(f"y{i}") for i, name in enumerate(names)])
     rows = side(train, False).unionByName(side(val, True))
-    parts = max(-(-known["n"] // BLOCK_ROWS), 1)
-    folder = f"{shared_folder(spark)}/boosting-{uuid.uuid4().hex}"
-    rows.repartition(parts, "key").mapInArrow(_packed(features, len(names), edges, start), _BLOCK).write.parquet(f"{folder}/0")
-
-    job = _Pass(folder, len(names), len(features), list(range(len(names))), 0, [], 0, depth, 0, {}, 2.0 ** bits / (4 * spread), seed, rows_share)
+    size = max(-(-known["n"] // BLOCK_ROWS), 1)
+    parts = min(max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BLOCKS)), 2 * size)
+    packed = rows.repartition(parts, "key").mapInArrow(_packed(features, len(names), edges, start), _BLOCK)
+    use_checkpoints(spark)
+    blocks = _kept(packed.rdd.map(tuple))
+    nodes = 2 ** depth - 1
+    none = lambda: (np.zeros((len(names), nodes), np.int16), np.full((len(names), nodes), NO_SPLIT, np.uint8),
+                    np.zeros((len(names), nodes), bool))
+    job = _Pass(uuid.uuid4().hex, len(names), len(features), list(range(len(names))), 0, [], 0, depth, 0, none(), allowed,
+                np.ones((len(names), 1), bool), 2.0 ** bits / (4 * spread), seed, rows_share)
     grown: list[list[tuple]] = [[] for _ in names]
     losses: list[list[float]] = [[] for _ in names]
-    blocks = spark.read.schema(_BLOCK).parquet(f"{folder}/0").coalesce(parts).persist()
     try:
         while job.active and job.tree <= trees:
             if len(job.trees) >= REFRESH:
-                blocks.mapInArrow(_refreshed(job), _BLOCK).write.parquet(f"{folder}/{job.tree}")
-                blocks.unpersist()
-                remove_folder(spark, f"{folder}/{job.since}")
-                blocks = spark.read.schema(_BLOCK).parquet(f"{folder}/{job.tree}").coalesce(parts).persist()
+                before, blocks = blocks, _kept(blocks.mapPartitions(_refreshed(job)))
+                _dropped(spark, before)
                 job.since, job.trees = job.tree, []
-            nodes = 2 ** depth - 1
-            job.growing = {m: (np.zeros(nodes, np.int16), np.full(nodes, NO_SPLIT, np.uint8), np.zeros(nodes, bool)) for m in job.active}
-            values = {m: np.zeros(nodes + 1) for m in job.active}
-            chosen = {m: _subset(allowed[m], features_share, seed, job.tree) for m in job.active}
+            job.growing, values = none(), np.zeros((len(names), nodes + 1))
+            job.chosen = np.array([_subset(own, features_share, seed, job.tree) for own in allowed])
+            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for job.level in range(depth):
                 sums, counts, loss = _gather(blocks, parts, job)
                 if job.level == 0 and job.tree:
@@ -337,25 +354,31 @@ def grow(train: DataFrame, val: DataFrame, jobs: Mapping[str, tuple[Sequence[str
                     if not job.active or job.tree == trees:
                         break
                 first = 2 ** job.level - 1
+                own = slice(first, 2 * first + 1)
+                counted = np.zeros((len(names), 2 * (first + 1)), bool)
                 for a, m in enumerate(job.active):
-                    feature, cut, right, side_s, side_n = best_splits(sums[a], counts[a], chosen[m], least)
-                    own = slice(first, 2 * first + 1)
-                    for whole, part in zip(job.growing[m], (feature, cut, right), strict=True):
-                        whole[own] = part
+                    found = sums[a], counts[a]
+                    if job.level:
+                        found = tuple(_children(of, job.counted[m], x) for of, x in zip(held[m], found, strict=True))
+                    held[m] = found
+                    *splits, side_s, side_n = best_splits(*found, job.chosen[m], least)
+                    for whole, part in zip(job.growing, splits, strict=True):
+                        whole[m, own] = part
+                    smaller = side_n[1] <= side_n[0]
+                    counted[m] = np.stack([~smaller, smaller], 1).ravel()
                     if job.level == depth - 1:
                         s, n = (np.stack(x, 1).ravel() for x in (side_s, side_n))
                         values[m] = rate * s / job.scale[m] / np.maximum(n, 1)
+                job.counted = counted
             else:
-                tree = {m: (*job.growing[m], values[m]) for m in job.active}
+                job.trees.append((*job.growing, values))
                 for m in job.active:
-                    grown[m].append(tree[m])
-                job.trees.append(tree)
+                    grown[m].append(tuple(x[m] for x in job.trees[-1]))
                 job.tree += 1
                 continue
             break
     finally:
-        blocks.unpersist()
-        remove_folder(spark, folder)
+        _dropped(spark, blocks)
     out = {}
     for m, name in enumerate(names):
         columns = [np.array(c) for c in zip(*grown[m], strict=True)]
