@@ -188,3 +188,46 @@ def test_other_children_are_the_rest_of_their_parents():
     found = parents // 3
     out = boosting._children(parents, np.array([True, False, False, True]), found)
     assert (out[[0, 3]] == found).all() and (out[[1, 2]] == parents - found).all()
+
+
+@pytest.mark.parametrize("block_rows", [1 << 14, 40])
+def test_forests_grown_in_passes_equal_plain_growth(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(boosting, "WHOLE_BLOCKS", 0)
+    monkeypatch.setattr(boosting, "TILE_ROWS", 64)
+    test_forests_equal_plain_growth(spark, monkeypatch, block_rows, 3, 2)
+
+
+def test_forests_grown_whole_by_tiles_equal_plain_growth(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "TILE_ROWS", 64)
+    test_forests_equal_plain_growth(spark, monkeypatch, 1 << 14, 32, 64)
+
+
+def test_what_fits_a_task_takes_no_job_per_tree(spark):
+    df = frame(spark, rows(300, 1))
+    spark.sparkContext.setJobGroup("whole", "")
+    try:
+        forest = boosting.grow(df, df.limit(0), {"y": (FEATURES, "y")}, **SETTINGS | {"trees": 60})["y"]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert forest.trees == 60 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole")) < 60
+
+
+def test_groups_of_features_count_as_each_alone(monkeypatch):
+    monkeypatch.setattr(boosting, "TILE_ROWS", 30)
+    monkeypatch.setattr(boosting, "EXACT_ROWS", 70)
+    draw = np.random.default_rng(3)
+    sizes = [33, 2, 5, 33, 33, 7]
+    bins = np.array([draw.integers(0, size, 500) for size in sizes], np.uint8)
+    parent, whole = draw.integers(0, 4, 500), draw.integers(-2 ** 35, 2 ** 35, 500).astype(float)
+    chosen = np.flatnonzero(draw.random(500) < 0.6)
+    groups = boosting.joined(sizes)
+    assert sorted(f for g in groups for f in g) == list(range(6)) and len(groups) < 6
+    assert all(math.prod(sizes[f] for f in g) <= boosting.JOINT_CELLS for g in groups)
+    seen = boosting._Histogram(sizes, np.ones(6, bool), 4)
+    seen.add([boosting._code(bins, sizes, g) for g in groups], chosen, parent[chosen], whole[chosen])
+    sums, counts = seen.tables()
+    for f, size in enumerate(sizes):
+        for p in range(4):
+            for b in range(size):
+                here = chosen[(parent[chosen] == p) & (bins[f][chosen] == b)]
+                assert sums[p, f, b] == whole[here].sum() and counts[p, f, b] == len(here)
