@@ -352,3 +352,50 @@ def test_folders_of_one_file_are_listed_in_groups(spark, tmp_path):
         assert spark.conf.get(LISTING) == "3"
     finally:
         spark.conf.set(LISTING, before)
+
+
+def test_unit_files_hold_one_row_each_and_keep_it(spark, tmp_path):
+    import glob
+    import os
+
+    from unitlife.plans import views
+    rows = [("U1", FILE), ("U2", FILE[:2]), ("U3", [])]
+    for _ in range(2):  # a repeated write doubles nothing
+        views.write_unit_files(spark.createDataFrame(rows, RAW_FILE).repartition(2), f"{tmp_path}/a b")
+    files = sorted(glob.glob(f"{tmp_path}/a b/**/*", recursive=True, include_hidden=True))
+    assert [os.path.relpath(f, f"{tmp_path}/a b") for f in files if os.path.isfile(f)] == [
+        f"unit=U{k}/part-0.parquet" for k in (1, 2, 3)]
+    found = spark.read.schema(RAW_FILE).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/a b")
+    expected = spark.createDataFrame(rows, RAW_FILE)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    sizes = {r.path.split("unit=")[1][:2]: r.length for r in landing.list_files(spark, f"{tmp_path}/a b").collect()}
+    assert sizes["U1"] > sizes["U2"] > sizes["U3"]
+
+
+def test_a_task_reads_many_small_files(spark, tmp_path):
+    from unitlife.plans import views
+    from unitlife.session import OPEN_COST, OPENING
+    before = spark.conf.get(OPENING, None)
+    try:
+        spark.conf.unset(OPENING)
+        views.write_unit_files(spark.createDataFrame([(f"U{k}", FILE) for k in range(150)], RAW_FILE), f"{tmp_path}/raw")
+        name = views.unit_of_folder
+        read = lambda: landing.read_unit_files(
+            spark, f"{tmp_path}/raw", landing.list_files(spark, f"{tmp_path}/raw"), stem=name)
+        assert read().count() == 150 * len(FILE)
+        assert int(spark.conf.get(OPENING)) == OPEN_COST
+        scan = spark.read.schema(RAW_FILE).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/raw")
+        assert scan.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+        spark.conf.set(OPENING, "1MB")  # a given one stays
+        assert read().count() == 150 * len(FILE) and spark.conf.get(OPENING) == "1MB"
+    finally:
+        spark.conf.unset(OPENING) if before is None else spark.conf.set(OPENING, before)
+
+
+def test_unit_files_are_not_read_to_see_whether_units_fit_a_task(spark, tmp_path, monkeypatch):
+    from unitlife.operators import ingest
+    asked, running = [], ingest.running
+    monkeypatch.setattr(ingest, "running", lambda *a, **k: asked.append(k["small"]) or running(*a, **k))
+    land(spark, str(tmp_path), "U1", FILE)
+    cycles = runs.ingest(spark, f"{tmp_path}/raw", f"{tmp_path}/out").cycles
+    assert asked == [True] and cycles.count() == 2
